@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticeflow.llm import bpe
+from latticeflow.llm import bpe, quality_ftrl, quality_gbt, toxicity_fm
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +26,24 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = quality_gbt.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return done.select("doc_id", *quality_gbt.COUNTS, "base_failed", "kept", "score")
+
+
+def op5_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ftrl.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_quality_gbt": op3_quality_gbt,
+    "op5_quality_ftrl": op5_quality_ftrl,
+    "op10_toxicity_fm": op10_toxicity_fm,
 }
 
 ORACLES: dict[str, str] = {}
