@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticeflow.llm import bpe, quality_ftrl, quality_gbt, simhash, toxicity_fm
+from latticeflow.llm import bpe, chat, quality_ftrl, quality_gbt, simhash, toxicity_fm
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,40 @@ def op5_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ftrl.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: A conversation whose texts are the template's own control strings.
+HARD_CONVERSATION = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = " UNION ALL ".join(f"SELECT {c}L AS conv_id, {n}L AS turn, '{r}' AS role, '{x}' AS text" for c, n, r, x in HARD_CONVERSATION)
+    return chat.digests(turns.unionByName(spark.sql(hard)))
+
+
+OP7_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), moves AS (
+  SELECT *, coalesce(lag(role) OVER w, 'start') AS before, lead(role) OVER w IS NULL AS final
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), told AS (
+  SELECT *, CASE role WHEN 'system' THEN 24 WHEN 'user' THEN 13 WHEN 'assistant' THEN 13 END AS marks,
+    (before || '>' || role) IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user') AND (NOT final OR role = 'assistant') AS fine
+  FROM moves
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(marks + length(text)) + sum(length(regexp_replace(text, '[^' || chr(92) || chr(92) || ']', '', 'g')))
+   + sum(length(regexp_replace(text, '<(?:/s>|s>|[|](?:says|system|end_system|reply|turn|end_turn)[|]>)|[[](?:INST|/INST)[]]', chr(1), 'g')) - length(replace(regexp_replace(text, '<(?:/s>|s>|[|](?:says|system|end_system|reply|turn|end_turn)[|]>)|[[](?:INST|/INST)[]]', chr(1), 'g'), chr(1), ''))))::BIGINT AS formatted_chars,
+  bool_and(fine) AS valid
+FROM told GROUP BY conv_id
+"""
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.group(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
@@ -48,8 +82,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_quality_gbt": op3_quality_gbt,
     "op5_quality_ftrl": op5_quality_ftrl,
+    "op7_chat": op7_chat,
     "op9_simhash": op9_simhash,
     "op10_toxicity_fm": op10_toxicity_fm,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_chat": OP7_SQL,
+}
