@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticeflow.llm import bpe, chat, quality_ftrl, quality_gbt, simhash, toxicity_fm
+from latticeflow.llm import bpe, chat, embedding_lsh, quality_ftrl, quality_gbt, simhash, toxicity_fm
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ftrl.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_embedding_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_lsh.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 #: A conversation whose texts are the template's own control strings.
 HARD_CONVERSATION = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_quality_gbt": op3_quality_gbt,
     "op5_quality_ftrl": op5_quality_ftrl,
+    "op6_embedding_lsh": op6_embedding_lsh,
     "op7_chat": op7_chat,
     "op9_simhash": op9_simhash,
     "op10_toxicity_fm": op10_toxicity_fm,
