@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticeflow.llm import bpe, chat, embedding_lsh, quality_ftrl, quality_gbt, simhash, toxicity_fm
+from latticeflow.llm import bpe, chat, embedding_lsh, quality_ftrl, quality_gbt, simhash, superkmers, toxicity_fm
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op3_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", *quality_gbt.COUNTS, "base_failed", "kept", "score")
 
 
+def op4_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = superkmers.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ftrl.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -85,6 +90,7 @@ def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_quality_gbt": op3_quality_gbt,
+    "op4_superkmers": op4_superkmers,
     "op5_quality_ftrl": op5_quality_ftrl,
     "op6_embedding_lsh": op6_embedding_lsh,
     "op7_chat": op7_chat,
