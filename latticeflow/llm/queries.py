@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticeflow.llm import bpe, chat, embedding_lsh, quality_ftrl, quality_gbt, simhash, superkmers, toxicity_fm
+from latticeflow.llm import bpe, chat, embedding_lsh, pii, quality_ftrl, quality_gbt, simhash, superkmers, toxicity_fm
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("base", lambda c: c["kind"] == k)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in pii.BASE], F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op3_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = quality_gbt.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return done.select("doc_id", *quality_gbt.COUNTS, "base_failed", "kept", "score")
@@ -89,6 +95,7 @@ def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_pii": op2_pii,
     "op3_quality_gbt": op3_quality_gbt,
     "op4_superkmers": op4_superkmers,
     "op5_quality_ftrl": op5_quality_ftrl,
