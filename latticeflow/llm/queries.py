@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticeflow.llm import bpe, chat, embedding_lsh, pii, quality_ftrl, quality_gbt, simhash, superkmers, toxicity_fm
+from latticeflow.llm import bpe, chat, embedding_lsh, mixing, pii, quality_ftrl, quality_gbt, simhash, superkmers, toxicity_fm
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,12 @@ FROM told GROUP BY conv_id
 """
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
+    done = mixing.mix(docs)
+    return done.select("doc_id", "source", mixing.tokens(F.col("text")).alias("n_tokens"), F.round("exponent", 6).alias("exponent"), F.round("weight", 6).alias("weight"), "copies")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.group(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
@@ -101,10 +107,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_ftrl": op5_quality_ftrl,
     "op6_embedding_lsh": op6_embedding_lsh,
     "op7_chat": op7_chat,
+    "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
     "op10_toxicity_fm": op10_toxicity_fm,
 }
 
 ORACLES: dict[str, str] = {
     "op7_chat": OP7_SQL,
+    "op8_mixing": mixing.SQL,
 }
