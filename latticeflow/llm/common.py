@@ -23,17 +23,18 @@ def session(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster names.
-
-    ``spark.checkpoint.dir`` is taken from the session; only where it is unset (tests, a single
-    machine) a temporary folder is made.
-    """
-    spark = session(df)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, from ``spark.checkpoint.dir``; only where that is unset (tests, a
+    single machine) a temporary one is made."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        where = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-")
-        sc.setCheckpointDir(where)
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(session(df))
     return df.checkpoint(eager=True)
 
 
