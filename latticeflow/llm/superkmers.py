@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticeflow.llm.common import cut, session
@@ -32,7 +32,7 @@ from latticeflow.llm.common import cut, session
 WIDTH = 13
 SEED_WORDS = 3
 #: Characters of text whose strings are packed together.
-SLICE = 3_000_000
+SLICE = 5_000_000
 FEW = 16
 _M = np.uint64(0x9E3779B97F4A7C15)
 _M_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -102,7 +102,7 @@ def super_kmers(words: list[bytes], lengths: np.ndarray, width: int = WIDTH, see
 
 def _pack(*arrays: np.ndarray | bytes) -> bytes:
     parts = [a if isinstance(a, bytes) else a.tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(p) for p in parts], "<i8").tobytes() + b"".join(parts))
+    return zstandard.ZstdCompressor(level=6).compress(np.array([len(p) for p in parts], "<i8").tobytes() + b"".join(parts))
 
 
 def _unpack(blob: bytes, n: int) -> list[bytes]:
@@ -146,14 +146,14 @@ def _packed_slice(ids: list[int], tags: list[int], texts: list[str], buckets: in
     for k in np.flatnonzero(many).tolist():
         at = slice(began[k], began[k] + count[k])
         digest = xxhash.xxh3_128_digest(distinct[k])
-        yield "places", int.from_bytes(digest[:6], "little") % buckets, digest, _pack(doc_ids[doc[at]], doc_tags[doc[at]], place[at].astype("<i4"))
+        yield "places", int.from_bytes(digest[:6], "little") % buckets, digest, _pack(doc_ids[doc[at]], doc_tags[doc[at]].astype("<i4"), place[at].astype("<i4"))
     by = np.argsort(bucket, kind="stable")
     first = np.flatnonzero(np.r_[True, bucket[by][1:] != bucket[by][:-1]])
     for a, b in zip(first.tolist(), [*first[1:].tolist(), len(by)], strict=True):
         ks = by[a:b]
         kept = np.where(many[ks], 0, count[ks])
         at = np.repeat(began[ks] - np.cumsum(kept) + kept, kept) + np.arange(kept.sum())
-        yield "strings", int(bucket[ks[0]]), b"", _pack(b" ".join([distinct[k] for k in ks.tolist()]), n_words[ks].astype("<i4"), kept.astype("<i4"), smallest[ks], doc_ids[doc[at]], doc_tags[doc[at]], place[at].astype("<i4"))
+        yield "strings", int(bucket[ks[0]]), b"", _pack(b" ".join([distinct[k] for k in ks.tolist()]), n_words[ks].astype("<i4"), kept.astype("<i4"), smallest[ks[kept == 0]], np.diff(doc_ids[doc[at]], prepend=0), doc_tags[doc[at]].astype("<i4"), place[at].astype("<i4"))
 
 
 def _windows_to_rows(doc_id: np.ndarray, tag: np.ndarray, start: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
@@ -188,7 +188,11 @@ def _bucket(blobs: list[bytes], width: int) -> Iterator[pa.RecordBatch]:
     """Rows ('windows', doc_id, tag, null, starts) to remove, and ('answer', null, null, digest, smallest documents)."""
     parts = [_unpack(b, 7) for b in blobs]
     text = b" ".join(p[0] for p in parts)
-    n, kept, smallest, doc_id, tag, place = (np.concatenate([np.frombuffer(p[i], t) for p in parts]).astype(np.int64) for i, t in ((1, "<i4"), (2, "<i4"), (3, "<i8"), (4, "<i8"), (5, "<i8"), (6, "<i4")))
+    n, kept, alone, tag, place = (np.concatenate([np.frombuffer(p[i], t) for p in parts]).astype(np.int64) for i, t in ((1, "<i4"), (2, "<i4"), (3, "<i8"), (5, "<i4"), (6, "<i4")))
+    doc_id = np.concatenate([np.cumsum(np.frombuffer(p[4], "<i8")) for p in parts])
+    smallest = np.zeros(len(n), np.int64)
+    smallest[kept == 0] = alone
+    smallest[kept > 0] = doc_id[(np.cumsum(kept) - kept)[kept > 0]]  # places come by document
     words = text.split()
     ids, hashes = _numbered(words)
     h = _range_hashes(hashes[ids], width)
@@ -225,10 +229,15 @@ def _bucket(blobs: list[bytes], width: int) -> Iterator[pa.RecordBatch]:
 _OUT = ["kind", "doc_id", "tag", "digest", "blob"]
 
 
+def _tag(text: Column) -> Column:
+    """32 bits of the text's hash, to tell rows apart that repeat an id with another text."""
+    return F.shiftright(F.xxhash64(text.cast("string")), 32)
+
+
 def repeated_windows(docs: DataFrame, width: int = WIDTH, buckets: int | None = None) -> DataFrame:
     """(doc_id, tag, starts): binary int32 arrays of the windows to remove, several rows per document."""
     spark = session(docs)
-    buckets = buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, tags, texts, size = [], [], [], 0
@@ -271,13 +280,13 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, buckets: int | None =
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, answer in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                doc_id, tag, place = (np.frombuffer(x, t).astype(np.int64) for x, t in zip(_unpack(blob, 3), ("<i8", "<i8", "<i4"), strict=True))
+                doc_id, tag, place = (np.frombuffer(x, t).astype(np.int64) for x, t in zip(_unpack(blob, 3), ("<i8", "<i4", "<i4"), strict=True))
                 least = np.frombuffer(answer, np.int64)
                 of, inner = np.nonzero(least[None, :] < doc_id[:, None])
                 if len(of):
                     yield pa.RecordBatch.from_arrays(list(_windows_to_rows(doc_id[of], tag[of], place[of] + inner)), ["doc_id", "tag", "starts"])
 
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tag"), F.col("text").cast("string"))
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), _tag(F.col("text")).alias("tag"), F.col("text").cast("string"))
     packed = rows.mapInArrow(pack, "kind string, bucket long, digest binary, blob binary")
     found = cut(packed.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(count, "kind string, doc_id long, tag long, digest binary, blob binary"))
     waiting = found.where("kind = 'places'").select("digest", "blob")
@@ -291,7 +300,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] =
     types = dict(docs.dtypes)
     columns = list(dict.fromkeys(["doc_id", *keep]))
     marks = repeated_windows(docs, width).groupBy(F.col("doc_id").alias("its_id"), F.col("tag").alias("its_tag")).agg(F.collect_list("starts").alias("its_starts"))
-    tagged = docs.select(*columns, F.col("text").cast("string").alias("its_text"), F.xxhash64(F.col("text").cast("string")).alias("row_tag"))
+    tagged = docs.select(*columns, F.col("text").cast("string").alias("its_text"), _tag(F.col("text")).alias("row_tag"))
     joined = tagged.join(marks, (F.col("doc_id") == F.col("its_id")) & (F.col("row_tag") == F.col("its_tag")), "left").select(*keep, "its_text", "its_starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
