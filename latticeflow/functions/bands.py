@@ -22,7 +22,7 @@ def _within(norm: Column, r: int, k: int) -> Column:
     """(norm - r² - k)² <= 4 r² k: a cheap test in longs first, then the exact one in 38 digits."""
     eps = norm - F.lit(r * r + k)
     wide = eps.cast("decimal(19,0)")
-    return (F.abs(eps) <= 2 * r * ceil_isqrt(k) + 1) & (wide * wide <= F.lit(4 * r * r * k).cast("decimal(38,0)"))
+    return (F.abs(eps) <= 2 * r * ceil_isqrt(k) + 1) & (wide * wide <= F.lit(str(4 * r * r * k)).cast("decimal(38,0)"))
 
 
 def inner_band(norm: Column, q: Annulus) -> Column:

@@ -17,8 +17,8 @@ def joined_flags(df: DataFrame, by: list[str], flag: str) -> DataFrame:
 
 
 def face_counts(ports: DataFrame) -> DataFrame:
-    """A3: (i, j, I, O, L, R, total) port counts per tile."""
-    on = lambda f: F.count_if(F.col("face") == f).alias(f)
+    """A3: (i, j, ports_i, ports_o, ports_l, ports_r, total) port counts per tile."""
+    on = lambda f: F.count_if(F.col("face") == f).alias(f"ports_{f.lower()}")
     return ports.groupBy("i", "j").agg(*[on(f) for f in "IOLR"], F.count(F.lit(1)).alias("total"))
 
 
@@ -112,4 +112,4 @@ def rate(amount: Column, seconds: Column) -> Column:
 
 def percent(part: Column, whole: Column) -> Column:
     """a text like 12.50%, or n/a."""
-    return F.coalesce(F.concat(F.format_number(F.try_divide(100.0 * part.cast("double"), whole.cast("double")), "0.00"), F.lit("%")), F.lit("n/a"))
+    return F.when(F.coalesce(whole == 0, F.lit(True)) | part.isNull(), "n/a").otherwise(F.format_string("%.2f%%", F.try_divide(100.0 * part.cast("double"), whole.cast("double"))))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from latticeflow.lineage import cut
 
 #: Classes in the order in which they take their samples.
-CLASSES = ("geo_i", "geo_o", "overflow_adjacent", "high_pressure", "boundary", "deterministic_random")
+CLASSES = ("geo_I", "geo_O", "axis", "diagonal", "high_pressure", "deterministic_random")
 
 
 def top(df: DataFrame, order: list[Column], k: int) -> DataFrame:
