@@ -13,8 +13,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Seven bases that decide primality of every number below 2**64.
-BASES = (2, 325, 9375, 28178, 450775, 9780504, 1795265022)
+#: Bases whose strong pseudoprime tests decide primality below a bound.
+DECIDED = (
+    (4_759_123_141, (2, 7, 61)),
+    (1_122_004_669_633, (2, 13, 23, 1662803)),
+    (2**63, (2, 325, 9375, 28178, 450775, 9780504, 1795265022)),
+)
 SMALL = 1000
 
 
@@ -29,12 +33,15 @@ def primes_to(n: int) -> np.ndarray:
     return np.flatnonzero(flags)
 
 
-def _mulmod(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """a * b mod n for unsigned 64-bit arrays below 2**62: the quotient from extended doubles, the rest exact."""
-    q = (a.astype(np.longdouble) * b.astype(np.longdouble) / n.astype(np.longdouble)).astype(np.uint64)
+def _mulmod(a: np.ndarray, b: np.ndarray, n: np.ndarray, wide: bool) -> np.ndarray:
+    """a * b mod n for unsigned 64-bit arrays: the quotient from doubles (``wide``: extended ones, for n up to
+    2**62; else n below 2**50), the rest exact in wrapping arithmetic and at most one n off."""
+    kind = np.longdouble if wide else np.float64
+    q = (a.astype(kind) * b.astype(kind) / n.astype(kind)).astype(np.uint64)
     r = (a * b - q * n).view(np.int64)
-    r = np.where(r < 0, r + n.view(np.int64), r)
-    return np.where(r >= n.view(np.int64), r - n.view(np.int64), r).view(np.uint64)
+    m = n.view(np.int64)
+    r = np.where(r < 0, r + m, r)
+    return np.where(r >= m, r - m, r).view(np.uint64)
 
 
 def is_prime(values: np.ndarray) -> np.ndarray:
@@ -49,32 +56,34 @@ def is_prime(values: np.ndarray) -> np.ndarray:
 
 
 def _strong(n: np.ndarray) -> np.ndarray:
-    """Strong pseudoprime rounds over odd numbers; three bases decide below 4.7e9, where products fit in a long."""
+    """Strong pseudoprime rounds over odd numbers, with as few bases as decide primality below a bound."""
     out = np.ones(len(n), bool)
-    small = n < 4_759_123_141
-    for part, bases in ((small, (2, 7, 61)), (~small, BASES)):
-        left = np.flatnonzero(part)
+    lo = 0
+    for hi, bases in DECIDED:
+        left = np.flatnonzero((n >= lo) & (n < hi))
         for base in bases:
             if len(left):
                 good = _round(n[left].view(np.uint64), base)
                 out[left[~good]] = False
                 left = left[good]
+        lo = hi
     return out
 
 
 def _round(m: np.ndarray, base: int) -> np.ndarray:
     one = np.uint64(1)
-    times = (lambda a, b: a * b % m) if int(m.max()) < 2**32 else (lambda a, b: _mulmod(a, b, m))
+    top = int(m.max())
+    times = (lambda a, b: a * b % m) if top < 2**32 else (lambda a, b: _mulmod(a, b, m, top >= 2**50))
     d, s = m - one, np.zeros(len(m), np.int64)
     while (even := (d & one) == 0).any():
         d = np.where(even, d >> one, d)
         s += even
-    x, power, e = np.ones(len(m), np.uint64), np.uint64(base) % m, d
-    trivial = power == 0
-    while e.any():
-        x = np.where((e & one) == 1, times(x, power), x)
-        power = times(power, power)
-        e = e >> one
+    b = np.uint64(base) % m
+    trivial = b == 0
+    x = np.ones(len(m), np.uint64)
+    for bit in range(int(d.max()).bit_length() - 1, -1, -1):
+        x = times(x, x)
+        x = np.where((d >> np.uint64(bit)) & one == 1, times(x, b), x)
     strong = (x == 1) | (x == m - one)
     for r in range(1, int(s.max())):
         x = times(x, x)
@@ -82,31 +91,35 @@ def _round(m: np.ndarray, base: int) -> np.ndarray:
     return strong | trivial
 
 
-def gaussian_mask(a: np.ndarray, b: np.ndarray, limit: int = 2000) -> np.ndarray:
+def gaussian_mask(a: np.ndarray, b: np.ndarray, limit: int = 600) -> np.ndarray:
     """Which points (0 <= a <= b) are Gaussian primes (F6, P4): many points at once, cheap tests first.
 
-    Off the axis the norm must be prime (or 2): coordinates with a common factor and norms divisible by a
-    split prime go first, each test on what the ones before left; what small primes can't decide is tested.
+    Off the axis the norm must be prime (or 2): norms divisible by a split prime go first, each test on what
+    the ones before left, then coordinates with a common factor; what small primes can't decide is tested.
     """
     out = np.zeros(len(a), bool)
     axis = np.flatnonzero(a == 0)
     out[axis] = (b[axis] % 4 == 3) & is_prime(b[axis])
-    left = np.flatnonzero((a > 0) & ((a + b) % 2 == 1))
-    left = left[np.gcd(a[left], b[left]) == 1]
+    left = np.flatnonzero((a > 0) & ((a + b) & 1 == 1))
     n = a[left] * a[left] + b[left] * b[left]
     top = int(n.max(initial=0))
+    exact = top < 2**52  # doubles hold the norms and the rests
+    f = n.astype(np.float64) if exact else n
     for p in primes_to(limit).tolist():
         if p * p > top:
             break
         if p % 4 == 1:
-            good = (n % p != 0) | (n == p)
-            left, n = left[good], n[good]
-    unsure = np.flatnonzero(n > limit * limit)
-    if len(unsure):
-        good = np.ones(len(n), bool)
-        good[unsure] = _strong(n[unsure])
-        left = left[good]
-    out[left] = True
+            if exact:
+                r = f - np.floor(f * (1.0 / p)) * p
+                good = ((r != 0) & (r != p) & (r != -p)) | (f == p)
+            else:
+                good = (f % p != 0) | (f == p)
+            left, f = left[good], f[good]
+    n = f.astype(np.int64)
+    good = np.gcd(a[left], b[left]) == 1
+    unsure = np.flatnonzero(good & (n > limit * limit))
+    good[unsure] = _strong(n[unsure])
+    out[left[good]] = True
     out[(a == 1) & (b == 1)] = True
     return out
 

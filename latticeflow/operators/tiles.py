@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticeflow.functions.primes import gaussian_mask
-from latticeflow.operators.components import roots
 from latticeflow.sources.lattice import expanded
 from latticeflow.params import EMPTY_BIT, FACES, MAX_FACE_PORTS, MAX_GROUPS, MAX_PORTS, OVERFLOW_BIT, Annulus, ceil_isqrt, palette
 
@@ -36,27 +35,39 @@ def halo_primes(a_lo: int, b_lo: int, q: Annulus) -> tuple[np.ndarray, np.ndarra
 
 
 def joined(a: np.ndarray, b: np.ndarray, offsets: list[tuple[int, int]]) -> np.ndarray:
-    """Component of each point as the smallest index in it; points sorted by (a, b)."""
-    if not len(a):
-        return np.zeros(0, np.int64)
-    width = int(b.max() - b.min()) + 1
-    pad = max([abs(y) for _, y in offsets], default=0)
-    row = width + 2 * pad
+    """Component of each point as the smallest index in it; points sorted by (a, b).
+
+    A point has one neighbour per offset at most, so an offset's pairs can be lowered to their smaller label
+    at once; sweeps over the offsets alternate with pointer jumps until nothing changes.
+    """
+    n = len(a)
+    label = np.arange(n)
+    if n < 2:
+        return label
+    pad = max(abs(y) for _, y in offsets)
+    row = int(b.max() - b.min()) + 1 + 2 * pad
     key = (a - a.min()) * row + (b - b.min()) + pad
-    x, y = [], []
+    place = np.full(int(key[-1]) + 1 + (pad + 1) * (row + 1), -1, np.int64)
+    place[key] = label
+    pairs = []
     for da, db in offsets:
-        other = key + da * row + db
-        at = np.searchsorted(key, other)
-        at[at == len(key)] = 0
-        hit = np.flatnonzero(key[at] == other)
-        x.append(hit)
-        y.append(at[hit])
-    out = np.arange(len(a))
-    x, y = np.concatenate(x), np.concatenate(y)
-    if len(x):
-        nodes, least = roots(x, y)
-        out[nodes] = least
-    return out
+        y = place[key + da * row + db]
+        x = np.flatnonzero(y >= 0)
+        if len(x):
+            pairs.append((x, y[x]))
+    while True:
+        before = label.copy()
+        for x, y in pairs:
+            low = np.minimum(label[x], label[y])
+            label[x] = low
+            label[y] = low
+        while True:
+            jumped = label[label]
+            if (jumped == label).all():
+                break
+            label = jumped
+        if (label == before).all():
+            return label
 
 
 def summarise(i: int, j: int, q: Annulus, caps: bool) -> dict:
@@ -67,7 +78,7 @@ def summarise(i: int, j: int, q: Annulus, caps: bool) -> dict:
     row = {"i": i, "j": j, "n": [0] * 4, "face_groups": [], "port_h": [], "port_perp": [], "inner": [], "outer": [], "tile_flags": 0, "primes": len(a), "groups": 0}
     if not len(a):
         return row | {"tile_flags": EMPTY_BIT}
-    offsets = palette(q.k, True)
+    offsets = palette(q.k, True, odd_sums=q.r_inner > 1)
     comp = joined(a, b, offsets)
     norm = a * a + b * b
     inner = norm <= q.inner_sq + q.k + isqrt(4 * q.inner_sq * q.k)

@@ -15,6 +15,10 @@ from latticeflow.params import OVERFLOW_BIT, Annulus
 from latticeflow.sources.tiles import tiles, towers
 
 
+#: Tiles that a task summarises, about a second of work.
+TILES_PER_TASK = 48
+
+
 @dataclass(frozen=True)
 class TiledGraph:
     query: Annulus
@@ -40,7 +44,7 @@ def solve(spark: SparkSession, q: Annulus, caps: bool = False, region: DataFrame
     grid = cut(tiles(towers(spark, q.strict() if region is None else q), q))
     if region is not None:
         grid = grid.join(region.select("i", "j").distinct(), ["i", "j"], "left_semi")
-    rows = cut(T.summaries(grid, q, caps, parts))
+    rows = cut(T.summaries(grid, q, caps, parts or grid.count() // TILES_PER_TASK + 1))
     if bad := stitch.mismatches(rows).take(1):
         raise ValueError(f"port counts differ across a shared face: {bad[0]}")
     gid = stitch.group_id
