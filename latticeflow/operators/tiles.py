@@ -37,8 +37,8 @@ def halo_primes(a_lo: int, b_lo: int, q: Annulus) -> tuple[np.ndarray, np.ndarra
 def joined(a: np.ndarray, b: np.ndarray, offsets: list[tuple[int, int]]) -> np.ndarray:
     """Component of each point as the smallest index in it; points sorted by (a, b).
 
-    A point has one neighbour per offset at most, so an offset's pairs can be lowered to their smaller label
-    at once; sweeps over the offsets alternate with pointer jumps until nothing changes.
+    A point has one neighbour ahead and one behind per offset at most, so an offset's pairs can be lowered to
+    their smaller label at once, first ends and then second ends; sweeps over the offsets alternate with pointer jumps until nothing changes.
     """
     n = len(a)
     label = np.arange(n)
@@ -59,8 +59,8 @@ def joined(a: np.ndarray, b: np.ndarray, offsets: list[tuple[int, int]]) -> np.n
         before = label.copy()
         for x, y in pairs:
             low = np.minimum(label[x], label[y])
-            label[x] = low
-            label[y] = low
+            label[x] = np.minimum(label[x], low)
+            label[y] = np.minimum(label[y], low)
         while True:
             jumped = label[label]
             if (jumped == label).all():
