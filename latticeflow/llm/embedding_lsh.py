@@ -77,7 +77,7 @@ def signatures(x: np.ndarray, k: int, tables: int, seed: int = 11) -> np.ndarray
             both = np.stack([first, a.argmax(1)], 1)
             near[:, j] = 2 * both + (np.take_along_axis(y, both, 1) > 0)
         for p in range(1 + k):
-            key = np.full(n, t * 1_000_003 + d, np.uint64)
+            key = np.full(n, xxhash.xxh64_intdigest(f"{t}/{d}"), np.uint64)
             for j in range(k):
                 key = (key ^ near[:, j, int(p == j + 1)]) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(29)
@@ -142,8 +142,9 @@ def _compare(k: int, threshold: float):
         label = np.array([xxhash.xxh64_intdigest(x) for x in rows.column("label").to_pylist()], np.uint64)
         raw = rows.column("vector").to_pylist()
         size = len(raw[0])
-        if any(len(v) != size for v in raw):  # keys of different lengths can only meet by chance
-            return none, none, none
+        if any(len(v) != size for v in raw):  # keys of different lengths meet by chance
+            parts = [bucket(rows.filter(pa.array([len(v) == x for v in raw]))) for x in {len(v) for v in raw}]
+            return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
         x = np.frombuffer(b"".join(raw)).reshape(n, -1)
         x = x / np.abs(x).max(1, keepdims=True)
         x /= np.linalg.norm(x, axis=1, keepdims=True)

@@ -164,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 
     rows = map_arrow(labelled_sample(docs, labels, label, sample), ["doc_id", "y", "text"], "doc_id long, y int, x binary", run).collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.x)))
-    return fit(np.array([np.frombuffer(r.x) for r in rows]).reshape(len(rows), -1), np.array([r.y for r in rows], float))
+    return fit(np.array([np.frombuffer(r.x) for r in rows]).reshape(len(rows), len(STATISTICS)), np.array([r.y for r in rows], float))
 
 
 def judge(docs: DataFrame, forest: Forest, keep: tuple[str, ...] = ("doc_id",), text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
