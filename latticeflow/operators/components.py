@@ -55,13 +55,21 @@ def _join_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 50_000]), pa.array(b[at : at + 50_000])], ["a", "b"])
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+#: A graph of so many edges at most is labelled by one task, which saves the rounds' jobs; its size is counted first.
+SMALL = 200_000
+
+
+def components(edges: DataFrame, most_rounds: int = 60, small: int = SMALL) -> DataFrame:
     """(node, component) of every node of ``edges`` (a long, b long) that isn't its component's smallest node.
 
     Nodes that are smallest, and isolated ones, are left out: their component is themselves.  Null ends and
     self-links are ignored; repeated and reversed edges do no harm.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    if small:
+        e = cut(e)
+        if e.count() <= small:
+            return cut(e.repartition(1).mapInArrow(_join_locally, "a long, b long").toDF("node", "component"))
     parts = lambda df: df.repartition(F.col("a")).mapInArrow(_join_locally, "a long, b long")
     for _ in range(most_rounds):
         e = cut(parts(e))

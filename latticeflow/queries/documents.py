@@ -1 +1,189 @@
-QUERIES = {}
+"""Queries of the document operators: JSON made from the tables goes in, rows come out."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from latticeflow.functions.records import old_unpacked, packed, unpacked
+from latticeflow.lineage import cut
+from latticeflow.operators import contract, legacy, normalise
+from latticeflow.operators import tiles as T
+from latticeflow.operators.windows import reversals
+from latticeflow.params import Annulus
+from latticeflow.queries import Query, table
+from latticeflow.sources import documents, regions, sinks
+from latticeflow.sources import tiles as G
+
+_Q = Annulus(8, 40, 120, 16)
+
+
+def _profiles(spark, sf):
+    """Profiles in three historical shapes, from orders."""
+    o = table(spark, sf, "orders").where("o_orderkey < 3000")
+    k, r, w = F.lit(36).cast("long"), F.col("o_custkey"), F.col("o_orderkey") % 97
+    verdict = F.when(F.col("o_orderstatus") == "F", "SPANNING").when(F.col("o_orderstatus") == "O", "MOAT")
+    new = F.struct(F.struct(k.alias("k_sq"), r.alias("r_inner"), (r + w).alias("r_outer")).alias("radii"), verdict.alias("verdict"), F.struct(w.alias("active"), w.alias("produced")).alias("tiles"), F.struct(F.struct((w % 3).alias("y"), F.lit(0).cast("long").alias("z")).alias("x")).alias("overflow_counters"), F.struct(F.lit(True).alias("checked"), F.lit(True).alias("clean"), F.lit(False).alias("override_used"), (w % 2).alias("bad_norm_count")).alias("bz"), F.struct((w / 4).alias("total")).alias("timings_seconds"))
+    old = F.struct(k.alias("k_sq"), r.cast("string").alias("r_inner"), w.alias("width"), verdict.alias("verdict"), w.alias("active_tiles"), F.lit("none").alias("stats_level"), F.lit("abc").alias("git_commit"))
+    profile = F.when(F.col("o_orderkey") % 3 == 0, F.to_json(old)).when(F.col("o_orderkey") % 3 == 1, F.to_json(new)).otherwise("{}")
+    audit = F.when(F.col("o_orderkey") % 5 == 0, F.to_json(F.struct(F.struct(F.when(F.col("o_orderpriority") == "5-LOW", "REJECT").otherwise("SPAN_PROOF_PASS").alias("status")).alias("summary"))))
+    return o.select(F.concat(F.lit("/runs/p"), F.col("o_orderkey").cast("string"), F.lit(".json")).alias("path"), profile.alias("profile"), audit.alias("audit"))
+
+
+_SHAPES = """WITH o AS (SELECT *, 36::BIGINT AS k, o_custkey AS r, o_orderkey % 97 AS w, CASE o_orderstatus WHEN 'F' THEN 'SPANNING' WHEN 'O' THEN 'MOAT' END AS v, o_orderkey % 3 AS shape FROM orders WHERE o_orderkey < 3000),
+n AS (SELECT o_orderkey, CASE WHEN shape < 2 THEN k END AS k_sq, CASE WHEN shape < 2 THEN r END AS r_inner, CASE WHEN shape = 1 THEN r + w END AS r_outer, CASE WHEN shape < 2 THEN w END AS width, CASE WHEN shape < 2 THEN v END AS verdict,
+  CASE WHEN shape < 2 THEN w END AS active_tiles, CASE WHEN shape = 1 THEN w END AS produced_tiles, CASE WHEN shape = 1 THEN w % 3 END AS overflow_total, CASE WHEN shape = 1 THEN w % 2 END AS bad, CASE WHEN shape = 1 THEN w / 4.0::DOUBLE END AS total_seconds,
+  CASE WHEN shape = 0 THEN 'none' END AS telemetry_level, CASE WHEN shape = 0 THEN 'abc' END AS "commit", CASE WHEN o_orderkey % 5 = 0 THEN CASE WHEN o_orderpriority = '5-LOW' THEN 'REJECT' ELSE 'SPAN_PROOF_PASS' END END AS post FROM o)
+"""
+
+
+def f18_f19_sweep_rows(spark, sf):
+    rows = normalise.sweep_rows(_profiles(spark, sf))
+    keep = ("claim_id", "k_sq", "r_inner", "r_outer", "width", "verdict", "verdict_mode", "detector_status", "proof_status", "postflight_status", "run_contract_status", "active_tiles", "produced_tiles", "overflow_total", "bz_bad_norm_count", "total_seconds", "telemetry_level", "commit")
+    return rows.select(*keep)
+
+
+def k7_matrix_rows(spark, sf):
+    rows = normalise.matrix_rows(normalise.sweep_rows(_profiles(spark, sf)))
+    return rows.select("claim_id", "hardening", "verdict", "postflight_status", "bz_status", "overflow_status", "stats_v2_status")
+
+
+def w4_a12_monotonicity(spark, sf):
+    rows = normalise.matrix_rows(normalise.sweep_rows(_profiles(spark, sf)))
+    return normalise.monotonicity(rows)
+
+
+def r_rules(spark, sf):
+    """Bundles from orders: some break one rule, some two."""
+    o = table(spark, sf, "orders").where("o_orderkey < 2000")
+    n = F.col("o_orderkey")
+    row = F.struct(F.lit("c").alias("claim_id"), F.lit(36).alias("k_sq"), F.lit(100).alias("r_inner"), F.lit(500).alias("r_outer"), F.when(n % 7 == 0, 399).otherwise(400).alias("width"), F.lit("full-octant").alias("region"), F.lit("MOAT").alias("verdict"), F.lit("ANY-SHELL-MOAT").alias("verdict_mode"), F.lit("run").alias("row_class"), (n % 4 == 0).alias("claim_proof_required"))
+    bz = F.struct(F.lit(True).alias("checked"), (n % 11 != 0).alias("clean"), F.lit(False).alias("override_used"), F.lit(0).alias("bad_norm_count"))
+    profile = F.struct(F.lit("abc").alias("commit"), F.lit("b1").alias("build_id"), F.struct(F.lit("b1").alias("id")).alias("build"), F.lit("sm").alias("cuda_arch"), F.struct(F.lit("g").alias("grid"), F.lit("c").alias("constants"), F.lit("m").alias("mr_witness")).alias("hashes"), F.struct(F.when(n % 13 == 0, 1).otherwise(0).alias("emitted_overflow_bit_count")).alias("host_tileop_counters"), F.struct(F.lit(4).alias("active"), F.lit(4).alias("produced"), F.lit(4).alias("ingested")).alias("tiles"), F.lit(False).alias("early_exit_enabled"), F.struct(F.lit(1).alias("geo_i_tiles")).alias("stats_v2"))
+    doc = F.to_json(F.struct(F.lit(1).alias("schema_version"), row.alias("row"), bz.alias("bz"), profile.alias("profile"), F.struct(F.struct(F.when(n % 17 == 0, 2).otherwise(0).alias("k1")).alias("kernel")).alias("overflow_counters")))
+    bundles = o.select(n.alias("bundle_id"), doc.alias("bundle"))
+    return contract.checked(bundles).select("bundle_id", "status", F.array_join("errors", "; ").alias("errors"))
+
+
+_RULES = """SELECT o_orderkey AS bundle_id, CASE WHEN e <> '' THEN 'REJECT' WHEN o_orderkey % 4 = 0 THEN 'CLAIM_PROOF_MISSING' ELSE 'RUN_CONTRACT_PASS' END AS status, e AS errors FROM (
+  SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 7 = 0 THEN 'R1 width must equal r_outer - r_inner' END, CASE WHEN o_orderkey % 11 = 0 THEN 'R2 bz.clean must be true' END,
+    CASE WHEN o_orderkey % 17 = 0 THEN 'R3 an overflow counter is not zero' END, CASE WHEN o_orderkey % 13 = 0 THEN 'R3 the host overflow counter must be zero' END], lambda x: x IS NOT NULL), '; ') AS e FROM orders WHERE o_orderkey < 2000)"""
+
+
+def s4_regions(spark, sf):
+    """Region documents from orders; which of them are refused."""
+    n = F.col("o_orderkey")
+    col = lambda i, lo, hi: F.struct(i.cast("long").alias("i"), lo.cast("long").alias("j_lo"), hi.cast("long").alias("j_hi"))
+    cols = F.array(col(n, n % 5, F.lit(3)), col(n + F.when(n % 4 == 0, 2).otherwise(1), F.lit(0), F.lit(3)))
+    rows = table(spark, sf, "orders").where("o_orderkey < 500").select(n, F.lit(None).cast("boolean").alias("full_octant"), n.alias("i_lo"), (n + 1).alias("i_hi"), cols.alias("columns"), F.lit(None).cast("array<struct<i:long,j:long>>").alias("tiles"))
+    return regions.validated(rows).select("o_orderkey", F.array_join("errors", "; ").alias("errors"))
+
+
+def s12_log_fields(spark, sf):
+    """Fields of logs: one text line per event, the user as the log."""
+    lines = table(spark, sf, "events").where("event_id < 2000").select(F.concat(F.lit("log"), F.col("user_id").cast("string")).alias("path"), F.concat(F.lit("kind="), "event_type", F.lit(" props="), "props").alias("value"))
+    return documents.log_fields(lines, {"kind": r"kind=(\w+)", "k": r'"k": (\d+)'})
+
+
+def k6_sweep_lines(spark, sf):
+    rows = table(spark, sf, "customer").select("c_nationkey", "c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("segment"))
+    return sinks.sweep_lines(rows)
+
+
+def k7_report_lines(spark, sf):
+    rows = table(spark, sf, "supplier").select("s_suppkey", F.when(F.col("s_nationkey") != 3, F.col("s_nationkey")).alias("nation"), "s_name")
+    return sinks.markdown(rows, ["s_suppkey", "nation", "s_name"])
+
+
+def f11_records(spark, sf):
+    """Tile records packed into bytes and read back; rows that differ."""
+    rows = cut(T.summaries(G.tiles(G.towers(spark, _Q), _Q), _Q, caps=True))
+    back = rows.withColumn("t", unpacked(packed(F.col("n"), F.col("face_groups"), F.col("inner"), F.col("outer"), F.col("tile_flags"))))
+    same = (F.col("t.n") == F.col("n")) & (F.col("t.face_groups") == F.col("face_groups")) & (F.col("t.inner") == F.col("inner")) & (F.col("t.outer") == F.col("outer")) & (F.col("t.tile_flags") == F.col("tile_flags"))
+    return back.where(~same).select("i", "j")
+
+
+def f23_old_records(spark, sf):
+    """Older records made from numbers: their status and group counts."""
+    n = F.col("id")
+    byte = lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")
+    head = F.concat(byte(F.when(n % 10 == 9, 255).otherwise(3 + n % 4)), byte(5 + n % 4), byte(F.when(n % 10 == 8, 2).otherwise(8 + n % 4)))
+    body = F.rpad(F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(124).cast("long")), lambda k: byte(F.pmod(k * 7 + n, F.lit(256)))), ""), 250, "0")
+    t = spark.range(0, 300).select(n, old_unpacked(F.unhex(F.concat(head, body))).alias("t"))
+    return t.select(n.alias("n"), F.col("t.status").alias("status"), F.size("t.face_o").alias("o"), F.size("t.face_i").alias("i"), F.size("t.face_l").alias("l"), F.size("t.face_r").alias("r"), F.coalesce(F.try_element_at("t.height_l", F.lit(1)), F.lit(-1)).alias("first_height"))
+
+
+_OLD = """SELECT n, CASE WHEN n % 10 = 9 THEN 'overflow' WHEN n % 10 = 8 THEN 'invalid' ELSE 'ok' END AS status, CASE WHEN n % 10 < 8 THEN n % 4 ELSE 0 END::INTEGER AS o, CASE WHEN n % 10 < 8 THEN 2 ELSE 0 END::INTEGER AS i,
+  CASE WHEN n % 10 < 8 THEN 3 ELSE 0 END::INTEGER AS l, CASE WHEN n % 10 < 8 THEN (128 - 8 - n % 4 - 3) // 2 ELSE 0 END::INTEGER AS r,
+  CASE WHEN n % 10 < 8 THEN ((((5 + n % 4 - 3) * 7 + n) % 256) >> 7) * 256 + ((8 + n % 4 + (128 - 8 - n % 4 - 3) // 2 - 3) * 7 + n) % 256 ELSE -1 END::INTEGER AS x FROM range(0, 300) t(n)"""
+
+
+def p15_pruned(spark, sf):
+    """Dead ends of a port list made from line items."""
+    li = table(spark, sf, "lineitem").where("l_orderkey < 3000").select(F.lit(0).alias("i"), F.col("l_orderkey").alias("j"), F.element_at(F.array(*[F.lit(x) for x in "IOLR"]), (F.col("l_linenumber") % 4 + 1).cast("int")).alias("face"), F.col("l_linenumber").alias("ordinal"), (F.col("l_suppkey") % 3 + 1).alias("label"))
+    return legacy.pruned(li.distinct()).select("j", "face", "ordinal", F.col("label").cast("long").alias("label"))
+
+
+def k5_certificate_points(spark, sf):
+    """A certificate document's points, read back from JSON."""
+    path = table(spark, sf, "customer").where("c_custkey < 50").select(F.col("c_custkey").alias("pos"), (F.col("c_custkey") * 2).alias("a"), (F.col("c_custkey") * 3).alias("b"))
+    doc = documents.certificates(sinks.certificate(path, 36, 100, 500))
+    return doc.select(F.size("unknown").alias("unknown"), F.posexplode("path").alias("pos", "p")).select("unknown", F.col("pos").cast("long").alias("pos"), "p.a", "p.b")
+
+
+def k11_golden(spark, sf):
+    return sinks.golden(T.summaries(G.tiles(G.towers(spark, _Q), _Q), _Q), batch=2).select("batch", "rows")
+
+
+def w4_status_reversals(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_id", "event_type")
+    return reversals(e, ["user_id"], "event_id", "event_type", "error", "purchase").select("user_id", "event_id", "narrower")
+
+
+def _golden_sql() -> str:
+    from latticeflow.queries.lattice import _towers_sql
+
+    return f'WITH {_towers_sql(_Q)} SELECT i // 2 AS batch, count(*) AS "rows" FROM tiles GROUP BY 1'
+
+
+QUERIES: dict[str, Query] = {
+    "f18_f19_sweep_rows": Query(
+        f18_f19_sweep_rows,
+        _SHAPES + """SELECT 'p' || o_orderkey AS claim_id, k_sq, r_inner, r_outer, width, verdict, CASE verdict WHEN 'SPANNING' THEN 'ANY-SPAN' WHEN 'MOAT' THEN 'ANY-SHELL-MOAT' END AS verdict_mode,
+  CASE verdict WHEN 'SPANNING' THEN 'ANY_SPAN_DETECTED' WHEN 'MOAT' THEN 'ANY_SHELL_MOAT_DETECTED' ELSE 'UNKNOWN_DETECTOR_STATUS' END AS detector_status, CASE WHEN post = 'SPAN_PROOF_PASS' THEN post ELSE 'CLAIM_PROOF_MISSING' END AS proof_status, post AS postflight_status,
+  CASE post WHEN 'REJECT' THEN 'REJECT' WHEN 'SPAN_PROOF_PASS' THEN 'RUN_CONTRACT_PASS' END AS run_contract_status, active_tiles, produced_tiles, overflow_total, bad AS bz_bad_norm_count, total_seconds, telemetry_level, "commit" FROM n""",
+    ),
+    "k7_matrix_rows": Query(
+        k7_matrix_rows,
+        _SHAPES + """SELECT 'p' || o_orderkey AS claim_id, coalesce(k_sq = 36, false) AS hardening, coalesce(verdict, 'MISSING') AS verdict, coalesce(post, 'MISSING') AS postflight_status, CASE bad WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' ELSE 'MISSING' END AS bz_status,
+  CASE WHEN overflow_total IS NULL THEN 'MISSING' WHEN overflow_total = 0 THEN 'PASS' ELSE 'FAIL' END AS overflow_status, CASE WHEN telemetry_level IS NOT NULL THEN 'PRESENT' ELSE 'MISSING' END AS stats_v2_status FROM n""",
+    ),
+    "w4_a12_monotonicity": Query(
+        w4_a12_monotonicity,
+        _SHAPES + """, m AS (SELECT k_sq, r_inner, min(width) AS w0 FROM n WHERE verdict = 'MOAT' AND k_sq = 36 GROUP BY 1, 2)
+SELECT n.k_sq, n.r_inner, w0 AS narrower_width, width AS wider_width FROM n JOIN m ON m.k_sq = n.k_sq AND m.r_inner = n.r_inner WHERE verdict = 'SPANNING' AND width > w0""",
+    ),
+    "r_rules": Query(r_rules, _RULES),
+    "s4_regions": Query(
+        s4_regions,
+        """SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 5 = 4 THEN 'a column is inverted' END, CASE WHEN o_orderkey % 4 = 0 THEN 'columns leave a gap or pass the box' END], lambda x: x IS NOT NULL), '; ') AS errors FROM orders WHERE o_orderkey < 500""",
+    ),
+    "s12_log_fields": Query(
+        s12_log_fields,
+        """SELECT path, field, min(v) AS value, count(*) AS "count" FROM (SELECT 'log' || user_id AS path, unnest(['kind', 'k']) AS field, unnest([event_type, regexp_extract(props, '"k": (\\d+)', 1)]) AS v FROM events WHERE event_id < 2000) WHERE v <> '' GROUP BY 1, 2""",
+    ),
+    "k6_sweep_lines": Query(
+        k6_sweep_lines,
+        """SELECT '{"c_custkey":' || c_custkey || ',"c_nationkey":' || c_nationkey || ',"segment":' || CASE WHEN c_custkey % 2 = 0 THEN '"' || c_mktsegment || '"' ELSE 'null' END || '}' AS value FROM customer""",
+    ),
+    "k7_report_lines": Query(k7_report_lines, "SELECT '| ' || s_suppkey || ' | ' || CASE WHEN s_nationkey <> 3 THEN s_nationkey::VARCHAR ELSE 'None' END || ' | ' || s_name || ' |' AS value FROM supplier"),
+    "f11_records": Query(f11_records, "SELECT 0::BIGINT AS i, 0::BIGINT AS j WHERE false"),
+    "f23_old_records": Query(f23_old_records, _OLD.replace(" AS x ", " AS first_height ")),
+    "p15_pruned": Query(
+        p15_pruned,
+        """WITH d AS (SELECT DISTINCT l_orderkey AS j, substr('IOLR', l_linenumber % 4 + 1, 1) AS face, l_linenumber AS ordinal, l_suppkey % 3 + 1 AS label FROM lineitem WHERE l_orderkey < 3000)
+SELECT j, face, ordinal, dense_rank() OVER (PARTITION BY j ORDER BY label) AS label FROM (SELECT *, count(*) OVER (PARTITION BY j, label) AS n FROM d) WHERE n > 1""",
+    ),
+    "k5_certificate_points": Query(k5_certificate_points, "SELECT 0 AS unknown, c_custkey AS pos, c_custkey * 2 AS a, c_custkey * 3 AS b FROM customer WHERE c_custkey < 50"),
+    "k11_golden": Query(k11_golden, _golden_sql()),
+    "w4_status_reversals": Query(w4_status_reversals, "SELECT e.user_id, event_id, narrower FROM events e JOIN (SELECT user_id, min(event_id) AS narrower FROM events WHERE event_type = 'error' GROUP BY 1) m ON m.user_id = e.user_id WHERE event_type = 'purchase' AND event_id > narrower"),
+}

@@ -1 +1,60 @@
-QUERIES = {}
+"""Queries of the streaming plan, compared with the batch answers."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from latticeflow.lineage import cut, shared_folder
+from latticeflow.operators import tiles as T
+from latticeflow.params import Annulus
+from latticeflow.queries import Query
+from latticeflow.queries.lattice import _verdict_sql
+from latticeflow.sources.tiles import tiles, towers
+from latticeflow.streaming import columns as C
+
+_GRID = Annulus(10, 1000, 2000)
+
+
+def st5_streamed_verdicts(spark, sf_dir):
+    """Batches of columns, early exit; the same verdicts as the flat plan."""
+    rows = [(k, C.solve(spark, Annulus(k, 40, 120, 16), target_tiles=8).verdict()) for k in (2, 8, 10)]
+    return spark.createDataFrame(rows, "k long, verdict string")
+
+
+def st1_file_stream(spark, sf_dir):
+    """A Structured Streaming query over files of columns."""
+    q = Annulus(8, 40, 120, 16)
+    cols = cut(towers(spark, q))
+    rows = cut(T.summaries(tiles(cols, q), q))
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    for i in sorted(r.i for r in cols.select("i").collect()):
+        rows.where(F.col("i") == i).coalesce(1).write.mode("append").parquet(folder)
+    stream = C.run_stream(spark, folder, cols, name=uuid.uuid4().hex)
+    p = stream.progress
+    return spark.createDataFrame([(stream.verdict(), p.tiles, p.batches)], "verdict string, tiles long, batches long")
+
+
+def st7_batches(spark, sf_dir):
+    return C.batches_of_columns(towers(spark, _GRID), 8)
+
+
+def _tower_sql():
+    from latticeflow.queries.lattice import _towers_sql
+
+    return f"WITH {_towers_sql(_GRID)} SELECT i, (tower_offset // 8)::BIGINT AS batch, j_high - j_low + 1 AS height FROM towers"
+
+
+def _file_sql():
+    from latticeflow.queries.lattice import _towers_sql
+
+    q = Annulus(8, 40, 120, 16)
+    return f"WITH {_towers_sql(q)} SELECT 'MOAT' AS verdict, (SELECT count(*) FROM tiles) AS tiles, (SELECT count(*) FROM towers) AS batches"
+
+
+QUERIES: dict[str, Query] = {
+    "st5_streamed_verdicts": Query(st5_streamed_verdicts, _verdict_sql()),
+    "st1_file_stream": Query(st1_file_stream, _file_sql()),
+    "st7_batches": Query(st7_batches, _tower_sql()),
+}
