@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latticeflow.lineage import cut, shared_folder  # noqa: F401
+
 #: Characters that end a word: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_BREAKS = "\x20\x09-\x0D"
 
@@ -23,21 +24,6 @@ def session(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share, from ``spark.checkpoint.dir``; only where that is unset (tests, a
-    single machine) a temporary one is made."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(session(df))
-    return df.checkpoint(eager=True)
-
-
 def map_arrow(
     df: DataFrame,
     columns: list[str],

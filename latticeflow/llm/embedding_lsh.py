@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticeflow.llm.common import cut
-from latticeflow.llm.components import components, roots
+from latticeflow.operators.components import components, roots
 
 THRESHOLD = 0.98
 MISS = 1e-5
@@ -234,7 +234,7 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, large: int =
     k = hashes_for(classes.count())
     found = cut(links(classes.where("class_id is not null"), k, tables_for(k), threshold, large))
     counted = found.where("n > 0").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("others"))
-    rooted = components(found.where("n = 0").select("a", "b"))
+    rooted = components(found.where("n = 0").select("a", "b"), small=0)
     told = cut(
         classes.join(counted, "class_id", "left")
         .join(rooted.withColumnRenamed("node", "class_id"), "class_id", "left")

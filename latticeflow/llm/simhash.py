@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticeflow.llm.common import cut, map_arrow
-from latticeflow.llm.components import components, roots
+from latticeflow.operators.components import components, roots
 
 SEED = 42
 SHINGLE = 3
@@ -170,7 +170,7 @@ def group(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of every document: its fingerprint, and the smallest id that links reach."""
     marked = cut(fingerprints(docs.select("doc_id", text), text=text))
     classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    joined = components(fingerprint_links(classes.select("fp")))
+    joined = components(fingerprint_links(classes.select("fp")), small=0)
     # the component of a class: the smallest id of any class in it
     rooted = cut(classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root")))
     least = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
