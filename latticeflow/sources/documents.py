@@ -18,8 +18,8 @@ def samples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, document): whole JSON documents as text, for documents of many shapes."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("document"))
+    """(file, document): whole JSON documents as text, for documents of many shapes."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("document"))
 
 
 def certificates(docs: DataFrame, column: str = "document") -> DataFrame:
@@ -29,11 +29,11 @@ def certificates(docs: DataFrame, column: str = "document") -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_number, row, error) of JSON-lines files; blank lines are skipped, bad ones have an error."""
+    """(file, line_number, row, error) of JSON-lines files; blank lines are skipped, bad ones have an error."""
     files = texts(spark, path)
-    lines = files.select("path", F.posexplode(F.split("document", "\n")).alias("at", "row")).where("trim(row) <> ''")
+    lines = files.select("file", F.posexplode(F.split("document", "\n")).alias("at", "row")).where("trim(row) <> ''")
     kind = F.when(F.try_parse_json("row").isNull(), "invalid JSONL").when(~F.trim("row").startswith("{"), "expected object row")
-    return lines.select("path", (F.col("at") + 1).alias("line_number"), "row", F.when(kind.isNotNull(), F.concat("path", F.lit(":"), (F.col("at") + 1).cast("string"), F.lit(": "), kind)).alias("error"))
+    return lines.select("file", (F.col("at") + 1).alias("line_number"), "row", F.when(kind.isNotNull(), F.concat("file", F.lit(":"), (F.col("at") + 1).cast("string"), F.lit(": "), kind)).alias("error"))
 
 
 def run_index(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:
