@@ -48,3 +48,32 @@ def band_edges(q: Annulus) -> dict[str, int]:
         return isqrt(4 * r * r * q.k)
 
     return {"inner_lo": q.inner_sq, "inner_hi": q.inner_sq + q.k + half_width(q.r_inner), "outer_lo": q.outer_sq + q.k - half_width(q.r_outer), "outer_hi": q.outer_sq}
+
+
+def bad_zone_ranges(k: int, r: int) -> dict[str, tuple[int, int]]:
+    """Whole norms that only rounding of the radius puts in or out of a band: first and last, per side.
+
+    Inner side: above (sqrt(r²-1) + sqrt(k))², up to (r + sqrt(k))²; outer side: from (r - sqrt(k))², below
+    (sqrt(r²+1) - sqrt(k))².  Squaring twice makes both exact for every ``k``; a range may be empty.
+    """
+    from math import isqrt
+
+    def root(x: int) -> int:
+        return isqrt(4 * k * x)
+
+    n = r * r
+    return {"inner": (n - 1 + k + root(n - 1) + 1, n + k + root(n)), "outer": (n + k - root(n), n + k - root(n + 1))}
+
+
+def bad_zone(spark, queries: list[Annulus]):
+    """(k, r_inner, r_outer, inner_candidates, outer_candidates, bad_norms, clean): candidates that are
+    Gaussian norms are bad."""
+    from latticeflow.functions.primes import gaussian_norm
+
+    rows = [(q.k, q.r_inner, q.r_outer, side, *bad_zone_ranges(q.k, r)[side]) for q in queries for side, r in (("inner", q.r_inner), ("outer", q.r_outer))]
+    ranges = spark.createDataFrame(rows, "k long, r_inner long, r_outer long, side string, lo long, hi long")
+    n = F.explode_outer(F.when(F.col("lo") <= F.col("hi"), F.sequence("lo", "hi"))).alias("n")
+    marked = ranges.select("k", "r_inner", "r_outer", "side", n).withColumn("bad", F.coalesce(gaussian_norm(F.coalesce("n", F.lit(1).cast("long"))), F.lit(False)))
+    count = lambda s: F.count_if((F.col("side") == s) & F.col("n").isNotNull())
+    told = marked.groupBy("k", "r_inner", "r_outer").agg(count("inner").alias("inner_candidates"), count("outer").alias("outer_candidates"), F.count_if(F.col("bad")).alias("bad_norms"))
+    return told.withColumn("clean", F.col("bad_norms") == 0)

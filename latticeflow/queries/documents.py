@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from latticeflow.functions.records import old_unpacked, packed, unpacked
-from latticeflow.lineage import cut
-from latticeflow.operators import contract, legacy, normalise
+from latticeflow.lineage import cut, shared_folder
+from latticeflow.operators import contract, legacy, normalise, samples, stitch, trace
 from latticeflow.operators import tiles as T
 from latticeflow.operators.windows import reversals
 from latticeflow.params import Annulus
 from latticeflow.queries import Query, table
-from latticeflow.sources import documents, regions, sinks
+from latticeflow.sources import documents, regions, sinks, snapshot
 from latticeflow.sources import tiles as G
 
 _Q = Annulus(8, 40, 120, 16)
@@ -134,6 +136,80 @@ def k11_golden(spark, sf):
     return sinks.golden(T.summaries(G.tiles(G.towers(spark, _Q), _Q), _Q), batch=2).select("batch", "rows")
 
 
+def s6_s7_snapshot(spark, sf):
+    """A snapshot written and read back: the header's count and the records that differ from the summaries."""
+    cols = cut(G.towers(spark, _Q))
+    rows = cut(T.summaries(G.tiles(cols, _Q), _Q, caps=True))
+    path = f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}.bin"
+    snapshot.write(rows, cols, _Q, path, generated_at="2020-01-01T00:00:00Z")
+    places = G.tiles(cols, _Q).select("i", "j", "idx")
+    back = snapshot.read(spark, path).join(places, "idx").select("i", "j", "n", "face_groups", "inner", "outer", "tile_flags")
+    wrong = rows.select(*back.columns).exceptAll(back).agg(F.count(F.lit(1)).alias("wrong"))
+    head = snapshot.headers(spark, path).select("tile_count", "bytes_per_tile", F.size("errors").cast("long").alias("errors"))
+    return head.join(F.broadcast(wrong.select(F.lit(0).cast("long").alias("errors"), "wrong")), "errors", "left").select("tile_count", "bytes_per_tile", "errors", "wrong")
+
+
+def s10_json_lines(spark, sf):
+    """JSON lines with blank and broken ones, written as text and read with line numbers."""
+    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    n = F.col("c_custkey")
+    line = F.when(n % 10 == 3, "").when(n % 10 == 5, "[1]").when(n % 10 == 7, '{"x"').otherwise(F.concat(F.lit('{"x": '), n.cast("string"), F.lit("}")))
+    table(spark, sf, "customer").where("c_custkey < 100").orderBy("c_custkey").select(line.alias("value")).coalesce(1).write.text(folder)
+    rows = documents.json_lines(spark, folder)
+    return rows.select(F.col("line_number").cast("long").alias("line_number"), F.regexp_extract("error", "[^:]+$", 0).alias("error"))
+
+
+def s11_run_index(spark, sf):
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    table(spark, sf, "supplier").select("s_suppkey", "s_name").write.csv(folder, sep="\t", header=True)
+    return documents.run_index(spark, folder, ("s_suppkey", "s_name")).select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name")
+
+
+def j8_offset_matches(spark, sf):
+    """Ports from line items, matched with a shift of 7 in a tile of 50."""
+    li = table(spark, sf, "lineitem").where("l_orderkey < 4000").select((F.col("l_orderkey") % 20).alias("i"), (F.col("l_partkey") % 3).alias("j"), F.when(F.col("l_linenumber") % 2 == 0, "R").otherwise("L").alias("face"), F.col("l_quantity").cast("int").alias("h"), F.col("l_suppkey").alias("label"))
+    return stitch.offset_matches(li.distinct(), 7, 50)
+
+
+def j13_sample_audit(spark, sf):
+    """Samples made from the tiles' own summaries, some of them spoilt."""
+    q = Annulus(10, 1000, 2000)
+    rows = T.summaries(G.tiles(G.towers(spark, q), q), q, caps=True, parts=6)
+    flags = lambda c: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.aggregate(F.filter(c, lambda x: F.floor((x - 1) / 8) == k), F.lit(0), lambda a, x: a + F.pow(F.lit(2), F.pmod(x - 1, F.lit(8))).cast("int")))
+    t = F.col("i") + F.col("j")
+    made = rows.select(
+        F.lit(1).alias("schema_version"), F.lit("c").alias("claim_id"), F.lit(q.k).cast("long").alias("k_sq"), F.lit(q.r_inner).cast("long").alias("r_inner"), F.lit(q.r_outer).cast("long").alias("r_outer"), F.when(t % 5 == 0, 7).otherwise(q.r_outer - q.r_inner).cast("long").alias("width"), F.lit("full-octant").alias("region"),
+        F.when(t % 3 == 0, "other").otherwise("geo_I").alias("sample_class"), F.struct("i", "j", (F.col("i") * 256).alias("a_lo"), (F.col("j") * 256 + F.when(t % 7 == 0, 1).otherwise(0)).alias("b_lo")).alias("tile"),
+        F.struct("n", "face_groups", flags(F.col("inner")).alias("inner_flags"), flags(F.col("outer")).alias("outer_flags"), "tile_flags").alias("tileop"),
+    )
+    return samples.audited(cut(made), q).select("i", "j", F.array_join("errors", "; ").alias("errors"))
+
+
+def _audit_sql() -> str:
+    from latticeflow.queries.lattice import _towers_sql
+
+    return f"""WITH {_towers_sql(Annulus(10, 1000, 2000))}
+SELECT i, j, array_to_string(list_filter([CASE WHEN (i + j) % 5 = 0 THEN 'sample belongs to another run' END, CASE WHEN (i + j) % 3 = 0 THEN 'unknown sample class' END, CASE WHEN (i + j) % 7 = 0 THEN 'tile is not at its place' END], lambda x: x IS NOT NULL), '; ') AS errors FROM tiles"""
+
+
+def g11_stitch_paths(spark, sf):
+    """Stitch paths from line items: right ones with some steps spoilt."""
+    o = table(spark, sf, "lineitem").where("l_orderkey < 500").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    steps = o.select("l_orderkey", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("pos"))
+    k, p = F.col("l_orderkey"), F.col("pos")
+    up = p % 2 == 0
+    rows = steps.select(
+        k.cast("string").alias("claim_id"), "pos", F.floor(p / 2).alias("i"), F.floor((p + 1) / 2).alias("j"), (p + 1).alias("label"), F.when(up, "O").otherwise("R").alias("face"), F.lit(1).alias("ordinal"),
+        (F.floor(p / 2) + F.when(up, 0).otherwise(1)).alias("i2"), (F.floor((p + 1) / 2) + F.when(up, 1).otherwise(0)).alias("j2"), (p + 2 + F.when((k % 3 == 0) & (p == 0), 5).otherwise(0)).alias("label2"), F.when(up, "I").otherwise("L").alias("face2"), F.when(k % 4 == 0, 2).otherwise(1).alias("ordinal2"), F.when(up, "match_io").otherwise("match_lr").alias("event"),
+    )
+    return trace.check_stitch_path(rows).select("claim_id", "ok", F.array_join("errors", "; ").alias("errors"))
+
+
+_PATHS = """SELECT l_orderkey::VARCHAR AS claim_id, e = '' AS ok, e AS errors FROM (SELECT l_orderkey, array_to_string(list_filter([CASE WHEN l_orderkey % 3 = 0 AND count(*) > 1 THEN 'steps do not follow each other' END, CASE WHEN l_orderkey % 4 = 0 THEN 'ordinals differ' END], lambda x: x IS NOT NULL), '; ') AS e FROM lineitem WHERE l_orderkey < 500 GROUP BY l_orderkey)"""
+_OFFSETS = """WITH p AS (SELECT DISTINCT l_orderkey % 20 AS i, l_partkey % 3 AS j, CASE WHEN l_linenumber % 2 = 0 THEN 'R' ELSE 'L' END AS face, l_quantity::INTEGER AS h, l_suppkey AS label FROM lineitem WHERE l_orderkey < 4000)
+SELECT x.i, x.j, x.label, y.j AS j2, y.label AS label2 FROM p x JOIN p y ON x.face = 'R' AND y.face = 'L' AND y.i = x.i + 1 AND ((y.j = x.j AND x.h = y.h + 7) OR (y.j = x.j + 1 AND x.h + 50 - 7 = y.h))""".replace("x.h + 50 - 7 = y.h", "x.h = y.h - 50 + 7")
+
+
 def w4_status_reversals(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_id", "event_type")
     return reversals(e, ["user_id"], "event_id", "event_type", "error", "purchase").select("user_id", "event_id", "narrower")
@@ -145,6 +221,12 @@ def _golden_sql() -> str:
     return f'WITH {_towers_sql(_Q)} SELECT i // 2 AS batch, count(*) AS "rows" FROM tiles GROUP BY 1'
 
 
+def _snapshot_sql() -> str:
+    from latticeflow.queries.lattice import _towers_sql
+
+    return f"WITH {_towers_sql(_Q)} SELECT count(*) AS tile_count, 256::BIGINT AS bytes_per_tile, 0::BIGINT AS errors, 0::BIGINT AS wrong FROM tiles"
+
+
 QUERIES: dict[str, Query] = {
     "f18_f19_sweep_rows": Query(
         f18_f19_sweep_rows,
@@ -185,5 +267,11 @@ SELECT j, face, ordinal, dense_rank() OVER (PARTITION BY j ORDER BY label) AS la
     ),
     "k5_certificate_points": Query(k5_certificate_points, "SELECT 0 AS unknown, c_custkey AS pos, c_custkey * 2 AS a, c_custkey * 3 AS b FROM customer WHERE c_custkey < 50"),
     "k11_golden": Query(k11_golden, _golden_sql()),
+    "s6_s7_snapshot": Query(s6_s7_snapshot, _snapshot_sql()),
+    "s10_json_lines": Query(s10_json_lines, "SELECT row_number() OVER (ORDER BY c_custkey) AS line_number, CASE c_custkey % 10 WHEN 5 THEN ' expected object row' WHEN 7 THEN ' invalid JSONL' END AS error FROM customer WHERE c_custkey < 100 QUALIFY c_custkey % 10 <> 3"),
+    "s11_run_index": Query(s11_run_index, "SELECT s_suppkey, s_name FROM supplier"),
+    "j8_offset_matches": Query(j8_offset_matches, _OFFSETS),
+    "j13_sample_audit": Query(j13_sample_audit, _audit_sql()),
+    "g11_stitch_paths": Query(g11_stitch_paths, _PATHS),
     "w4_status_reversals": Query(w4_status_reversals, "SELECT e.user_id, event_id, narrower FROM events e JOIN (SELECT user_id, min(event_id) AS narrower FROM events WHERE event_type = 'error' GROUP BY 1) m ON m.user_id = e.user_id WHERE event_type = 'purchase' AND event_id > narrower"),
 }

@@ -100,11 +100,49 @@ def p6_wide_integers(spark, sf_dir):
     return spark.range(0, 80_000).select(eps.alias("step"), norm.alias("norm"), bands.inner_band(norm, q).alias("inner")).where("norm > 0")
 
 
-def p12_band_edges(spark, sf_dir):
+def p6_band_edges(spark, sf_dir):
     rows = [(q.k, q.r_inner, q.r_outer, *bands.band_edges(q).values()) for q in (SMALL, WIDE, GRID, Annulus(36, 100, 500))]
     return spark.createDataFrame(rows, "k long, r_inner long, r_outer long, inner_lo long, inner_hi long, outer_lo long, outer_hi long")
 
 
+_ZONES = [Annulus(k, r, r + 400) for k in (8, 10, 36) for r in range(50, 250)]
+
+
+def p12_bad_zones(spark, sf_dir):
+    return bands.bad_zone(spark, _ZONES)
+
+
+_ZONES_SQL = """WITH q AS (SELECT k, r AS r_inner, r + 400 AS r_outer FROM (VALUES (8::BIGINT), (10), (36)) a(k), range(50, 250) b(r)),
+pn AS MATERIALIZED (SELECT n FROM range(2, 433000) t(n) EXCEPT SELECT p * m FROM range(2, 659) s(p), range(2, 216500) u(m) WHERE m >= p AND p * m < 433000),
+norms AS MATERIALIZED (SELECT n FROM pn WHERE n = 2 OR n % 4 = 1 UNION SELECT n * n FROM pn WHERE n % 4 = 3 AND n < 659),
+i AS (SELECT q.*, r_inner * r_inner + k + d AS n FROM q, range(0, 4000) t(d) WHERE d * d <= 4 * k * r_inner * r_inner AND (d + 1) * (d + 1) > 4 * k * (r_inner * r_inner - 1)),
+o AS (SELECT q.*, r_outer * r_outer + k - d AS n FROM q, range(0, 9000) t(d) WHERE d * d <= 4 * k * r_outer * r_outer AND (d + 1) * (d + 1) > 4 * k * (r_outer * r_outer + 1))
+SELECT k, r_inner, r_outer, coalesce(a, 0) AS inner_candidates, coalesce(b, 0) AS outer_candidates, coalesce(x, 0) + coalesce(y, 0) AS bad_norms, coalesce(x, 0) + coalesce(y, 0) = 0 AS clean FROM q
+LEFT JOIN (SELECT k, r_inner, count(*) AS a, count(*) FILTER (n IN (SELECT n FROM norms)) AS x FROM i GROUP BY 1, 2) USING (k, r_inner) LEFT JOIN (SELECT k, r_inner, count(*) AS b, count(*) FILTER (n IN (SELECT n FROM norms)) AS y FROM o GROUP BY 1, 2) USING (k, r_inner)"""
+
+
+def p11_overflows(spark, sf_dir):
+    """Tiles whose capacity flag differs from what their uncapped counts say; empty if none."""
+    q = Annulus(8, 500, 1500)
+    grid = cut(G.tiles(G.towers(spark, q), q))
+    free, capped = T.summaries(grid, q, parts=6), T.summaries(grid, q, caps=True, parts=6)
+    over = (F.col("groups") > 128) | (F.array_max("n") > 255) | (F.aggregate("n", F.lit(0), lambda a, x: a + x) > 192)
+    both = free.select("i", "j", over.alias("over")).join(capped.select("i", "j", (F.col("tile_flags") == 2).alias("flag")), ["i", "j"])
+    return both.where(F.col("over") != F.col("flag")).select("i", "j")
+
+
+def f16_pressure(spark, sf_dir):
+    """Totals of the tiles' pressure scores by number of groups."""
+    rows = T.summaries(G.tiles(G.towers(spark, SMALL), SMALL), SMALL)
+    score = T.pressure(F.col("n"), F.col("face_groups"), F.col("tile_flags"), F.col("inner"), F.col("outer"))
+    return rows.groupBy(F.col("groups").cast("long").alias("groups")).agg(F.sum(score).cast("long").alias("score"), F.count(F.lit(1)).alias("tiles"))
+
+
+def u1_tube_primes(spark, sf_dir):
+    """The primes of all tiles' widened squares, each once: the annulus again."""
+    return trace.tube_primes(spark, G.tiles(G.towers(spark, SMALL), SMALL), SMALL)
+
+
 def f2_integer_roots(spark, sf_dir):
     big = 3_037_000_499
     n = spark.range(0, 2000).select(F.explode(F.array(F.col("id"), F.col("id") * F.col("id") * 1_000_003, F.lit(big * big) - F.col("id"), (F.lit(big) - F.col("id")) * (F.lit(big) - F.col("id")))).alias("n")).distinct()
@@ -374,14 +412,18 @@ QUERIES: dict[str, Query] = {
     "p5_gaussian_norms": Query(p5_gaussian_norms, "WITH pn AS (SELECT n FROM range(2, 5000) t(n) EXCEPT SELECT p * k FROM range(2, 71) s(p), range(2, 2500) r(k) WHERE p * k < 5000) SELECT n FROM pn WHERE n = 2 OR n % 4 = 1 UNION SELECT n * n FROM pn WHERE n % 4 = 3 AND n * n < 5000"),
     "p6_bands": Query(p6_bands, _with(WIDE, "SELECT a, b, norm, reach FROM vertices WHERE reach > 0")),
     "p6_wide_integers": Query(p6_wide_integers, "SELECT step, norm, norm >= 1000000000000000000 AND (norm - 1000000000000000040)::HUGEINT * (norm - 1000000000000000040)::HUGEINT <= 160000000000000000000::HUGEINT AS inner FROM (SELECT n - 40000 AS step, 1000000000000000000 + (n - 40000) * 2000000 AS norm FROM range(0, 80000) t(n))".replace(" AS inner", ' AS "inner"')),
-    "p12_band_edges": Query(
-        p12_band_edges,
+    "p6_band_edges": Query(
+        p6_band_edges,
         """WITH q(k, r_inner, r_outer) AS (VALUES (8::BIGINT, 40::BIGINT, 120::BIGINT), (36, 100, 300), (10, 1000, 2000), (36, 100, 500))
 SELECT k, r_inner, r_outer, r_inner * r_inner AS inner_lo,
   (SELECT max(n) FROM range(1, 4100000) t(n) WHERE n >= r_inner * r_inner AND n <= r_inner * r_inner + 20 * r_inner AND (n - r_inner * r_inner - k) * (n - r_inner * r_inner - k) <= 4 * r_inner * r_inner * k) AS inner_hi,
   (SELECT min(n) FROM range(1, 4100000) t(n) WHERE n <= r_outer * r_outer AND n >= r_outer * r_outer - 20 * r_outer AND (n - r_outer * r_outer - k) * (n - r_outer * r_outer - k) <= 4 * r_outer * r_outer * k) AS outer_lo,
   r_outer * r_outer AS outer_hi FROM q""",
     ),
+    "p12_bad_zones": Query(p12_bad_zones, _ZONES_SQL),
+    "p11_overflows": Query(p11_overflows, "SELECT 0::BIGINT AS i, 0::BIGINT AS j WHERE false"),
+    "f16_pressure": Query(f16_pressure, _tile_sql(SMALL, "SELECT coalesce(f.groups, 0) AS groups, coalesce(sum(2 * total + inner_bytes + outer_bytes), 0)::BIGINT AS score, count(*) AS tiles FROM tiles t LEFT JOIN flags f ON f.tile = t.i * 1000 + t.j LEFT JOIN face_counts c ON c.tile = f.tile GROUP BY 1")),
+    "u1_tube_primes": Query(u1_tube_primes, _with(SMALL, "SELECT a, b FROM primes")),
     "f2_integer_roots": Query(
         f2_integer_roots,
         """WITH ns AS (SELECT DISTINCT unnest([i, i * i * 1000003, 3037000499::BIGINT * 3037000499 - i, (3037000499 - i) * (3037000499 - i)]) AS n FROM range(0, 2000) t(i)),

@@ -34,6 +34,31 @@ def grid_text(towers: DataFrame) -> str:
     return ";".join(r.t for r in rows.toLocalIterator())
 
 
+class _Output:
+    """A file in any store that Spark can write, in blocks of about a megabyte."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+        self.held = bytearray()
+
+    def write(self, data: bytes) -> None:
+        self.held += data
+        if len(self.held) >= 1 << 20:
+            self.flush()
+
+    def flush(self) -> None:
+        self.stream.write(self.held)
+        self.held = bytearray()
+
+    def __enter__(self) -> _Output:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.flush()
+        self.stream.close()
+
+
 def write(summaries: DataFrame, towers: DataFrame, q: Annulus, path: str, generated_at: str | None = None) -> dict:
     """K1, K2: writes the snapshot and its manifest beside it; returns the manifest.
 
@@ -50,7 +75,8 @@ def write(summaries: DataFrame, towers: DataFrame, q: Annulus, path: str, genera
         raise ValueError(f"{count} tiles for a grid of {expected}")
     rows = summaries.orderBy("i", "j").select(packed(F.col("n"), F.col("face_groups"), F.col("inner"), F.col("outer"), F.col("tile_flags")).alias("record"))
     head = header(q, text, count)
-    with open(path, "wb") as out:
+    spark = summaries.sparkSession
+    with _Output(spark, path) as out:
         out.write(head)
         for r in rows.toLocalIterator():
             out.write(bytes(r.record))
@@ -58,8 +84,8 @@ def write(summaries: DataFrame, towers: DataFrame, q: Annulus, path: str, genera
         "schema_version": 1, "grid_params_hash": head[8:40].hex(), "constants_hash": head[40:72].hex(), "prime_test_hash": head[72:104].hex(), "tile_count": count, "bytes_per_tile": RECORD,
         "k_sq": q.k, "r_inner": q.r_inner, "r_outer": q.r_outer, "generated_at_utc": generated_at or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"),
     }
-    with open(f"{path}.manifest.json", "w") as out:
-        json.dump(manifest, out, sort_keys=True)
+    with _Output(spark, f"{path}.manifest.json") as out:
+        out.write(json.dumps(manifest, sort_keys=True).encode())
     return manifest
 
 
