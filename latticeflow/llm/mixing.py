@@ -100,13 +100,14 @@ def decisions(docs: DataFrame, budget: int | None = None, entropy: float = ENTRO
 
     few = quotas.count() <= BROADCAST_SOURCES
     small = lambda df: F.broadcast(df) if few else df
-    first = cut(boundary(blocks.join(small(quotas.select("mix_source", "left_over")), "mix_source"), "mix_block", ["mix_source"], "left_over"))
+    held = lambda df: cut(df.coalesce(1) if few else df)
+    first = held(boundary(blocks.join(small(quotas.select("mix_source", "left_over")), "mix_source"), "mix_block", ["mix_source"], "left_over"))
     inside = slim.join(small(first), "mix_source").where("mix_block = cut_block")
     subs = cut(inside.groupBy("mix_source", "rest", "mix_sub").agg(F.sum("n_tokens").alias("n")))
-    second = cut(boundary(subs, "mix_sub", ["mix_source", "rest"], "rest").toDF("mix_source", "outer_rest", "cut_sub", "rest"))
+    second = held(boundary(subs, "mix_sub", ["mix_source", "rest"], "rest").toDF("mix_source", "outer_rest", "cut_sub", "rest"))
     within = inside.drop("rest").join(small(second), "mix_source").where("mix_sub = cut_sub").groupBy("mix_source", "rest", "mix_doc").agg(F.sum("n_tokens").alias("n"))
     taken = within.withColumn("upto", F.sum("n").over(Window.partitionBy("mix_source", "rest").orderBy("mix_doc"))).where("upto <= rest").groupBy("mix_source").agg(F.max("mix_doc").alias("cut_doc"))
-    return cut(
+    return held(
         quotas.join(first.select("mix_source", "cut_block"), "mix_source", "left").join(second.select("mix_source", "cut_sub"), "mix_source", "left").join(taken, "mix_source", "left")
         .select("mix_source", "exponent", "weight", "passes", "cut_block", "cut_sub", "cut_doc")
     )
