@@ -32,7 +32,7 @@ from latticeflow.llm.common import cut, session
 WIDTH = 13
 SEED_WORDS = 3
 #: Characters of text whose strings are packed together.
-SLICE = 5_000_000
+SLICE = 8_000_000
 FEW = 16
 _M = np.uint64(0x9E3779B97F4A7C15)
 _M_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -186,15 +186,26 @@ def _exact_groups(ids: np.ndarray, at: np.ndarray, hashes: np.ndarray, width: in
 
 def _bucket(blobs: list[bytes], width: int) -> Iterator[pa.RecordBatch]:
     """Rows ('windows', doc_id, tag, null, starts) to remove, and ('answer', null, null, digest, smallest documents)."""
-    parts = [_unpack(b, 7) for b in blobs]
-    text = b" ".join(p[0] for p in parts)
-    n, kept, alone, tag, place = (np.concatenate([np.frombuffer(p[i], t) for p in parts]).astype(np.int64) for i, t in ((1, "<i4"), (2, "<i4"), (3, "<i8"), (5, "<i4"), (6, "<i4")))
-    doc_id = np.concatenate([np.cumsum(np.frombuffer(p[4], "<i8")) for p in parts])
+    known = _Numbers()
+    columns: list[list[np.ndarray]] = [[] for _ in range(7)]
+    digests: list[bytes] = []
+    for blob in blobs:  # one slice's words at a time; what stays of them are numbers
+        text, *arrays = _unpack(blob, 7)
+        words = text.split()
+        columns[0].append(np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words)))
+        for k, (x, t) in enumerate(zip(arrays, ("<i4", "<i4", "<i8", "<i8", "<i4", "<i4"), strict=True), 1):
+            columns[k].append(np.frombuffer(x, t).astype(np.int64))
+        ends = np.cumsum(columns[1][-1])
+        for k in np.flatnonzero(columns[2][-1] == 0).tolist():
+            digests.append(xxhash.xxh3_128_digest(b" ".join(words[ends[k] - columns[1][-1][k] : ends[k]])))
+        columns[4][-1] = np.cumsum(columns[4][-1])
+        del text, words
+    ids, n, kept, alone, doc_id, tag, place = (np.concatenate(c) for c in columns)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), dtype=np.uint64, count=len(known))
+    del known, columns
     smallest = np.zeros(len(n), np.int64)
     smallest[kept == 0] = alone
     smallest[kept > 0] = doc_id[(np.cumsum(kept) - kept)[kept > 0]]  # places come by document
-    words = text.split()
-    ids, hashes = _numbered(words)
     h = _range_hashes(hashes[ids], width)
     offset = np.cumsum(n) - n
     owner = np.repeat(np.arange(len(n)), n - width + 1)
@@ -215,14 +226,10 @@ def _bucket(blobs: list[bytes], width: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(["windows"] * len(d)), d, t, pa.nulls(len(d), pa.binary()), s], _OUT)
     # answers for strings whose places wait elsewhere
     if (many := np.flatnonzero(kept == 0)).size:
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-        end = np.cumsum(sizes) - 1
         answers: dict[bytes, bytes] = {}
-        for k in many.tolist():
-            o, m = int(offset[k]), int(n[k])
-            digest = xxhash.xxh3_128_digest(text[int(end[o] - sizes[o] + 1) : int(end[o + m - 1])])
+        for digest, k in zip(digests, many.tolist(), strict=True):
             if digest not in answers:
-                answers[digest] = least[first_window[k] : first_window[k] + m - width + 1].tobytes()
+                answers[digest] = least[first_window[k] : first_window[k] + int(n[k]) - width + 1].tobytes()
         yield pa.RecordBatch.from_arrays([pa.array(["answer"] * len(answers)), pa.nulls(len(answers), pa.int64()), pa.nulls(len(answers), pa.int64()), pa.array(list(answers), pa.binary()), pa.array(list(answers.values()), pa.binary())], _OUT)
 
 
