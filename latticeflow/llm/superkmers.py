@@ -19,12 +19,13 @@ lose none; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticeflow.llm.common import cut, session
@@ -236,6 +237,18 @@ def _bucket(blobs: list[bytes], width: int) -> Iterator[pa.RecordBatch]:
 _OUT = ["kind", "doc_id", "tag", "digest", "blob"]
 
 
+@contextmanager
+def _small_batches(spark: SparkSession, rows: int = 64) -> Iterator[None]:
+    """Arrow batches of few rows while a job with large rows runs; the session's setting is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _tag(text: Column) -> Column:
     """32 bits of the text's hash, to tell rows apart that repeat an id with another text."""
     return F.shiftright(F.xxhash64(text.cast("string")), 32)
@@ -295,7 +308,9 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, buckets: int | None =
 
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), _tag(F.col("text")).alias("tag"), F.col("text").cast("string"))
     packed = rows.mapInArrow(pack, "kind string, bucket long, digest binary, blob binary")
-    found = cut(packed.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(count, "kind string, doc_id long, tag long, digest binary, blob binary"))
+    counted = packed.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(count, "kind string, doc_id long, tag long, digest binary, blob binary")
+    with _small_batches(spark):  # rows hold whole compressed slices
+        found = cut(counted)
     waiting = found.where("kind = 'places'").select("digest", "blob")
     answers = found.where("kind = 'answer'").select("digest", F.col("blob").alias("answer"))
     late = waiting.join(answers, "digest").select("blob", "answer").mapInArrow(places, "doc_id long, tag long, starts binary")
