@@ -21,7 +21,7 @@ _Q = Annulus(8, 40, 120, 16)
 
 def _profiles(spark, sf):
     """Profiles in three historical shapes, from orders."""
-    o = table(spark, sf, "orders").where("o_orderkey < 3000")
+    o = table(spark, sf, "orders")
     k, r, w = F.lit(36).cast("long"), F.col("o_custkey"), F.col("o_orderkey") % 97
     verdict = F.when(F.col("o_orderstatus") == "F", "SPANNING").when(F.col("o_orderstatus") == "O", "MOAT")
     new = F.struct(F.struct(k.alias("k_sq"), r.alias("r_inner"), (r + w).alias("r_outer")).alias("radii"), verdict.alias("verdict"), F.struct(w.alias("active"), w.alias("produced")).alias("tiles"), F.struct(F.struct((w % 3).alias("y"), F.lit(0).cast("long").alias("z")).alias("x")).alias("overflow_counters"), F.struct(F.lit(True).alias("checked"), F.lit(True).alias("clean"), F.lit(False).alias("override_used"), (w % 2).alias("bad_norm_count")).alias("bz"), F.struct((w / 4).alias("total")).alias("timings_seconds"))
@@ -31,7 +31,7 @@ def _profiles(spark, sf):
     return o.select(F.concat(F.lit("/runs/p"), F.col("o_orderkey").cast("string"), F.lit(".json")).alias("path"), profile.alias("profile"), audit.alias("audit"))
 
 
-_SHAPES = """WITH o AS (SELECT *, 36::BIGINT AS k, o_custkey AS r, o_orderkey % 97 AS w, CASE o_orderstatus WHEN 'F' THEN 'SPANNING' WHEN 'O' THEN 'MOAT' END AS v, o_orderkey % 3 AS shape FROM orders WHERE o_orderkey < 3000),
+_SHAPES = """WITH o AS (SELECT *, 36::BIGINT AS k, o_custkey AS r, o_orderkey % 97 AS w, CASE o_orderstatus WHEN 'F' THEN 'SPANNING' WHEN 'O' THEN 'MOAT' END AS v, o_orderkey % 3 AS shape FROM orders),
 n AS (SELECT o_orderkey, CASE WHEN shape < 2 THEN k END AS k_sq, CASE WHEN shape < 2 THEN r END AS r_inner, CASE WHEN shape = 1 THEN r + w END AS r_outer, CASE WHEN shape < 2 THEN w END AS width, CASE WHEN shape < 2 THEN v END AS verdict,
   CASE WHEN shape < 2 THEN w END AS active_tiles, CASE WHEN shape = 1 THEN w END AS produced_tiles, CASE WHEN shape = 1 THEN w % 3 END AS overflow_total, CASE WHEN shape = 1 THEN w % 2 END AS bad, CASE WHEN shape = 1 THEN w / 4.0::DOUBLE END AS total_seconds,
   CASE WHEN shape = 0 THEN 'none' END AS telemetry_level, CASE WHEN shape = 0 THEN 'abc' END AS "commit", CASE WHEN o_orderkey % 5 = 0 THEN CASE WHEN o_orderpriority = '5-LOW' THEN 'REJECT' ELSE 'SPAN_PROOF_PASS' END END AS post FROM o)
@@ -56,7 +56,7 @@ def w4_a12_monotonicity(spark, sf):
 
 def r_rules(spark, sf):
     """Bundles from orders: some break one rule, some two."""
-    o = table(spark, sf, "orders").where("o_orderkey < 2000")
+    o = table(spark, sf, "orders")
     n = F.col("o_orderkey")
     row = F.struct(F.lit("c").alias("claim_id"), F.lit(36).alias("k_sq"), F.lit(100).alias("r_inner"), F.lit(500).alias("r_outer"), F.when(n % 7 == 0, 399).otherwise(400).alias("width"), F.lit("full-octant").alias("region"), F.lit("MOAT").alias("verdict"), F.lit("ANY-SHELL-MOAT").alias("verdict_mode"), F.lit("run").alias("row_class"), (n % 4 == 0).alias("claim_proof_required"))
     bz = F.struct(F.lit(True).alias("checked"), (n % 11 != 0).alias("clean"), F.lit(False).alias("override_used"), F.lit(0).alias("bad_norm_count"))
@@ -68,7 +68,7 @@ def r_rules(spark, sf):
 
 _RULES = """SELECT o_orderkey AS bundle_id, CASE WHEN e <> '' THEN 'REJECT' WHEN o_orderkey % 4 = 0 THEN 'CLAIM_PROOF_MISSING' ELSE 'RUN_CONTRACT_PASS' END AS status, e AS errors FROM (
   SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 7 = 0 THEN 'R1 width must equal r_outer - r_inner' END, CASE WHEN o_orderkey % 11 = 0 THEN 'R2 bz.clean must be true' END,
-    CASE WHEN o_orderkey % 17 = 0 THEN 'R3 an overflow counter is not zero' END, CASE WHEN o_orderkey % 13 = 0 THEN 'R3 the host overflow counter must be zero' END], lambda x: x IS NOT NULL), '; ') AS e FROM orders WHERE o_orderkey < 2000)"""
+    CASE WHEN o_orderkey % 17 = 0 THEN 'R3 an overflow counter is not zero' END, CASE WHEN o_orderkey % 13 = 0 THEN 'R3 the host overflow counter must be zero' END], lambda x: x IS NOT NULL), '; ') AS e FROM orders)"""
 
 
 def s4_regions(spark, sf):
@@ -76,13 +76,13 @@ def s4_regions(spark, sf):
     n = F.col("o_orderkey")
     col = lambda i, lo, hi: F.struct(i.cast("long").alias("i"), lo.cast("long").alias("j_lo"), hi.cast("long").alias("j_hi"))
     cols = F.array(col(n, n % 5, F.lit(3)), col(n + F.when(n % 4 == 0, 2).otherwise(1), F.lit(0), F.lit(3)))
-    rows = table(spark, sf, "orders").where("o_orderkey < 500").select(n, F.lit(None).cast("boolean").alias("full_octant"), n.alias("i_lo"), (n + 1).alias("i_hi"), cols.alias("columns"), F.lit(None).cast("array<struct<i:long,j:long>>").alias("tiles"))
+    rows = table(spark, sf, "orders").select(n, F.lit(None).cast("boolean").alias("full_octant"), n.alias("i_lo"), (n + 1).alias("i_hi"), cols.alias("columns"), F.lit(None).cast("array<struct<i:long,j:long>>").alias("tiles"))
     return regions.validated(rows).select("o_orderkey", F.array_join("errors", "; ").alias("errors"))
 
 
 def s12_log_fields(spark, sf):
     """Fields of logs: one text line per event, the user as the log."""
-    lines = table(spark, sf, "events").where("event_id < 2000").select(F.concat(F.lit("log"), F.col("user_id").cast("string")).alias("path"), F.concat(F.lit("kind="), "event_type", F.lit(" props="), "props").alias("value"))
+    lines = table(spark, sf, "events").select(F.concat(F.lit("log"), F.col("user_id").cast("string")).alias("path"), F.concat(F.lit("kind="), "event_type", F.lit(" props="), "props").alias("value"))
     return documents.log_fields(lines, {"kind": r"kind=(\w+)", "k": r'"k": (\d+)'})
 
 
@@ -121,13 +121,14 @@ _OLD = """SELECT n, CASE WHEN n % 10 = 9 THEN 'overflow' WHEN n % 10 = 8 THEN 'i
 
 def p15_pruned(spark, sf):
     """Dead ends of a port list made from line items."""
-    li = table(spark, sf, "lineitem").where("l_orderkey < 3000").select(F.lit(0).alias("i"), F.col("l_orderkey").alias("j"), F.element_at(F.array(*[F.lit(x) for x in "IOLR"]), (F.col("l_linenumber") % 4 + 1).cast("int")).alias("face"), F.col("l_linenumber").alias("ordinal"), (F.col("l_suppkey") % 3 + 1).alias("label"))
+    li = table(spark, sf, "lineitem").select(F.lit(0).alias("i"), F.col("l_orderkey").alias("j"), F.element_at(F.array(*[F.lit(x) for x in "IOLR"]), (F.col("l_linenumber") % 4 + 1).cast("int")).alias("face"), F.col("l_linenumber").alias("ordinal"), (F.col("l_suppkey") % 3 + 1).alias("label"))
     return legacy.pruned(li.distinct()).select("j", "face", "ordinal", F.col("label").cast("long").alias("label"))
 
 
 def k5_certificate_points(spark, sf):
     """A certificate document's points, read back from JSON."""
-    path = table(spark, sf, "customer").where("c_custkey < 50").select(F.col("c_custkey").alias("pos"), (F.col("c_custkey") * 2).alias("a"), (F.col("c_custkey") * 3).alias("b"))
+    n = F.col("n_nationkey").cast("long")
+    path = table(spark, sf, "nation").select(n.alias("pos"), (n * 2).alias("a"), (n * 3).alias("b"))
     doc = documents.certificates(sinks.certificate(path, 36, 100, 500))
     return doc.select(F.size("unknown").alias("unknown"), F.posexplode("path").alias("pos", "p")).select("unknown", F.col("pos").cast("long").alias("pos"), "p.a", "p.b")
 
@@ -152,9 +153,9 @@ def s6_s7_snapshot(spark, sf):
 def s10_json_lines(spark, sf):
     """JSON lines with blank and broken ones, written as text and read with line numbers."""
     folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
-    n = F.col("c_custkey")
+    n = F.col("n_nationkey")
     line = F.when(n % 10 == 3, "").when(n % 10 == 5, "[1]").when(n % 10 == 7, '{"x"').otherwise(F.concat(F.lit('{"x": '), n.cast("string"), F.lit("}")))
-    table(spark, sf, "customer").where("c_custkey < 100").orderBy("c_custkey").select(line.alias("value")).coalesce(1).write.text(folder)
+    table(spark, sf, "nation").orderBy("n_nationkey").select(line.alias("value")).coalesce(1).write.text(folder)
     rows = documents.json_lines(spark, folder)
     return rows.select(F.col("line_number").cast("long").alias("line_number"), F.regexp_extract("error", "[^:]+$", 0).alias("error"))
 
@@ -167,7 +168,7 @@ def s11_run_index(spark, sf):
 
 def j8_offset_matches(spark, sf):
     """Ports from line items, matched with a shift of 7 in a tile of 50."""
-    li = table(spark, sf, "lineitem").where("l_orderkey < 4000").select((F.col("l_orderkey") % 20).alias("i"), (F.col("l_partkey") % 3).alias("j"), F.when(F.col("l_linenumber") % 2 == 0, "R").otherwise("L").alias("face"), F.col("l_quantity").cast("int").alias("h"), F.col("l_suppkey").alias("label"))
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("i"), (F.col("l_partkey") % 3).alias("j"), F.when(F.col("l_linenumber") % 2 == 0, "R").otherwise("L").alias("face"), F.col("l_quantity").cast("int").alias("h"), F.col("l_suppkey").alias("label"))
     return stitch.offset_matches(li.distinct(), 7, 50)
 
 
@@ -194,7 +195,7 @@ SELECT i, j, array_to_string(list_filter([CASE WHEN (i + j) % 5 = 0 THEN 'sample
 
 def g11_stitch_paths(spark, sf):
     """Stitch paths from line items: right ones with some steps spoilt."""
-    o = table(spark, sf, "lineitem").where("l_orderkey < 500").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    o = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
     steps = o.select("l_orderkey", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("pos"))
     k, p = F.col("l_orderkey"), F.col("pos")
     up = p % 2 == 0
@@ -205,8 +206,8 @@ def g11_stitch_paths(spark, sf):
     return trace.check_stitch_path(rows).select("claim_id", "ok", F.array_join("errors", "; ").alias("errors"))
 
 
-_PATHS = """SELECT l_orderkey::VARCHAR AS claim_id, e = '' AS ok, e AS errors FROM (SELECT l_orderkey, array_to_string(list_filter([CASE WHEN l_orderkey % 3 = 0 AND count(*) > 1 THEN 'steps do not follow each other' END, CASE WHEN l_orderkey % 4 = 0 THEN 'ordinals differ' END], lambda x: x IS NOT NULL), '; ') AS e FROM lineitem WHERE l_orderkey < 500 GROUP BY l_orderkey)"""
-_OFFSETS = """WITH p AS (SELECT DISTINCT l_orderkey % 20 AS i, l_partkey % 3 AS j, CASE WHEN l_linenumber % 2 = 0 THEN 'R' ELSE 'L' END AS face, l_quantity::INTEGER AS h, l_suppkey AS label FROM lineitem WHERE l_orderkey < 4000)
+_PATHS = """SELECT l_orderkey::VARCHAR AS claim_id, e = '' AS ok, e AS errors FROM (SELECT l_orderkey, array_to_string(list_filter([CASE WHEN l_orderkey % 3 = 0 AND count(*) > 1 THEN 'steps do not follow each other' END, CASE WHEN l_orderkey % 4 = 0 THEN 'ordinals differ' END], lambda x: x IS NOT NULL), '; ') AS e FROM lineitem GROUP BY l_orderkey)"""
+_OFFSETS = """WITH p AS (SELECT DISTINCT l_orderkey AS i, l_partkey % 3 AS j, CASE WHEN l_linenumber % 2 = 0 THEN 'R' ELSE 'L' END AS face, l_quantity::INTEGER AS h, l_suppkey AS label FROM lineitem)
 SELECT x.i, x.j, x.label, y.j AS j2, y.label AS label2 FROM p x JOIN p y ON x.face = 'R' AND y.face = 'L' AND y.i = x.i + 1 AND ((y.j = x.j AND x.h = y.h + 7) OR (y.j = x.j + 1 AND x.h + 50 - 7 = y.h))""".replace("x.h + 50 - 7 = y.h", "x.h = y.h - 50 + 7")
 
 
@@ -247,11 +248,11 @@ SELECT n.k_sq, n.r_inner, w0 AS narrower_width, width AS wider_width FROM n JOIN
     "r_rules": Query(r_rules, _RULES),
     "s4_regions": Query(
         s4_regions,
-        """SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 5 = 4 THEN 'a column is inverted' END, CASE WHEN o_orderkey % 4 = 0 THEN 'columns leave a gap or pass the box' END], lambda x: x IS NOT NULL), '; ') AS errors FROM orders WHERE o_orderkey < 500""",
+        """SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 5 = 4 THEN 'a column is inverted' END, CASE WHEN o_orderkey % 4 = 0 THEN 'columns leave a gap or pass the box' END], lambda x: x IS NOT NULL), '; ') AS errors FROM orders""",
     ),
     "s12_log_fields": Query(
         s12_log_fields,
-        """SELECT path, field, min(v) AS value, count(*) AS "count" FROM (SELECT 'log' || user_id AS path, unnest(['kind', 'k']) AS field, unnest([event_type, regexp_extract(props, '"k": (\\d+)', 1)]) AS v FROM events WHERE event_id < 2000) WHERE v <> '' GROUP BY 1, 2""",
+        """SELECT path, field, min(v) AS value, count(*) AS "count" FROM (SELECT 'log' || user_id AS path, unnest(['kind', 'k']) AS field, unnest([event_type, regexp_extract(props, '"k": (\\d+)', 1)]) AS v FROM events) WHERE v <> '' GROUP BY 1, 2""",
     ),
     "k6_sweep_lines": Query(
         k6_sweep_lines,
@@ -262,13 +263,13 @@ SELECT n.k_sq, n.r_inner, w0 AS narrower_width, width AS wider_width FROM n JOIN
     "f23_old_records": Query(f23_old_records, _OLD.replace(" AS x ", " AS first_height ")),
     "p15_pruned": Query(
         p15_pruned,
-        """WITH d AS (SELECT DISTINCT l_orderkey AS j, substr('IOLR', l_linenumber % 4 + 1, 1) AS face, l_linenumber AS ordinal, l_suppkey % 3 + 1 AS label FROM lineitem WHERE l_orderkey < 3000)
+        """WITH d AS (SELECT DISTINCT l_orderkey AS j, substr('IOLR', l_linenumber % 4 + 1, 1) AS face, l_linenumber AS ordinal, l_suppkey % 3 + 1 AS label FROM lineitem)
 SELECT j, face, ordinal, dense_rank() OVER (PARTITION BY j ORDER BY label) AS label FROM (SELECT *, count(*) OVER (PARTITION BY j, label) AS n FROM d) WHERE n > 1""",
     ),
-    "k5_certificate_points": Query(k5_certificate_points, "SELECT 0 AS unknown, c_custkey AS pos, c_custkey * 2 AS a, c_custkey * 3 AS b FROM customer WHERE c_custkey < 50"),
+    "k5_certificate_points": Query(k5_certificate_points, "SELECT 0 AS unknown, n_nationkey::BIGINT AS pos, n_nationkey::BIGINT * 2 AS a, n_nationkey::BIGINT * 3 AS b FROM nation"),
     "k11_golden": Query(k11_golden, _golden_sql()),
     "s6_s7_snapshot": Query(s6_s7_snapshot, _snapshot_sql()),
-    "s10_json_lines": Query(s10_json_lines, "SELECT row_number() OVER (ORDER BY c_custkey) AS line_number, CASE c_custkey % 10 WHEN 5 THEN ' expected object row' WHEN 7 THEN ' invalid JSONL' END AS error FROM customer WHERE c_custkey < 100 QUALIFY c_custkey % 10 <> 3"),
+    "s10_json_lines": Query(s10_json_lines, "SELECT row_number() OVER (ORDER BY n_nationkey) AS line_number, CASE n_nationkey % 10 WHEN 5 THEN ' expected object row' WHEN 7 THEN ' invalid JSONL' END AS error FROM nation QUALIFY n_nationkey % 10 <> 3"),
     "s11_run_index": Query(s11_run_index, "SELECT s_suppkey, s_name FROM supplier"),
     "j8_offset_matches": Query(j8_offset_matches, _OFFSETS),
     "j13_sample_audit": Query(j13_sample_audit, _audit_sql()),

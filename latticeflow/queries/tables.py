@@ -135,7 +135,7 @@ def t7_evenly(spark, sf):
 
 def t8_nulls_last(spark, sf):
     rows = table(spark, sf, "orders").select(F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status"), "o_orderkey")
-    return rows.orderBy(*S.nulls_last("status", "o_orderkey")).limit(5000)
+    return rows.orderBy(*S.nulls_last("status", "o_orderkey"))
 
 
 def u1_union_distinct(spark, sf):
@@ -167,10 +167,10 @@ def u6_label_union(spark, sf):
 
 
 def j10_positional(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    p = W.ordinals(o.where("o_orderkey % 3 = 0").withColumn("g", F.col("o_orderkey") % 10), ["g"], ["o_orderkey"])
-    q = W.ordinals(o.where("o_orderkey % 3 = 1").withColumn("g", F.col("o_orderkey") % 10), ["g"], ["o_orderkey"])
-    return U.zipped(p, q, ["g", "ordinal"]).select(F.col("left.o_orderkey").alias("left_key"), F.col("right.o_orderkey").alias("right_key"))
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    by_key = W.ordinals(o, ["o_custkey"], ["o_orderkey"])
+    by_price = W.ordinals(o, ["o_custkey"], ["o_totalprice", "o_orderkey"])
+    return U.zipped(by_key, by_price, ["o_custkey", "ordinal"]).select(F.col("left.o_orderkey").alias("left_key"), F.col("right.o_orderkey").alias("right_key"))
 
 
 def j11_consistency(spark, sf):
@@ -180,9 +180,10 @@ def j11_consistency(spark, sf):
 
 
 def j12_snapshot_diff(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("payload"))
-    new = o.where("o_orderkey % 17 <> 0").select("o_orderkey", F.when(F.col("o_orderkey") % 19 == 0, "Z").otherwise(F.col("payload")).alias("payload"))
-    return U.snapshot_diff(o, new, ["o_orderkey"], "payload").select("o_orderkey", "change")
+    o = table(spark, sf, "orders")
+    old = o.select("o_orderkey", F.col("o_orderstatus").alias("payload"))
+    new = o.where("o_orderstatus <> 'P'").select("o_orderkey", F.when(F.col("o_orderpriority") == "1-URGENT", "Z").otherwise(F.col("o_orderstatus")).alias("payload"))
+    return U.snapshot_diff(old, new, ["o_orderkey"], "payload").select("o_orderkey", "change")
 
 
 def j1_equi_graph(spark, sf):
@@ -317,7 +318,7 @@ SELECT o_orderkey, 'final' AS sample_class FROM a UNION ALL SELECT o_orderkey, '
     ),
     "t6_first_n": Query(t6_first_n, "SELECT s_suppkey, s_name FROM supplier ORDER BY s_suppkey LIMIT 10"),
     "t7_evenly": Query(t7_evenly, "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 7 = 0"),
-    "t8_nulls_last": Query(t8_nulls_last, "SELECT CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS status, o_orderkey FROM orders ORDER BY status NULLS LAST, o_orderkey LIMIT 5000"),
+    "t8_nulls_last": Query(t8_nulls_last, "SELECT CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS status, o_orderkey FROM orders ORDER BY status NULLS LAST, o_orderkey"),
     "u1_union_distinct": Query(u1_union_distinct, "SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R' UNION SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linestatus = 'F'"),
     "u2_intersection": Query(u2_intersection, "SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'"),
     "u3_missing": Query(u3_missing, "SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders"),
@@ -326,14 +327,14 @@ SELECT o_orderkey, 'final' AS sample_class FROM a UNION ALL SELECT o_orderkey, '
     "u6_label_union": Query(u6_label_union, "SELECT o_custkey, string_agg(x, '' ORDER BY x) AS labels FROM (SELECT o_custkey, o_orderstatus AS x FROM orders UNION SELECT o_custkey, o_orderpriority[1:1] FROM orders) GROUP BY 1"),
     "j10_positional": Query(
         j10_positional,
-        """WITH p AS (SELECT o_orderkey, o_orderkey % 10 AS g, row_number() OVER (PARTITION BY o_orderkey % 10 ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 3 = 0), q AS (SELECT o_orderkey, o_orderkey % 10 AS g, row_number() OVER (PARTITION BY o_orderkey % 10 ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 3 = 1)
-SELECT p.o_orderkey AS left_key, q.o_orderkey AS right_key FROM p FULL JOIN q USING (g, n)""",
+        """WITH p AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders), q AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS n FROM orders)
+SELECT p.o_orderkey AS left_key, q.o_orderkey AS right_key FROM p FULL JOIN q USING (o_custkey, n)""",
     ),
     "j11_consistency": Query(
         j11_consistency,
         "SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 11 = 0 AND o_orderstatus <> 'X' THEN 'o_orderstatus' END, CASE WHEN o_orderkey % 13 = 0 THEN 'o_custkey' END], lambda x: x IS NOT NULL), ',') AS fields FROM orders WHERE (o_orderkey % 11 = 0 AND o_orderstatus <> 'X') OR o_orderkey % 13 = 0",
     ),
-    "j12_snapshot_diff": Query(j12_snapshot_diff, "SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN 'removed' ELSE 'changed' END AS change FROM orders WHERE o_orderkey % 17 = 0 OR o_orderkey % 19 = 0"),
+    "j12_snapshot_diff": Query(j12_snapshot_diff, "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'removed' ELSE 'changed' END AS change FROM orders WHERE o_orderstatus = 'P' OR o_orderpriority = '1-URGENT'"),
     "j1_equi_graph": Query(j1_equi_graph, _GRAPH + "SELECT id AS s_suppkey, component FROM labelled"),
     "g3_graph_verdict": Query(g3_graph_verdict, _GRAPH + "SELECT CASE WHEN bool_or(x = 3) THEN 'SPANNING' ELSE 'MOAT' END AS verdict FROM (SELECT component, bit_or(CASE s_nationkey WHEN 3 THEN 1 WHEN 7 THEN 2 ELSE 0 END) AS x FROM labelled JOIN supplier ON s_suppkey = id GROUP BY component)"),
     "g1_customer_components": Query(
