@@ -33,6 +33,8 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+(?![A-Za-z0-9_/+@.-])",
 }
+#: What every text with a match for secret holds.
+SECRET_RUN = r"[A-Za-z0-9_/+-]{20}"
 #: Fixed values of the gazetteers: countries that issue IBANs, names and prefixes of secrets, words before personal numbers.
 IBAN_COUNTRIES = ["AT", "BE", "CH", "CZ", "DE", "DK", "ES", "FI", "FR", "GB", "IE", "IT", "LU", "NL", "NO", "PL", "PT", "SE"]
 SECRET_NAMES = r"(?i)(?:token|secret|key|password|passwd|pwd|auth|bearer|credential)s?[\x22'\x20:=]*$"
@@ -76,6 +78,8 @@ def _needs(text: Column, kind: str) -> Column:
         return F.contains(text, F.lit("@"))
     if kind == "phone":
         return F.contains(text, F.lit("+"))
+    if kind == "secret":
+        return F.col("has_run")
     return F.col("has_digit")
 
 
@@ -100,7 +104,14 @@ def _matches(text: Column, kind: str) -> Column:
 
 
 def _marked(docs: DataFrame, text: str) -> DataFrame:
-    return docs.withColumn("pii_text", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("has_digit", F.col("pii_text").rlike("[0-9]"))
+    """With the text and what the patterns need of it: ip, card, iban and ssn a digit, secret a long run."""
+    t = F.col("pii_text")
+    return docs.withColumn("pii_text", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumns({"has_digit": t.rlike("[0-9]"), "has_run": t.rlike(SECRET_RUN)})
+
+
+def _proposes() -> Column:
+    """Holds for every text with a proposal."""
+    return F.col("has_digit") | F.col("has_run")
 
 
 def _votes(c: Column) -> list[Column]:
@@ -176,7 +187,7 @@ def reliabilities(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def train(docs: DataFrame, text: str = "text") -> dict[tuple[int, int], float]:
     """Weights of the span classifier by (feature, value); (-1, 0) is the bias.  A few dozen rows are collected."""
-    rows = _marked(docs.select(text), text).where(F.col("has_digit"))
+    rows = _marked(docs.select(text), text).where(_proposes())
     cells = rows.select(F.explode(_proposals(F.col("pii_text"))).alias("c")).groupBy("c.votes", "c.features").agg(F.count(F.lit(1)).alias("n"))
     told = reliabilities(cells).select(F.explode("cells").alias("c"))
     spread = told.select((F.col("c.n") * F.col("c.q")).alias("yes"), (F.col("c.n") * (1 - F.col("c.q"))).alias("no"), F.posexplode("c.features").alias("feature", "value"))
@@ -204,8 +215,8 @@ def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
     table = F.create_map(*[F.lit(x) for (f, v), w in weights.items() if f >= 0 for x in (f * 100 + v, w)])
     score = lambda c: F.aggregate(F.transform(c["features"], lambda v, i: F.coalesce(F.element_at(table, i * 100 + v), F.lit(0.0))), F.lit(float(weights[-1, 0])), lambda a, x: a + x)
     clear = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    added = F.when(F.col("has_digit"), F.transform(F.filter(_proposals(t), lambda c: (score(c) > 0) & clear(c)), plain)).otherwise(F.col("base"))
-    return rows.select(*keep, "pii_text", "has_digit", "base", added.alias("added")).select(*keep, "base", F.when(F.col("has_digit") & (F.size("added") > 0), F.array_sort(F.concat("base", "added"))).otherwise(F.col("base")).alias("spans"))
+    added = F.when(_proposes(), F.transform(F.filter(_proposals(t), lambda c: (score(c) > 0) & clear(c)), plain)).otherwise(F.col("base"))
+    return rows.select(*keep, "has_digit", "has_run", "base", added.alias("added")).select(*keep, "base", F.when(_proposes() & (F.size("added") > 0), F.array_sort(F.concat("base", "added"))).otherwise(F.col("base")).alias("spans"))
 
 
 def listed(spans: Column) -> Column:

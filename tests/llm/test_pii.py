@@ -80,3 +80,15 @@ def test_patterns_compile_in_the_engine(spark, kind):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(F.lit("abc 1").rlike(pii.PATTERNS[kind]).alias("x")).first().x is False
+
+
+def test_secrets_without_a_digit_are_added(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    secrets = ["sk-" + letters[i:] + letters[:i] for i in range(26)]
+    texts = [f"key = {s}" for s in secrets] + [f"in 7 lines key = {s}" for s in secrets] + [f"the word {x * 24} is long" for x in letters]
+    got = {r.doc_id: r for r in pii.find(documents(spark, texts)).collect()}
+    found = {i: [texts[i][s.start : s.end] for s in r.spans if s.kind == "secret"] for i, r in got.items()}
+    for i, s in enumerate(secrets):
+        assert found[i] == found[i + 26] == [s]
+    assert not any(found[i] for i in range(52, 78))
+    assert not any(pii.find(documents(spark, texts[52:])).first().spans)
