@@ -11,6 +11,10 @@ rows of their own, which join the bucket's answer by the string's 128-bit digest
 of all documents share meets no task as a whole (the join can be split).  A slice's strings travel as one
 compressed row per bucket.
 
+The number of buckets follows the bytes of text.  A bucket above ``HOT_WORDS`` words (a minimiser met in very
+many contexts) isn't held: its windows leave it one slice's row at a time, as rows of their own with their
+words, and meet in an aggregation and a join by these words, which may spill and be split.
+
 Defined cases: null texts have no words; a null id is neither smaller nor larger than others and loses no
 words; rows that repeat an id belong to one document, each with its own words; shorter texts than a window
 lose none; an empty table gives no rows; extra columns are ignored.
@@ -35,6 +39,10 @@ SEED_WORDS = 3
 #: Characters of text whose strings are packed together.
 SLICE = 8_000_000
 FEW = 16
+#: Bytes of text per bucket; a bucket then holds about 2.6 million words of strings.
+BUCKET_BYTES = 6_000_000
+#: Words of strings that a task holds of one bucket.
+HOT_WORDS = 6_000_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 _M_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
@@ -112,8 +120,8 @@ def _unpack(blob: bytes, n: int) -> list[bytes]:
     return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _packed_slice(ids: list[int], tags: list[int], texts: list[str], buckets: int, width: int) -> Iterator[tuple[str, int, bytes, bytes]]:
-    """Rows (kind, bucket, digest, blob): 'strings' of a bucket, or the 'places' of a frequent string."""
+def _packed_slice(ids: list[int], tags: list[int], texts: list[str], buckets: int, width: int) -> Iterator[tuple[str, int, bytes, bytes, int]]:
+    """Rows (kind, bucket, digest, blob, number of words): 'strings' of a bucket, or the 'places' of a frequent string."""
     words: list[bytes] = []
     lengths = np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
@@ -147,14 +155,14 @@ def _packed_slice(ids: list[int], tags: list[int], texts: list[str], buckets: in
     for k in np.flatnonzero(many).tolist():
         at = slice(began[k], began[k] + count[k])
         digest = xxhash.xxh3_128_digest(distinct[k])
-        yield "places", int.from_bytes(digest[:6], "little") % buckets, digest, _pack(doc_ids[doc[at]], doc_tags[doc[at]].astype("<i4"), place[at].astype("<i4"))
+        yield "places", int.from_bytes(digest[:6], "little") % buckets, digest, _pack(doc_ids[doc[at]], doc_tags[doc[at]].astype("<i4"), place[at].astype("<i4")), 0
     by = np.argsort(bucket, kind="stable")
     first = np.flatnonzero(np.r_[True, bucket[by][1:] != bucket[by][:-1]])
     for a, b in zip(first.tolist(), [*first[1:].tolist(), len(by)], strict=True):
         ks = by[a:b]
         kept = np.where(many[ks], 0, count[ks])
         at = np.repeat(began[ks] - np.cumsum(kept) + kept, kept) + np.arange(kept.sum())
-        yield "strings", int(bucket[ks[0]]), b"", _pack(b" ".join([distinct[k] for k in ks.tolist()]), n_words[ks].astype("<i4"), kept.astype("<i4"), smallest[ks[kept == 0]], np.diff(doc_ids[doc[at]], prepend=0), doc_tags[doc[at]].astype("<i4"), place[at].astype("<i4"))
+        yield "strings", int(bucket[ks[0]]), b"", _pack(b" ".join([distinct[k] for k in ks.tolist()]), n_words[ks].astype("<i4"), kept.astype("<i4"), smallest[ks[kept == 0]], np.diff(doc_ids[doc[at]], prepend=0), doc_tags[doc[at]].astype("<i4"), place[at].astype("<i4")), int(n_words[ks].sum())
 
 
 def _windows_to_rows(doc_id: np.ndarray, tag: np.ndarray, start: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
@@ -185,22 +193,89 @@ def _exact_groups(ids: np.ndarray, at: np.ndarray, hashes: np.ndarray, width: in
     return order, np.flatnonzero(np.r_[True, differ])
 
 
+def _strings(blob: bytes) -> tuple[bytes, list[bytes], list[np.ndarray]]:
+    """The text of one 'strings' row, its words, and (n_words, kept, alone, doc_id, tag, place)."""
+    text, *arrays = _unpack(blob, 7)
+    n, kept, alone, doc_id, tag, place = (np.frombuffer(x, t).astype(np.int64) for x, t in zip(arrays, ("<i4", "<i4", "<i8", "<i8", "<i4", "<i4"), strict=True))
+    return text, text.split(), [n, kept, alone, np.cumsum(doc_id), tag, place]
+
+
+def _digests(words: list[bytes], n: np.ndarray, kept: np.ndarray) -> list[bytes]:
+    """Digests of the strings whose places wait elsewhere."""
+    ends = np.cumsum(n)
+    return [xxhash.xxh3_128_digest(b" ".join(words[ends[k] - n[k] : ends[k]])) for k in np.flatnonzero(kept == 0).tolist()]
+
+
+def _split(blob: bytes, width: int) -> Iterator[pa.RecordBatch]:
+    """Rows ('window', smallest document, null, words, owners), one per distinct window of a 'strings' row."""
+    text, words, (n, kept, alone, doc_id, tag, place) = _strings(blob)
+    digests = np.frombuffer(b"".join(_digests(words, n, kept)), "V16")
+    word_end = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    word_start = np.r_[0, word_end[:-1] + 1]
+    windows = n - width + 1
+    first_window = np.cumsum(windows) - windows
+    owner = np.repeat(np.arange(len(n)), windows)
+    offset = np.arange(len(owner)) - first_window[owner]
+    at = (np.cumsum(n) - n)[owner] + offset
+    known = _Numbers()
+    number = np.fromiter((known[text[a:b]] for a, b in zip(word_start[at].tolist(), word_end[at + width - 1].tolist(), strict=True)), dtype=np.int64, count=len(at))
+    # the places that came along, and the strings whose places wait elsewhere, both by window
+    string = np.repeat(np.arange(len(n)), kept)
+    of = np.repeat(np.arange(len(string)), windows[string])
+    inner = np.arange(len(of)) - np.repeat(np.cumsum(windows[string]) - windows[string], windows[string])
+    direct = number[first_window[string[of]] + inner]
+    order = np.argsort(direct, kind="stable")
+    direct, doc_id, tag, start = direct[order], doc_id[of][order], tag[of][order].astype("<i4"), (place[of] + inner)[order].astype("<i4")
+    late = np.flatnonzero(kept[owner] == 0)
+    late = late[np.argsort(number[late], kind="stable")]
+    which = (np.cumsum(kept == 0) - 1)[owner[late]]
+    smallest = np.full(len(known), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, direct, doc_id)
+    np.minimum.at(smallest, number[late], alone[which])
+    a, b = np.searchsorted(direct, np.arange(len(known) + 1)).tolist(), np.searchsorted(number[late], np.arange(len(known) + 1)).tolist()
+    digests, offset = digests[which], offset[late].astype("<i4")
+    texts = list(known)
+    for lo in range(0, len(texts), 10_000):
+        ks = range(lo, min(lo + 10_000, len(texts)))
+        owners = [b"".join(x.tobytes() for x in (np.array([a[k + 1] - a[k]], "<i8"), doc_id[a[k] : a[k + 1]], tag[a[k] : a[k + 1]], start[a[k] : a[k + 1]], digests[b[k] : b[k + 1]], offset[b[k] : b[k + 1]])) for k in ks]
+        yield pa.RecordBatch.from_arrays([pa.array(["window"] * len(ks)), pa.array(smallest[lo : ks.stop]), pa.nulls(len(ks), pa.int64()), pa.array(texts[lo : ks.stop], pa.binary()), pa.array(owners, pa.binary())], _OUT)
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (owners of a window, its smallest document): rows of the kinds of :func:`_bucket`."""
+    for batch in batches:
+        gone: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
+        digests: list[bytes] = []
+        answers: list[bytes] = []
+        for blob, least in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            n = int.from_bytes(blob[:8], "little")
+            doc_id = np.frombuffer(blob, "<i8", n, 8)
+            larger = least < doc_id
+            if larger.any():
+                for x, y in zip(gone, (doc_id, np.frombuffer(blob, "<i4", n, 8 + 8 * n), np.frombuffer(blob, "<i4", n, 8 + 12 * n)), strict=True):
+                    x.append(y[larger].astype(np.int64))
+            at = 8 + 16 * n
+            late = (len(blob) - at) // 20
+            for k in range(late):
+                digests.append(blob[at + 16 * k : at + 16 * k + 16])
+                answers.append(np.array([int.from_bytes(blob[at + 16 * late + 4 * k : at + 16 * late + 4 * k + 4], "little"), least], np.int64).tobytes())
+        d, t, s = _windows_to_rows(*map(np.concatenate, gone))
+        yield pa.RecordBatch.from_arrays([pa.array(["windows"] * len(d), pa.string()), d, t, pa.nulls(len(d), pa.binary()), s], _OUT)
+        yield pa.RecordBatch.from_arrays([pa.array(["answer"] * len(digests), pa.string()), pa.nulls(len(digests), pa.int64()), pa.nulls(len(digests), pa.int64()), pa.array(digests, pa.binary()), pa.array(answers, pa.binary())], _OUT)
+
+
 def _bucket(blobs: list[bytes], width: int) -> Iterator[pa.RecordBatch]:
-    """Rows ('windows', doc_id, tag, null, starts) to remove, and ('answer', null, null, digest, smallest documents)."""
+    """Rows ('windows', doc_id, tag, null, starts) to remove, and ('answer', null, null, digest, a first window and the smallest documents from it on)."""
     known = _Numbers()
     columns: list[list[np.ndarray]] = [[] for _ in range(7)]
     digests: list[bytes] = []
     for blob in blobs:  # one slice's words at a time; what stays of them are numbers
-        text, *arrays = _unpack(blob, 7)
-        words = text.split()
+        _, words, arrays = _strings(blob)
         columns[0].append(np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words)))
-        for k, (x, t) in enumerate(zip(arrays, ("<i4", "<i4", "<i8", "<i8", "<i4", "<i4"), strict=True), 1):
-            columns[k].append(np.frombuffer(x, t).astype(np.int64))
-        ends = np.cumsum(columns[1][-1])
-        for k in np.flatnonzero(columns[2][-1] == 0).tolist():
-            digests.append(xxhash.xxh3_128_digest(b" ".join(words[ends[k] - columns[1][-1][k] : ends[k]])))
-        columns[4][-1] = np.cumsum(columns[4][-1])
-        del text, words
+        for k, x in enumerate(arrays, 1):
+            columns[k].append(x)
+        digests += _digests(words, *arrays[:2])
+        del words
     ids, n, kept, alone, doc_id, tag, place = (np.concatenate(c) for c in columns)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), dtype=np.uint64, count=len(known))
     del known, columns
@@ -230,7 +305,7 @@ def _bucket(blobs: list[bytes], width: int) -> Iterator[pa.RecordBatch]:
         answers: dict[bytes, bytes] = {}
         for digest, k in zip(digests, many.tolist(), strict=True):
             if digest not in answers:
-                answers[digest] = least[first_window[k] : first_window[k] + int(n[k]) - width + 1].tobytes()
+                answers[digest] = np.r_[0, least[first_window[k] : first_window[k] + int(n[k]) - width + 1]].tobytes()
         yield pa.RecordBatch.from_arrays([pa.array(["answer"] * len(answers)), pa.nulls(len(answers), pa.int64()), pa.nulls(len(answers), pa.int64()), pa.array(list(answers), pa.binary()), pa.array(list(answers.values()), pa.binary())], _OUT)
 
 
@@ -254,10 +329,17 @@ def _tag(text: Column) -> Column:
     return F.shiftright(F.xxhash64(text.cast("string")), 32)
 
 
-def repeated_windows(docs: DataFrame, width: int = WIDTH, buckets: int | None = None) -> DataFrame:
+def bucket_count(text_bytes: int, partitions: int) -> int:
+    return max(64, 2 * partitions, -(-text_bytes // BUCKET_BYTES))
+
+
+def repeated_windows(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, hot: int | None = None) -> DataFrame:
     """(doc_id, tag, starts): binary int32 arrays of the windows to remove, several rows per document."""
     spark = session(docs)
-    buckets = buckets or max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    hot = HOT_WORDS if hot is None else hot
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), _tag(F.col("text")).alias("tag"), F.col("text").cast("string"))
+    if buckets is None:
+        buckets = bucket_count(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, tags, texts, size = [], [], [], 0
@@ -265,8 +347,8 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, buckets: int | None =
         def out() -> Iterator[pa.RecordBatch]:
             rows = list(_packed_slice(ids, tags, texts, buckets, width))
             for a in range(0, len(rows), 100):
-                kind, bucket, digest, blob = zip(*rows[a : a + 100], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(bucket, pa.int64()), pa.array(digest, pa.binary()), pa.array(blob, pa.binary())], ["kind", "bucket", "digest", "blob"])
+                kind, bucket, digest, blob, words = zip(*rows[a : a + 100], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(bucket, pa.int64()), pa.array(digest, pa.binary()), pa.array(blob, pa.binary()), pa.array(words, pa.int64())], ["kind", "bucket", "digest", "blob", "words"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
@@ -283,17 +365,22 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, buckets: int | None =
             yield from out()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, blobs = None, []
+        held, blobs, size = None, [], 0
         for batch in batches:
-            for kind, bucket, digest, blob in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            for kind, bucket, digest, blob, words in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
                 if kind == "places":
                     yield pa.RecordBatch.from_arrays([pa.array(["places"]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([digest], pa.binary()), pa.array([blob], pa.binary())], _OUT)
                     continue
-                if bucket != held and blobs:
-                    yield from _bucket(blobs, width)
-                    blobs = []
-                held = bucket
+                if bucket != held:
+                    if blobs:
+                        yield from _bucket(blobs, width)
+                    held, blobs, size = bucket, [], 0
                 blobs.append(blob)
+                size += words
+                if size > hot:  # this bucket's rows go one at a time from here on
+                    for x in blobs:
+                        yield from _split(x, width)
+                    blobs = []
         if blobs:
             yield from _bucket(blobs, width)
 
@@ -301,20 +388,26 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, buckets: int | None =
         for batch in batches:
             for blob, answer in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 doc_id, tag, place = (np.frombuffer(x, t).astype(np.int64) for x, t in zip(_unpack(blob, 3), ("<i8", "<i4", "<i4"), strict=True))
-                least = np.frombuffer(answer, np.int64)
+                from_, least = int(np.frombuffer(answer, np.int64, 1)[0]), np.frombuffer(answer, np.int64, offset=8)
                 of, inner = np.nonzero(least[None, :] < doc_id[:, None])
                 if len(of):
-                    yield pa.RecordBatch.from_arrays(list(_windows_to_rows(doc_id[of], tag[of], place[of] + inner)), ["doc_id", "tag", "starts"])
+                    yield pa.RecordBatch.from_arrays(list(_windows_to_rows(doc_id[of], tag[of], place[of] + from_ + inner)), ["doc_id", "tag", "starts"])
 
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), _tag(F.col("text")).alias("tag"), F.col("text").cast("string"))
-    packed = rows.mapInArrow(pack, "kind string, bucket long, digest binary, blob binary")
+    packed = rows.mapInArrow(pack, "kind string, bucket long, digest binary, blob binary, words long")
     counted = packed.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(count, "kind string, doc_id long, tag long, digest binary, blob binary")
     with _small_batches(spark):  # rows hold whole compressed slices
         found = cut(counted)
     waiting = found.where("kind = 'places'").select("digest", "blob")
     answers = found.where("kind = 'answer'").select("digest", F.col("blob").alias("answer"))
+    done = found.where("kind = 'windows'")
+    hot_windows = found.where("kind = 'window'").select(F.col("doc_id").alias("smallest"), F.col("digest").alias("window"), "blob")
+    if not hot_windows.isEmpty():
+        least = hot_windows.groupBy("window").agg(F.min("smallest").alias("least"))
+        settled = cut(hot_windows.join(least, "window").select("blob", "least").mapInArrow(_settled, "kind string, doc_id long, tag long, digest binary, blob binary"))
+        done = done.union(settled.where("kind = 'windows'"))
+        answers = answers.union(settled.where("kind = 'answer'").select("digest", F.col("blob").alias("answer")).distinct())
     late = waiting.join(answers, "digest").select("blob", "answer").mapInArrow(places, "doc_id long, tag long, starts binary")
-    return found.where("kind = 'windows'").select("doc_id", "tag", F.col("blob").alias("starts")).union(late)
+    return done.select("doc_id", "tag", F.col("blob").alias("starts")).union(late)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

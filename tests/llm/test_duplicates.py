@@ -54,6 +54,39 @@ def test_superkmers_with_frequent_strings_and_repeated_ids(spark, monkeypatch):
     assert all(r.n_removed == (0 if r.doc_id in (0, None) else 17) for r in rows) and len(rows) == 41
 
 
+def hot_texts():
+    """A frequent piece in many contexts, and a passage that more than FEW documents share exactly."""
+    rng = np.random.default_rng(8)
+    pool = [f"w{i}" for i in range(60)]
+    passage = " ".join(rng.choice(pool, 30))
+    texts = [" ".join([*rng.choice(pool, 20), "of the hot piece", *rng.choice(pool, 20)]) for _ in range(60)]
+    texts += ["of the hot piece " * 8 + " ".join(rng.choice(pool, k % 7)) for k in range(40)] + [passage] * 40
+    return texts + some_texts(60)
+
+
+def test_superkmers_split_hot_buckets(spark, monkeypatch):
+    texts = hot_texts()
+    docs = documents(spark, texts).repartition(3)
+    first = {}
+    for i, t in enumerate(texts):
+        w = words(t)
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), i)
+    for hot in (0, 100, 300):
+        monkeypatch.setattr(superkmers, "HOT_WORDS", hot)
+        got = {r.doc_id: r for r in superkmers.remove_repeats(docs).collect()}
+        assert len(got) == len(texts)
+        for i, t in enumerate(texts):
+            w = words(t)
+            gone = {k + x for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for x in range(13)}
+            assert (got[i].n_removed, got[i].kept_text) == (len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)), (hot, i)
+
+
+def test_superkmer_buckets_follow_the_input():
+    assert superkmers.bucket_count(0, 4) == 64 and superkmers.bucket_count(500_000_000, 51) == 102
+    assert superkmers.bucket_count(30_000_000_000, 51) == 5000
+
+
 def test_equal_hashes_are_told_apart_by_words():
     ids = np.array([0, 1, 2, 0, 1, 3, 0, 1, 2])
     at = np.array([0, 3, 6])
