@@ -63,6 +63,68 @@ def test_bundle_statuses(spark):
     assert reports["span"]["status"] == "SPAN_PROOF_PASS" and reports["span"]["errors"] == []
 
 
+AUDIT = {"status": "PASS", "sample_count": 600, "manifest": {"k_sq": 36, "region": "full-octant"}, "quotas": {"geo_I": 3, "body": 5}, "class_counts": {"geo_I": 3, "body": 5}}
+CENSUS = {"i_only_components": 1, "o_only_components": 0, "i_and_o_components": 2, "largest_component_sizes": [5, {"size": 3}], "largest_boundary_touching_components": [{"tile_count": 2}]}
+ARTIFACT = {"sha256": "0" * 64, "size_bytes": 3, "schema_version": 1}
+PROFILE_ROW = {"row__row_class": "profile", "bz__k_sq": 36, "bz__r_inner": 100, "bz__r_outer": 500, "bz__width": 400, "bz__region": "full-octant"}
+POINTS = {"points": PATH["path"], "binding": {"commit": "a", "grid_hash": "1", "mr_witness_hash": "3"}}
+
+
+def audited(**change):
+    return bundle(sample_audit={k: v for k, v in (AUDIT | change).items() if v is not None})
+
+
+def census(**change):
+    return bundle(profile__stats_v2={"component_census": {k: v for k, v in (CENSUS | change).items() if v is not None}})
+
+
+REFERENCE_CASES = {
+    "audit": (audited(), "TILE_SAMPLE_AUDIT_PASS"),
+    "audit absent": (audited(present=False, status="FAIL"), "RUN_CONTRACT_PASS"),
+    "below quota": (audited(class_counts={"geo_I": 2, "body": 5}), "REJECT"),
+    "class without count": (audited(class_counts={"geo_I": 3}), "REJECT"),
+    "exhausted class": (audited(class_counts={"geo_I": 2, "body": 5}, population_exhausted={"geo_I": True}), "TILE_SAMPLE_AUDIT_PASS"),
+    "exhausted in the plan": (audited(class_counts={"geo_I": 2, "body": 5}, manifest={"sample_plan": {"quota_status": {"geo_I": {"population_exhausted": True}}}}), "TILE_SAMPLE_AUDIT_PASS"),
+    "other class exhausted": (audited(class_counts={"geo_I": 2, "body": 5}, population_exhaustion={"body": {"population_exhausted": True}}), "REJECT"),
+    "few but all exhausted": (audited(sample_count=8, population_exhausted={"geo_I": True, "body": True}), "TILE_SAMPLE_AUDIT_PASS"),
+    "few, one exhausted": (audited(sample_count=8, population_exhausted={"geo_I": True}), "REJECT"),
+    "no manifest": (audited(manifest=None), "REJECT"),
+    "other manifest": (audited(manifest={"radii": {"k_sq": 35}}), "REJECT"),
+    "quota as text": (audited(quotas={"geo_I": "3"}), "REJECT"),
+    "no class_counts": (audited(class_counts=None), "REJECT"),
+    "census": (census(), "RUN_CONTRACT_PASS"),
+    "census counter missing": (census(o_only_components=None), "REJECT"),
+    "census counter negative": (census(i_only_components=-1), "REJECT"),
+    "census sizes": (census(largest_component_sizes=[{"name": "x"}]), "REJECT"),
+    "census boundary sizes": (census(largest_boundary_touching_components=5), "REJECT"),
+    "stats counter": (bundle(profile__stats_v2={"geo_o_tiles": "x"}), "REJECT"),
+    "stats list": (bundle(profile__stats_v2=[1]), "REJECT"),
+    "snapshot hash": (bundle(profile__stats_v2={"snapshot_sha256": "abc"}), "REJECT"),
+    "artifact object": (bundle(**PROFILE_ROW, artifacts={"log": ARTIFACT}), "RUN_CONTRACT_PASS"),
+    "artifact object without hash": (bundle(**PROFILE_ROW, artifacts={"log": {"size": 3, "schema_version": 1}}), "REJECT"),
+    "sizes differ": (bundle(artifacts={"log": ARTIFACT | {"size": 4}}), "REJECT"),
+    "artifact table is a number": (bundle(artifacts=5), "REJECT"),
+    "ledger": (bundle(artifact_ledger={"log": "a/b", "x": {"sha256": "0" * 64}}), "RUN_CONTRACT_PASS"),
+    "bad ledger": (bundle(profile__artifact_hash_ledger=[{"path": "a", "sha256": "0"}]), "REJECT"),
+    "points": (bundle(**SMALL_ROW, span_certificate=POINTS), "SPAN_PROOF_PASS"),
+    "points in the table": (bundle(**SMALL_ROW, span_certificate=POINTS, artifacts={"span_certificate": ARTIFACT}), "SPAN_PROOF_PASS"),
+    "points not in the table": (bundle(**SMALL_ROW, span_certificate=POINTS, artifacts={"log": ARTIFACT}), "REJECT"),
+    "other binding": (bundle(**SMALL_ROW, span_certificate=POINTS | {"binding": {"grid_hash": "9"}}), "REJECT"),
+    "other command": (bundle(**SMALL_ROW, profile__command="run a", span_certificate=POINTS | {"binding": {"command": ["run", "b"]}}), "REJECT"),
+    "same command": (bundle(**SMALL_ROW, profile__command="run a", span_certificate=POINTS | {"binding": {"command": ["run", "a"]}}), "SPAN_PROOF_PASS"),
+    "other row": (bundle(**SMALL_ROW, span_certificate=POINTS | {"k_sq": 15}), "REJECT"),
+    "point as text": (bundle(**SMALL_ROW, span_certificate={"points": [*PATH["path"][:1], {"a": "x", "b": 5}, *PATH["path"][1:]]}), "REJECT"),
+    "certificate absent": (bundle(**SMALL_ROW, span_certificate=POINTS | {"present": False}), "RUN_CONTRACT_PASS"),
+}
+
+
+def test_bundles_of_the_reference_shape(spark):
+    df = spark.createDataFrame([(n, b) for n, (b, _) in REFERENCE_CASES.items()], "bundle_id string, bundle string")
+    proofs = trace.check_points(contract.certificate_points(df)).select(F.col("claim_id").alias("bundle_id"), "ok")
+    got = {r.bundle_id: r for r in contract.checked(df, proofs).collect()}
+    assert {n: r.status for n, r in got.items()} == {n: s for n, (_, s) in REFERENCE_CASES.items()}, {n: r.errors for n, r in got.items() if r.status != REFERENCE_CASES[n][1]}
+
+
 def test_sweep_rows_from_old_and_new_profiles(spark):
     new = {"radii": {"k_sq": 36, "r_inner": 100, "r_outer": "500"}, "verdict": "MOAT", "overflow_counters": {"a": 1, "b": {"c": 2}, "d": "7", "e": True}, "stats_v2": {"histograms": {"group_counts": {"1": 2}}, "geo_I": {"port_population": 9}}, "timings_seconds": {"total": 1.5}}
     old = {"k_sq": 34, "width": 5, "r_inner": 1.5, "total_time_seconds": 2, "bz_clean": True, "git_commit": "x"}
