@@ -6,7 +6,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from latticeflow.lineage import cut, shared_folder  # noqa: F401
@@ -20,6 +20,21 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def shelved(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with the columns that an operator doesn't use under names that can't clash with its own, and the way back."""
+    names = {c: c if c in used else f"shelved_{i}_" for i, c in enumerate(docs.columns)}
+    back = lambda df: df.select(*[F.col(f"`{n}`").alias(c) for c, n in names.items()])
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), back
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with underscores appended until no column has it (Spark's names ignore case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def session(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
@@ -77,3 +92,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.join(F.broadcast(picked), "doc_id")
+
+
+class Replayed:
+    """Rows of a sample in a fixed order, to go through as often as wanted; the driver holds one partition of them at a time."""
+
+    def __init__(self, sample: DataFrame, order: list[str | Column], row: Callable[[Row], tuple]):
+        self.rows, self.row = cut(sample.orderBy(*order)), row
+
+    def __iter__(self) -> Iterator[tuple]:
+        return map(self.row, self.rows.toLocalIterator())
