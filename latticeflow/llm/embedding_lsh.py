@@ -1,20 +1,29 @@
 """Embedding near-duplicates: cross-polytope hashing after fast Hadamard rotations.
 
-Vectors of one label that are equal bit by bit form a class with a weight.  A class is hashed ``k`` times in
-each of several tables: three rounds of sign flips and fast Hadamard transforms, then the axis nearest to
-the rotated vector.  It is stored in its table's bucket and, as a probe, in the buckets where one of its
-axes is the second nearest.  Pairs that meet are verified by cosine in double precision.
+Vectors of one label that are equal bit by bit form a class, known by a 128-bit digest.  A class is hashed
+``k`` times in each of several tables: three rounds of sign flips and fast Hadamard transforms, then the axis
+nearest to the rotated vector.  It stands in its table's bucket and, as a probe, in the buckets where one of
+its axes is the second nearest.  Pairs that meet are verified by cosine in double precision.
 
-A pair counts in one bucket only: the first table where it meets, there the bucket of the smaller key of the
-two possible ones.  A bucket emits one number of links per class and a spanning forest of its links, never its
-pairs.  Buckets above ``LARGE`` rows are cut into blocks, and pairs of blocks are compared in different tasks.
+Vectors travel late.  First only bucket keys and digests meet, each key once per batch of vectors, and tell
+which entries share a bucket with another class; most entries of unrelated vectors end there.  Only classes
+with company are gathered with their vectors, and only to the buckets where they have it.
 
-Recall at the threshold 0.98 in 64 dimensions: a hash agrees with a rate of 0.73, within one probe of 0.94;
-the number of tables follows from this so that a pair at the threshold is missed with a rate of ``MISS``.
+A pair counts in one bucket only: in the first table where it meets, and of two buckets there in that of the
+class with the smaller number.  A bucket emits one number of links per class and a spanning forest of its
+links, never its pairs.  Buckets above ``LARGE`` rows are cut into blocks, and pairs of blocks are compared in
+different tasks.
+
+The hashes to a table follow the number of vectors, so that an entry shares its bucket with ``COMPANY``
+unrelated ones on average at most.  Recall at the threshold 0.98 in 64 dimensions: a hash agrees with a rate
+of 0.73, within one probe of 0.94; the number of tables follows from this so that a pair at the threshold is
+missed with a rate of ``MISS``.
 
 Defined cases: null, empty or zero vectors, vectors with null, infinite or NaN components and null labels
 have no links, even to equal ones; vectors of different length don't link; a vector id on several rows
-makes several vectors; an empty table gives no rows; extra columns are ignored.
+makes several vectors, each with its own links; a vector with a null id links like any other, counts as a
+link and is never kept, and a component is named by the smallest id in it that isn't null (null if there is
+none); an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,15 +41,22 @@ from latticeflow.llm.common import cut
 from latticeflow.operators.components import components, roots
 
 THRESHOLD = 0.98
-MISS = 1e-5
+MISS = 1e-3
+COMPANY = 0.1
 LARGE = 4096
 #: Rates at which one hash of two vectors at the threshold agrees: nearest axes, and one's nearest with the other's second.
 AGREE, PROBED = 0.73, 0.21
+#: What an entry tells when keys meet: it is alone in its batch, it stands for several, it is known to have company.
+ALONE, SEVERAL, SURE = 0, 1, 2
 
 
 def hashes_for(n: int, dimension: int = 64) -> int:
-    """Hashes to a table, so that a bucket of unrelated vectors stays below about 64."""
-    return min(6, max(1, math.ceil(math.log(max(n, 2) / 64) / math.log(2 * dimension))))
+    """Hashes to a table, so that an entry meets ``COMPANY`` unrelated entries at most."""
+    size = 1 << max(1, (dimension - 1).bit_length())
+    k = 1
+    while n * (1 + k) > COMPANY * (2 * size) ** k:
+        k += 1
+    return k
 
 
 def tables_for(k: int, miss: float = MISS) -> int:
@@ -57,16 +73,15 @@ def _transform(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def signatures(x: np.ndarray, k: int, tables: int, seed: int = 11) -> np.ndarray:
-    """(rows, tables, 1 + k) bucket keys of unit vectors: the bucket, then the probes."""
+def axes(x: np.ndarray, k: int, tables: int, seed: int = 11) -> np.ndarray:
+    """(rows, tables, k, 2): the nearest and the second nearest signed axis of each rotation of unit vectors."""
     n, d = x.shape
     size = 1 << max(1, (d - 1).bit_length())
     padded = np.zeros((n, size))
     padded[:, :d] = x
     signs = np.random.default_rng([seed, size]).choice([-1.0, 1.0], size=(tables, k, 3, size))
-    out = np.zeros((n, tables, 1 + k), np.uint64)
+    near = np.zeros((n, tables, k, 2), np.uint32)
     for t in range(tables):
-        near = np.zeros((n, k, 2), np.uint64)
         for j in range(k):
             y = padded
             for r in range(3):
@@ -75,80 +90,165 @@ def signatures(x: np.ndarray, k: int, tables: int, seed: int = 11) -> np.ndarray
             first = a.argmax(1)
             a[np.arange(n), first] = -1
             both = np.stack([first, a.argmax(1)], 1)
-            near[:, j] = 2 * both + (np.take_along_axis(y, both, 1) > 0)
+            near[:, t, j] = 2 * both + (np.take_along_axis(y, both, 1) > 0)
+    return near
+
+
+def bucket_keys(near: np.ndarray, dimension: int) -> np.ndarray:
+    """(rows, tables, 1 + k) bucket keys: the bucket, then the probes."""
+    n, tables, k, _ = near.shape
+    out = np.zeros((n, tables, 1 + k), np.uint64)
+    for t in range(tables):
         for p in range(1 + k):
-            key = np.full(n, xxhash.xxh64_intdigest(f"{t}/{d}"), np.uint64)
+            key = np.full(n, xxhash.xxh64_intdigest(f"{t}/{dimension}"), np.uint64)
             for j in range(k):
-                key = (key ^ near[:, j, int(p == j + 1)]) * np.uint64(0x9E3779B97F4A7C15)
+                key = (key ^ near[:, t, j, int(p == j + 1)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(29)
             out[:, t, p] = key
     return out
 
 
-def _classes(rows: DataFrame) -> DataFrame:
-    """(vec_id, label, key, vector) of the vectors that can link; ``key`` identifies equal ones."""
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _able(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By length, of a batch (vec_id, embedding, label): rows that can link, their vectors, digests (two longs), label hashes."""
+    vectors, labels = batch.column(1), batch.column(2).to_pylist()
+    sizes = vectors.value_lengths().fill_null(0).to_numpy()
+    flat = vectors.flatten()
+    flat = flat.fill_null(float("nan")).to_numpy(zero_copy_only=False)
+    begin = np.cumsum(sizes) - sizes
+    labelled = np.array([x is not None for x in labels], bool)
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero((sizes == size) & labelled)
+        x = flat[begin[at][:, None] + np.arange(size)] + flat.dtype.type(0)
+        fine = np.isfinite(x).all(1) & x.any(1)
+        at, x = at[fine], x[fine]
+        if len(at):
+            marks = [str(labels[i]).encode("utf-8", "surrogatepass") for i in at.tolist()]
+            digests = b"".join(xxhash.xxh3_128_digest(x[i].tobytes() + m) for i, m in enumerate(marks))
+            yield at, x, np.frombuffer(digests, "<i8").reshape(-1, 2), np.array([xxhash.xxh64_intdigest(m) for m in marks], np.uint64)
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(vec_id, d1, d2) of every row; d2 is null for vectors that can't link, whose d1 only spreads them."""
+    for batch in batches:
+        found, has = np.zeros((batch.num_rows, 2), np.int64), np.zeros(batch.num_rows, bool)
+        found[:, 0] = np.arange(batch.num_rows)
+        for at, _, digest, _ in _able(batch):
+            found[at], has[at] = digest, True
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[:, 0]), pa.array(found[:, 1], mask=~has)], ["vec_id", "d1", "d2"])
+
+
+def _distinct(digest: np.ndarray) -> np.ndarray:
+    """Places of the first of each digest."""
+    order = np.lexsort((digest[:, 1], digest[:, 0]))
+    new = np.r_[True, (digest[order][1:] != digest[order][:-1]).any(1)]
+    return order[new]
+
+
+def _entries(k: int, tables: int):
+    """(deal, key, d1, head) of a batch's entries, at most one ``ALONE`` or ``SEVERAL`` per key, and ``SURE`` ones dealt anywhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, kept = [], []
-            for v, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                key = raw = None
-                if v and label is not None and None not in v:
-                    x = np.array(v, np.float64) + 0.0
-                    if np.isfinite(x).all() and x.any():
-                        raw = x.tobytes()
-                        key = xxhash.xxh3_128_digest(raw + str(label).encode())
-                keys.append(key)
-                kept.append(raw)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(kept, pa.binary())], ["vec_id", "label", "key", "vector"])
-
-    slim = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
-    return slim.mapInArrow(run, "vec_id long, label string, key binary, vector binary")
-
-
-def _signed(classes: DataFrame, k: int, tables: int) -> DataFrame:
+            for _, x, digest, label in _able(batch):
+                once = _distinct(digest)
+                for lo in range(0, len(once), 2000):
+                    some = once[lo : lo + 2000]
+                    key = (bucket_keys(axes(_unit(x[some]), k, tables), x.shape[1]) ^ label[some][:, None, None]).reshape(-1)
+                    pos = np.tile(np.arange(tables * (1 + k)), len(some))
+                    d1 = np.repeat(digest[some, 0], tables * (1 + k))
+                    order = np.argsort(key, kind="stable")
+                    key, pos, d1 = key[order], pos[order], d1[order]
+                    begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                    count = np.diff(np.r_[begins, len(key)])
+                    many = np.repeat(count > 1, count)
+                    kind = np.where(count > 1, SEVERAL, ALONE)
+                    scattered = (key[many] ^ d1[many].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                    out = [
+                        np.r_[key[begins], scattered].view(np.int64), np.r_[key[begins], key[many]].view(np.int64),
+                        np.r_[d1[begins], d1[many]], np.r_[pos[begins] * 3 + kind, pos[many] * 3 + SURE].astype(np.int32),
+                    ]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, out)), ["deal", "key", "d1", "head"])
+
+    return run
+
+
+def _with_company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, d1, pos) of the entries whose bucket has another class; rows come sorted by ``deal``, one waits for the next batch."""
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+    for batch in batches:
+        key, d1, head = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+        sure = head % 3 == SURE
+        out = [[key[sure]], [d1[sure]], [head[sure] // 3]]
+        key, d1, head = (np.concatenate([h, c[~sure]]) for h, c in zip(held, (key, d1, head), strict=True))
+        if len(key):
+            begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            count = np.diff(np.r_[begins, len(key)])
+            met = (np.minimum.reduceat(d1, begins) != np.maximum.reduceat(d1, begins)) | np.logical_or.reduceat(head % 3 == SEVERAL, begins)
+            shown = np.repeat(met, count) & (head % 3 == ALONE)
+            for x, y in zip(out, (key, d1, head // 3), strict=True):
+                x.append(y[shown])
+            last = begins[-1]  # the last bucket may go on: if it has company, this is all that must be known of it
+            held = [key[last : last + 1], d1[last : last + 1], np.array([head[last] // 3 * 3 + (SEVERAL if met[-1] else ALONE)], np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["key", "d1", "pos"])
+
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(d1, d2, label, vector) of each class of a batch."""
+    for batch in batches:
+        for _, x, digest, label in _able(batch):
+            once = _distinct(digest)
+            yield pa.RecordBatch.from_arrays([pa.array(digest[once, 0]), pa.array(digest[once, 1]), pa.array(label[once].view(np.int64)), pa.array([x[i].tobytes() for i in once.tolist()], pa.binary())], ["d1", "d2", "label", "vector"])
+
+
+def _marked(k: int, tables: int, dtype: str):
+    """Adds the axes of each class (unsigned 8, 16 or 32-bit) to (d1, d2, label, vector)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column(2).to_pylist()
-            labels = batch.column(3).to_pylist()
-            sig: list[bytes] = [b""] * len(vectors)
-            for size in {len(v) for v in vectors}:
-                at = [i for i, v in enumerate(vectors) if len(v) == size]
-                x = np.stack([np.frombuffer(vectors[i]) for i in at])
-                x = x / np.abs(x).max(1, keepdims=True)
-                found = signatures(x / np.linalg.norm(x, axis=1, keepdims=True), k, tables)
-                found ^= np.array([xxhash.xxh64_intdigest(labels[i]) for i in at], np.uint64)[:, None, None]
-                for i, s in zip(at, found, strict=True):
-                    sig[i] = s.tobytes()
-            keys = pa.array([np.frombuffer(s, np.int64).tolist() for s in sig], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), keys], ["class_id", "weight", "vector", "label", "keys"])
-
-    return classes.select("class_id", "weight", "vector", "label").mapInArrow(run, "class_id long, weight long, vector binary, label string, keys array<long>")
-
-
-def _compare(k: int, threshold: float):
-    """Compares the classes of each bucket; rows come sorted by key (key, table, x, y, side, block, class_id, weight, vector, label, keys)."""
+            raw = batch.column(3).to_pylist()
+            near: list[bytes] = [b""] * len(raw)
+            for size in {len(v) for v in raw}:
+                at = [i for i, v in enumerate(raw) if len(v) == size]
+                x = np.stack([np.frombuffer(raw[i], dtype) for i in at])
+                small = _axis_type(x.shape[1])
+                for i, found in zip(at, axes(_unit(x), k, tables), strict=True):
+                    near[i] = found.astype(small).tobytes()
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(near, pa.binary())], ["d1", "d2", "label", "vector", "near"])
+
+    return run
+
+
+def _axis_type(dimension: int) -> str:
+    size = 2 << max(1, (dimension - 1).bit_length())
+    return "u1" if size <= 256 else "<u2" if size <= 65536 else "<u4"
+
+
+def _compare(k: int, tables: int, threshold: float, dtype: str):
+    """Compares the classes of each bucket; rows come sorted by group (group, pos, across, block, class_id, weight, label, vector, near)."""
 
     def bucket(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         none = np.zeros(0, np.int64)
-        n = rows.num_rows
-        if n < 2:
+        pos = rows.column("pos").to_numpy(zero_copy_only=False)
+        main = pos % (1 + k) == 0
+        if rows.num_rows < 2 or not main.any():
             return none, none, none
-        key, t, across = rows.column("key")[0].as_py(), rows.column("table")[0].as_py(), rows.column("across")[0].as_py()
-        main = rows.column("main").to_numpy(zero_copy_only=False)
-        if not main.any():
-            return none, none, none
-        ids, weight, block = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("class_id", "weight", "block"))
-        label = np.array([xxhash.xxh64_intdigest(x) for x in rows.column("label").to_pylist()], np.uint64)
         raw = rows.column("vector").to_pylist()
-        size = len(raw[0])
-        if any(len(v) != size for v in raw):  # keys of different lengths meet by chance
-            parts = [bucket(rows.filter(pa.array([len(v) == x for v in raw]))) for x in {len(v) for v in raw}]
+        size, table = len(raw[0]), int(pos[0]) // (1 + k)
+        alike = np.array([len(v) == size for v in raw]) & (pos // (1 + k) == table)
+        if not alike.all():  # keys of different lengths or tables meet by chance
+            parts = [bucket(rows.filter(pa.array(x))) for x in (alike, ~alike)]
             return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
-        x = np.frombuffer(b"".join(raw)).reshape(n, -1)
-        x = x / np.abs(x).max(1, keepdims=True)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        sig = rows.column("keys").flatten().to_numpy().reshape(n, -1, 1 + k)
+        n = rows.num_rows
+        across = rows.column("across")[0].as_py()
+        ids, weight, block, label = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("class_id", "weight", "block", "label"))
+        x = _unit(np.frombuffer(b"".join(raw), dtype).reshape(n, -1))
+        near = np.frombuffer(b"".join(rows.column("near").to_pylist()), _axis_type(x.shape[1])).reshape(n, tables, k, 2)[:, : table + 1]
         count, a, b = np.zeros(n, np.int64), [], []
         step = max(1, 4_000_000 // n)
         for at in range(0, n, step):
@@ -158,16 +258,17 @@ def _compare(k: int, threshold: float):
             if across:
                 ok &= block[i] != block[j]
             i, j = i[ok], j[ok]
-            for lo in range(0, len(i), 200_000):
-                p, q = i[lo : lo + 200_000], j[lo : lo + 200_000]
-                u, v = sig[p, : t + 1], sig[q, : t + 1]
-                uv = (v == u[:, :, :1]).any(2)  # the first's bucket is the second's or a probe of it
-                vu = (u == v[:, :, :1]).any(2)
-                first = ~(uv | vu)[:, :t].any(1)
-                mine = np.where(uv[:, t] & vu[:, t], np.minimum(u[:, t, 0], v[:, t, 0]), np.where(uv[:, t], u[:, t, 0], v[:, t, 0])) == key
-                p, q = p[first & mine], q[first & mine]
-                np.add.at(count, p, weight[q])
-                np.add.at(count, q, weight[p])
+            for lo in range(0, len(i), 100_000):
+                p, q = i[lo : lo + 100_000], j[lo : lo + 100_000]
+                u, v = near[p], near[q]
+                other = u[..., 0] != v[..., 0]
+                far = other.sum(2)
+                uv = (far == 0) | ((far == 1) & (other & (v[..., 1] == u[..., 0])).any(2))  # the first's bucket is the second's or a probe of it
+                vu = (far == 0) | ((far == 1) & (other & (u[..., 1] == v[..., 0])).any(2))
+                first = ~(uv | vu)[:, :table].any(1)
+                here = np.where(main[p] & main[q], far[:, table] == 0, np.where(main[p], uv[:, table] & (~vu[:, table] | (ids[p] < ids[q])), vu[:, table] & (~uv[:, table] | (ids[q] < ids[p]))))
+                p, q = p[first & here], q[first & here]
+                count += np.bincount(p, weight[q], n).astype(np.int64) + np.bincount(q, weight[p], n).astype(np.int64)
                 if len(p):
                     r, s = roots(ids[p], ids[q])
                     a.append(r)
@@ -205,16 +306,17 @@ def _compare(k: int, threshold: float):
     return run
 
 
-def links(classes: DataFrame, k: int, tables: int, threshold: float = THRESHOLD, large: int = LARGE) -> DataFrame:
-    """(a, b, n): ``n`` > 0 links of the class a = b, or an edge a-b with n = 0 of a spanning forest."""
-    signed = cut(_signed(classes, k, tables))
-    at = signed.select("class_id", F.posexplode("keys").alias("pos", "key"))
-    heavy = cut(at.groupBy("key").count().where(F.col("count") > large).select("key", F.ceil(F.col("count") / large).cast("int").alias("blocks")))
-    rows = signed.select("*", F.posexplode("keys").alias("pos", "key")).withColumn("table", (F.col("pos") / (1 + k)).cast("int")).withColumn("main", F.col("pos") % (1 + k) == 0)
-    plain = rows
+def links(classes: DataFrame, company: DataFrame, k: int, tables: int, dtype: str, threshold: float = THRESHOLD, large: int = LARGE) -> DataFrame:
+    """(a, b, n): ``n`` > 0 links of the class a = b, or an edge a-b with n = 0 of a spanning forest.
+
+    ``classes``: (class_id, d1, weight, label, vector, near); ``company``: the entries (key, d1, pos) to compare.
+    """
+    heavy = cut(company.groupBy("key").count().where(F.col("count") > large).select("key", F.ceil(F.col("count") / large).cast("int").alias("blocks")))
+    rows = company.join(classes, "d1").select("key", "pos", "class_id", "weight", "label", "vector", "near")
     compare = lambda df: (
-        df.select("group", "key", "table", "main", "across", "block", "class_id", "weight", "vector", "label", "keys").repartition(F.col("group")).sortWithinPartitions("group").mapInArrow(_compare(k, threshold), "a long, b long, n long")
+        df.select("group", "pos", "across", "block", "class_id", "weight", "label", "vector", "near").repartition(F.col("group")).sortWithinPartitions("group").mapInArrow(_compare(k, tables, threshold, dtype), "a long, b long, n long")
     )
+    plain = rows
     if heavy.take(1):
         plain = rows.join(heavy.select("key"), "key", "left_anti")
     found = compare(plain.withColumn("group", F.col("key")).withColumn("across", F.lit(False)).withColumn("block", F.lit(0)))
@@ -222,25 +324,39 @@ def links(classes: DataFrame, k: int, tables: int, threshold: float = THRESHOLD,
         cut_up = rows.join(heavy, "key").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
         other = cut_up.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         x, y = F.least("block", "other"), F.greatest("block", "other")
-        found = found.union(compare(other.withColumn("group", F.xxhash64("key", x, y)).withColumn("across", F.col("block") != F.col("other")).withColumn("across", x != y)))
+        found = found.union(compare(other.withColumn("group", F.xxhash64("key", x, y)).withColumn("across", x != y)))
     return found
 
 
-def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, large: int = LARGE) -> DataFrame:
+def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, large: int = LARGE, k: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding, label)."""
-    marked = cut(_classes(rows))
-    able = marked.where("key is not null")
-    classes = cut(able.groupBy("label", "key").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("weight"), F.min("vector").alias("vector")))
-    k = hashes_for(classes.count())
-    found = cut(links(classes.where("class_id is not null"), k, tables_for(k), threshold, large))
+    single = dict(rows.dtypes)["embedding"] == "array<float>"
+    kind, dtype = ("array<float>", "<f4") if single else ("array<double>", "<f8")
+    slim = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), F.col("label").cast("string").alias("label"))
+    if k is None:
+        n, dimension = slim.agg(F.count(F.lit(1)), F.min(F.nullif(F.size("embedding"), F.lit(0)))).first()
+        k = hashes_for(n, max(dimension or 1, 1))
+    tables = tables_for(k)
+    entries = slim.mapInArrow(_entries(k, tables), "deal long, key long, d1 long, head int")
+    met = entries.repartition(F.col("deal")).sortWithinPartitions("deal").mapInArrow(_with_company, "key long, d1 long, pos int")
+    company = cut(met)
+    wanted = company.select("d1").distinct()
+    vectors = slim.mapInArrow(_vectors, "d1 long, d2 long, label long, vector binary").repartition(F.col("d1"))
+    once = vectors.join(wanted, "d1", "left_semi").dropDuplicates(["d1", "d2"]).select("d1", "d2", "label", "vector")
+    marked = once.mapInArrow(_marked(k, tables, dtype), "d1 long, d2 long, label long, vector binary, near binary")
+    members = cut(slim.mapInArrow(_digests, "vec_id long, d1 long, d2 long"))
+    sizes = members.where("d2 is not null").groupBy("d1", "d2").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("weight"))
+    # numbers are given in the stage that is written, so a lost executor can't give one twice
+    classes = cut(marked.join(sizes, ["d1", "d2"]).withColumn("class_id", F.monotonically_increasing_id()))
+    found = cut(links(classes, company.dropDuplicates(["d1", "pos"]), k, tables, dtype, threshold, large))
     counted = found.where("n > 0").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("others"))
     rooted = components(found.where("n = 0").select("a", "b"), small=0)
-    told = cut(
-        classes.join(counted, "class_id", "left")
-        .join(rooted.withColumnRenamed("node", "class_id"), "class_id", "left")
-        .select("label", "key", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).cast("long").alias("links"), F.coalesce("component", "class_id").alias("root"))
-    )
-    joined = marked.select("vec_id", "label", "key").join(told.withColumnRenamed("label", "its"), "key", "left")
-    return joined.select(
-        "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id")
-    ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    linked = cut(
+        classes.select("class_id", "d1", "d2", "first_id").join(counted, "class_id").join(rooted.withColumnRenamed("node", "class_id"), "class_id", "left")
+        .select("d1", "d2", "first_id", "others", F.coalesce("component", "class_id").alias("root"))
+    )
+    least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
+    told = linked.join(least, "root").select("d1", "d2", "others", "least_id")
+    whole = sizes.join(told, ["d1", "d2"], "left").select("d1", "d2", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).cast("long").alias("links"), F.coalesce("least_id", "first_id").alias("least_id"))
+    joined = members.join(whole, ["d1", "d2"], "left")
+    return joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("least_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
