@@ -12,8 +12,9 @@ and not its square, and only a spanning forest of a bucket's links is emitted.
 
 Defined cases: null and empty texts have the fingerprint zero, which links like any other; fewer words than
 a shingle make one shingle of all words; repeated rows and equal texts share a fingerprint and so a
-component; null ids keep their fingerprint and count as no id (their component is the smallest id reachable,
-null if there is none).
+component; rows that repeat an id with different texts are different documents, each with its own links;
+null ids keep their fingerprint and count as no id (their component is the smallest id reachable, null if
+there is none).
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticeflow.llm.common import cut, map_arrow
+from latticeflow.llm.common import cut, free_name, map_arrow, session
 from latticeflow.operators.components import components, roots
 
 SEED = 42
@@ -138,17 +139,20 @@ def _bucket_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _variants(fps: DataFrame) -> DataFrame:
-    """(key, fp): both halves with each bit wild.  A key is the half's other bits, with the wild bit's number
+    """(key, half, fp): both halves with each bit wild.  A key is the half's other bits, with the wild bit's number
     and the half's number, hashed together; what hashing brings together by chance is verified away."""
     half = F.posexplode(F.array(F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("half", "bits")
     wild = fps.select("fp", half).select("fp", "half", "bits", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("wild"))
     left = F.col("bits").bitwiseAND(F.expr("~shiftleft(1L, wild)"))
-    return wild.select(F.xxhash64(left, "half", "wild").alias("key"), "fp")
+    return wild.select(F.xxhash64(left, "half", "wild").alias("key"), "half", "fp")
 
 
 def _second_variants(rows: DataFrame) -> DataFrame:
-    """The same within a large bucket: both quarters of either half, each with one bit wild."""
-    quarter = F.posexplode(F.array(*[F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)])).alias("quarter", "bits")
+    """The same within a large bucket (key, half, fp): both quarters of the half that the key doesn't fix, each
+    with one bit wild.  Half 0 is the upper one, so its rows are cut by the two lower quarters.  Two fingerprints
+    of a bucket differ by at most two bits there, so one of the quarters differs by at most one."""
+    part = lambda k: F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))
+    quarter = F.posexplode(F.array(F.when(F.col("half") == 0, part(0)).otherwise(part(2)), F.when(F.col("half") == 0, part(1)).otherwise(part(3)))).alias("quarter", "bits")
     wild = rows.select("key", "fp", quarter).select("key", "fp", "quarter", "bits", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("wild"))
     left = F.col("bits").bitwiseAND(F.expr("~shiftleft(1L, wild)"))
     return wild.select(F.xxhash64("key", left, "quarter", "wild").alias("key"), "fp")
@@ -156,8 +160,10 @@ def _second_variants(rows: DataFrame) -> DataFrame:
 
 def fingerprint_links(fps: DataFrame, large: int = LARGE) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fp`` whose components are those of all links."""
-    forest = lambda rows: rows.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_bucket_forest, "a long, b long")
-    rows = _variants(fps)
+    forest = lambda rows: rows.select("key", "fp").repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_bucket_forest, "a long, b long")
+    # the variants are many times the fingerprints, so these are dealt out before
+    spread = fps.repartition(max(1, int(session(fps).conf.get("spark.sql.shuffle.partitions"))))
+    rows = _variants(spread)
     counts = rows.groupBy("key").count().where(F.col("count") > large).select("key")
     big = cut(counts)
     if not big.take(1):
@@ -166,26 +172,37 @@ def fingerprint_links(fps: DataFrame, large: int = LARGE) -> DataFrame:
     return forest(rows.join(big, "key", "left_anti")).union(forest(_second_variants(hot)))
 
 
-def group(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) of every document: its fingerprint, and the smallest id that links reach."""
-    marked = cut(fingerprints(docs.select("doc_id", text), text=text))
+def _classes(marked: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of each fingerprint: its component's smallest fingerprint and smallest document id."""
     classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     joined = components(fingerprint_links(classes.select("fp")), small=0)
-    # the component of a class: the smallest id of any class in it
     rooted = cut(classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root")))
     least = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    of_class = cut(rooted.join(least, "root").select("fp", "component_id"))
-    return marked.join(of_class, "fp").select("doc_id", "fp", "component_id")
+    return cut(rooted.join(least, "root").select("fp", "root", "component_id"))
+
+
+def group(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id) of every document: its fingerprint, and the smallest id that links reach."""
+    marked = cut(fingerprints(docs.select("doc_id", text), text=text))
+    return marked.join(_classes(marked), "fp").select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest id; all columns stay.
+def keep_first(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One document of each group: the one with the smallest id, of several with that id one by a hash of the text.
 
-    Rows that repeat an id count as one document.  Rows without an id can't be told apart and all stay.
+    All columns stay.  Rows without an id come last, so one of them stays only where its group has no id.  Of
+    rows that repeat both id and text any one stays.
     """
-    kept = group(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id is null"))
+    key, tag = (free_name(docs.columns, x) for x in ("simhash_id", "simhash_tag"))
+    tagged = docs.select(F.col("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text).cast("string")).alias("tag"))
+    marked = cut(fingerprints(tagged, keep=("doc_id", "tag")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("tag").alias("tag"))).alias("first")
+    firsts = cut(marked.join(_classes(marked).select("fp", "root"), "fp").groupBy("root").agg(first).select(F.col("first.id").alias(key), F.col("first.tag").alias(tag)))
+    again = marked.groupBy("doc_id", "tag").count().where("count > 1")
+    if not again.isEmpty():  # repeated rows go before the join, each task keeping one of them
+        docs = docs.withColumn(tag, F.xxhash64(F.col(text).cast("string"))).dropDuplicates(["doc_id", tag]).drop(tag)
+    return docs.join(firsts, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64(F.col(text).cast("string")) == F.col(tag)), "left_semi")
