@@ -11,7 +11,7 @@ source is looked at document by document.
 
 Defined cases: null sources are one source, the empty string; null texts have no tokens, and a source
 without tokens gets no weight and no copies; rows that repeat an id and source stand or fall together; with
-an empty table the result is empty; extra columns stay.
+an empty table the result is empty; extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticeflow.llm.common import cut
+from latticeflow.llm.common import cut, free_name, shelved
 
 #: Share of the highest possible entropy that the mix must have, passes over a source at most, seed.
 ENTROPY = 0.92
@@ -46,22 +46,32 @@ def _keys(df: DataFrame, seed: str) -> DataFrame:
 
 
 def weights(totals: DataFrame, budget: int | None, entropy: float, repeats: float) -> DataFrame:
-    """(mix_source, total, exponent, weight, quota) from (mix_source, total > 0)."""
-    one = totals.agg(F.sort_array(F.collect_list(F.struct("mix_source", "total"))).alias("rows"))
-    one = one.withColumn("all", F.aggregate("rows", F.lit(0).cast("long"), lambda a, r: a + r["total"]))
+    """(mix_source, total, exponent, weight, quota) from (mix_source, total > 0).
+
+    Only the distinct totals, with the number of sources that have each, are gathered in one row.  ``d`` of them
+    add up to ``d * (d + 1) / 2`` tokens at least, so there are at most the root of twice the corpus' tokens.
+    Each step of a bisection passes over them once.
+    """
+    equal = totals.groupBy("total").agg(F.count(F.lit(1)).alias("n"))
+    one = equal.agg(F.sort_array(F.collect_list(F.struct("total", "n"))).alias("rows"))
+    one = one.withColumn("all", F.aggregate("rows", F.lit(0).cast("long"), lambda a, r: a + r["total"] * r["n"]))
     one = one.withColumn("budget", F.lit(budget).cast("long") if budget is not None else F.col("all"))
-    one = one.withColumn("shares", F.transform("rows", lambda r: r["total"].cast("double") / F.col("all")))
-    total = lambda xs: F.aggregate(xs, F.lit(0.0).cast("double"), lambda a, x: a + x)
+    told = lambda r: F.struct(F.ln(r["total"].cast("double") / F.col("all")).alias("ln"), r["n"].cast("double").alias("n"), (F.col("budget") / r["total"]).alias("passes"))
+    one = one.withColumn("told", F.transform("rows", told))
+    zero = F.lit(0.0).cast("double")
 
-    def powered(exponent: Column) -> Column:
-        raised = F.transform("shares", lambda p: F.pow(p, exponent))
-        return F.transform(raised, lambda x: x / total(raised))
+    def sums(exponent: Column) -> Column:
+        """Of the shares to the power: their sum, the sum of each by its logarithm, the highest number of passes."""
+        raised = F.transform("told", lambda r: F.struct(F.exp(exponent * r["ln"]).alias("x"), r["ln"].alias("ln"), r["n"].alias("n"), r["passes"].alias("passes")))
+        add = lambda a, r: F.struct((a["z"] + r["n"] * r["x"]).alias("z"), (a["s"] + r["n"] * r["x"] * r["ln"]).alias("s"), F.greatest(a["m"], r["x"] * r["passes"]).alias("m"))
+        return F.aggregate(raised, F.struct(zero.alias("z"), zero.alias("s"), zero.alias("m")), add)
 
-    def spread(exponent: Column) -> Column:
-        return -total(F.transform(powered(exponent), lambda w: w * F.ln(w)))
+    def bound(values: Column, then) -> Column:
+        """``then(values)`` with ``values`` worked out once."""
+        return F.element_at(F.transform(F.array(values), then), 1)
 
-    def most(exponent: Column) -> Column:
-        return F.array_max(F.zip_with(powered(exponent), "rows", lambda w, r: w * F.col("budget") / r["total"]))
+    spread = lambda e: bound(sums(e), lambda v: F.ln(v["z"]) - F.try_divide(e * v["s"], v["z"]))
+    most = lambda e: bound(sums(e), lambda v: F.try_divide(v["m"], v["z"]))
 
     def bisected(fits) -> Column:
         """The largest exponent in 0..1 that ``fits`` (a test that holds below some exponent)."""
@@ -69,20 +79,21 @@ def weights(totals: DataFrame, budget: int | None, entropy: float, repeats: floa
 
         def step(s: Column, _: Column) -> Column:
             middle = (s["lo"] + s["hi"]) / 2
-            ok = fits(middle)
-            return F.struct(F.when(ok, middle).otherwise(s["lo"]).alias("lo"), F.when(ok, s["hi"]).otherwise(middle).alias("hi"))
+            return bound(fits(middle), lambda ok: F.struct(F.when(ok, middle).otherwise(s["lo"]).alias("lo"), F.when(ok, s["hi"]).otherwise(middle).alias("hi")))
 
         return F.when(fits(F.lit(1.0)), 1.0).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), ends, step)["lo"])
 
-    target = F.lit(entropy) * F.ln(F.size("rows").cast("double")) - 1e-12
-    flat = bisected(lambda e: spread(e) >= target)
+    sources = F.aggregate("told", zero, lambda a, r: a + r["n"])
+    one = one.withColumn("target", F.lit(entropy) * F.ln(sources) - 1e-12)
+    one = one.withColumn("flat", bisected(lambda e: spread(e) >= F.col("target")))
     # repeats fall as the exponent rises: below this exponent some source repeats too often
-    steep = bisected(lambda e: most(e) > F.lit(repeats))
-    one = one.withColumn("flat", flat).withColumn("steep", F.when(most(F.lit(0.0)) > repeats, steep).otherwise(0.0))
+    one = one.withColumn("steep", F.when(most(F.lit(0.0)) > repeats, bisected(lambda e: most(e) > F.lit(repeats))).otherwise(0.0))
     one = one.withColumn("exponent", F.round(F.greatest("flat", "steep"), 9))
-    told = F.zip_with("rows", powered(F.col("exponent")), lambda r, w: F.struct(r["mix_source"].alias("mix_source"), r["total"].alias("total"), w.alias("weight")))
-    rows = one.select("exponent", "budget", F.explode(told).alias("r")).select("r.*", "exponent", "budget")
-    return rows.withColumn("quota", F.floor(F.col("weight") * F.col("budget") + 1e-6).cast("long")).drop("budget")
+    one = one.withColumn("z", sums(F.col("exponent"))["z"])
+    by_total = one.select("exponent", "budget", "z", F.explode(F.zip_with("rows", "told", lambda r, t: F.struct(r["total"].alias("total"), t["ln"].alias("ln")))).alias("r"))
+    by_total = by_total.select(F.col("r.total").alias("total"), "exponent", (F.exp(F.col("exponent") * F.col("r.ln")) / F.col("z")).alias("weight"), "budget")
+    rows = totals.join(cut(by_total), "total").select("mix_source", "total", "exponent", "weight", F.floor(F.col("weight") * F.col("budget") + 1e-6).cast("long").alias("quota"))
+    return rows
 
 
 def decisions(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, repeats: float = REPEATS, seed: str = SEED, text: str = "text") -> DataFrame:
@@ -113,20 +124,37 @@ def decisions(docs: DataFrame, budget: int | None = None, entropy: float = ENTRO
     )
 
 
+ADDED = ("exponent", "weight", "copies")
+
+
 def mix(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, repeats: float = REPEATS, seed: str = SEED, text: str = "text") -> DataFrame:
-    """All columns of ``docs``, and ``exponent``, ``weight`` of the source, ``copies`` of the document (0: left out)."""
-    told = decisions(docs, budget, entropy, repeats, seed, text)
+    """All columns of ``docs``, and ``exponent``, ``weight`` of the source, ``copies`` of the document (0: left out).
+
+    Where ``docs`` has a column with one of these names, the added one gets an underscore more.
+    """
+    slim = docs.select("doc_id", "source", F.col(text).alias("text"))
+    told = decisions(slim, budget, entropy, repeats, seed)
     side = F.broadcast(told) if told.count() <= BROADCAST_SOURCES else told
     before = lambda a, b, more: (F.col(a) < F.col(b)) | ((F.col(a) == F.col(b)) & more)
     last = before("mix_block", "cut_block", before("mix_sub", "cut_sub", F.coalesce(F.col("mix_doc") <= F.col("cut_doc"), F.lit(False))))
     copies = F.coalesce(F.col("passes"), F.lit(0)) + F.coalesce(last, F.lit(False)).cast("long")
-    joined = _keys(docs, seed).join(side, "mix_source", "left").withColumn("copies", F.when(tokens(F.col(text)) > 0, copies).otherwise(0).cast("long"))
-    return joined.select(*docs.columns, F.coalesce("exponent", F.lit(1.0)).alias("exponent"), F.coalesce("weight", F.lit(0.0)).alias("weight"), "copies")
+    # every column of the documents under a name of its own while they are joined
+    own = {c: f"own_{i}_" for i, c in enumerate(docs.columns)}
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.col(text).alias("text"))
+    joined = _keys(plain, seed).join(side, "mix_source", "left").withColumn("copies", F.when(tokens(F.col("text")) > 0, copies).otherwise(0).cast("long"))
+    names, taken = [], list(docs.columns)
+    for c in ADDED:
+        names.append(free_name(taken, c))
+        taken.append(names[-1])
+    values = (F.coalesce("exponent", F.lit(1.0)), F.coalesce("weight", F.lit(0.0)), F.col("copies"))
+    return joined.select(*[F.col(n).alias(c) for c, n in own.items()], *[v.alias(n) for v, n in zip(values, names, strict=True)])
 
 
 def realised(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as it is copied, with the columns of ``docs``."""
-    return mix(docs, **options).where("copies > 0").withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).select(*docs.columns)
+    plain, back = shelved(docs, "doc_id", "source", options.get("text", "text"))
+    mixed = mix(plain, **options)
+    return back(mixed.where(F.col(mixed.columns[-1]) > 0).withColumn("shelved_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(mixed.columns[-1])))))
 
 
 #: DuckDB SQL of :func:`mix` over ``documents`` with the default options.
