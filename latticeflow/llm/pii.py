@@ -1,12 +1,16 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
 Base spans (email, ip, card, phone) are exact matches.  Beyond them, wider patterns propose spans of further
-kinds (iban, ssn, secret).  Three labelers vote on each proposal: a format check, a gazetteer and the context
-to its left.  Proposals are counted by votes and features, a table whose size is bounded by the number of
-combinations; expectation-maximisation over it estimates the labelers' reliabilities and each cell's
-posterior, which trains a naive Bayes classifier over span features.  Its weights, a few dozen numbers, go
+kinds (iban, ssn, secret).  Three labelers vote on each proposal, each by evidence of its own: a format check
+by the characters, a gazetteer by lists, the context by what stands to the left.  Proposals are counted by kind,
+votes and features, a table whose size is bounded by the number of combinations; expectation-maximisation over
+it, for each kind apart, estimates the kind's prior, the labelers' reliabilities and each cell's posterior,
+which trains a naive Bayes classifier over the features of spans of that kind.  Its weights, a few dozen numbers, go
 into the expression that classifies every proposal; those it takes are added unless they overlap base spans.
 
+Patterns take time in proportion to the text: a run of characters is only searched from its beginning or from
+the end of the match before, where the pattern can't match from within if it doesn't from there.
+
 Offsets are code points, ends exclusive.  Defined cases: null and empty texts have no spans; texts of any
 length are searched whole; with no proposals at all nothing is added; repeated rows give repeated results;
 extra columns are ignored.
@@ -25,8 +29,8 @@ ADDED = ("iban", "ssn", "secret")
 KINDS = (*BASE, *ADDED)
 #: Possessive forms of the patterns: what they match is the same, and long runs don't recurse or go back.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![A-Za-z0-9])",
@@ -37,9 +41,14 @@ PATTERNS = {
 SECRET_RUN = r"[A-Za-z0-9_/+-]{20}"
 #: Fixed values of the gazetteers: countries that issue IBANs, names and prefixes of secrets, words before personal numbers.
 IBAN_COUNTRIES = ["AT", "BE", "CH", "CZ", "DE", "DK", "ES", "FI", "FR", "GB", "IE", "IT", "LU", "NL", "NO", "PL", "PT", "SE"]
-SECRET_NAMES = r"(?i)(?:token|secret|key|password|passwd|pwd|auth|bearer|credential)s?[\x22'\x20:=]*$"
 SECRET_PREFIXES = r"^(?:AKIA|ASIA|ghp_|gho_|sk-|pk-|xox[abp]-|eyJ)"
+#: Personal numbers that were printed as samples, and three-digit areas that were never given out.
+SAMPLE_NUMBERS = ["078-05-1120", "219-09-9999", "111-11-1111", "222-22-2222", "333-33-3333", "123-12-3123"]
+UNUSED_AREAS = [(734, 749), (773, 899)]
+#: Words to the left that name a secret, a personal number or account, or another thing's number.
+SECRET_NAMES = r"(?i)(?:token|secret|key|password|passwd|pwd|auth|bearer|credential)s?[\x22'\x20:=]*$"
 PERSONAL_CUES = r"(?i)(?:iban|account|konto|cuenta|compte|ssn|social|security|number|no|nr)[.:#\x20]*$"
+OTHER_CUES = r"(?i)(?:order|invoice|part|item|sku|serial|ticket|ref|reference|version|isbn|batch|lot|phone|fax|tel)[.:#\x20]*$"
 LEFT = 32
 ROUNDS = 30
 
@@ -83,24 +92,37 @@ def _needs(text: Column, kind: str) -> Column:
     return F.col("has_digit")
 
 
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` worked out once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _running(values: Column) -> Column:
+    """Running sums of an array by doubling steps, so that time follows the length and its logarithm."""
+    steps = F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int")
+    add = lambda sums, k: F.transform(sums, lambda x, i: x + F.when(i >= k, F.get(sums, i - k)).otherwise(0))
+    return F.aggregate(F.transform(F.sequence(F.lit(0), steps), lambda k: F.pow(F.lit(2), k).cast("int")), values, add)
+
+
 def _matches(text: Column, kind: str) -> Column:
     """All leftmost non-overlapping matches as structs (start, no, end, kind, surface, left), in order.
 
-    Splitting at the pattern gives the stretches between the matches, so starts are sums of lengths.
+    Splitting at the pattern gives the stretches between the matches, so ends are running sums of lengths.
     """
     pattern = F.lit(PATTERNS[kind])
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, PATTERNS[kind], -1)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,no:int,end:int,kind:string,surface:string,left:string>>").alias("out"))
+    empty = F.array().cast("array<struct<start:int,no:int,end:int,kind:string,surface:string,left:string>>")
+
+    def located(found: Column) -> Column:
+        def spans(gaps: Column) -> Column:
+            def span(end: Column, i: Column) -> Column:
+                match = F.get(found, i)
+                return F.struct((end - F.length(match)).alias("start"), F.lit(KINDS.index(kind)).alias("no"), end.alias("end"), F.lit(kind).alias("kind"), match.alias("surface"), F.right(F.get(gaps, i), F.lit(LEFT)).alias("left"))
+
+            return _bound(_running(F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))), lambda ends: F.transform(ends, span))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["match"])
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("no"), end.alias("end"), F.lit(kind).alias("kind"), pair["match"].alias("surface"), F.right(pair["gap"], F.lit(LEFT)).alias("left"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return F.when(F.size(found) > 0, _bound(F.split(text, PATTERNS[kind], -1), spans)).otherwise(empty)
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.when(_needs(text, kind), F.when(F.size(found) > 0, F.aggregate(pairs, empty, step)["out"]).otherwise(empty["out"])).otherwise(empty["out"])
+    return F.when(_needs(text, kind), _bound(F.regexp_extract_all(text, pattern, F.lit(0)), located)).otherwise(empty)
 
 
 def _marked(docs: DataFrame, text: str) -> DataFrame:
@@ -125,27 +147,30 @@ def _votes(c: Column) -> list[Column]:
         lambda r, x: F.when(x == "", r).when(x.rlike("^[0-9]$"), (r * 10 + x.cast("int")) % 97).otherwise((r * 100 + F.ascii(x) - 55) % 97),
     )
     hexes = s.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$") & F.length(s).isin(32, 40, 64)
+    broken = s.rlike("^(?:000|666|9)|-00-|-0000$")
+    area = F.substring(s, 1, 3).cast("int")
+    unused = F.exists(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in UNUSED_AREAS]), lambda x: area.between(x["a"], x["b"]))
     form = (
         F.when(kind == "iban", vote(rest == 1, rest != 1))
-        .when(kind == "ssn", vote(~s.rlike("^(?:000|666|9)|-00-|-0000$"), s.rlike("^(?:000|666|9)|-00-|-0000$")))
-        .otherwise(vote(hexes | s.rlike(SECRET_PREFIXES), ~s.rlike("[0-9]") | ~s.rlike("[A-Za-z]")))
+        .when(kind == "ssn", vote(~broken, broken))
+        .otherwise(vote(hexes | (s.rlike("[0-9]") & s.rlike("[A-Z]") & s.rlike("[a-z]")), s.rlike("^(?:[A-Za-z/-]+|[0-9/-]+|[-_/+]+)$") & ~s.rlike("^[a-z]{2}-[a-z]+$")))
     )
     listed = (
         F.when(kind == "iban", vote(F.substring(s, 1, 2).isin(IBAN_COUNTRIES), ~F.substring(s, 1, 2).isin(IBAN_COUNTRIES)))
-        .when(kind == "ssn", F.lit(0))
-        .otherwise(vote(left.rlike(SECRET_NAMES) | s.rlike(SECRET_PREFIXES), s.rlike("(?i)^[a-z]+$")))
+        .when(kind == "ssn", vote(~(s.isin(SAMPLE_NUMBERS) | unused), s.isin(SAMPLE_NUMBERS) | unused))
+        .otherwise(vote(s.rlike(SECRET_PREFIXES), s.rlike("(?i)^[a-z]+$") | s.rlike(f"^(?:{'|'.join(IBAN_COUNTRIES)})[0-9]{{2}}[A-Z0-9]{{11,30}}$")))
     )
-    context = F.when(kind == "secret", vote(left.rlike(r"[=:]\x20?[\x22']?$"), left.rlike(r"[\x20\n]$") | (left == ""))).otherwise(vote(left.rlike(PERSONAL_CUES), F.lit(False)))
+    context = F.when(kind == "secret", vote(left.rlike(r"[=:]\x20?[\x22']?$") | left.rlike(SECRET_NAMES), left.rlike(r"[\x20\n]$") | (left == ""))).otherwise(vote(left.rlike(PERSONAL_CUES), left.rlike(OTHER_CUES)))
     return [form.cast("int"), listed.cast("int"), context.cast("int")]
 
 
 def _features(c: Column) -> list[Column]:
-    """Small whole numbers: kind, length class, digit share, letter case, what stands to the left."""
+    """Small whole numbers: length class, digit share, letter case, what stands to the left, and what format and lists say."""
     s = c["surface"]
     digits = F.length(F.regexp_replace(s, "[^0-9]", ""))
     case = F.when(~s.rlike("[A-Za-z]"), 0).when(~s.rlike("[A-Z]"), 1).when(~s.rlike("[a-z]"), 2).otherwise(3)
     before = F.when(c["left"].rlike(r"[\x22']$"), 1).when(c["left"].rlike(r"[=:]\x20?$"), 2).when(c["left"].rlike(r"[\x20\n]$"), 3).otherwise(0)
-    return [x.cast("int") for x in (c["no"] - len(BASE), F.least(F.length(s) / 8, F.lit(8)), F.least(4 * digits / F.length(s), F.lit(4)), case, before)]
+    return [x.cast("int") for x in (F.least(F.length(s) / 8, F.lit(8)), F.least(4 * digits / F.length(s), F.lit(4)), case, before, *(v + 1 for v in _votes(c)[:2]))]
 
 
 def _proposals(text: Column) -> Column:
@@ -154,14 +179,14 @@ def _proposals(text: Column) -> Column:
 
 
 def reliabilities(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """One row (prior, accuracy array, cells array) by expectation-maximisation over (votes, features, n).
+    """One row (no, prior, accuracy array, cells array) per kind by expectation-maximisation over (no, votes, features, n).
 
-    A labeler that votes is right with its accuracy; abstaining says nothing.  Accuracies start at 0.8 and
-    are smoothed, the prior starts at a half.  The number of cells is bounded by the combinations of votes
-    and feature values.
+    A labeler that votes is right with its accuracy, which is the kind's own; abstaining says nothing.
+    Accuracies start at 0.8 and are smoothed, the prior starts at a half.  The number of cells is bounded by the
+    combinations of votes and feature values.
     """
     labelers = 3
-    gathered = cells.agg(F.collect_list(F.struct("votes", "features", "n")).alias("cells"))
+    gathered = cells.groupBy("no").agg(F.sort_array(F.collect_list(F.struct("votes", "features", "n"))).alias("cells"))
     one = lambda p: F.aggregate(p, F.lit(1.0).cast("double"), lambda a, x: a * x)
 
     def posterior(state: Column, votes: Column) -> Column:
@@ -169,39 +194,42 @@ def reliabilities(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         no = (1 - state["prior"]) * one(F.zip_with(votes, state["accuracy"], lambda v, a: F.when(v == 1, 1 - a).when(v == -1, a).otherwise(1.0)))
         return yes / (yes + no)
 
-    state = gathered.select("cells", F.lit(0.5).alias("prior"), F.array(*[F.lit(0.8)] * labelers).alias("accuracy"))
+    state = gathered.select("no", "cells", F.lit(0.5).alias("prior"), F.array(*[F.lit(0.8)] * labelers).alias("accuracy"))
 
     def round_(state: Column, _: Column) -> Column:
         q = F.transform("cells", lambda c: F.struct(c["votes"].alias("votes"), c["n"].cast("double").alias("n"), posterior(state, c["votes"]).alias("q")))
-        add = lambda f: F.aggregate(q, F.lit(0.0).cast("double"), lambda a, c: a + f(c))
-        agreed = lambda i: add(lambda c: c["n"] * F.when(c["votes"][i] == 1, c["q"]).when(c["votes"][i] == -1, 1 - c["q"]).otherwise(0.0))
-        spoken = lambda i: add(lambda c: c["n"] * F.abs(c["votes"][i]))
-        right, voted = [agreed(i) for i in range(labelers)], [spoken(i) for i in range(labelers)]
-        accuracy = F.array(*[F.least(F.lit(0.99), F.greatest(F.lit(0.5), (r + 4.0) / (v + 5.0))) for r, v in zip(right, voted, strict=True)])
-        return F.struct(((add(lambda c: c["n"] * c["q"]) + 1.0) / (add(lambda c: c["n"]) + 2.0)).alias("prior"), accuracy.alias("accuracy"))
+
+        def updated(q: Column) -> Column:
+            add = lambda f: F.aggregate(q, F.lit(0.0).cast("double"), lambda a, c: a + f(c))
+            agreed = lambda i: add(lambda c: c["n"] * F.when(c["votes"][i] == 1, c["q"]).when(c["votes"][i] == -1, 1 - c["q"]).otherwise(0.0))
+            spoken = lambda i: add(lambda c: c["n"] * F.abs(c["votes"][i]))
+            accuracy = F.array(*[F.least(F.lit(0.99), F.greatest(F.lit(0.5), (agreed(i) + 4.0) / (spoken(i) + 5.0))) for i in range(labelers)])
+            return F.struct(((add(lambda c: c["n"] * c["q"]) + 1.0) / (add(lambda c: c["n"]) + 2.0)).alias("prior"), accuracy.alias("accuracy"))
+
+        return _bound(q, updated)
 
     start = F.struct(F.col("prior").alias("prior"), F.col("accuracy").alias("accuracy"))
-    fitted = state.select("cells", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, round_).alias("state"))
-    return fitted.select("state.*", F.transform("cells", lambda c: F.struct(c["votes"].alias("votes"), c["features"].alias("features"), c["n"].alias("n"), posterior(F.col("state"), c["votes"]).alias("q"))).alias("cells"))
+    fitted = state.select("no", "cells", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, round_).alias("state"))
+    return fitted.select("no", "state.*", F.transform("cells", lambda c: F.struct(c["votes"].alias("votes"), c["features"].alias("features"), c["n"].alias("n"), posterior(F.col("state"), c["votes"]).alias("q"))).alias("cells"))
 
 
-def train(docs: DataFrame, text: str = "text") -> dict[tuple[int, int], float]:
-    """Weights of the span classifier by (feature, value); (-1, 0) is the bias.  A few dozen rows are collected."""
+def train(docs: DataFrame, text: str = "text") -> dict[tuple[int, int, int], float]:
+    """Weights of the span classifier by (kind's number, feature, value); feature -1 is the kind's bias.  A few dozen rows are collected."""
     rows = _marked(docs.select(text), text).where(_proposes())
-    cells = rows.select(F.explode(_proposals(F.col("pii_text"))).alias("c")).groupBy("c.votes", "c.features").agg(F.count(F.lit(1)).alias("n"))
-    told = reliabilities(cells).select(F.explode("cells").alias("c"))
-    spread = told.select((F.col("c.n") * F.col("c.q")).alias("yes"), (F.col("c.n") * (1 - F.col("c.q"))).alias("no"), F.posexplode("c.features").alias("feature", "value"))
-    sums = spread.groupBy("feature", "value").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    everything = told.select(F.lit(-1).alias("feature"), F.lit(0).alias("value"), (F.col("c.n") * F.col("c.q")).alias("yes"), (F.col("c.n") * (1 - F.col("c.q"))).alias("no")).groupBy("feature", "value").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    found = {(r.feature, r.value): (r.yes, r.no) for r in sums.union(everything).collect()}
-    if (-1, 0) not in found:
-        return {}
-    yes, no = found[-1, 0]
-    bias = math.log((yes + 1) / (no + 1))
-    return {(-1, 0): bias} | {k: math.log((a + 1) / (yes + 8)) - math.log((b + 1) / (no + 8)) for k, (a, b) in found.items() if k[0] >= 0}
-
-
-def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", weights: dict[tuple[int, int], float] | None = None) -> DataFrame:
+    cells = rows.select(F.explode(_proposals(F.col("pii_text"))).alias("c")).groupBy("c.no", "c.votes", "c.features").agg(F.count(F.lit(1)).alias("n"))
+    told = reliabilities(cells).select("no", F.explode("cells").alias("c"))
+    valued = F.concat(F.array(F.struct(F.lit(-1).alias("feature"), F.lit(0).alias("value"))), F.transform("c.features", lambda v, i: F.struct(i.alias("feature"), v.alias("value"))))
+    spread = told.select("no", (F.col("c.n") * F.col("c.q")).alias("yes"), (F.col("c.n") * (1 - F.col("c.q"))).alias("no_"), F.explode(valued).alias("f"))
+    sums = spread.groupBy("no", "f.feature", "f.value").agg(F.sum("yes").alias("yes"), F.sum("no_").alias("no_"))
+    found = {(r.no, r.feature, r.value): (r.yes, r.no_) for r in sums.collect()}
+    weights = {}
+    for (no, feature, value), (a, b) in found.items():
+        yes, not_ = found[no, -1, 0]
+        weights[no, feature, value] = math.log((yes + 1) / (not_ + 1)) if feature < 0 else math.log((a + 1) / (yes + 8)) - math.log((b + 1) / (not_ + 8))
+    return weights
+
+
+def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", weights: dict[tuple[int, int, int], float] | None = None) -> DataFrame:
     """The ``keep`` columns, ``base`` and ``spans``: arrays of structs (start, no, end, kind) by start, then kind."""
     weights = train(docs, text) if weights is None else weights
     rows = _marked(docs, text)
@@ -212,8 +240,10 @@ def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
     rows = rows.withColumn("base", base)
     if not weights:
         return rows.select(*keep, "base", F.col("base").alias("spans"))
-    table = F.create_map(*[F.lit(x) for (f, v), w in weights.items() if f >= 0 for x in (f * 100 + v, w)])
-    score = lambda c: F.aggregate(F.transform(c["features"], lambda v, i: F.coalesce(F.element_at(table, i * 100 + v), F.lit(0.0))), F.lit(float(weights[-1, 0])), lambda a, x: a + x)
+    number = lambda no, i, v: (no * 100 + i) * 100 + v
+    table = F.create_map(*[F.lit(x) for (no, f, v), w in sorted(weights.items()) for x in (number(no, f, v), w)])
+    weight = lambda no, i, v: F.coalesce(F.element_at(table, number(no, i, v)), F.lit(0.0))
+    score = lambda c: F.aggregate(F.transform(c["features"], lambda v, i: weight(c["no"], i, v)), weight(c["no"], -1, F.lit(0)), lambda a, x: a + x)
     clear = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     added = F.when(_proposes(), F.transform(F.filter(_proposals(t), lambda c: (score(c) > 0) & clear(c)), plain)).otherwise(F.col("base"))
     return rows.select(*keep, "has_digit", "has_run", "base", added.alias("added")).select(*keep, "base", F.when(_proposes() & (F.size("added") > 0), F.array_sort(F.concat("base", "added"))).otherwise(F.col("base")).alias("spans"))
