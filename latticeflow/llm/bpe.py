@@ -1,10 +1,12 @@
 """BPE encoding and decoding with a pair occurrence index.
 
-The words of a slice of documents that have not been met before are laid out in one array of symbols.  An
-index maps each mergeable pair to all its positions; a heap holds the active ranks.  The lowest rank is
-applied to all its positions at once and the lists of the neighbouring pairs are updated, until no active
-rank is left.  This equals merging word by word, lowest rank first, because no rule of the vocabulary
-uses a symbol that a later rule makes (checked when the tokenizer is loaded).
+The distinct words of a partition are laid out in one array of symbols.  An index maps each mergeable pair,
+by its rank, to all its positions in the partition; a heap holds the active ranks.  The lowest rank is applied
+to all its positions at once and the lists of the neighbouring pairs are updated, until no active rank is
+left.  This equals merging word by word, lowest rank first, because no rule of the vocabulary uses a symbol
+that a later rule makes (checked when the tokenizer is loaded).  A partition's texts wait, as numbers of their
+words, until its index has been worked off; a partition of more than ``CHUNK`` characters is indexed in parts of
+that size, so that memory is bounded.
 
 Defined cases: null text encodes like the empty text (no ids, empty decoded text); a text of any length is
 encoded whole; repeated rows give repeated results; other columns of the input are ignored.
@@ -19,10 +21,11 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticeflow.llm.common import map_arrow, session
+from latticeflow.llm.common import session
 
 #: White space of the tokenizer's patterns.
 SPACES = "\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -37,8 +40,10 @@ UNKNOWN_LETTERS = (
 )
 #: First and last capital, first small letter, that Python's character tables do not know yet.
 NEW_CAPITALS = "1C89-1C89:1C8A A7CB-A7CB:0264 A7CC-A7CC:A7CD A7CE-A7CE:A7CF A7D2-A7D2:A7D3 A7D4-A7D4:A7D5 A7DA-A7DA:A7DB A7DC-A7DC:019B 10D50-10D65:10D70 16EA0-16EB8:16EBB"
-#: Words kept with their ids in a Python worker before the memory is emptied.
-CACHE = 400_000
+#: Characters of text whose words are indexed together; whole texts, so one longer text makes a part of its own.
+CHUNK = 16_000_000
+#: Rows of one output batch.
+ROWS = 200
 
 
 def byte_letters() -> list[str]:
@@ -84,7 +89,6 @@ class WordBpe:
         for x in NEW_CAPITALS.split():
             first, last, small = (int(y, 16) for y in x.replace(":", "-").split("-"))
             self.capitals |= {c: small + c - first for c in range(first, last + 1)}
-        self.known: dict[str, bytes] = {}
 
     def pieces_of(self, text: str) -> list[str]:
         """Normalise (NFC, lower case character by character) and cut into words."""
@@ -97,8 +101,8 @@ class WordBpe:
             return [text[m.start() : m.end()] for m in self.pieces.finditer(plain)]
         return self.pieces.findall(text)
 
-    def encode_words(self, words: list[str]) -> None:
-        """Encode new words together and remember their ids (little-endian unsigned 32-bit)."""
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words (little-endian unsigned 32-bit) by one index over all of them."""
         sym: list[int] = []
         starts: list[int] = []
         inner, final = self.inner, self.final
@@ -148,47 +152,58 @@ class WordBpe:
                         heapq.heappush(active, rule[0])
                     index[rule[0]].append(o)
         left_over = np.array(sym[:n], dtype="<i8")
-        bounds = [*starts, n]
-        for i, w in enumerate(words):
-            ids = left_over[bounds[i] : bounds[i + 1]]
-            self.known[w] = ids[ids >= 0].astype("<u4").tobytes()
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut: list[list[list[str] | bytes]] = []
-        new: dict[str, None] = {}
-        if len(self.known) > CACHE:
-            self.known.clear()
-        for text in texts:
-            parts: list[list[str] | bytes] = []
-            text = text or ""
-            if self.split_special is not None and any(s in text for s in self.special):
-                for piece in self.split_special.split(text):
-                    if piece in self.special:
-                        parts.append(self.special[piece].to_bytes(4, "little"))
-                    elif piece:
-                        parts.append(self.pieces_of(piece))
-            else:
-                parts.append(self.pieces_of(text))
-            for p in parts:
-                if not isinstance(p, bytes):
-                    new.update(dict.fromkeys(p))
-            cut.append(parts)
-        known = self.known
-        if fresh := [w for w in new if w not in known]:
-            self.encode_words(fresh)
-        return [b"".join(p if isinstance(p, bytes) else b"".join(map(known.__getitem__, p)) for p in parts) for parts in cut]
+        alive = left_over >= 0
+        raw = left_over[alive].astype("<u4").tobytes()
+        at = (4 * np.r_[0, np.cumsum(alive)][[*starts, n]]).tolist()
+        return [raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
 
     def decode(self, ids: bytes) -> bytes:
         """The tokens' strings, joined by a space (the tokenizer file names no decoder), in UTF-8."""
         return b" ".join(map(self.shown.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
+class _Numbers(dict):
+    """Word -> a number, given as words are met."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+class Chunk:
+    """Texts of a partition as numbers of their distinct words, until all are encoded together."""
+
+    def __init__(self, bpe: WordBpe):
+        self.bpe = bpe
+        self.numbers = _Numbers()
+        self.texts: list[np.ndarray] = []
+
+    def add(self, text: str | None) -> None:
+        """Numbers of the text's words; special strings are -1 less their id."""
+        number, bpe = self.numbers.__getitem__, self.bpe
+        found: list[int] = []
+        text = text or ""
+        parts = bpe.split_special.split(text) if bpe.split_special is not None and any(s in text for s in bpe.special) else [text]
+        for part in parts:
+            if part in bpe.special:
+                found.append(-1 - bpe.special[part])
+            elif part:
+                found += map(number, bpe.pieces_of(part))
+        self.texts.append(np.array(found, np.int32))
+
+    def encoded(self) -> Iterator[bytes]:
+        """Ids of each text in order, as little-endian unsigned 32-bit integers."""
+        words = self.bpe.encode_words(list(self.numbers))
+        words += [i.to_bytes(4, "little") for i in reversed(range(len(self.bpe.shown)))]  # found from the end by -1 less the id
+        for numbers in self.texts:
+            yield b"".join(map(words.__getitem__, numbers.tolist()))
+
+
 #: Tokenizers of this Python worker by their files' content.
 _loaded: dict[bytes, WordBpe] = {}
 
 
-def encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), slices: int = 200) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), chunk: int = CHUNK) -> DataFrame:
     """Encode and decode whole texts.
 
     Returns the ``keep`` columns and ``n_tokens`` long, ``ids`` binary (little-endian unsigned 32-bit
@@ -199,15 +214,36 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str,
     kept = [c for c in keep if c != text]
     types = dict(docs.dtypes)
 
-    def run(cols: dict[str, list]) -> Iterator[dict[str, list]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if file.value not in _loaded:
             _loaded[file.value] = WordBpe(file.value)
         bpe = _loaded[file.value]
-        ids = bpe.encode_all(cols[text])
-        yield {c: cols[c] for c in kept} | {"n_tokens": [len(x) // 4 for x in ids], "ids": ids, "decoded": [bpe.decode(x).decode() for x in ids]}
+        rows: list[pa.RecordBatch] = []
+        held, size = Chunk(bpe), 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            ids = held.encoded()
+            for part in rows:
+                found = [next(ids) for _ in range(part.num_rows)]
+                decoded = pa.array([bpe.decode(x) for x in found], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(found, pa.binary()), decoded], [*kept, "n_tokens", "ids", "decoded"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                for t in part.column(len(kept)).to_pylist():
+                    held.add(t)
+                    size += len(t or "")
+                rows.append(pa.RecordBatch.from_arrays([pa.concat_arrays([part.column(i)]) for i in range(len(kept))], kept))
+                if size >= chunk:
+                    yield from out()
+                    rows, held, size = [], Chunk(bpe), 0
+        if rows:
+            yield from out()
 
     schema = ", ".join(f"`{c}` {types[c]}" for c in kept)
-    return map_arrow(docs.withColumn(text, F.col(text).cast("string")), [*kept, text], f"{schema}, n_tokens long, ids binary, decoded string", run, slices)
+    slim = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string"))
+    return slim.mapInArrow(run, f"{schema}, n_tokens long, ids binary, decoded string")
 
 
 def ids_as_array(encoded: DataFrame) -> DataFrame:
