@@ -16,14 +16,14 @@ are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticeflow.llm.common import held_out, labelled_sample, map_arrow, session, words_of
+from latticeflow.llm.common import Replayed, held_out, labelled_sample, map_arrow, session, words_of
 
 BITS = 18
 SAMPLE = 6000
@@ -42,7 +42,7 @@ class WordHashes(dict):
         shape = word
         for pattern, mark in _SHAPES:
             shape = pattern.sub(mark, shape)
-        value = (xxhash.xxh32_intdigest(word) << 32) | xxhash.xxh32_intdigest(shape[:24], seed=7)
+        value = (xxhash.xxh32_intdigest(word) << 32) | xxhash.xxh32_intdigest(shape, seed=7)
         if len(self) > 400_000:
             self.clear()
         self[word] = value
@@ -83,8 +83,8 @@ def sparse(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return order.astype(np.int32), np.bincount(where, value).astype(np.float32)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05) -> np.ndarray:
-    """FTRL-Proximal; the last weight is the bias, which isn't regularised."""
+def fit(rows: Iterable[tuple[np.ndarray, np.ndarray, int]], epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05) -> np.ndarray:
+    """FTRL-Proximal over (slots in ascending order, values, label), gone through ``epochs`` times; the last weight is the bias, which isn't regularised."""
     size = 2**BITS
     z, n = np.zeros(size + 1), np.zeros(size + 1)
 
@@ -109,15 +109,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 3, alpha:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> np.ndarray:
-    """Weights fitted on at most ``sample`` labelled rows; only their sparse features reach the driver."""
+    """Weights fitted on at most ``sample`` labelled rows; only their sparse features reach the driver, some at a time."""
 
     def run(cols: dict[str, list]) -> Iterator[dict[str, list]]:
         found = [sparse(t) for t in cols["text"]]
         yield {"doc_id": cols["doc_id"], "y": cols["y"], "i": [i.tobytes() for i, _ in found], "x": [x.tobytes() for _, x in found]}
 
-    rows = map_arrow(labelled_sample(docs, labels, label, sample), ["doc_id", "y", "text"], "doc_id long, y int, i binary, x binary", run).collect()
-    rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r.doc_id)), bytes(r.i)))
-    return fit([(np.frombuffer(r.i, np.int32), np.frombuffer(r.x, np.float32), r.y) for r in rows])
+    rows = map_arrow(labelled_sample(docs, labels, label, sample), ["doc_id", "y", "text"], "doc_id long, y int, i binary, x binary", run)
+    return fit(Replayed(rows, [F.xxhash64("doc_id"), "doc_id", "i", "x"], lambda r: (np.frombuffer(r.i, np.int32), np.frombuffer(r.x, np.float32), r.y)))
 
 
 def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
