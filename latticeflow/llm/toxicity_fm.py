@@ -16,14 +16,14 @@ is 0.5; repeated rows score alike; extra columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticeflow.llm.common import held_out, labelled_sample, map_arrow, session
+from latticeflow.llm.common import Replayed, held_out, labelled_sample, map_arrow, session
 
 SAMPLE = 8000
 SUPPORT = 5
@@ -56,28 +56,43 @@ def hashes(text: str | None) -> np.ndarray:
     return np.fromiter(found, dtype=np.uint64, count=len(found))
 
 
-def fit(rows: list[tuple[np.ndarray, int]], support: int = SUPPORT, factors: int = FACTORS, epochs: int = 4, rate: float = 0.1, l1: float = 6.0, l2: float = 0.02) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Known hashes in ascending order, weights, factors and bias.
+def fit(rows: Iterable[tuple[np.ndarray, int]], support: int = SUPPORT, factors: int = FACTORS, epochs: int = 4, rate: float = 0.1, l1: float = 6.0, l2: float = 0.02) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Known hashes in ascending order, weights, factors and bias, from (distinct hashes, label), gone through ``epochs`` times and once before.
 
     Weights follow FTRL-Proximal updates, whose L1 term keeps chance terms at zero, so that a long text's many
     terms don't add up to noise; factors follow AdaGrad updates from small fixed pseudo-random values and
     belong to terms that have a weight.
     """
-    if not rows:
+    every, seen, positive, labelled = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 0
+    waiting: list[np.ndarray] = []
+
+    def counted() -> tuple[np.ndarray, np.ndarray]:
+        found, where = np.unique(np.concatenate([every, *waiting]), return_inverse=True)
+        return found, np.bincount(where.reshape(-1), np.r_[seen, np.ones(sum(map(len, waiting)), np.int64)], len(found)).astype(np.int64)
+
+    for h, y in rows:
+        labelled, positive = labelled + 1, positive + y
+        waiting.append(h)
+        if sum(map(len, waiting[-64:])) > 1_000_000 or len(waiting) >= 1000:
+            every, seen = counted()
+            waiting = []
+    if not labelled:
         return np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, factors)), 0.0
-    every, counts = np.unique(np.concatenate([h for h, _ in rows]), return_counts=True)
-    known = every[counts >= support]
-    index = []
-    for h, _ in rows:
+    every, seen = counted()
+    known = every[seen >= support]
+
+    def numbers(h: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.zeros(0, np.int64)
         at = np.searchsorted(known, h)
         at[at == len(known)] = 0
-        index.append(np.sort(at[known[at] == h]) if len(known) else np.zeros(0, np.int64))
-    ys = [y for _, y in rows]
+        return np.sort(at[known[at] == h])
+
     z, n = np.zeros(len(known)), np.zeros(len(known))
     v = (np.random.default_rng(5).random((len(known), factors)) - 0.5) * 0.1
     gv = np.full((len(known), factors), 1e-2)
-    positive = min(max(sum(ys) / len(ys), 0.01), 0.99)
-    bias, gb = float(np.log(positive / (1 - positive))), 1.0
+    share = min(max(positive / labelled, 0.01), 0.99)
+    bias, gb = float(np.log(share / (1 - share))), 1.0
     alpha, beta = 0.5, 1.0
 
     def weight(i: np.ndarray) -> np.ndarray:
@@ -85,7 +100,8 @@ def fit(rows: list[tuple[np.ndarray, int]], support: int = SUPPORT, factors: int
         return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2))
 
     for _ in range(epochs):
-        for i, y in zip(index, ys, strict=True):
+        for h, y in rows:
+            i = numbers(h)
             w = weight(i)
             live = i[w != 0]
             f = v[live]
@@ -107,14 +123,13 @@ def fit(rows: list[tuple[np.ndarray, int]], support: int = SUPPORT, factors: int
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """The model of at most ``sample`` labelled rows; only their terms' hashes reach the driver."""
+    """The model of at most ``sample`` labelled rows; only their terms' hashes reach the driver, some at a time."""
 
     def run(cols: dict[str, list]) -> Iterator[dict[str, list]]:
         yield {"doc_id": cols["doc_id"], "y": cols["y"], "h": [np.sort(hashes(t)).tobytes() for t in cols["text"]]}
 
-    rows = map_arrow(labelled_sample(docs, labels, label, sample), ["doc_id", "y", "text"], "doc_id long, y int, h binary", run).collect()
-    rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r.doc_id)), bytes(r.h)))
-    return fit([(np.frombuffer(r.h, np.uint64), r.y) for r in rows])
+    rows = map_arrow(labelled_sample(docs, labels, label, sample), ["doc_id", "y", "text"], "doc_id long, y int, h binary", run)
+    return fit(Replayed(rows, [F.xxhash64("doc_id"), "doc_id", "h"], lambda r: (np.frombuffer(r.h, np.uint64), r.y)))
 
 
 class _Lookup(dict):
