@@ -34,7 +34,24 @@ def test_merges_like_one_word_at_a_time():
                 break
             (_, new), k = min(ranked)
             ids[k : k + 2] = [new]
-        assert np.frombuffer(coder.encode_all([word])[0], "<u4").tolist() == ids
+        assert np.frombuffer(coder.encode_words([word])[0], "<u4").tolist() == ids
+
+
+def test_one_index_per_partition_in_bounded_parts(spark, monkeypatch):
+    """Whatever the size of the parts, the same ids come out; within one, every distinct word is laid out once."""
+    lib = tokenizers.Tokenizer.from_file(default_tokenizer())
+    docs = documents(spark, TEXTS).coalesce(1)
+    want = {i: lib.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(TEXTS)}
+    for chunk in (1, 50, 10**9):
+        got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe.encode(docs, default_tokenizer(), chunk=chunk).collect()}
+        assert got == want
+    held = bpe.Chunk(bpe.WordBpe(open(default_tokenizer(), "rb").read()))
+    for t in ("the cat the cat", "a cat <|endoftext|>", None):
+        held.add(t)
+    laid = []
+    monkeypatch.setattr(held.bpe, "encode_words", lambda words: laid.append(words) or bpe.WordBpe.encode_words(held.bpe, words))
+    assert [np.frombuffer(x, "<u4").tolist() for x in held.encoded()] == [lib.encode(t, add_special_tokens=False).ids for t in ("the cat the cat", "a cat <|endoftext|>", "")]
+    assert laid == [["the", "cat", "a"]]
 
 
 def test_ids_as_numbers_and_empty_table(spark):

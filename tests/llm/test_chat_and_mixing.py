@@ -95,3 +95,58 @@ def test_budget_and_repeated_rows(spark):
     twice = docs.union(docs)
     both = mixing.mix(twice, budget=120).groupBy("doc_id").agg(F.countDistinct("copies").alias("n")).where("n > 1")
     assert both.count() == 0
+
+
+def test_columns_with_the_added_names(spark):
+    docs = documents(spark, ["a b c"] * 9, weight="w", exponent="e", passes="p", cut_doc="d", copies="c", mix_block="m", n_tokens="t")
+    got = mixing.mix(docs)
+    assert got.columns == [*docs.columns, "exponent_", "weight_", "copies_"]
+    r = got.first()
+    assert (r.weight, r.exponent, r.passes, r.cut_doc, r.copies, r.mix_block, r.n_tokens, r.copies_) == ("w", "e", "p", "d", "c", "m", "t", 1)
+    done = mixing.realised(docs)
+    assert done.columns == docs.columns and done.count() == 9 and done.first().copies == "c"
+
+
+def plain_exponent(totals, entropy, repeats):
+    """Bisections with plain sums over the sources."""
+    everything = sum(totals)
+
+    def shares(e):
+        raised = [(t / everything) ** e for t in totals]
+        z = math.fsum(raised)
+        return [x / z for x in raised]
+
+    def bisected(fits):
+        if fits(1.0):
+            return 1.0
+        lo, hi = 0.0, 1.0
+        for _ in range(mixing.STEPS):
+            m = (lo + hi) / 2
+            lo, hi = (m, hi) if fits(m) else (lo, m)
+        return lo
+
+    spread = lambda e: -math.fsum(w * math.log(w) for w in shares(e))
+    most = lambda e: max(w * everything / t for w, t in zip(shares(e), totals))
+    flat = bisected(lambda e: spread(e) >= entropy * math.log(len(totals)) - 1e-12)
+    steep = bisected(lambda e: most(e) > repeats) if most(0.0) > repeats else 0.0
+    e = max(flat, steep)
+    return e, shares(e)
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_weights_equal_plain_bisections(spark, many):
+    totals = [1 + (i * i * 7919) % 99_991 + (10**8 if i % 500 == 0 else 0) for i in range(10_000)] if many else [5, 5, 5, 900, 40, 40, 1]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(totals)], "mix_source string, total long")
+    for entropy, repeats in ((0.99, 1e9), (0.95, 3.0)):
+        got = {int(r.mix_source): r for r in mixing.weights(df, None, entropy, repeats).collect()}
+        e, w = plain_exponent(totals, entropy, repeats)
+        assert len(got) == len(totals) and abs(got[0].exponent - e) < 2e-9
+        assert max(abs(got[i].weight / w[i] - 1) for i in got) < 1e-6
+        assert all(abs(got[i].quota - w[i] * sum(totals)) < 1 + 1e-5 * w[i] * sum(totals) for i in got)
+
+
+def test_many_sources_are_joined_plainly(spark, monkeypatch):
+    docs = documents(spark, [f"{'w ' * (1 + i % 9)}" for i in range(60)])
+    few = sorted(map(tuple, mixing.mix(docs, entropy=1.0).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    assert sorted(map(tuple, mixing.mix(docs, entropy=1.0).collect())) == few
