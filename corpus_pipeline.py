@@ -8,39 +8,31 @@ the last returns the encoded documents.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticeflow.llm import bpe, mixing, pii, quality_ftrl, simhash
-from latticeflow.llm.common import shared_folder
+from latticeflow.llm.common import shared_folder, shelved
 from latticeflow.llm.queries import default_tokenizer, table
 
 
-def _shelved(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """``docs`` with the columns that a stage doesn't use under names that can't clash with its own, and the way back."""
-    names = {c: c if c in used else f"shelved_{i}_" for i, c in enumerate(docs.columns)}
-    back = lambda df: df.select(*[F.col(f"`{n}`").alias(c) for c, n in names.items()])
-    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), back
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; the others stay as they are."""
     weights = quality_ftrl.train(docs, table(spark, sf_dir, "labels"))
-    plain, back = _shelved(docs, "text")
+    plain, back = shelved(docs, "text")
     scored = quality_ftrl.score(plain, weights, keep=tuple(plain.columns))
     return back(scored.where(F.col("score") >= quality_ftrl.THRESHOLD))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id."""
+    """One document of each group of near copies stays, the one with the smallest id (see :func:`simhash.keep_first`)."""
     return simhash.keep_first(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in brackets; ``n_chars`` follows the text."""
-    plain, back = _shelved(docs, "text", "n_chars")
+    plain, back = shelved(docs, "text", "n_chars")
     found = pii.find(plain, keep=tuple(plain.columns))
     text = pii.redacted(F.col("text"), F.col("spans"))
     return back(found.withColumn("text", text).withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))))
@@ -48,8 +40,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's weight asks for."""
-    plain, back = _shelved(docs, "doc_id", "source", "text")
-    return back(mixing.realised(plain))
+    return mixing.realised(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
