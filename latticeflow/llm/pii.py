@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn", "secret")
 KINDS = (*BASE, *ADDED)
+#: Countries that issue IBANs.
+IBAN_COUNTRIES = ["AT", "BE", "CH", "CZ", "DE", "DK", "ES", "FI", "FR", "GB", "IE", "IT", "LU", "NL", "NO", "PL", "PT", "SE"]
 #: Possessive forms of the patterns: what they match is the same, and long runs don't recurse or go back.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -35,12 +37,11 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+(?![A-Za-z0-9_/+@.-])",
+    "secret": rf"(?<![A-Za-z0-9_/+-])(?!(?:{'|'.join(IBAN_COUNTRIES)})[0-9]{{2}}[A-Z0-9]{{11,30}}+(?![A-Za-z0-9_/+-]))[A-Za-z0-9_/+-]{{20,}}+(?![A-Za-z0-9_/+@.-])",
 }
 #: What every text with a match for secret holds.
 SECRET_RUN = r"[A-Za-z0-9_/+-]{20}"
-#: Fixed values of the gazetteers: countries that issue IBANs, names and prefixes of secrets, words before personal numbers.
-IBAN_COUNTRIES = ["AT", "BE", "CH", "CZ", "DE", "DK", "ES", "FI", "FR", "GB", "IE", "IT", "LU", "NL", "NO", "PL", "PT", "SE"]
+#: How well-known kinds of secrets begin.
 SECRET_PREFIXES = r"^(?:AKIA|ASIA|ghp_|gho_|sk-|pk-|xox[abp]-|eyJ)"
 #: Personal numbers that were printed as samples, and three-digit areas that were never given out.
 SAMPLE_NUMBERS = ["078-05-1120", "219-09-9999", "111-11-1111", "222-22-2222", "333-33-3333", "123-12-3123"]
@@ -158,7 +159,7 @@ def _votes(c: Column) -> list[Column]:
     listed = (
         F.when(kind == "iban", vote(F.substring(s, 1, 2).isin(IBAN_COUNTRIES), ~F.substring(s, 1, 2).isin(IBAN_COUNTRIES)))
         .when(kind == "ssn", vote(~(s.isin(SAMPLE_NUMBERS) | unused), s.isin(SAMPLE_NUMBERS) | unused))
-        .otherwise(vote(s.rlike(SECRET_PREFIXES), s.rlike("(?i)^[a-z]+$") | s.rlike(f"^(?:{'|'.join(IBAN_COUNTRIES)})[0-9]{{2}}[A-Z0-9]{{11,30}}$")))
+        .otherwise(vote(s.rlike(SECRET_PREFIXES), s.rlike("(?i)^[a-z]+$")))
     )
     context = F.when(kind == "secret", vote(left.rlike(r"[=:]\x20?[\x22']?$") | left.rlike(SECRET_NAMES), left.rlike(r"[\x20\n]$") | (left == ""))).otherwise(vote(left.rlike(PERSONAL_CUES), left.rlike(OTHER_CUES)))
     return [form.cast("int"), listed.cast("int"), context.cast("int")]
