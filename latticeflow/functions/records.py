@@ -24,6 +24,12 @@ def _bits(labels: Column) -> Column:
     return F.concat(*[_byte(on(k)) for k in range(FLAG_BYTES)])
 
 
+def flag_bytes(labels: Column) -> Column:
+    """the sixteen bytes of a bit set as numbers."""
+    hexed = _bits(labels)
+    return F.transform(F.sequence(F.lit(0), F.lit(FLAG_BYTES - 1)), lambda k: F.conv(F.substr(hexed, 2 * k + 1, F.lit(2)), 16, 10).cast("int"))
+
+
 def packed(n: Column, face_groups: Column, inner: Column, outer: Column, flags: Column) -> Column:
     """The 256 bytes of a tile."""
     head = F.array_join(F.transform(n, _byte), "")
@@ -77,6 +83,27 @@ def old_unpacked(record: Column) -> Column:
     )
 
 
+def old_packed(face_o: Column, face_i: Column, face_l: Column, face_r: Column, height_l: Column, height_r: Column) -> Column:
+    """the older 128 bytes from groups by face and heights of L and R; all bytes 255 where they don't fit.
+
+    A record holds groups up to 127, heights up to 511 and 125 bytes of ports: one for each of O and I, two for
+    each of L and R.  What is free lies between R's groups and the heights, and behind these.
+    """
+    hexed = lambda xs: F.array_join(F.transform(xs, _byte), "")
+    tall = lambda g, h: F.zip_with(g, h, lambda x, y: x + F.shiftright(y, 8) * 128)
+    ends = [F.lit(3) + F.size(face_o)]
+    for face in (face_i, face_l):
+        ends.append(ends[-1] + F.size(face))
+    used = ends[-1] + 2 * F.size(face_r) + F.size(face_l)
+    least = lambda *xs: F.coalesce(F.array_max(F.concat(*xs)), F.lit(0))
+    fits = (used <= 128) & (least(face_o, face_i, face_l, face_r) <= 127) & (least(height_l, height_r) <= 511)
+    low = lambda h: F.transform(h, lambda y: F.pmod(y, F.lit(256)))
+    groups = F.concat(*[_byte(e) for e in ends], hexed(face_o), hexed(face_i), hexed(tall(face_l, height_l)), hexed(tall(face_r, height_r)))
+    heights = ends[-1] + F.floor((128 - ends[-1] - F.size(face_l)) / 2).cast("int")  # where a reader, who isn't told R's size, looks for them
+    text = F.concat(F.rpad(groups, 2 * heights, F.lit("0")), hexed(low(height_l)), hexed(low(height_r)))
+    return F.unhex(F.when(fits, F.rpad(text, 256, "0")).otherwise(F.repeat(F.lit("FF"), F.lit(128))))
+
+
 def largest_group(old: Column) -> Column:
     """the largest group of an unpacked older record, 0 for none."""
     return F.coalesce(F.array_max(F.concat(old["face_o"], old["face_i"], old["face_l"], old["face_r"])), F.lit(0))

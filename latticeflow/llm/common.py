@@ -95,10 +95,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
 
 
 class Replayed:
-    """Rows of a sample in a fixed order, to go through as often as wanted; the driver holds one partition of them at a time."""
+    """Rows of a sample in a fixed order, to go through as often as wanted; the driver holds one of ``PARTS`` parts at a time.
 
-    def __init__(self, sample: DataFrame, order: list[str | Column], row: Callable[[Row], tuple]):
-        self.rows, self.row = cut(sample.orderBy(*order)), row
+    Parts go by a hash of ``key``, rows within one by ``order``, so the order doesn't depend on the input's partitions.
+    """
+
+    PARTS = 16
+
+    def __init__(self, sample: DataFrame, key: str, order: list[str | Column], row: Callable[[Row], tuple]):
+        self.rows, self.row = cut(sample.repartition(self.PARTS, key).sortWithinPartitions(*order)), row
 
     def __iter__(self) -> Iterator[tuple]:
         return map(self.row, self.rows.toLocalIterator())

@@ -116,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
         yield {"doc_id": cols["doc_id"], "y": cols["y"], "i": [i.tobytes() for i, _ in found], "x": [x.tobytes() for _, x in found]}
 
     rows = map_arrow(labelled_sample(docs, labels, label, sample), ["doc_id", "y", "text"], "doc_id long, y int, i binary, x binary", run)
-    return fit(Replayed(rows, [F.xxhash64("doc_id"), "doc_id", "i", "x"], lambda r: (np.frombuffer(r.i, np.int32), np.frombuffer(r.x, np.float32), r.y)))
+    return fit(Replayed(rows, "doc_id", [F.xxhash64("doc_id"), "doc_id", "i", "x"], lambda r: (np.frombuffer(r.i, np.int32), np.frombuffer(r.x, np.float32), r.y)))
 
 
 def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

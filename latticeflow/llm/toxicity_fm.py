@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
         yield {"doc_id": cols["doc_id"], "y": cols["y"], "h": [np.sort(hashes(t)).tobytes() for t in cols["text"]]}
 
     rows = map_arrow(labelled_sample(docs, labels, label, sample), ["doc_id", "y", "text"], "doc_id long, y int, h binary", run)
-    return fit(Replayed(rows, [F.xxhash64("doc_id"), "doc_id", "h"], lambda r: (np.frombuffer(r.h, np.uint64), r.y)))
+    return fit(Replayed(rows, "doc_id", [F.xxhash64("doc_id"), "doc_id", "h"], lambda r: (np.frombuffer(r.h, np.uint64), r.y)))
 
 
 class _Lookup(dict):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from latticeflow.operators.windows import numbered
+
 
 def representatives(df: DataFrame, by: list[str], order: list[str], carry: list[str]) -> DataFrame:
     """A1: per key the least row by ``order``, with the ``carry`` columns."""
@@ -98,8 +100,8 @@ def digest(df: DataFrame, by: list[str], order: list[str], row: Column, chunk: i
 
     Rows are digested in chunks of places and the chunks' digests again, so no key's rows meet in one value.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
-    placed = df.select(*by, row.cast("string").alias("row_text"), (F.row_number().over(w) - 1).alias("place"))
+    rows = df.select(*by, *[F.col(c).alias(f"order_{k}") for k, c in enumerate(order)], row.cast("string").alias("row_text"))
+    placed = numbered(rows, by, [f"order_{k}" for k in range(len(order))], "place").select(*by, "row_text", (F.col("place") - 1).alias("place"))
     parts = placed.groupBy(*by, F.floor(F.col("place") / chunk).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("place", "row_text"))).alias("rows"))
     hashed = parts.select(*by, "part", "n", F.sha2(F.array_join(F.transform("rows", lambda r: r["row_text"]), "\n"), 256).alias("h"))
     return hashed.groupBy(*by).agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "h"))), lambda r: r["h"]), "\n"), 256).alias("digest"))

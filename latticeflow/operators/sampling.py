@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from latticeflow.lineage import cut
 
+#: Fixed values of the hashes: the 64-bit golden ratio, the start of a text's hash, and the prime 2**40 + 435 as shifts.
+GOLDEN = 0x9E3779B97F4A7C15 - 2**64
+TEXT_BASIS = 1_469_598_103_934_665_603
+PRIME_SHIFTS = (40, 8, 7, 5, 4, 1, 0)
 #: Classes in the order in which they take their samples.
 CLASSES = ("geo_I", "geo_O", "axis", "diagonal", "high_pressure", "deterministic_random")
 
@@ -25,17 +29,50 @@ def high_pressure(tiles: DataFrame, k: int = 32) -> DataFrame:
 
 
 def mixed(*parts: Column | int) -> Column:
-    """a 31-bit mixing hash of whole numbers that any SQL engine can repeat.
+    """the golden-ratio mix of whole numbers, 64 bits of a long; see :func:`hexadecimal` for their unsigned order."""
+    return mixed_into(F.lit(GOLDEN).cast("long"), *parts)
 
-    Steps of a Lehmer generator over the modulus 2**31 - 1, whose products fit in a long.
-    """
-    m = 2_147_483_647
-    h = F.lit(20_011).cast("long")
-    for p in parts:
-        p = F.lit(p) if isinstance(p, int) else p
-        h = F.pmod((h + F.pmod(p.cast("long"), F.lit(m)) + 1) * 48_271, F.lit(m))
-        h = F.pmod(h * 69_621 + 12_345, F.lit(m))
-    return h
+
+def mixed_into(h: Column, *parts: Column | int) -> Column:
+    """``h`` mixed with further numbers, each added with shifted copies of what there is and a constant."""
+    values = F.array(*[(F.lit(p) if isinstance(p, int) else p).cast("long") for p in parts])
+    return F.aggregate(values, h, lambda h, v: h.bitwiseXOR(_sum64(v, F.lit(GOLDEN).cast("long"), F.shiftleft(h, 6), F.shiftrightunsigned(h, 2))))
+
+
+def text_hash(text: Column) -> Column:
+    """the byte-wise hash of a text, xor and multiplication by a prime in 64 bits."""
+    hexes = F.hex(F.encode(text, "UTF-8"))
+    size = F.octet_length(text)
+    numbers = F.transform(F.sequence(F.lit(1), size), lambda k: F.conv(F.substr(hexes, 2 * k - 1, F.lit(2)), 16, 10).cast("long"))
+
+    def step(h: Column, byte: Column) -> Column:
+        x = F.transform(F.array(h.bitwiseXOR(byte)), lambda x: _sum64(*[F.shiftleft(x, s) for s in PRIME_SHIFTS]))
+        return F.element_at(x, 1)
+
+    return F.when(size > 0, F.aggregate(numbers, F.lit(TEXT_BASIS).cast("long"), step)).otherwise(F.when(text.isNotNull(), F.lit(TEXT_BASIS).cast("long")))
+
+
+def run_seed(k_sq: Column, r_inner: Column, r_outer: Column, region: Column, side: int = 256) -> Column:
+    """the seed of a run's samples where none is given; the tiles' grid has no offset."""
+    return mixed_into(text_hash(region), k_sq, r_inner, r_outer, side, 0, 0)
+
+
+def sample_hash(i: Column, j: Column, r_inner: Column, r_outer: Column, seed: Column, sample_class: int) -> Column:
+    """a tile's hash for a class of samples, given by its number in ``CLASSES``."""
+    return mixed(seed, sample_class, i, j, r_inner, r_outer)
+
+
+def hexadecimal(h: Column) -> Column:
+    """16 digits, whose order is that of the 64 bits as an unsigned number."""
+    return F.lower(F.lpad(F.hex(h), 16, "0"))
+
+
+def _sum64(*xs: Column) -> Column:
+    """A sum modulo 2**64, in halves so that nothing overflows."""
+    mask = F.lit(0xFFFFFFFF).cast("long")
+    low = reduce(Column.__add__, [x.bitwiseAND(mask) for x in xs])
+    high = reduce(Column.__add__, [F.shiftrightunsigned(x, 32) for x in xs]) + F.shiftrightunsigned(low, 32)
+    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(mask))
 
 
 def bottom_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:

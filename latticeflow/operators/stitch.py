@@ -12,8 +12,13 @@ SHARED = (("O", "I", 0, 1, "match_io"), ("R", "L", 1, 0, "match_lr"))
 
 
 def group_id(i: Column, j: Column, label: Column) -> Column:
-    """one long per (tile, label), in (i, j, label) order: 24 bits for each coordinate, 15 for the label."""
-    return F.shiftleft(i.cast("long"), 39).bitwiseOR(F.shiftleft(j.cast("long"), 15)).bitwiseOR(label.cast("long"))
+    """one long per (tile, label), in (i, j, label) order: 24 bits for each coordinate, 15 for the label.
+
+    Values outside these ranges raise an error, so that no two groups share a number.
+    """
+    fits = i.between(0, (1 << 24) - 1) & j.between(0, (1 << 24) - 1) & label.between(0, (1 << 15) - 1)
+    made = F.shiftleft(i.cast("long"), 39).bitwiseOR(F.shiftleft(j.cast("long"), 15)).bitwiseOR(label.cast("long"))
+    return F.when(fits, made).when(i.isNull() | j.isNull() | label.isNull(), F.lit(None)).otherwise(F.raise_error(F.lit("a tile or label is out of range for a group's number")).cast("long"))
 
 
 def stitch_edges(ports: DataFrame) -> DataFrame:

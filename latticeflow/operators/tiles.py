@@ -7,6 +7,7 @@ order, and per face the strip's own components as ports, ordered by their least
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from math import isqrt
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from latticeflow.functions.primes import gaussian_mask
 from latticeflow.sources.lattice import expanded
-from latticeflow.params import EMPTY_BIT, FACES, MAX_FACE_PORTS, MAX_GROUPS, MAX_PORTS, OVERFLOW_BIT, Annulus, ceil_isqrt, palette
+from latticeflow.params import EMPTY_BIT, FACES, INNER, MAX_FACE_PORTS, MAX_GROUPS, MAX_PORTS, OUTER, OVERFLOW_BIT, Annulus, ceil_isqrt, palette
 
 SCHEMA = "i long, j long, n array<int>, face_groups array<int>, port_h array<int>, port_perp array<int>, inner array<int>, outer array<int>, tile_flags int, primes int, groups int"
 
@@ -72,12 +73,17 @@ def joined(a: np.ndarray, b: np.ndarray, offsets: list[tuple[int, int]]) -> np.n
 
 def summarise(i: int, j: int, q: Annulus, caps: bool) -> dict:
     """One tile's row; ``caps``: capacities of the packed record, beyond which a tile counts as spanning."""
+    return _summarised(i, j, q, caps)[0]
+
+
+def _summarised(i: int, j: int, q: Annulus, caps: bool) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One tile's row, its primes' coordinates, their bands' bits and their labels (0: not visible)."""
     s, c = q.side, q.collar
     a_lo, b_lo = i * s, j * s
     a, b = halo_primes(a_lo, b_lo, q)
     row = {"i": i, "j": j, "n": [0] * 4, "face_groups": [], "port_h": [], "port_perp": [], "inner": [], "outer": [], "tile_flags": 0, "primes": len(a), "groups": 0}
     if not len(a):
-        return row | {"tile_flags": EMPTY_BIT}
+        return row | {"tile_flags": EMPTY_BIT}, a, b, a, a
     offsets = palette(q.k, True, odd_sums=q.r_inner > 1)
     comp = joined(a, b, offsets)
     norm = a * a + b * b
@@ -91,9 +97,10 @@ def summarise(i: int, j: int, q: Annulus, caps: bool) -> dict:
     label = np.zeros(len(a), np.int64)
     label[visible] = np.arange(1, len(visible) + 1)  # smallest index first: first appearance
     label = label[comp]
+    more = (a, b, INNER * inner + OUTER * outer, label)
     overflow = row | {"tile_flags": OVERFLOW_BIT}
     if caps and len(visible) > MAX_GROUPS:
-        return overflow
+        return overflow, *more
     for f, face in enumerate(FACES):
         at = np.flatnonzero(strips[face])
         sub = joined(a[at], b[at], offsets)
@@ -102,14 +109,49 @@ def summarise(i: int, j: int, q: Annulus, caps: bool) -> dict:
         first = order[np.flatnonzero(np.r_[True, sub[order][1:] != sub[order][:-1]])] if len(at) else order
         port = first[np.lexsort((label[at[first]], perp[first], h[first]))]
         if caps and len(port) > MAX_FACE_PORTS:
-            return overflow
+            return overflow, *more
         row["n"][f] = len(port)
         row["face_groups"] += label[at[port]].tolist()
         row["port_h"] += h[port].tolist()
         row["port_perp"] += perp[port].tolist()
     if caps and sum(row["n"]) > MAX_PORTS:
-        return overflow | {"n": [0] * 4}
-    return row | {"inner": np.unique(label[inner]).tolist(), "outer": np.unique(label[outer]).tolist(), "groups": len(visible)}
+        return overflow | {"n": [0] * 4}, *more
+    return row | {"inner": np.unique(label[inner]).tolist(), "outer": np.unique(label[outer]).tolist(), "groups": len(visible)}, *more
+
+
+#: What a tile's answer is made of, from the first step to the last.
+LAYERS = ("primes", "bands", "labels", "record")
+
+
+def layers(tiles: DataFrame, q: Annulus, caps: bool = False) -> DataFrame:
+    """(i, j, layer, digest): sha256 of each layer of each tile as a text, in the order of ``LAYERS``.
+
+    Texts are ``a:b`` of each prime, the digit of its bands, its label (0: not visible), and the record's parts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined_text = lambda xs, by: by.join(map(str, xs))
+        for batch in batches:
+            for i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                row, a, b, reach, label = _summarised(i, j, q, caps)
+                record = "|".join([*(joined_text(row[c], ".") for c in ("n", "face_groups", "inner", "outer")), str(row["tile_flags"])])
+                texts = (" ".join(f"{x}:{y}" for x, y in zip(a.tolist(), b.tolist(), strict=True)), joined_text(reach.tolist(), ""), joined_text(label.tolist(), " "), record)
+                yield pa.RecordBatch.from_pydict({"i": [i] * 4, "j": [j] * 4, "layer": list(LAYERS), "digest": [hashlib.sha256(t.encode()).hexdigest() for t in texts]})
+
+    return tiles.select("i", "j").mapInArrow(run, "i long, j long, layer string, digest string")
+
+
+def layer_differences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(i, j, layer, left_digest, right_digest) where two runs' layers differ, or only one has the tile."""
+    x = left.withColumnRenamed("digest", "left_digest")
+    y = right.withColumnRenamed("digest", "right_digest")
+    return x.join(y, ["i", "j", "layer"], "full").where(~F.col("left_digest").eqNullSafe(F.col("right_digest")))
+
+
+def first_differing_layers(differences: DataFrame) -> DataFrame:
+    """(i, j, layer): of each tile that differs the first layer that does, where the cause is to be sought."""
+    place = F.array_position(F.array(*[F.lit(x) for x in LAYERS]), F.col("layer"))
+    return differences.groupBy("i", "j").agg(F.min_by("layer", place).alias("layer"))
 
 
 def summaries(tiles: DataFrame, q: Annulus, caps: bool = False, parts: int | None = None) -> DataFrame:

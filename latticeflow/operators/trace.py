@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,12 +103,17 @@ def _narrowed(graph: two_level.TiledGraph, history: DataFrame) -> DataFrame:
     return cut(known.unionByName(links).unionByName(now))
 
 
-def shortest_path(links: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """(pos, id): a path with fewest links from a source to a target, deterministic; no row if there is none.
+def shortest_path(links: DataFrame, sources: DataFrame, targets: DataFrame, limit: int | None = None) -> DataFrame:
+    """(pos, id): a path with fewest links from a source to a target; no row if there is none.
 
-    The graph must fit one task; callers pass the port graph or the primes of one tube of tiles.
+    Of several it is the one that ends in the smallest target and comes to each point from the smallest point
+    one level nearer to the sources.  Graphs of up to ``limit`` links (counted first) are searched by one task,
+    larger ones level by level as joins.
     """
-    both = links.select("a", "b").union(links.select("b", "a"))
+    limit = FOLD_LIMIT if limit is None else limit
+    both = cut(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
+    if both.count() > 2 * limit:
+        return _path_by_levels(both, sources, targets)
     rows = both.select(F.lit(0).alias("kind"), "a", "b").union(sources.select(F.lit(1), "id", "id")).union(targets.select(F.lit(2), "id", "id"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,29 +121,54 @@ def shortest_path(links: DataFrame, sources: DataFrame, targets: DataFrame) -> D
         if not parts:
             return
         kind, a, b = (np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts]) for c in range(3))
-        goals = set(b[kind == 2].tolist())
+        goals = np.unique(b[kind == 2])
         x, y = a[kind == 0], b[kind == 0]
         order = np.lexsort((y, x))
         x, y = x[order], y[order]
-        before: dict[int, int | None] = {int(s): None for s in np.unique(a[kind == 1])}
-        queue = deque(before)
-        while queue:
-            u = queue.popleft()
-            if u in goals:
-                path = [u]
+        level = np.unique(a[kind == 1])
+        before = dict.fromkeys(level.tolist())
+        while len(level):
+            if len(met := np.intersect1d(level, goals)):
+                path = [int(met[0])]
                 while before[path[-1]] is not None:
                     path.append(before[path[-1]])
                 path.reverse()
                 yield pa.RecordBatch.from_pydict({"pos": pa.array(range(len(path)), pa.int64()), "id": pa.array(path, pa.int64())})
                 return
-            for v in y[np.searchsorted(x, u) : np.searchsorted(x, u, side="right")].tolist():
-                if v not in before:
-                    before[v] = u
-                    queue.append(v)
+            further = []
+            for u in level.tolist():  # in ascending order, so the smallest comes first
+                for v in y[np.searchsorted(x, u) : np.searchsorted(x, u, side="right")].tolist():
+                    if v not in before:
+                        before[v] = u
+                        further.append(v)
+            level = np.array(sorted(further), np.int64)
 
     return rows.repartition(1).mapInArrow(search, "pos long, id long")
 
 
+def _path_by_levels(both: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """The same by joins: a level is what links reach from the one before, without the two before.
+
+    Only the path's own points, one per level, come to the driver.
+    """
+    levels = [cut(sources.select("id", F.lit(None).cast("long").alias("before")).dropDuplicates(["id"]))]
+    goals = targets.select("id").distinct()
+    while True:
+        met = levels[-1].join(goals, "id", "left_semi").agg(F.min("id")).first()[0]
+        if met is not None:
+            break
+        reached = levels[-1].join(both, F.col("id") == F.col("a")).groupBy("b").agg(F.min("a").alias("before")).withColumnRenamed("b", "id")
+        for seen in levels[-2:]:
+            reached = reached.join(seen.select("id"), "id", "left_anti")
+        levels.append(cut(reached))
+        if levels[-1].isEmpty():
+            return both.sparkSession.createDataFrame([], "pos long, id long")
+    path = [met]
+    for level in reversed(levels[1:]):
+        path.append(level.where(F.col("id") == path[-1]).first().before)
+    return both.sparkSession.createDataFrame([(len(path) - 1 - k, x) for k, x in enumerate(path)], "pos long, id long")
+
+
 def tube(graph: two_level.TiledGraph) -> DataFrame:
     """The tiles (i, j) of a shortest stitch path from an inner to an outer group."""
     ends = lambda bit: graph.groups.where(F.col("reach").bitwiseAND(F.lit(bit)) != 0).select("id")

@@ -53,6 +53,8 @@ def census(components: DataFrame) -> DataFrame:
     return components.groupBy(label.alias("class")).agg(F.count(F.lit(1)).alias("components"), F.sum("size").alias("vertices"), F.max("size").alias("largest"))
 
 
-def largest(components: DataFrame, n: int = 8) -> DataFrame:
-    """The ``n`` largest components, ties by label."""
+def largest(components: DataFrame, n: int = 8, touching: bool = False) -> DataFrame:
+    """The ``n`` largest components, ties by label; ``touching``: of those that reach a band."""
+    if touching:
+        components = components.where("reach <> 0")
     return components.orderBy(F.desc("size"), "component").limit(n)

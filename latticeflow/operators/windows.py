@@ -1,20 +1,55 @@
-"""Window-like operators over ordered rows (W1-W9), each within a partition key."""
+"""Window-like operators over ordered rows (W1-W10), each within a partition key."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
+
+from latticeflow.lineage import cut
+
+
+#: Rows of a key that one task orders; keys with more are ordered in blocks.
+BLOCK_ROWS = 1_000_000
+
+
+def running(df: DataFrame, by: list[str], order: list[str], local: Callable[[WindowSpec], Column], total: Column, name: str, limit: int | None = None) -> DataFrame:
+    """Adds ``name``: a running value per key, ``local`` over a window plus the ``total`` of all that comes before it.
+
+    With more than ``limit`` rows in a key, rows are split into ranges of (key, order), so that a hot key falls
+    into many blocks: each block is summed, the sums of a key's earlier blocks are added to the block's own
+    running values.  Rows that are equal in order stay in one block.
+    """
+    limit = BLOCK_ROWS if limit is None else limit
+    hot = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    if hot.isEmpty():
+        return df.withColumn(name, local(Window.partitionBy(*by).orderBy(*order)))
+    spread = cut(df.repartitionByRange(*by, *order).withColumn("block_", F.spark_partition_id()))
+    sums = spread.groupBy(*by, "block_").agg(total.alias("of_block_"))
+    earlier = Window.partitionBy(*by).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*[F.col(c).alias(f"{c}_of_") for c in by], F.col("block_").alias("at_block_"), F.coalesce(F.sum("of_block_").over(earlier), F.lit(0)).alias("before_"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}_of_")) for c in by], F.col("block_") == F.col("at_block_"))
+    valued = spread.withColumn(name, local(Window.partitionBy(*by, "block_").orderBy(*order)))
+    return valued.join(before, same).select(*df.columns, (F.col(name) + F.col("before_")).alias(name))
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str, limit: int | None = None) -> DataFrame:
+    """Adds places from 1 within each key."""
+    return running(df, by, order, lambda w: F.row_number().over(w), F.count(F.lit(1)), name, limit)
 
 
 def prefix_sums(df: DataFrame, by: list[str], order: list[str], value: str, name: str = "before") -> DataFrame:
     """Adds the exclusive running sum of ``value``."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
+    before = lambda w: F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return running(df, by, order, before, F.coalesce(F.sum(value), F.lit(0)), name)
 
 
 def compacted(df: DataFrame, by: list[str], order: list[str], keep: Column, name: str = "slot") -> DataFrame:
     """Rows that pass ``keep``, numbered from 0 within their key."""
-    return df.where(keep).withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    return numbered(df.where(keep), by, order, name).withColumn(name, F.col(name) - 1)
 
 
 def first_appearance(df: DataFrame, by: list[str], key: str, order: list[str], name: str = "label") -> DataFrame:
@@ -24,13 +59,12 @@ def first_appearance(df: DataFrame, by: list[str], key: str, order: list[str], n
     serial numbering pass becomes an aggregation and a window over distinct keys.
     """
     least = df.groupBy(*by, key).agg(F.min(F.struct(*order)).alias("least"))
-    ranked = least.withColumn(name, F.dense_rank().over(Window.partitionBy(*by).orderBy("least")))
-    return ranked.drop("least")
+    return running(least, by, ["least"], lambda w: F.dense_rank().over(w), F.count_distinct("least"), name).drop("least")
 
 
 def ordinals(df: DataFrame, by: list[str], order: list[str], name: str = "ordinal") -> DataFrame:
     """Places from 1 within each key."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return numbered(df, by, order, name)
 
 
 def reversals(df: DataFrame, by: list[str], order: str, state: str, before: str, after: str) -> DataFrame:
@@ -51,8 +85,7 @@ def reversals(df: DataFrame, by: list[str], order: str, state: str, before: str,
 
 def islands(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Runs of consecutive whole numbers per key: (first, last, size)."""
-    w = Window.partitionBy(*by).orderBy(value)
-    runs = df.select(*by, value).distinct().withColumn("run", F.col(value) - F.row_number().over(w))
+    runs = numbered(df.select(*by, value).distinct(), by, [value], "run").withColumn("run", F.col(value) - F.col("run"))
     return runs.groupBy(*by, "run").agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count(F.lit(1)).alias("size")).drop("run")
 
 
@@ -70,3 +103,16 @@ def broken_steps(df: DataFrame, by: list[str], order: str, a: str, b: str, k: in
     w = Window.partitionBy(*by).orderBy(order)
     da, db = F.col(a) - F.lag(a).over(w), F.col(b) - F.lag(b).over(w)
     return df.withColumn("step_sq", da * da + db * db).where(F.col("step_sq") > k)
+
+
+def interval_slowdown(df: DataFrame, by: list[str], order: str, every: int, amount: str, seconds: str) -> DataFrame:
+    """(by, interval, amount, seconds, rate, slowdown): progress in intervals of ``every`` steps of ``order``.
+
+    ``slowdown`` is the time of one unit against that of the key's first interval; null where no time passed or
+    nothing was done.  Intervals are sums by key and number; only their rows are ordered.
+    """
+    number = F.call_function("div", F.col(order).cast("long"), F.lit(every).cast("long"))
+    sums = df.groupBy(*by, number.alias("interval")).agg(F.sum(amount).alias("amount"), F.sum(seconds).alias("seconds"))
+    each = sums.withColumn("rate", F.try_divide(F.col("amount").cast("double"), F.col("seconds").cast("double")))
+    first = F.first("rate").over(Window.partitionBy(*by).orderBy("interval"))
+    return each.withColumn("slowdown", F.try_divide(first, F.col("rate")))

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from latticeflow.functions.records import old_unpacked, packed, unpacked
+from latticeflow.functions.records import old_packed, old_unpacked, packed, unpacked
 from latticeflow.lineage import cut, shared_folder
 from latticeflow.operators import contract, legacy, normalise, samples, stitch, trace
 from latticeflow.operators import tiles as T
@@ -67,8 +67,8 @@ def r_rules(spark, sf):
 
 
 _RULES = """SELECT o_orderkey AS bundle_id, CASE WHEN e <> '' THEN 'REJECT' WHEN o_orderkey % 4 = 0 THEN 'CLAIM_PROOF_MISSING' ELSE 'RUN_CONTRACT_PASS' END AS status, e AS errors FROM (
-  SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 7 = 0 THEN 'R1 width must equal r_outer - r_inner' END, CASE WHEN o_orderkey % 11 = 0 THEN 'R2 bz.clean must be true' END,
-    CASE WHEN o_orderkey % 17 = 0 THEN 'R3 an overflow counter is not zero' END, CASE WHEN o_orderkey % 13 = 0 THEN 'R3 the host overflow counter must be zero' END], lambda x: x IS NOT NULL), '; ') AS e FROM orders)"""
+  SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 7 = 0 THEN 'R1 width: not the difference of the radii' END, CASE WHEN o_orderkey % 11 = 0 THEN 'R2 bz.clean: not true' END,
+    CASE WHEN o_orderkey % 17 = 0 THEN 'R3 overflow_counters: one is not 0' END, CASE WHEN o_orderkey % 13 = 0 THEN 'R3 host_tileop_counters: overflow bits emitted' END], lambda x: x IS NOT NULL), '; ') AS e FROM orders)"""
 
 
 def s4_regions(spark, sf):
@@ -97,11 +97,10 @@ def k7_report_lines(spark, sf):
 
 
 def f11_records(spark, sf):
-    """Tile records packed into bytes and read back; rows that differ."""
-    rows = cut(T.summaries(G.tiles(G.towers(spark, _Q), _Q), _Q, caps=True))
-    back = rows.withColumn("t", unpacked(packed(F.col("n"), F.col("face_groups"), F.col("inner"), F.col("outer"), F.col("tile_flags"))))
-    same = (F.col("t.n") == F.col("n")) & (F.col("t.face_groups") == F.col("face_groups")) & (F.col("t.inner") == F.col("inner")) & (F.col("t.outer") == F.col("outer")) & (F.col("t.tile_flags") == F.col("tile_flags"))
-    return back.where(~same).select("i", "j")
+    """Tile records packed into bytes and read back, as texts of their parts."""
+    rows = T.summaries(G.tiles(G.towers(spark, _Q), _Q), _Q, caps=True)
+    back = rows.select("i", "j", unpacked(packed(F.col("n"), F.col("face_groups"), F.col("inner"), F.col("outer"), F.col("tile_flags"))).alias("t"))
+    return back.select("i", "j", *[F.array_join(f"t.{c}", ".").alias(c) for c in ("n", "face_groups", "inner", "outer")], F.col("t.tile_flags").cast("long").alias("tile_flags"))
 
 
 def f23_old_records(spark, sf):
@@ -119,6 +118,28 @@ _OLD = """SELECT n, CASE WHEN n % 10 = 9 THEN 'overflow' WHEN n % 10 = 8 THEN 'i
   CASE WHEN n % 10 < 8 THEN ((((5 + n % 4 - 3) * 7 + n) % 256) >> 7) * 256 + ((8 + n % 4 + (128 - 8 - n % 4 - 3) // 2 - 3) * 7 + n) % 256 ELSE -1 END::INTEGER AS x FROM range(0, 300) t(n)"""
 
 
+def f23_encoded(spark, sf):
+    """Older records made from line items, group by group, and read back; some don't fit."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 130).cast("int").alias("g"), (F.col("l_suppkey") * 7 % 512).cast("int").alias("h"), (F.col("l_linenumber") % 4).cast("int").alias("f"))
+    rows = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "g", "h", "f"))).alias("p"))
+    face = lambda f, c: F.transform(F.filter("p", lambda x: x["f"] == f), lambda x: x[c])
+    record = old_packed(face(0, "g"), face(1, "g"), face(2, "g"), face(3, "g"), face(2, "h"), face(3, "h"))
+    read = rows.select("l_orderkey", record.alias("record")).select("l_orderkey", "record", old_unpacked(F.col("record")).alias("t"))
+    return read.select("l_orderkey", F.lower(F.hex("record")).alias("record"), F.when(F.col("t.status") == "ok", F.array_join(F.concat("t.face_o", "t.face_i", "t.face_l"), ".")).alias("groups"), F.when(F.col("t.status") == "ok", F.array_join("t.height_l", ".")).alias("heights"))
+
+
+def _encoded_sql() -> str:
+    byte = lambda x: f"lpad(lower(hex(({x})::UBIGINT)), 2, '0')"
+    of = lambda f, what, sep="''": f"coalesce(string_agg({what}, {sep} ORDER BY l_linenumber, g, h) FILTER (f = {f}), '')"
+    n = lambda *fs: "count(*) FILTER (f IN (" + ", ".join(map(str, fs)) + "))"
+    return f"""WITH li AS (SELECT l_orderkey, l_linenumber, l_partkey % 130 AS g, l_suppkey * 7 % 512 AS h, l_linenumber % 4 AS f FROM lineitem)
+SELECT l_orderkey, CASE WHEN fits THEN rpad(record, 256, '0') ELSE repeat('ff', 128) END AS record, CASE WHEN fits THEN groups END AS groups, CASE WHEN fits THEN heights END AS heights FROM (
+  SELECT l_orderkey, max(g) <= 127 AND 3 + {n(0, 1)} + 2 * {n(2, 3)} <= 128 AS fits,
+    rpad({byte(f"3 + {n(0)}")} || {byte(f"3 + {n(0, 1)}")} || {byte(f"3 + {n(0, 1, 2)}")} || {of(0, byte("g"))} || {of(1, byte("g"))} || {of(2, byte("g + (h >> 8) * 128"))} || {of(3, byte("g + (h >> 8) * 128"))}, (2 * (3 + {n(0, 1, 2)} + (125 - {n(0, 1, 2)} - {n(2)}) // 2))::INTEGER, '0') || {of(2, byte("h % 256"))} || {of(3, byte("h % 256"))} AS record,
+    array_to_string(list_concat(list_concat(coalesce(list(g ORDER BY l_linenumber, g, h) FILTER (f = 0), []), coalesce(list(g ORDER BY l_linenumber, g, h) FILTER (f = 1), [])), coalesce(list(g ORDER BY l_linenumber, g, h) FILTER (f = 2), [])), '.') AS groups,
+    {of(2, "h::VARCHAR", "'.'")} AS heights FROM li GROUP BY l_orderkey)"""
+
+
 def p15_pruned(spark, sf):
     """Dead ends of a port list made from line items."""
     li = table(spark, sf, "lineitem").select(F.lit(0).alias("i"), F.col("l_orderkey").alias("j"), F.element_at(F.array(*[F.lit(x) for x in "IOLR"]), (F.col("l_linenumber") % 4 + 1).cast("int")).alias("face"), F.col("l_linenumber").alias("ordinal"), (F.col("l_suppkey") % 3 + 1).alias("label"))
@@ -134,7 +155,13 @@ def k5_certificate_points(spark, sf):
 
 
 def k11_golden(spark, sf):
-    return sinks.golden(T.summaries(G.tiles(G.towers(spark, _Q), _Q), _Q), batch=2).select("batch", "rows")
+    """Digests of the tiles' records in order, by two columns."""
+    return sinks.golden(T.summaries(G.tiles(G.towers(spark, _Q), _Q), _Q), batch=2)
+
+
+def k11_layers(spark, sf):
+    """Digests of each layer of the tiles' answers, by two columns."""
+    return sinks.golden_layers(T.layers(G.tiles(G.towers(spark, _Q), _Q), _Q), batch=2)
 
 
 def s6_s7_snapshot(spark, sf):
@@ -217,9 +244,21 @@ def w4_status_reversals(spark, sf):
 
 
 def _golden_sql() -> str:
-    from latticeflow.queries.lattice import _towers_sql
+    from latticeflow.queries.lattice import RECORDS_SQL, _tile_sql
+
+    return _tile_sql(_Q, f"""SELECT i // 2 AS batch, count(*) AS "rows", sha256(sha256(string_agg(i || ',' || j || ',' || n || ',' || face_groups || ',' || "inner" || ',' || "outer" || ',' || tile_flags, chr(10) ORDER BY i, j))) AS digest FROM ({RECORDS_SQL}) GROUP BY 1""")
+
+
+def _golden_layers_sql() -> str:
+    from latticeflow.queries.lattice import LAYERS_SQL, _tile_sql
+
+    return _tile_sql(_Q, f"""SELECT i // 2 AS batch, layer, count(*) AS "rows", sha256(sha256(string_agg(i || ',' || j || ',' || digest, chr(10) ORDER BY i, j))) AS digest FROM ({LAYERS_SQL}) GROUP BY 1, 2""")
+
+
+def _records_sql() -> str:
+    from latticeflow.queries.lattice import RECORDS_SQL, _tile_sql
 
-    return f'WITH {_towers_sql(_Q)} SELECT i // 2 AS batch, count(*) AS "rows" FROM tiles GROUP BY 1'
+    return _tile_sql(_Q, RECORDS_SQL)
 
 
 def _snapshot_sql() -> str:
@@ -259,7 +298,9 @@ SELECT n.k_sq, n.r_inner, w0 AS narrower_width, width AS wider_width FROM n JOIN
         """SELECT '{"c_custkey":' || c_custkey || ',"c_nationkey":' || c_nationkey || ',"segment":' || CASE WHEN c_custkey % 2 = 0 THEN '"' || c_mktsegment || '"' ELSE 'null' END || '}' AS value FROM customer""",
     ),
     "k7_report_lines": Query(k7_report_lines, "SELECT '| ' || s_suppkey || ' | ' || CASE WHEN s_nationkey <> 3 THEN s_nationkey::VARCHAR ELSE 'None' END || ' | ' || s_name || ' |' AS value FROM supplier"),
-    "f11_records": Query(f11_records, "SELECT 0::BIGINT AS i, 0::BIGINT AS j WHERE false"),
+    "f11_records": Query(f11_records, _records_sql()),
+    "f23_encoded": Query(f23_encoded, _encoded_sql()),
+    "k11_layers": Query(k11_layers, _golden_layers_sql()),
     "f23_old_records": Query(f23_old_records, _OLD.replace(" AS x ", " AS first_height ")),
     "p15_pruned": Query(
         p15_pruned,
@@ -269,7 +310,7 @@ SELECT j, face, ordinal, dense_rank() OVER (PARTITION BY j ORDER BY label) AS la
     "k5_certificate_points": Query(k5_certificate_points, "SELECT 0 AS unknown, n_nationkey::BIGINT AS pos, n_nationkey::BIGINT * 2 AS a, n_nationkey::BIGINT * 3 AS b FROM nation"),
     "k11_golden": Query(k11_golden, _golden_sql()),
     "s6_s7_snapshot": Query(s6_s7_snapshot, _snapshot_sql()),
-    "s10_json_lines": Query(s10_json_lines, "SELECT row_number() OVER (ORDER BY n_nationkey) AS line_number, CASE n_nationkey % 10 WHEN 5 THEN ' expected object row' WHEN 7 THEN ' invalid JSONL' END AS error FROM nation QUALIFY n_nationkey % 10 <> 3"),
+    "s10_json_lines": Query(s10_json_lines, "SELECT row_number() OVER (ORDER BY n_nationkey) AS line_number, CASE n_nationkey % 10 WHEN 5 THEN ' not an object' WHEN 7 THEN ' not JSON' END AS error FROM nation QUALIFY n_nationkey % 10 <> 3"),
     "s11_run_index": Query(s11_run_index, "SELECT s_suppkey, s_name FROM supplier"),
     "j8_offset_matches": Query(j8_offset_matches, _OFFSETS),
     "j13_sample_audit": Query(j13_sample_audit, _audit_sql()),

@@ -21,6 +21,7 @@ from latticeflow.sources import tiles as G
 SMALL = Annulus(8, 40, 120, 16)
 WIDE = Annulus(36, 100, 300)
 GRID = Annulus(10, 1000, 2000)
+WIDE_GRID = Annulus(8, 400, 1200, 64)
 
 
 def _primes_sql(q: Annulus) -> str:
@@ -121,14 +122,13 @@ SELECT k, r_inner, r_outer, coalesce(a, 0) AS inner_candidates, coalesce(b, 0) A
 LEFT JOIN (SELECT k, r_inner, count(*) AS a, count(*) FILTER (n IN (SELECT n FROM norms)) AS x FROM i GROUP BY 1, 2) USING (k, r_inner) LEFT JOIN (SELECT k, r_inner, count(*) AS b, count(*) FILTER (n IN (SELECT n FROM norms)) AS y FROM o GROUP BY 1, 2) USING (k, r_inner)"""
 
 
+CROWDED = Annulus(2, 300, 600)
+
+
 def p11_overflows(spark, sf_dir):
-    """Tiles whose capacity flag differs from what their uncapped counts say; empty if none."""
-    q = Annulus(8, 500, 1500)
-    grid = cut(G.tiles(G.towers(spark, q), q))
-    free, capped = T.summaries(grid, q, parts=6), T.summaries(grid, q, caps=True, parts=6)
-    over = (F.col("groups") > 128) | (F.array_max("n") > 255) | (F.aggregate("n", F.lit(0), lambda a, x: a + x) > 192)
-    both = free.select("i", "j", over.alias("over")).join(capped.select("i", "j", (F.col("tile_flags") == 2).alias("flag")), ["i", "j"])
-    return both.where(F.col("over") != F.col("flag")).select("i", "j")
+    """Tiles and whether they pass the capacities of a record."""
+    rows = T.summaries(G.tiles(G.towers(spark, CROWDED), CROWDED), CROWDED, caps=True, parts=6)
+    return rows.select("i", "j", (F.col("tile_flags").bitwiseAND(F.lit(2)) != 0).alias("overflow"))
 
 
 def f16_pressure(spark, sf_dir):
@@ -213,6 +213,10 @@ def g5_largest(spark, sf_dir):
     return V.largest(flat.solve(spark, SMALL).components()).select("component", "size")
 
 
+def g5_largest_touching(spark, sf_dir):
+    return V.largest(flat.solve(spark, SMALL).components(), touching=True).select("component", "size")
+
+
 def j9_bridges(spark, sf_dir):
     """First edge between vertices of different residue classes of the norm."""
     v = lattice.primes(spark, SMALL).withColumn("label", F.pmod(F.col("norm"), F.lit(5)))
@@ -238,8 +242,11 @@ def p9_active_tiles(spark, sf_dir):
 
 
 def w6_grid_invariants(spark, sf_dir):
-    found = G.invariant_violations(G.towers(spark, GRID))
-    return found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    """The rules that a spoilt grid breaks: a tower moved, one emptied, one gone, one out of its neighbours' reach."""
+    i = F.col("i")
+    moved = F.when(i == 2, 2).when(i == 6, 40).otherwise(0)
+    spoilt = G.towers(spark, WIDE_GRID).where("i <> 4").select("i", (F.col("j_low") + moved).alias("j_low"), F.when(i == 1, F.col("j_low") - 1).otherwise(F.col("j_high") + F.when(i == 6, 40).otherwise(0)).alias("j_high"))
+    return G.invariant_violations(spoilt, block=3)
 
 
 def f9_tile_places(spark, sf_dir):
@@ -301,18 +308,17 @@ def two_level_components(spark, sf_dir):
     return V.census(two_level.solve(spark, SMALL).components()).where("class = 'spanning'").select("class", "components")
 
 
+OTHER = Annulus(5, 40, 120, 16)
+
+
 def j14_layer_differences(spark, sf_dir):
-    """Tiles' own primes from the two plans, compared; empty if they agree."""
-    q = SMALL
-    grid = cut(G.tiles(G.towers(spark, q), q))
-    mine = T.summaries(grid, q).select("i", "j", F.col("primes").cast("long").alias("n"))
-    c, s = q.collar, q.side
-    span = lambda x: F.sequence(F.greatest(F.lit(0).cast("long"), F.floor((F.col(x) - s - c + s - 1) / s)), F.floor((F.col(x) + c) / s))
-    spread = lattice.primes(spark, q).withColumn("i", F.explode(span("a"))).withColumn("j", F.explode(span("b")))
-    inside = (F.col("a") >= F.col("i") * s - c) & (F.col("a") <= F.col("i") * s + s + c) & (F.col("b") >= F.col("j") * s - c) & (F.col("b") <= F.col("j") * s + s + c)
-    other = spread.where(inside).groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))
-    both = grid.select("i", "j").join(mine, ["i", "j"]).join(other.withColumnRenamed("n", "m"), ["i", "j"], "left")
-    return both.where(F.col("n") != F.coalesce("m", F.lit(0))).select("i", "j", "n", "m")
+    """Layers in which the tiles of two step bounds differ."""
+    grid = cut(G.tiles(G.towers(spark, SMALL), SMALL))
+    return T.layer_differences(T.layers(grid, SMALL), T.layers(grid, OTHER))
+
+
+def j14_first_differences(spark, sf_dir):
+    return T.first_differing_layers(j14_layer_differences(spark, sf_dir))
 
 
 def g7_g9_span_path(spark, sf_dir):
@@ -321,8 +327,26 @@ def g7_g9_span_path(spark, sf_dir):
 
 
 def g10_path_check(spark, sf_dir):
+    """Neighbours as paths of two points in annuli of their own; some are moved, some annuli too wide."""
+    e = edges.near(lattice.primes(spark, SMALL), SMALL.k)
+    norm = lambda p: F.col(f"a{p}") * F.col(f"a{p}") + F.col(f"b{p}") * F.col(f"b{p}")
+    moved = F.when((F.col("a1") + F.col("b2")) % 5 == 0, F.col("a2") + 1).otherwise(F.col("a2"))
+    claims = e.select(
+        F.concat_ws(",", *[F.col(c).cast("string") for c in ("a1", "b1", "a2", "b2")]).alias("claim_id"),
+        integers.floor_isqrt(F.least(norm(1), norm(2))).alias("r_inner"), (integers.floor_isqrt(F.greatest(norm(1), norm(2))) + 1 + F.when(F.col("b1") % 7 == 0, 40).otherwise(0)).alias("r_outer"),
+        F.array(F.struct(F.lit(0).cast("long").alias("pos"), F.col("a1").alias("a"), F.col("b1").alias("b")), F.struct(F.lit(1).cast("long").alias("pos"), moved.alias("a"), F.col("b2").alias("b"))).alias("points"),
+    )
+    rows = claims.select("claim_id", F.lit(SMALL.k).cast("long").alias("k_sq"), "r_inner", "r_outer", F.inline("points"))
+    return trace.check_points(rows).select("claim_id", "points", "ok", F.array_join("errors", "; ").alias("errors"))
+
+
+def g9_shortest_path(spark, sf_dir):
+    """Points of a path with fewest steps between the bands, among all primes of the annulus."""
     q = Annulus(10, 40, 120, 16)
-    return trace.check_path(trace.span_path(spark, q), q)
+    v = cut(flat.vertices(spark, q))
+    ends = lambda bit: v.where(F.col("reach").bitwiseAND(F.lit(bit)) != 0).select("id")
+    path = trace.shortest_path(flat.edge_ids(v, q.k), ends(1), ends(2))
+    return path.join(v, "id").select("pos", "a", "b")
 
 
 def g6_span_event(spark, sf_dir):
@@ -404,6 +428,51 @@ halo AS MATERIALIZED (
 {body}"""
 
 
+#: The parts of the tiles' records as texts.
+RECORDS_SQL = """SELECT t.i, t.j, coalesce(c.ports_i, 0) || '.' || coalesce(c.ports_o, 0) || '.' || coalesce(c.ports_l, 0) || '.' || coalesce(c.ports_r, 0) AS n, coalesce(p.told, '') AS face_groups, coalesce(v.inner_told, '') AS "inner", coalesce(v.outer_told, '') AS "outer",
+  CASE WHEN t.i * 1000 + t.j IN (SELECT tile FROM halo) THEN 0 ELSE 1 END::BIGINT AS tile_flags
+FROM tiles t LEFT JOIN face_counts c ON c.tile = t.i * 1000 + t.j LEFT JOIN (SELECT tile, string_agg(label::VARCHAR, '.' ORDER BY pos) AS told FROM ports GROUP BY tile) p ON p.tile = t.i * 1000 + t.j
+LEFT JOIN (SELECT tile, string_agg(label::VARCHAR, '.' ORDER BY label) FILTER (reach & 1 > 0) AS inner_told, string_agg(label::VARCHAR, '.' ORDER BY label) FILTER (reach & 2 > 0) AS outer_told FROM visible GROUP BY tile) v ON v.tile = t.i * 1000 + t.j"""
+#: Digests of the tiles' layers.
+LAYERS_SQL = f"""SELECT i, j, unnest(['primes', 'bands', 'labels', 'record']) AS layer, unnest([sha256(x), sha256(y), sha256(z), sha256(record)]) AS digest FROM (
+  SELECT r.i, r.j, coalesce(x, '') AS x, coalesce(y, '') AS y, coalesce(z, '') AS z, n || '|' || face_groups || '|' || "inner" || '|' || "outer" || '|' || tile_flags AS record FROM ({RECORDS_SQL}) r LEFT JOIN (
+    SELECT h.i, h.j, string_agg(h.a || ':' || h.b, ' ' ORDER BY h.a, h.b) AS x, string_agg(h.reach::VARCHAR, '' ORDER BY h.a, h.b) AS y, string_agg(coalesce(v.label, 0)::VARCHAR, ' ' ORDER BY h.a, h.b) AS z
+    FROM halo h JOIN tile_labelled l USING (node) LEFT JOIN visible v ON v.tile = h.tile AND v.least = l.least GROUP BY h.i, h.j) t ON t.i = r.i AND t.j = r.j)"""
+
+
+def _differences_sql() -> str:
+    return f"""SELECT coalesce(x.i, y.i) AS i, coalesce(x.j, y.j) AS j, coalesce(x.layer, y.layer) AS layer, x.digest AS left_digest, y.digest AS right_digest
+FROM ({_tile_sql(SMALL, LAYERS_SQL)}) x FULL JOIN ({_tile_sql(OTHER, LAYERS_SQL)}) y ON x.i = y.i AND x.j = y.j AND x.layer = y.layer WHERE x.digest IS DISTINCT FROM y.digest"""
+
+
+def _spoilt_sql() -> str:
+    return f"""WITH {_towers_sql(WIDE_GRID)}, g AS (SELECT i, j_low + CASE i WHEN 2 THEN 2 WHEN 6 THEN 40 ELSE 0 END AS lo, CASE i WHEN 1 THEN j_low - 1 WHEN 6 THEN j_high + 40 ELSE j_high END AS hi FROM towers WHERE i <> 4),
+b AS (SELECT *, lag(i) OVER w AS pi, lag(lo) OVER w AS pl, lag(hi) OVER w AS ph FROM g WINDOW w AS (ORDER BY i))
+SELECT i, unnest(list_filter([CASE WHEN i <> pi + 1 THEN 'gap' END, CASE WHEN hi < lo THEN 'empty' END, CASE WHEN abs(lo - pl) > 1 OR hi > ph OR ph - hi > i + 2 THEN 'shift' END, CASE WHEN lo > ph OR hi < pl THEN 'orphan' END], lambda x: x IS NOT NULL)) AS rule FROM b"""
+
+
+_PATH_CHECKS = """, whole AS MATERIALIZED (SELECT n FROM range(2, 20001) t(n) EXCEPT SELECT p * m FROM range(2, 142) s(p), range(2, 10001) r(m) WHERE m >= p AND p * m <= 20000),
+c AS (SELECT *, a1 * a1 + b1 * b1 AS n1, a2 * a2 + b2 * b2 AS n2, a2 + CASE WHEN (a1 + b2) % 5 = 0 THEN 1 ELSE 0 END AS a3 FROM edges),
+d AS (SELECT *, a3 * a3 + b2 * b2 AS n3, floor(sqrt(least(n1, n2)))::BIGINT AS lo, floor(sqrt(greatest(n1, n2)))::BIGINT + 1 + CASE WHEN b1 % 7 = 0 THEN 40 ELSE 0 END AS hi FROM c),
+f AS (SELECT *, a1 >= 0 AND b1 >= a1 AND a3 >= 0 AND b2 >= a3 AS octant, n1 BETWEEN lo * lo AND hi * hi AND n3 BETWEEN lo * lo AND hi * hi AS annulus,
+  CASE WHEN a3 = 0 THEN b2 % 4 = 3 AND b2 IN (SELECT n FROM whole) WHEN b2 = 0 THEN a3 % 4 = 3 AND a3 IN (SELECT n FROM whole) ELSE n3 IN (SELECT n FROM whole) END AS prime, (a3 - a1) * (a3 - a1) + (b2 - b1) * (b2 - b1) BETWEEN 1 AND 8 AS step,
+  (n1 - lo * lo - 8) * (n1 - lo * lo - 8) <= 32 * lo * lo AS start, (n3 - hi * hi - 8) * (n3 - hi * hi - 8) <= 32 * hi * hi AS stop FROM d)
+SELECT a1 || ',' || b1 || ',' || a2 || ',' || b2 AS claim_id, 2::BIGINT AS points, octant AND annulus AND prime AND step AND start AND stop AS ok, array_to_string(list_filter([CASE WHEN NOT octant THEN 'point outside the octant' END, CASE WHEN NOT annulus THEN 'point outside the annulus' END,
+  CASE WHEN NOT prime THEN 'point is not a Gaussian prime' END, CASE WHEN NOT step THEN 'step is zero or too long' END, CASE WHEN NOT start THEN 'first point is not in the inner band' END, CASE WHEN NOT stop THEN 'last point is not in the outer band' END], lambda x: x IS NOT NULL), '; ') AS errors FROM f"""
+
+#: Distances from the inner band, and back from the smallest of the nearest outer points by the smallest neighbour nearer to it.
+_SHORTEST = """, linked AS MATERIALIZED (SELECT id1 AS x, id2 AS y FROM edges UNION ALL SELECT id2, id1 FROM edges),
+walked(id, far) USING KEY (id) AS (
+  SELECT id, 0 FROM vertices WHERE reach & 1 > 0
+  UNION
+  SELECT e.y, min(w.far) + 1 FROM walked w JOIN linked e ON e.x = w.id LEFT JOIN recurring.walked r ON r.id = e.y WHERE r.id IS NULL GROUP BY e.y
+), far AS MATERIALIZED (SELECT id, far FROM walked),
+goal AS (SELECT id, far FROM far JOIN vertices USING (id) WHERE reach & 2 > 0 ORDER BY far, id LIMIT 1),
+nearer AS MATERIALIZED (SELECT f.id, min(g.id) AS before FROM far f JOIN linked e ON e.x = f.id JOIN far g ON g.id = e.y AND g.far = f.far - 1 GROUP BY f.id),
+path(id, pos) AS (SELECT id, far FROM goal UNION ALL SELECT n.before, pos - 1 FROM path p JOIN nearer n ON n.id = p.id)
+SELECT pos::BIGINT AS pos, a, b FROM path JOIN vertices USING (id)"""
+
+
 QUERIES: dict[str, Query] = {
     "s1_annulus_primes": Query(s1_annulus_primes, _with(WIDE, "SELECT a, b, norm FROM primes")),
     "p1_p2_annulus_points": Query(p1_p2_annulus_points, f"SELECT a, b, a * a + b * b AS norm FROM range(0, 121) x(a), range(0, 121) y(b) WHERE b >= a AND a * a + b * b BETWEEN {SMALL.inner_sq} AND {SMALL.outer_sq}"),
@@ -421,7 +490,10 @@ SELECT k, r_inner, r_outer, r_inner * r_inner AS inner_lo,
   r_outer * r_outer AS outer_hi FROM q""",
     ),
     "p12_bad_zones": Query(p12_bad_zones, _ZONES_SQL),
-    "p11_overflows": Query(p11_overflows, "SELECT 0::BIGINT AS i, 0::BIGINT AS j WHERE false"),
+    "p11_overflows": Query(
+        p11_overflows,
+        _tile_sql(CROWDED, "SELECT t.i, t.j, coalesce(f.groups, 0) > 128 OR coalesce(total, 0) > 192 OR greatest(coalesce(ports_i, 0), coalesce(ports_o, 0), coalesce(ports_l, 0), coalesce(ports_r, 0)) > 255 AS overflow FROM tiles t LEFT JOIN flags f ON f.tile = t.i * 1000 + t.j LEFT JOIN face_counts c ON c.tile = t.i * 1000 + t.j"),
+    ),
     "f16_pressure": Query(f16_pressure, _tile_sql(SMALL, "SELECT coalesce(f.groups, 0) AS groups, coalesce(sum(2 * total + inner_bytes + outer_bytes), 0)::BIGINT AS score, count(*) AS tiles FROM tiles t LEFT JOIN flags f ON f.tile = t.i * 1000 + t.j LEFT JOIN face_counts c ON c.tile = f.tile GROUP BY 1")),
     "u1_tube_primes": Query(u1_tube_primes, _with(SMALL, "SELECT a, b FROM primes")),
     "f2_integer_roots": Query(
@@ -460,7 +532,7 @@ SELECT n, f::BIGINT AS floor_root, (CASE WHEN f * f = n THEN f ELSE f + 1 END)::
     "s3_tiles": Query(s3_tiles, f"WITH {_towers_sql(GRID)} SELECT i, j, idx FROM placed"),
     "w1_tower_offsets": Query(w1_tower_offsets, f"WITH {_towers_sql(GRID)} SELECT i, j_low, j_high, tower_offset FROM towers"),
     "p9_active_tiles": Query(p9_active_tiles, f"WITH {_towers_sql(SMALL)} SELECT i, j, (i, j) IN (SELECT (i, j) FROM tiles) AS active FROM range(0, 9) x(i), range(0, 9) y(j)"),
-    "w6_grid_invariants": Query(w6_grid_invariants, "SELECT 'none' AS rule, 0::BIGINT AS n WHERE false"),
+    "w6_grid_invariants": Query(w6_grid_invariants, _spoilt_sql()),
     "f9_tile_places": Query(f9_tile_places, f"WITH {_towers_sql(GRID)} SELECT idx, i, j FROM placed WHERE idx < 100"),
     "s5_first_tiles": Query(s5_first_tiles, f"WITH {_towers_sql(GRID)} SELECT i, j FROM tiles ORDER BY i, j LIMIT 10"),
     "t7_every_third_tile": Query(t7_every_third_tile, f"WITH {_towers_sql(GRID)} SELECT i, j, idx FROM placed WHERE idx >= 2 AND (idx - 2) % 3 = 0 ORDER BY idx LIMIT 5"),
@@ -487,8 +559,11 @@ FROM face_counts c JOIN flags USING (tile) ORDER BY score DESC, ports DESC, grou
     FROM visible v LEFT JOIN ports p ON p.tile = v.tile AND p.label = v.label GROUP BY v.tile, v.label, v.reach) WHERE told <> '' GROUP BY tile) s ON s.tile = t.i * 1000 + t.j"""),
     ),
     "two_level_components": Query(two_level_components, _with(SMALL, "SELECT 'spanning' AS class, count(*) AS components FROM comps WHERE reach = 3 HAVING count(*) > 0", True)),
-    "j14_layer_differences": Query(j14_layer_differences, "SELECT 0::BIGINT AS i, 0::BIGINT AS j, 0::BIGINT AS n, 0::BIGINT AS m WHERE false"),
+    "j14_layer_differences": Query(j14_layer_differences, _differences_sql()),
+    "j14_first_differences": Query(j14_first_differences, f"SELECT i, j, min_by(layer, list_position(['primes', 'bands', 'labels', 'record'], layer)) AS layer FROM ({_differences_sql()}) GROUP BY 1, 2"),
     "g6_span_event": Query(g6_span_event),
     "g7_g9_span_path": Query(g7_g9_span_path),
-    "g10_path_check": Query(g10_path_check, "SELECT true AS ok, '' AS errors"),
+    "g10_path_check": Query(g10_path_check, _with(SMALL, "SELECT 1").replace("\nSELECT 1", _PATH_CHECKS)),
+    "g9_shortest_path": Query(g9_shortest_path, _with(Annulus(10, 40, 120, 16), "SELECT 1").replace("\nSELECT 1", _SHORTEST)),
+    "g5_largest_touching": Query(g5_largest_touching, _with(SMALL, "SELECT component, size FROM comps WHERE reach > 0 ORDER BY size DESC, component LIMIT 8", True)),
 }

@@ -108,18 +108,25 @@ def w9_broken_steps(spark, sf):
     return W.broken_steps(one, ["l_orderkey"], "n", "a", "b", 900).select("l_orderkey", "n", "step_sq")
 
 
+def w10_slowdown(spark, sf):
+    """Progress of each order status in intervals of a thousand orders: its items, and their quantity as time."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_linestatus", F.lit(1).alias("items"))
+    told = W.interval_slowdown(li, ["l_linestatus"], "l_orderkey", 1000, "items", "l_quantity")
+    return told.select("l_linestatus", "interval", F.col("amount").cast("long").alias("amount"), F.round("rate", 9).alias("rate"), F.round("slowdown", 9).alias("slowdown"))
+
+
 def t3_top_rows(spark, sf):
     d = F.desc
     return S.top(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"), [d("l_quantity"), d("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber"), F.asc("l_partkey")], 32)
 
 
 def t4_bottom_k(spark, sf):
-    rows = table(spark, sf, "orders").select("o_orderpriority", "o_orderkey", S.mixed(F.col("o_orderkey"), 7).alias("h"))
+    rows = table(spark, sf, "orders").select("o_orderpriority", "o_orderkey", S.hexadecimal(S.mixed(F.col("o_orderkey"), 7)).alias("h"))
     return S.bottom_k(rows, ["o_orderpriority"], [F.col("h"), F.col("o_orderkey")], 20).select("o_orderpriority", "o_orderkey", "h", F.col("place").cast("long").alias("place"))
 
 
 def t5_stratified(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice", S.mixed(F.col("o_orderkey"), 1).alias("h"))
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice", S.hexadecimal(S.mixed(F.col("o_orderkey"), 1)).alias("h"))
     members = {"final": F.col("o_orderstatus") == "F", "urgent": F.col("o_orderpriority") == "1-URGENT", "random": F.lit(True)}
     order = {"final": [F.col("h")], "urgent": [F.desc("o_totalprice")], "random": [F.col("h")]}
     return S.stratified(o, ["o_orderkey"], members, {k: [x if k != "urgent" else -F.col("o_totalprice") for x in v] for k, v in order.items()}, 60).select("o_orderkey", "sample_class")
@@ -186,27 +193,31 @@ def j12_snapshot_diff(spark, sf):
     return U.snapshot_diff(old, new, ["o_orderkey"], "payload").select("o_orderkey", "change")
 
 
+def _supplier_links(spark, sf):
+    li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s"), "l_partkey", "l_shipdate", "l_quantity")
+    by = ["l_partkey", "l_shipdate", "l_quantity"]
+    return li.join(li.groupBy(*by).agg(F.min("s").alias("a")), by).select("a", F.col("s").alias("b")).where("a <> b")
+
+
 def j1_equi_graph(spark, sf):
-    """Suppliers joined by shared parts, and whether a component holds two given nations."""
-    li = table(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 49").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"))
-    first = li.groupBy("p").agg(F.min("s").alias("a"))
-    links = li.join(first, "p").select("a", F.col("s").alias("b"))
+    """Suppliers joined by items of the same part and quantity shipped on the same day."""
+    links = _supplier_links(spark, sf)
     v = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_nationkey") == 3, 1).when(F.col("s_nationkey") == 7, 2).otherwise(0).alias("reach"))
     return label_vertices(v, cut(links)).select(F.col("id").alias("s_suppkey"), "component")
 
 
 def g3_graph_verdict(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 49").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"))
-    links = li.join(li.groupBy("p").agg(F.min("s").alias("a")), "p").select("a", F.col("s").alias("b"))
+    """Whether a component of the same graph holds two given nations."""
+    links = _supplier_links(spark, sf)
     v = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_nationkey") == 3, 1).when(F.col("s_nationkey") == 7, 2).otherwise(0).alias("reach"))
     return verdict(component_reach(label_vertices(v, cut(links))))
 
 
 def g1_customer_components(spark, sf):
-    """Customers joined by orders of the same day and status."""
-    o = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c"), "o_orderdate", "o_orderstatus")
-    least = o.groupBy("o_orderdate", "o_orderstatus").agg(F.min("c").alias("a"))
-    links = cut(o.join(least, ["o_orderdate", "o_orderstatus"]).select("a", F.col("c").alias("b")).distinct())
+    """Customers joined by orders of the same day, status and priority."""
+    by = ["o_orderdate", "o_orderstatus", "o_orderpriority"]
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c"), *by)
+    links = cut(o.join(o.groupBy(*by).agg(F.min("c").alias("a")), by).select("a", F.col("c").alias("b")).distinct())
     return components(links).select(F.col("node").alias("c_custkey"), "component")
 
 
@@ -216,7 +227,12 @@ def f14_f13_parameter_digest(spark, sf):
 
 
 def f15_mixing_hash(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", S.mixed(F.col("c_custkey"), F.col("c_nationkey")).alias("h"))
+    """Hashes of customers as tiles in the run of their nation, each with the run's own seed."""
+    c = table(spark, sf, "customer")
+    r = F.col("c_nationkey")
+    seed = S.run_seed(F.lit(36), r, r + 100, F.col("c_mktsegment"))
+    told = c.select("c_custkey", seed.alias("seed"), *[S.sample_hash(F.col("c_custkey"), r, r, r + 100, seed, k).alias(f"h{k}") for k in (0, 5)])
+    return told.select("c_custkey", *[S.hexadecimal(F.col(x)).alias(x) for x in ("seed", "h0", "h5")])
 
 
 def f19_status_words(spark, sf):
@@ -243,18 +259,25 @@ def s1_months(spark, sf):
     return months.join(late, "month", "left").select(F.col("month").cast("string").alias("month"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-_M = 2_147_483_647
+_TWO64 = "18446744073709551616::UHUGEINT"
+
+
+def _mixed_sql(*parts: str, start: str = "11400714819323198485") -> str:
+    """The golden-ratio mix in whole numbers of 128 bits."""
+    numbers = ", ".join(f"({p})::UBIGINT" for p in parts)
+    return f"list_reduce([{start}::UBIGINT, {numbers}], lambda h, v: xor(h, ((v::UHUGEINT + 11400714819323198485::UHUGEINT + (h::UHUGEINT * 64) % {_TWO64} + (h >> 2)::UHUGEINT) % {_TWO64})::UBIGINT))"
+
+
+def _digits_sql(h: str) -> str:
+    return f"lpad(lower(hex({h})), 16, '0')"
 
 
-def _mixed_sql(*parts: str) -> str:
-    h = "20011::BIGINT"
-    for p in parts:
-        h = f"((({h} + ({p}) % {_M} + 1) * 48271) % {_M} * 69621 + 12345) % {_M}"
-    return h
+def _text_hash_sql(text: str) -> str:
+    return f"list_reduce(list_concat([1469598103934665603::UBIGINT], list_transform(range(1, length({text}) + 1), lambda k: ascii({text}[k])::UBIGINT)), lambda h, v: ((xor(h, v)::UHUGEINT * 1099511628211::UHUGEINT) % {_TWO64})::UBIGINT)"
 
 
-_GRAPH = """WITH RECURSIVE li AS (SELECT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49),
-e AS (SELECT x.s AS x, y.s AS y FROM (SELECT p, min(s) AS s FROM li GROUP BY p) x JOIN li y USING (p) WHERE x.s <> y.s),
+_GRAPH = """WITH RECURSIVE li AS (SELECT l_suppkey AS s, l_partkey AS p, l_shipdate AS d, l_quantity AS q FROM lineitem),
+e AS (SELECT x.s AS x, y.s AS y FROM (SELECT p, d, q, min(s) AS s FROM li GROUP BY p, d, q) x JOIN li y USING (p, d, q) WHERE x.s <> y.s),
 linked AS MATERIALIZED (SELECT DISTINCT x, y FROM (SELECT x, y FROM e UNION ALL SELECT y, x FROM e)),
 labelled(id, component) USING KEY (id) AS (
   SELECT s_suppkey, s_suppkey FROM supplier
@@ -306,11 +329,12 @@ SELECT user_id, session, count(*) AS events, min(ts) AS first_ts, max(ts) AS las
 s AS (SELECT l_orderkey, n, (a - lag(a) OVER w) * (a - lag(a) OVER w) + (b - lag(b) OVER w) * (b - lag(b) OVER w) AS step_sq FROM o WINDOW w AS (PARTITION BY l_orderkey ORDER BY n))
 SELECT * FROM s WHERE step_sq > 900""",
     ),
+    "w10_slowdown": Query(w10_slowdown, "SELECT l_linestatus, interval, n AS amount, round(rate, 9) AS rate, round(first(rate) OVER (PARTITION BY l_linestatus ORDER BY interval) / rate, 9) AS slowdown FROM (SELECT l_linestatus, l_orderkey // 1000 AS interval, count(*) AS n, count(*)::DOUBLE / sum(l_quantity)::DOUBLE AS rate FROM lineitem GROUP BY 1, 2)".replace("interval", '"interval"')),
     "t3_top_rows": Query(t3_top_rows, "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice FROM lineitem ORDER BY l_quantity DESC, l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey LIMIT 32"),
-    "t4_bottom_k": Query(t4_bottom_k, f"SELECT * FROM (SELECT o_orderpriority, o_orderkey, h, row_number() OVER (PARTITION BY o_orderpriority ORDER BY h, o_orderkey) AS place FROM (SELECT *, {_mixed_sql('o_orderkey', '7')} AS h FROM orders)) WHERE place <= 20"),
+    "t4_bottom_k": Query(t4_bottom_k, f"SELECT * FROM (SELECT o_orderpriority, o_orderkey, h, row_number() OVER (PARTITION BY o_orderpriority ORDER BY h, o_orderkey) AS place FROM (SELECT *, {_digits_sql(_mixed_sql('o_orderkey', '7'))} AS h FROM orders)) WHERE place <= 20"),
     "t5_stratified": Query(
         t5_stratified,
-        f"""WITH o AS (SELECT *, {_mixed_sql('o_orderkey', '1')} AS h FROM orders),
+        f"""WITH o AS (SELECT *, {_digits_sql(_mixed_sql('o_orderkey', '1'))} AS h FROM orders),
 a AS (SELECT o_orderkey FROM o WHERE o_orderstatus = 'F' ORDER BY h, o_orderkey LIMIT 20),
 b AS (SELECT o_orderkey FROM o WHERE o_orderpriority = '1-URGENT' AND o_orderkey NOT IN (SELECT o_orderkey FROM a) ORDER BY -o_totalprice, o_orderkey LIMIT 20),
 c AS (SELECT o_orderkey FROM o WHERE o_orderkey NOT IN (SELECT o_orderkey FROM a) AND o_orderkey NOT IN (SELECT o_orderkey FROM b) ORDER BY h, o_orderkey LIMIT 20)
@@ -339,8 +363,8 @@ SELECT p.o_orderkey AS left_key, q.o_orderkey AS right_key FROM p FULL JOIN q US
     "g3_graph_verdict": Query(g3_graph_verdict, _GRAPH + "SELECT CASE WHEN bool_or(x = 3) THEN 'SPANNING' ELSE 'MOAT' END AS verdict FROM (SELECT component, bit_or(CASE s_nationkey WHEN 3 THEN 1 WHEN 7 THEN 2 ELSE 0 END) AS x FROM labelled JOIN supplier ON s_suppkey = id GROUP BY component)"),
     "g1_customer_components": Query(
         g1_customer_components,
-        """WITH RECURSIVE o AS (SELECT o_custkey AS c, o_orderdate AS d, o_orderstatus AS s FROM orders WHERE o_orderpriority = '1-URGENT'),
-e AS (SELECT DISTINCT x.c AS x, y.c AS y FROM (SELECT d, s, min(c) AS c FROM o GROUP BY d, s) x JOIN o y USING (d, s) WHERE x.c <> y.c),
+        """WITH RECURSIVE o AS (SELECT o_custkey AS c, o_orderdate AS d, o_orderstatus AS s, o_orderpriority AS p FROM orders),
+e AS (SELECT DISTINCT x.c AS x, y.c AS y FROM (SELECT d, s, p, min(c) AS c FROM o GROUP BY d, s, p) x JOIN o y USING (d, s, p) WHERE x.c <> y.c),
 linked AS MATERIALIZED (SELECT x, y FROM e UNION SELECT y, x FROM e),
 labelled(id, component) USING KEY (id) AS (
   SELECT DISTINCT x, x FROM linked
@@ -348,7 +372,8 @@ labelled(id, component) USING KEY (id) AS (
 SELECT id AS c_custkey, component FROM labelled WHERE id <> component""",
     ),
     "f14_f13_parameter_digest": Query(f14_f13_parameter_digest, "SELECT p_partkey, sha256('K=' || p_size || ';P=' || p_partkey) AS digest FROM part"),
-    "f15_mixing_hash": Query(f15_mixing_hash, f"SELECT c_custkey, {_mixed_sql('c_custkey', 'c_nationkey')} AS h FROM customer"),
+    "f15_mixing_hash": Query(f15_mixing_hash, f"""SELECT c_custkey, {_digits_sql('seed')} AS seed, {_digits_sql(_mixed_sql('seed', '0', 'c_custkey', 'r', 'r', 'r + 100'))} AS h0, {_digits_sql(_mixed_sql('seed', '5', 'c_custkey', 'r', 'r', 'r + 100'))} AS h5 FROM (
+SELECT c_custkey, r, {_mixed_sql('36', 'r', 'r + 100', '256', '0', '0', start='t')} AS seed FROM (SELECT c_custkey, c_nationkey AS r, {_text_hash_sql('c_mktsegment')} AS t FROM customer))"""),
     "f19_status_words": Query(f19_status_words, "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'ANY_SPAN_DETECTED' WHEN 'O' THEN 'ANY_SHELL_MOAT_DETECTED' ELSE 'UNKNOWN_DETECTOR_STATUS' END AS status, (list_position(['5-LOW', '4-NOT SPECIFIED', '3-MEDIUM', '2-HIGH', '1-URGENT'], o_orderpriority) - 1)::BIGINT AS level FROM orders"),
     "f18_json_values": Query(f18_json_values, "SELECT event_type, sum(k)::BIGINT AS total, count(k) AS n, max(k) AS most FROM (SELECT event_type, coalesce(TRY_CAST(json_extract_string(props, '$.kk') AS BIGINT), TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS k FROM events) GROUP BY 1"),
     "a11_json_sums": Query(a11_json_sums, "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS total FROM events"),

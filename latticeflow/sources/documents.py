@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TILEOP = "struct<n:array<int>,face_groups:array<int>,inner_flags:array<int>,outer_flags:array<int>,tile_flags:int>"
@@ -29,11 +29,18 @@ def certificates(docs: DataFrame, column: str = "document") -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_number, row, error) of JSON-lines files; blank lines are skipped, bad ones have an error."""
-    files = texts(spark, path)
-    lines = files.select("file", F.posexplode(F.split("document", "\n")).alias("at", "row")).where("trim(row) <> ''")
-    kind = F.when(F.try_parse_json("row").isNull(), "invalid JSONL").when(~F.trim("row").startswith("{"), "expected object row")
-    return lines.select("file", (F.col("at") + 1).alias("line_number"), "row", F.when(kind.isNotNull(), F.concat("file", F.lit(":"), (F.col("at") + 1).cast("string"), F.lit(": "), kind)).alias("error"))
+    """(file, line_number, row, error) of JSON-lines files; blank lines are skipped, bad ones have an error.
+
+    Files are read in blocks.  A block's lines are numbered where they are read, and the lines of the file's
+    earlier blocks are added, from one row per block.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("row"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("begin"), F.count(F.lit(1)).alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = lines.join(blocks.select("file", "block", "begin", earlier.alias("earlier")), ["file", "block"]).where("trim(row) <> ''")
+    number = F.col("at") - F.col("begin") + F.col("earlier") + 1
+    kind = F.when(F.try_parse_json("row").isNull(), "not JSON").when(~F.trim("row").startswith("{"), "not an object")
+    return placed.select("file", number.alias("line_number"), "row", F.when(kind.isNotNull(), F.concat("file", F.lit(":"), number.cast("string"), F.lit(": "), kind)).alias("error"))
 
 
 def run_index(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latticeflow.functions.records import flag_bytes
 from latticeflow.operators.aggregates import digest
+from latticeflow.operators.sampling import quotas
+from latticeflow.params import Annulus
 
 
 def write_tiles(summaries: DataFrame, path: str, columns_per_file: int = 256) -> None:
@@ -13,19 +16,63 @@ def write_tiles(summaries: DataFrame, path: str, columns_per_file: int = 256) ->
     summaries.withColumn("columns", F.floor(F.col("i") / columns_per_file)).repartitionByRange("i").sortWithinPartitions("i", "j").write.partitionBy("columns").mode("overwrite").parquet(path)
 
 
-def profile(totals: DataFrame, census: DataFrame, pressure: DataFrame) -> DataFrame:
-    """K3: one row (document): the run's totals, census and pressure tiles as a nested JSON text."""
-    one = lambda df, name: df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name)).withColumn("one", F.lit(1))
-    run = totals.select(F.struct(*totals.columns).alias("tiles"), F.lit(1).alias("one"))
-    both = run.join(one(census, "component_census"), "one").join(one(pressure, "high_pressure_tiles"), "one")
-    return both.select(F.to_json(F.struct(F.lit(2).alias("schema_version"), "tiles", F.struct("component_census", "high_pressure_tiles").alias("stats_v2"))).alias("document"))
-
+def profile(totals: DataFrame, census: DataFrame, pressure: DataFrame, distributions: DataFrame | None = None, run: dict | None = None, trace: DataFrame | None = None) -> DataFrame:
+    """K3: one row (document): a run's profile as a nested JSON text.
 
-def sample_manifest(samples: DataFrame, target: int) -> DataFrame:
-    """K4: one row (document): counts by class of chosen samples."""
-    counts = samples.groupBy("sample_class").agg(F.count(F.lit(1)).alias("n"))
-    told = counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("sample_class", "n")))).alias("class_counts"), F.sum("n").alias("sample_count"))
-    return told.select(F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit(target).alias("target_tile_samples"), "sample_count", "class_counts")).alias("document"))
+    Totals, component census and pressure tiles; exact distributions from (name, value, count); the event that
+    first spanned, null for a moat; and ``run``, what identifies the run, as given.
+    """
+    one = lambda df, name: df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name)).withColumn("one", F.lit(1))
+    doc = totals.select(F.struct(*totals.columns).alias("tiles"), F.lit(1).alias("one")).join(one(census, "component_census"), "one").join(one(pressure, "high_pressure_tiles"), "one")
+    stats = ["component_census", "high_pressure_tiles"]
+    if distributions is not None:
+        by_name = distributions.groupBy("name").agg(F.struct(F.sum("count").alias("count"), F.sort_array(F.collect_list(F.struct("value", "count"))).alias("buckets")).alias("d"))
+        doc = doc.join(by_name.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "d")))).alias("distributions")).withColumn("one", F.lit(1)), "one")
+        stats.append("distributions")
+    parts = [F.lit(2).alias("schema_version"), *[F.lit(v).alias(k) for k, v in (run or {}).items()], F.col("tiles"), F.struct(*stats).alias("stats_v2")]
+    if trace is not None:
+        doc = doc.join(one(trace, "events"), "one")
+        parts.append(F.get("events", F.lit(0)).alias("span_trace"))
+    return doc.select(F.to_json(F.struct(*parts)).alias("document"))
+
+
+def tile_distributions(summaries: DataFrame) -> DataFrame:
+    """K3: (name, value, count) of the tiles' primes, groups, ports and largest faces."""
+    total = F.aggregate("n", F.lit(0), lambda a, x: a + x)
+    values = {"gaussian_prime_counts": F.col("primes"), "group_counts": F.col("groups"), "total_port_counts": total, "max_face_port_counts": F.array_max("n")}
+    spread = summaries.select(F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in values]), F.array(*[v.cast("long") for v in values.values()]))).alias("name", "value"))
+    return spread.groupBy("name", "value").agg(F.count(F.lit(1)).alias("count"))
+
+
+def sample_lines(samples: DataFrame, summaries: DataFrame, q: Annulus, claim_id: str, region: str = "full-octant") -> DataFrame:
+    """K4: (value): one JSON line per chosen sample (i, j, sample_class), with its tile's record; what S8 reads."""
+    chosen = samples.select("i", "j", "sample_class").join(summaries, ["i", "j"])
+    number = lambda x: F.lit(x).cast("long")
+    line = F.struct(
+        F.lit(1).alias("schema_version"), F.lit(claim_id).alias("claim_id"), number(q.k).alias("k_sq"), number(q.r_inner).alias("r_inner"), number(q.r_outer).alias("r_outer"), number(q.r_outer - q.r_inner).alias("width"), F.lit(region).alias("region"), "sample_class",
+        F.struct("i", "j", (F.col("i") * q.side).alias("a_lo"), (F.col("j") * q.side).alias("b_lo")).alias("tile"),
+        F.struct("n", "face_groups", flag_bytes(F.col("inner")).alias("inner_flags"), flag_bytes(F.col("outer")).alias("outer_flags"), "tile_flags").alias("tileop"),
+    )
+    return chosen.select(F.to_json(line).alias("value"))
+
+
+def sample_manifest(samples: DataFrame, target: int, population: DataFrame | None = None) -> DataFrame:
+    """K4: one row (document): counts by class of chosen samples, quotas, and which classes were exhausted.
+
+    ``population``: (sample_class, population), how many tiles a class has; a class is exhausted if it gave all.
+    """
+    counts = samples.groupBy("sample_class").agg(F.count(F.lit(1)).alias("observed"))
+    if population is None:
+        told = counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("sample_class", "observed")))).alias("class_counts"), F.sum("observed").alias("sample_count"))
+        return told.select(F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit(target).alias("target_tile_samples"), "sample_count", "class_counts")).alias("document"))
+    wanted = quotas(target)
+    spark = samples.sparkSession
+    every = spark.createDataFrame([(c, n) for c, n in wanted.items()], "sample_class string, quota long").join(counts, "sample_class", "left").join(population, "sample_class", "left")
+    every = every.select("sample_class", "quota", F.coalesce("observed", F.lit(0)).cast("long").alias("observed"), F.coalesce("population", F.lit(0)).cast("long").alias("population"))
+    told = F.struct("quota", "observed", "population", (F.col("observed") >= F.col("population")).alias("population_exhausted")).alias("told")
+    entry = lambda c: F.map_from_entries(F.sort_array(F.collect_list(F.struct("sample_class", c))))
+    one = every.select("sample_class", "quota", "observed", told).agg(entry("observed").alias("class_counts"), entry("quota").alias("quotas"), entry("told").alias("population_exhaustion"), F.sum("observed").alias("sample_count"))
+    return one.select(F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit(target).alias("target_tile_samples"), "sample_count", "quotas", "class_counts", "population_exhaustion")).alias("document"))
 
 
 def certificate(path: DataFrame, k: int, r_inner: int, r_outer: int) -> DataFrame:
@@ -68,3 +115,9 @@ def golden(summaries: DataFrame, batch: int = 64) -> DataFrame:
     """(batch, rows, digest) of tiles in order, by ranges of columns."""
     text = F.concat_ws(",", F.col("i").cast("string"), F.col("j").cast("string"), F.array_join("n", "."), F.array_join("face_groups", "."), F.array_join("inner", "."), F.array_join("outer", "."), F.col("tile_flags").cast("string"))
     return digest(summaries.withColumn("batch", F.floor(F.col("i") / batch)), ["batch"], ["i", "j"], text)
+
+
+def golden_layers(layers: DataFrame, batch: int = 64) -> DataFrame:
+    """(batch, layer, rows, digest) of the tiles' layers in order, by ranges of columns."""
+    text = F.concat_ws(",", F.col("i").cast("string"), F.col("j").cast("string"), "digest")
+    return digest(layers.withColumn("batch", F.floor(F.col("i") / batch)), ["batch", "layer"], ["i", "j"], text)

@@ -58,7 +58,7 @@ def test_bundle_statuses(spark):
     proofs = trace.check_points(contract.certificate_points(df)).select(F.col("claim_id").alias("bundle_id"), "ok")
     got = {r.bundle_id: r for r in contract.checked(df, proofs).collect()}
     assert {n: r.status for n, r in got.items()} == {n: s for n, (_, s) in CASES.items()}, {n: r.errors for n, r in got.items() if r.status != CASES[n][1]}
-    assert got["overflow"].errors == ["R3 an overflow counter is not zero"]
+    assert got["overflow"].errors == ["R3 overflow_counters: one is not 0"]
     reports = {r.bundle_id: json.loads(r.document) for r in sinks.postflight_reports(contract.checked(df, proofs)).collect()}
     assert reports["span"]["status"] == "SPAN_PROOF_PASS" and reports["span"]["errors"] == []
 
@@ -229,7 +229,7 @@ def test_regions(spark, tmp_path):
 def test_text_sources(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"x": 1}\n\n[1]\n{"y"\n')
     rows = {r.line_number: r.error for r in documents.json_lines(spark, str(tmp_path / "a.jsonl")).collect()}
-    assert set(rows) == {1, 3, 4} and rows[1] is None and rows[3].endswith("expected object row") and rows[4].endswith("invalid JSONL")
+    assert set(rows) == {1, 3, 4} and rows[1] is None and rows[3].endswith("not an object") and rows[4].endswith("not JSON")
     (tmp_path / "runs.tsv").write_text("run\tk\nr1\t36\n")
     assert documents.run_index(spark, str(tmp_path / "runs.tsv"), ("run",)).first().k == "36"
     with pytest.raises(ValueError, match="missing columns: width"):
