@@ -66,6 +66,13 @@ def map_arrow(
     return slim.mapInArrow(run, schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[list]]:
+    """The columns of at most ``rows`` rows at a time, as Python lists."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield [c.to_pylist() for c in batch.slice(at, rows).columns]
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents whose labels are never learnt from (null ids: held out)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
