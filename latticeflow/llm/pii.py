@@ -50,8 +50,11 @@ UNUSED_AREAS = [(734, 749), (773, 899)]
 SECRET_NAMES = r"(?i)(?:token|secret|key|password|passwd|pwd|auth|bearer|credential)s?[\x22'\x20:=]*$"
 PERSONAL_CUES = r"(?i)(?:iban|account|konto|cuenta|compte|ssn|social|security|number|no|nr)[.:#\x20]*$"
 OTHER_CUES = r"(?i)(?:order|invoice|part|item|sku|serial|ticket|ref|reference|version|isbn|batch|lot|phone|fax|tel)[.:#\x20]*$"
+#: Characters to the left that are a proposal's context; it ends where the match before of the same kind does.
 LEFT = 32
 ROUNDS = 30
+#: Characters of the blocks from which a redacted text is put together.
+BLOCK = 4096
 
 
 def _digits(s: Column) -> Column:
@@ -98,10 +101,10 @@ def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def _running(values: Column) -> Column:
-    """Running sums of an array by doubling steps, so that time follows the length and its logarithm."""
+def _running(values: Column, join: Callable[[Column, Column], Column] = lambda x, y: x + y) -> Column:
+    """Running sums (or another ``join``) of an array by doubling steps, so that time follows the length and its logarithm."""
     steps = F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int")
-    add = lambda sums, k: F.transform(sums, lambda x, i: x + F.when(i >= k, F.get(sums, i - k)).otherwise(0))
+    add = lambda sums, k: F.transform(sums, lambda x, i: F.when(i >= k, join(x, F.get(sums, i - k))).otherwise(x))
     return F.aggregate(F.transform(F.sequence(F.lit(0), steps), lambda k: F.pow(F.lit(2), k).cast("int")), values, add)
 
 
@@ -245,9 +248,30 @@ def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
     table = F.create_map(*[F.lit(x) for (no, f, v), w in sorted(weights.items()) for x in (number(no, f, v), w)])
     weight = lambda no, i, v: F.coalesce(F.element_at(table, number(no, i, v)), F.lit(0.0))
     score = lambda c: F.aggregate(F.transform(c["features"], lambda v, i: weight(c["no"], i, v)), weight(c["no"], -1, F.lit(0)), lambda a, x: a + x)
-    clear = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    added = F.when(_proposes(), F.transform(F.filter(_proposals(t), lambda c: (score(c) > 0) & clear(c)), plain)).otherwise(F.col("base"))
-    return rows.select(*keep, "has_digit", "has_run", "base", added.alias("added")).select(*keep, "base", F.when(_proposes() & (F.size("added") > 0), F.array_sort(F.concat("base", "added"))).otherwise(F.col("base")).alias("spans"))
+    taken = F.filter(_proposals(t), lambda c: score(c) > 0)
+    added = F.when(_proposes(), _bound(F.transform(taken, plain), lambda found: F.when(F.size(found) > 0, _clear(F.col("base"), found)).otherwise(found))).otherwise(F.slice("base", 1, 0))
+    return rows.select(*keep, "base", added.alias("added")).select(*keep, "base", F.when(F.size("added") > 0, F.array_sort(F.concat("base", "added"))).otherwise(F.col("base")).alias("spans"))
+
+
+def _clear(base: Column, found: Column) -> Column:
+    """The spans of ``found`` that overlap none of ``base``.
+
+    In the order of their starts, a span must not begin before the furthest end of the base spans before it, nor
+    end after the start of the next one.
+    """
+    own = lambda spans, n: F.transform(spans, lambda c: F.struct(c["start"].alias("start"), F.lit(n).alias("own"), c["no"].alias("no"), c["end"].alias("end"), c["kind"].alias("kind")))
+    of_base = lambda spans, what: F.transform(spans, lambda c: F.when(c["own"] == 0, c[what]))
+
+    def told(spans: Column, ends: Column, starts: Column) -> Column:
+        last = F.size(spans) - 1
+        free = lambda c, i: (F.coalesce(F.get(ends, i), F.lit(0)) <= c["start"]) & (F.coalesce(F.get(starts, last - i), c["end"]) >= c["end"])
+        seen = F.transform(spans, lambda c, i: F.struct(c.alias("c"), (free(c, i) & (c["own"] == 1)).alias("free")))
+        return F.transform(F.filter(seen, lambda x: x["free"]), lambda x: F.struct(*[x["c"][k].alias(k) for k in ("start", "no", "end", "kind")]))
+
+    return _bound(
+        F.array_sort(F.concat(own(base, 0), own(found, 1))),
+        lambda spans: _bound(_running(of_base(spans, "end"), F.greatest), lambda ends: _bound(_running(F.reverse(of_base(spans, "start")), F.least), lambda starts: told(spans, ends, starts))),
+    )
 
 
 def listed(spans: Column) -> Column:
@@ -255,19 +279,26 @@ def listed(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each stretch of overlapping spans replaced by the first one's kind in brackets."""
+    """The text with each stretch of overlapping spans replaced by the first one's kind in brackets.
+
+    A stretch begins with the first span and with each that none before it reaches.  The text is cut into blocks of
+    ``BLOCK`` characters once, so that what stays between stretches is found without counting from the beginning.
+    """
     t = F.coalesce(text.cast("string"), F.lit(""))
-    empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-
-    def merge(acc: Column, c: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], c["end"]).alias("end"), last["kind"].alias("kind"))))
-        more = F.concat(acc, F.array(F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
-        return F.when(F.size(acc) == 0, more).when(c["start"] < last["end"], joined).otherwise(more)
-
-    merged = F.aggregate(spans, empty, merge)
-    piece = lambda c, i: F.concat(
-        F.substring(t, F.when(i == 0, 1).otherwise(merged[F.greatest(i - 1, F.lit(0))]["end"] + 1), c["start"] - F.when(i == 0, 0).otherwise(merged[F.greatest(i - 1, F.lit(0))]["end"])),
-        F.lit("["), F.upper(c["kind"]), F.lit("]"),
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(F.transform(merged, piece), ""), F.substring(t, F.element_at(merged, -1)["end"] + 1, F.length(t))))
+
+    def cut_out(blocks: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / BLOCK).cast("int")
+        near = F.array_join(F.slice(blocks, first + 1, F.floor((b - 1) / BLOCK).cast("int") - first + 1), "")
+        return F.when(b > a, F.substring(near, a - first * BLOCK + 1, b - a)).otherwise("")
+
+    def replaced(spans: Column, ends: Column, blocks: Column) -> Column:
+        reached = lambda i: F.when(i == 0, 0).otherwise(F.get(ends, i - 1))
+        begun = F.filter(F.transform(spans, lambda c, i: F.struct(reached(i).alias("reached"), c["start"].alias("start"), F.upper(c["kind"]).alias("kind"))), lambda x: x["start"] >= x["reached"])
+        pieces = F.transform(begun, lambda x: F.concat(cut_out(blocks, x["reached"], x["start"]), F.lit("["), x["kind"], F.lit("]")))
+        return F.concat(F.array_join(pieces, ""), cut_out(blocks, F.element_at(ends, -1), F.length(t)))
+
+    whole = lambda spans: _bound(
+        _running(F.transform(spans, lambda c: c["end"]), F.greatest),
+        lambda ends: _bound(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), lambda blocks: replaced(spans, ends, blocks)),
+    )
+    return _bound(spans, lambda spans: F.when(F.size(spans) == 0, text).otherwise(whole(spans)))

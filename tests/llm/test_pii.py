@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -145,3 +147,49 @@ def test_running_sums(spark):
     for n in (0, 1, 2, 3, 7, 8, 9, 1000):
         r = spark.range(1).select(pii._running(F.transform(F.sequence(F.lit(1), F.lit(n + 1)), lambda x: x.cast("int"))).alias("x")).first().x
         assert r == [k * (k + 1) // 2 for k in range(1, n + 2)]
+
+
+def plain_redaction(text, spans):
+    out, at = "", 0
+    for start, end, kind in sorted(spans):
+        if start >= at:
+            out += text[at:start] + f"[{kind.upper()}]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_redaction_of_overlapping_spans_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pii, "BLOCK", 7)
+    rng = random.Random(4)
+    rows = []
+    for n in range(60):
+        text = "".join(rng.choice("abc\n🙂é ") for _ in range(rng.randint(1, 90)))
+        spans = sorted((a, rng.randint(a + 1, min(a + 12, len(text))), rng.choice(["email", "ip"])) for a in (rng.randrange(len(text)) for _ in range(n % 9)))
+        rows.append((n, text, spans))
+    df = spark.createDataFrame(rows, "n int, text string, spans array<struct<start:int,end:int,kind:string>>")
+    got = {r.n: r.t for r in df.select("n", pii.redacted(F.col("text"), F.col("spans")).alias("t")).collect()}
+    assert got == {n: plain_redaction(t, s) for n, t, s in rows}
+
+
+def test_many_spans_of_one_text_take_linear_time(spark):
+    """60,000 base spans and 30,000 proposals, found, told apart and redacted."""
+    text = "a@bc.example.org " * 60_000
+    spans = [(17 * i, 17 * i + 16, "email") for i in range(60_000)]
+    df = spark.createDataFrame([(text, spans)], "text string, spans array<struct<start:int,end:int,kind:string>>").cache()
+    df.count()
+    start = time.time()
+    got = df.select(pii.redacted(F.col("text"), F.col("spans")).alias("t")).first().t
+    assert got == "[EMAIL] " * 60_000 and time.time() - start < 15
+    both = spark.createDataFrame([(1, "a@bc.example.org 123-45-6789 " * 30_000)], "doc_id long, text string")
+    start = time.time()
+    row = pii.find(both, weights={(pii.KINDS.index("ssn"), -1, 0): 1.0}).select(F.size("base").alias("b"), F.size("spans").alias("s")).first()
+    assert (row.b, row.s) == (30_000, 60_000) and time.time() - start < 60
+
+
+def test_added_spans_overlap_no_base_span(spark):
+    rng = random.Random(7)
+    kind = "struct<start:int,no:int,end:int,kind:string>"
+    rows = [(n, sorted((a, 1, a + rng.randint(1, 9), "x") for a in rng.sample(range(60), n % 7)), [(a, 5, a + rng.randint(1, 9), "y") for a in rng.sample(range(60), n % 5)]) for n in range(80)]
+    df = spark.createDataFrame(rows, f"n int, base array<{kind}>, found array<{kind}>")
+    got = {r.n: sorted(map(tuple, r.c)) for r in df.select("n", pii._clear(F.col("base"), F.col("found")).alias("c")).collect()}
+    assert got == {n: sorted(c for c in found if not any(b[0] < c[2] and c[0] < b[2] for b in base)) for n, base, found in rows}
