@@ -23,16 +23,15 @@ lose none; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticeflow.llm.common import cut, session
+from latticeflow.llm.common import cut, session, slices
 
 WIDTH = 13
 SEED_WORDS = 3
@@ -155,14 +154,14 @@ def _packed_slice(ids: list[int], tags: list[int], texts: list[str], buckets: in
     for k in np.flatnonzero(many).tolist():
         at = slice(began[k], began[k] + count[k])
         digest = xxhash.xxh3_128_digest(distinct[k])
-        yield "places", int.from_bytes(digest[:6], "little") % buckets, digest, _pack(doc_ids[doc[at]], doc_tags[doc[at]].astype("<i4"), place[at].astype("<i4")), 0
+        yield "places", int.from_bytes(digest[:6], "little") % buckets, digest, _pack(doc_ids[doc[at]], doc_tags[doc[at]], place[at].astype("<i4")), 0
     by = np.argsort(bucket, kind="stable")
     first = np.flatnonzero(np.r_[True, bucket[by][1:] != bucket[by][:-1]])
     for a, b in zip(first.tolist(), [*first[1:].tolist(), len(by)], strict=True):
         ks = by[a:b]
         kept = np.where(many[ks], 0, count[ks])
         at = np.repeat(began[ks] - np.cumsum(kept) + kept, kept) + np.arange(kept.sum())
-        yield "strings", int(bucket[ks[0]]), b"", _pack(b" ".join([distinct[k] for k in ks.tolist()]), n_words[ks].astype("<i4"), kept.astype("<i4"), smallest[ks[kept == 0]], np.diff(doc_ids[doc[at]], prepend=0), doc_tags[doc[at]].astype("<i4"), place[at].astype("<i4")), int(n_words[ks].sum())
+        yield "strings", int(bucket[ks[0]]), b"", _pack(b" ".join([distinct[k] for k in ks.tolist()]), n_words[ks].astype("<i4"), kept.astype("<i4"), smallest[ks[kept == 0]], np.diff(doc_ids[doc[at]], prepend=0), doc_tags[doc[at]], place[at].astype("<i4")), int(n_words[ks].sum())
 
 
 def _windows_to_rows(doc_id: np.ndarray, tag: np.ndarray, start: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
@@ -196,7 +195,7 @@ def _exact_groups(ids: np.ndarray, at: np.ndarray, hashes: np.ndarray, width: in
 def _strings(blob: bytes) -> tuple[bytes, list[bytes], list[np.ndarray]]:
     """The text of one 'strings' row, its words, and (n_words, kept, alone, doc_id, tag, place)."""
     text, *arrays = _unpack(blob, 7)
-    n, kept, alone, doc_id, tag, place = (np.frombuffer(x, t).astype(np.int64) for x, t in zip(arrays, ("<i4", "<i4", "<i8", "<i8", "<i4", "<i4"), strict=True))
+    n, kept, alone, doc_id, tag, place = (np.frombuffer(x, t).astype(np.int64) for x, t in zip(arrays, ("<i4", "<i4", "<i8", "<i8", "<i8", "<i4"), strict=True))
     return text, text.split(), [n, kept, alone, np.cumsum(doc_id), tag, place]
 
 
@@ -225,7 +224,7 @@ def _split(blob: bytes, width: int) -> Iterator[pa.RecordBatch]:
     inner = np.arange(len(of)) - np.repeat(np.cumsum(windows[string]) - windows[string], windows[string])
     direct = number[first_window[string[of]] + inner]
     order = np.argsort(direct, kind="stable")
-    direct, doc_id, tag, start = direct[order], doc_id[of][order], tag[of][order].astype("<i4"), (place[of] + inner)[order].astype("<i4")
+    direct, doc_id, tag, start = direct[order], doc_id[of][order], tag[of][order], (place[of] + inner)[order].astype("<i4")
     late = np.flatnonzero(kept[owner] == 0)
     late = late[np.argsort(number[late], kind="stable")]
     which = (np.cumsum(kept == 0) - 1)[owner[late]]
@@ -252,9 +251,9 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc_id = np.frombuffer(blob, "<i8", n, 8)
             larger = least < doc_id
             if larger.any():
-                for x, y in zip(gone, (doc_id, np.frombuffer(blob, "<i4", n, 8 + 8 * n), np.frombuffer(blob, "<i4", n, 8 + 12 * n)), strict=True):
+                for x, y in zip(gone, (doc_id, np.frombuffer(blob, "<i8", n, 8 + 8 * n), np.frombuffer(blob, "<i4", n, 8 + 16 * n)), strict=True):
                     x.append(y[larger].astype(np.int64))
-            at = 8 + 16 * n
+            at = 8 + 20 * n
             late = (len(blob) - at) // 20
             for k in range(late):
                 digests.append(blob[at + 16 * k : at + 16 * k + 16])
@@ -312,32 +311,27 @@ def _bucket(blobs: list[bytes], width: int) -> Iterator[pa.RecordBatch]:
 _OUT = ["kind", "doc_id", "tag", "digest", "blob"]
 
 
-@contextmanager
-def _small_batches(spark: SparkSession, rows: int = 64) -> Iterator[None]:
-    """Arrow batches of few rows while a job with large rows runs; the session's setting is put back."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def _tag(text: Column, repeats: bool) -> Column:
+    """Tells rows of one id with different texts apart, where ids repeat at all: the text's hash of 64 bits."""
+    return F.xxhash64(text.cast("string")) if repeats else F.lit(0).cast("long")
 
 
-def _tag(text: Column) -> Column:
-    """32 bits of the text's hash, to tell rows apart that repeat an id with another text."""
-    return F.shiftright(F.xxhash64(text.cast("string")), 32)
+def ids_repeat(docs: DataFrame) -> bool:
+    return not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
 def bucket_count(text_bytes: int, partitions: int) -> int:
     return max(64, 2 * partitions, -(-text_bytes // BUCKET_BYTES))
 
 
-def repeated_windows(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, hot: int | None = None) -> DataFrame:
-    """(doc_id, tag, starts): binary int32 arrays of the windows to remove, several rows per document."""
+def repeated_windows(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, hot: int | None = None, repeats: bool = True) -> DataFrame:
+    """(doc_id, tag, starts): binary int32 arrays of the windows to remove, several rows per document.
+
+    ``repeats`` False: no id is in two rows.
+    """
     spark = session(docs)
     hot = HOT_WORDS if hot is None else hot
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), _tag(F.col("text")).alias("tag"), F.col("text").cast("string"))
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), _tag(F.col("text"), repeats).alias("tag"), F.col("text").cast("string"))
     if buckets is None:
         buckets = bucket_count(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -366,8 +360,8 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, buckets: int | None =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, blobs, size = None, [], 0
-        for batch in batches:
-            for kind, bucket, digest, blob, words in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+        for part in slices(batches, 16):  # rows hold whole compressed slices
+            for kind, bucket, digest, blob, words in zip(*part, strict=True):
                 if kind == "places":
                     yield pa.RecordBatch.from_arrays([pa.array(["places"]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([digest], pa.binary()), pa.array([blob], pa.binary())], _OUT)
                     continue
@@ -387,7 +381,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, buckets: int | None =
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, answer in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                doc_id, tag, place = (np.frombuffer(x, t).astype(np.int64) for x, t in zip(_unpack(blob, 3), ("<i8", "<i4", "<i4"), strict=True))
+                doc_id, tag, place = (np.frombuffer(x, t).astype(np.int64) for x, t in zip(_unpack(blob, 3), ("<i8", "<i8", "<i4"), strict=True))
                 from_, least = int(np.frombuffer(answer, np.int64, 1)[0]), np.frombuffer(answer, np.int64, offset=8)
                 of, inner = np.nonzero(least[None, :] < doc_id[:, None])
                 if len(of):
@@ -395,8 +389,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, buckets: int | None =
 
     packed = rows.mapInArrow(pack, "kind string, bucket long, digest binary, blob binary, words long")
     counted = packed.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(count, "kind string, doc_id long, tag long, digest binary, blob binary")
-    with _small_batches(spark):  # rows hold whole compressed slices
-        found = cut(counted)
+    found = cut(counted)
     waiting = found.where("kind = 'places'").select("digest", "blob")
     answers = found.where("kind = 'answer'").select("digest", F.col("blob").alias("answer"))
     done = found.where("kind = 'windows'")
@@ -414,8 +407,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] =
     """The ``keep`` columns, ``n_words``, ``n_removed`` and ``kept_text`` (the words left, joined by a space)."""
     types = dict(docs.dtypes)
     columns = list(dict.fromkeys(["doc_id", *keep]))
-    marks = repeated_windows(docs, width).groupBy(F.col("doc_id").alias("its_id"), F.col("tag").alias("its_tag")).agg(F.collect_list("starts").alias("its_starts"))
-    tagged = docs.select(*columns, F.col("text").cast("string").alias("its_text"), _tag(F.col("text")).alias("row_tag"))
+    repeats = ids_repeat(docs)
+    marks = repeated_windows(docs, width, repeats=repeats).groupBy(F.col("doc_id").alias("its_id"), F.col("tag").alias("its_tag")).agg(F.collect_list("starts").alias("its_starts"))
+    tagged = docs.select(*columns, F.col("text").cast("string").alias("its_text"), _tag(F.col("text"), repeats).alias("row_tag"))
     joined = tagged.join(marks, (F.col("doc_id") == F.col("its_id")) & (F.col("row_tag") == F.col("its_tag")), "left").select(*keep, "its_text", "its_starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import xxhash
 
@@ -243,3 +245,35 @@ def test_empty_tables(spark):
     assert embedding_lsh.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     assert simhash.group(documents(spark, [])).count() == 0
     assert superkmers.remove_repeats(documents(spark, [])).count() == 0
+
+
+def test_two_superkmer_jobs_at_once_leave_the_session_alone(spark):
+    texts = some_texts(40)
+    docs = documents(spark, texts)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    count = lambda _: {r.doc_id: r.n_removed for r in superkmers.remove_repeats(docs).collect()}
+    with ThreadPoolExecutor(2) as pool:
+        a, b = pool.map(count, range(2))
+    assert a == b and len(a) == len(texts) and spark.conf.get(key) == before
+
+
+def test_superkmers_of_repeated_ids_with_other_texts(spark, monkeypatch):
+    """Rows of one id are told apart by their texts, in split buckets too."""
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(i // 3, f"{'x ' * (i % 3)}{passage} {i}") for i in range(60)] + [(i, passage) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert superkmers.ids_repeat(docs) and not superkmers.ids_repeat(docs.dropDuplicates(["doc_id"]))
+    first = {}
+    for i, t in rows:
+        w = words(t)
+        for k in range(len(w) - 12):
+            first[tuple(w[k : k + 13])] = min(i, first.get(tuple(w[k : k + 13]), i))
+    want = []
+    for i, t in rows:
+        w = words(t)
+        gone = {k + x for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for x in range(13)}
+        want.append((i, " ".join(x for k, x in enumerate(w) if k not in gone)))
+    for hot in (0, superkmers.HOT_WORDS):
+        monkeypatch.setattr(superkmers, "HOT_WORDS", hot)
+        assert sorted((r.doc_id, r.kept_text) for r in superkmers.remove_repeats(docs).collect()) == sorted(want)
