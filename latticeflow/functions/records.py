@@ -86,8 +86,8 @@ def old_unpacked(record: Column) -> Column:
 def old_packed(face_o: Column, face_i: Column, face_l: Column, face_r: Column, height_l: Column, height_r: Column) -> Column:
     """the older 128 bytes from groups by face and heights of L and R; all bytes 255 where they don't fit.
 
-    A record holds groups up to 127, heights up to 511 and 125 bytes of ports: one for each of O and I, two for
-    each of L and R.  What is free lies between R's groups and the heights, and behind these.
+    A record holds groups from 1 to 127, heights up to 511 and 125 bytes of ports: one for each of O and I, two for
+    each of L and R.  Group 0 doesn't fit, as a reader takes it for an empty record's.  What is free lies between R's groups and the heights, and behind these.
     """
     hexed = lambda xs: F.array_join(F.transform(xs, _byte), "")
     tall = lambda g, h: F.zip_with(g, h, lambda x, y: x + F.shiftright(y, 8) * 128)
@@ -96,7 +96,7 @@ def old_packed(face_o: Column, face_i: Column, face_l: Column, face_r: Column, h
         ends.append(ends[-1] + F.size(face))
     used = ends[-1] + 2 * F.size(face_r) + F.size(face_l)
     least = lambda *xs: F.coalesce(F.array_max(F.concat(*xs)), F.lit(0))
-    fits = (used <= 128) & (least(face_o, face_i, face_l, face_r) <= 127) & (least(height_l, height_r) <= 511)
+    fits = (used <= 128) & F.forall(F.concat(face_o, face_i, face_l, face_r), lambda g: g.between(1, 127)) & (least(height_l, height_r) <= 511)
     low = lambda h: F.transform(h, lambda y: F.pmod(y, F.lit(256)))
     groups = F.concat(*[_byte(e) for e in ends], hexed(face_o), hexed(face_i), hexed(tall(face_l, height_l)), hexed(tall(face_r, height_r)))
     heights = ends[-1] + F.floor((128 - ends[-1] - F.size(face_l)) / 2).cast("int")  # where a reader, who isn't told R's size, looks for them

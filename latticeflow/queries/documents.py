@@ -10,10 +10,11 @@ from latticeflow.functions.records import old_packed, old_unpacked, packed, unpa
 from latticeflow.lineage import cut, shared_folder
 from latticeflow.operators import contract, legacy, normalise, samples, stitch, trace
 from latticeflow.operators import tiles as T
+from latticeflow.operators import windows as W
 from latticeflow.operators.windows import reversals
 from latticeflow.params import Annulus
 from latticeflow.queries import Query, table
-from latticeflow.sources import documents, regions, sinks, snapshot
+from latticeflow.sources import documents, record_files, regions, sinks, snapshot
 from latticeflow.sources import tiles as G
 
 _Q = Annulus(8, 40, 120, 16)
@@ -134,7 +135,7 @@ def _encoded_sql() -> str:
     n = lambda *fs: "count(*) FILTER (f IN (" + ", ".join(map(str, fs)) + "))"
     return f"""WITH li AS (SELECT l_orderkey, l_linenumber, l_partkey % 130 AS g, l_suppkey * 7 % 512 AS h, l_linenumber % 4 AS f FROM lineitem)
 SELECT l_orderkey, CASE WHEN fits THEN rpad(record, 256, '0') ELSE repeat('ff', 128) END AS record, CASE WHEN fits THEN groups END AS groups, CASE WHEN fits THEN heights END AS heights FROM (
-  SELECT l_orderkey, max(g) <= 127 AND 3 + {n(0, 1)} + 2 * {n(2, 3)} <= 128 AS fits,
+  SELECT l_orderkey, min(g) >= 1 AND max(g) <= 127 AND 3 + {n(0, 1)} + 2 * {n(2, 3)} <= 128 AS fits,
     rpad({byte(f"3 + {n(0)}")} || {byte(f"3 + {n(0, 1)}")} || {byte(f"3 + {n(0, 1, 2)}")} || {of(0, byte("g"))} || {of(1, byte("g"))} || {of(2, byte("g + (h >> 8) * 128"))} || {of(3, byte("g + (h >> 8) * 128"))}, (2 * (3 + {n(0, 1, 2)} + (125 - {n(0, 1, 2)} - {n(2)}) // 2))::INTEGER, '0') || {of(2, byte("h % 256"))} || {of(3, byte("h % 256"))} AS record,
     array_to_string(list_concat(list_concat(coalesce(list(g ORDER BY l_linenumber, g, h) FILTER (f = 0), []), coalesce(list(g ORDER BY l_linenumber, g, h) FILTER (f = 1), [])), coalesce(list(g ORDER BY l_linenumber, g, h) FILTER (f = 2), [])), '.') AS groups,
     {of(2, "h::VARCHAR", "'.'")} AS heights FROM li GROUP BY l_orderkey)"""
@@ -267,7 +268,41 @@ def _snapshot_sql() -> str:
     return f"WITH {_towers_sql(_Q)} SELECT count(*) AS tile_count, 256::BIGINT AS bytes_per_tile, 0::BIGINT AS errors, 0::BIGINT AS wrong FROM tiles"
 
 
+def _line_records(spark, sf):
+    """Line items as records of 24 bytes at their places by order and line."""
+    part = lambda c, n: F.lpad(F.hex(F.col(c).cast("long")), 2 * n, "0")
+    li = W.numbered(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), [], ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], "place")
+    return li.select((F.col("place") - 1).alias("idx"), F.unhex(F.concat(part("l_orderkey", 8), part("l_linenumber", 4), part("l_partkey", 8), part("l_quantity", 4))).alias("record"))
+
+
+def _line_file(spark, sf):
+    path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}.bin"
+    record_files.write(_line_records(spark, sf), path, 24, b"line items 1")
+    return path
+
+
+def s7_record_file(spark, sf):
+    """One record file of all line items, written by all tasks and read by many, with the numbers of each record."""
+    rows = record_files.read(spark, _line_file(spark, sf), 24, 12, split=24_000)
+    number = lambda at, n: F.conv(F.hex(F.substring("record", at, n)), 16, 10).cast("long")
+    return rows.select("idx", number(1, 8).alias("orderkey"), number(9, 4).alias("linenumber"), number(13, 8).alias("partkey"), number(21, 4).alias("quantity"))
+
+
+def k9_ledger(spark, sf):
+    """Size, digest and tree digest, by blocks of 4,096 bytes, of a file made from all line items."""
+    return sinks.ledger(spark, _line_file(spark, sf), block=4096).select("size_bytes", "sha256", "blocks", "tree_sha256")
+
+
+_LINES = "SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS idx FROM lineitem"
+_LEDGER = f"""WITH r AS (SELECT idx, lpad(hex(l_orderkey), 16, '0') || lpad(hex(l_linenumber), 8, '0') || lpad(hex(l_partkey), 16, '0') || lpad(hex(l_quantity::BIGINT), 8, '0') AS record FROM ({_LINES})),
+f AS MATERIALIZED (SELECT hex('line items 1'::BLOB) || string_agg(record, '' ORDER BY idx) AS content FROM r),
+b AS (SELECT k, sha256(unhex(substr(content, k * 8192 + 1, 8192))) AS leaf FROM f, LATERAL (SELECT unnest(range(0, (length(content) + 8191) // 8192)) AS k))
+SELECT length(content) // 2 AS size_bytes, sha256(unhex(content)) AS sha256, (SELECT count(*) FROM b) AS blocks, (SELECT sha256(string_agg(leaf, '' ORDER BY k)) FROM b) AS tree_sha256 FROM f"""
+
+
 QUERIES: dict[str, Query] = {
+    "s7_record_file": Query(s7_record_file, f"SELECT idx, l_orderkey::BIGINT AS orderkey, l_linenumber::BIGINT AS linenumber, l_partkey::BIGINT AS partkey, l_quantity::BIGINT AS quantity FROM ({_LINES})"),
+    "k9_ledger": Query(k9_ledger, _LEDGER),
     "f18_f19_sweep_rows": Query(
         f18_f19_sweep_rows,
         _SHAPES + """SELECT 'p' || o_orderkey AS claim_id, k_sq, r_inner, r_outer, width, verdict, CASE verdict WHEN 'SPANNING' THEN 'ANY-SPAN' WHEN 'MOAT' THEN 'ANY-SHELL-MOAT' END AS verdict_mode,

@@ -9,6 +9,7 @@ from latticeflow.functions.records import flag_bytes
 from latticeflow.operators.aggregates import digest
 from latticeflow.operators.sampling import quotas
 from latticeflow.params import Annulus
+from latticeflow.sources import record_files
 
 
 def write_tiles(summaries: DataFrame, path: str, columns_per_file: int = 256) -> None:
@@ -101,9 +102,13 @@ def postflight_reports(checked: DataFrame, id_column: str = "bundle_id") -> Data
     return checked.select(id_column, F.to_json(F.struct(F.lit(1).alias("schema_version"), "status", "errors", F.struct("span_proof", "sample_audit").alias("detail"))).alias("document"))
 
 
-def ledger(spark: SparkSession, path: str) -> DataFrame:
-    """K9: (path, sha256, size_bytes) of files."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"))
+def ledger(spark: SparkSession, path: str, block: int = record_files.SPLIT) -> DataFrame:
+    """K9: (path, sha256, size_bytes, blocks, tree_sha256) of files of any size.
+
+    A whole file's digest is a chain that one task follows; the tree's leaves, blocks of ``block`` bytes, are
+    hashed by as many tasks as there are.  A block's rest at the end of a file is a shorter leaf.
+    """
+    return record_files.file_digests(spark, path).join(record_files.tree_digests(record_files.blocks(spark, path, block)), "path", "left")
 
 
 def overflow_tiles(summaries: DataFrame) -> DataFrame:

@@ -7,15 +7,15 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
 from datetime import datetime, timezone
+from pathlib import Path
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticeflow.functions.records import packed, unpacked
 from latticeflow.params import Annulus
+from latticeflow.sources import record_files
 
 MAGIC = b"CMV2"
 HEADER = 120
@@ -34,36 +34,11 @@ def grid_text(towers: DataFrame) -> str:
     return ";".join(r.t for r in rows.toLocalIterator())
 
 
-class _Output:
-    """A file in any store that Spark can write, in blocks of about a megabyte."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        self.stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
-        self.held = bytearray()
-
-    def write(self, data: bytes) -> None:
-        self.held += data
-        if len(self.held) >= 1 << 20:
-            self.flush()
-
-    def flush(self) -> None:
-        self.stream.write(self.held)
-        self.held = bytearray()
-
-    def __enter__(self) -> _Output:
-        return self
-
-    def __exit__(self, *_: object) -> None:
-        self.flush()
-        self.stream.close()
-
-
 def write(summaries: DataFrame, towers: DataFrame, q: Annulus, path: str, generated_at: str | None = None) -> dict:
     """K1, K2: writes the snapshot and its manifest beside it; returns the manifest.
 
-    Records stream to the driver column by column in order; a summary with more labels or ports than a record
-    holds must carry the overflow flag (capacities on).
+    All tasks write their records at the tiles' places in the grid; a summary with more labels or ports than a
+    record holds must carry the overflow flag (capacities on).
     """
     fits = (F.aggregate("n", F.lit(0), lambda a, x: a + x) <= 192) & (F.size("inner") <= 128) & (F.coalesce(F.array_max("face_groups"), F.lit(0)) <= 128)
     if summaries.where(~fits).take(1):
@@ -73,29 +48,25 @@ def write(summaries: DataFrame, towers: DataFrame, q: Annulus, path: str, genera
     expected = towers.agg(F.sum(F.col("j_high") - F.col("j_low") + 1)).first()[0] or 0
     if count != expected:
         raise ValueError(f"{count} tiles for a grid of {expected}")
-    rows = summaries.orderBy("i", "j").select(packed(F.col("n"), F.col("face_groups"), F.col("inner"), F.col("outer"), F.col("tile_flags")).alias("record"))
+    placed = summaries.join(towers.select("i", "j_low", "tower_offset"), "i").withColumn("idx", F.col("tower_offset") + F.col("j") - F.col("j_low"))
     head = header(q, text, count)
-    spark = summaries.sparkSession
-    with _Output(spark, path) as out:
-        out.write(head)
-        for r in rows.toLocalIterator():
-            out.write(bytes(r.record))
+    record_files.write(placed.select("idx", packed(F.col("n"), F.col("face_groups"), F.col("inner"), F.col("outer"), F.col("tile_flags")).alias("record")), path, RECORD, head)
     manifest = {
         "schema_version": 1, "grid_params_hash": head[8:40].hex(), "constants_hash": head[40:72].hex(), "prime_test_hash": head[72:104].hex(), "tile_count": count, "bytes_per_tile": RECORD,
         "k_sq": q.k, "r_inner": q.r_inner, "r_outer": q.r_outer, "generated_at_utc": generated_at or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"),
     }
-    with _Output(spark, f"{path}.manifest.json") as out:
-        out.write(json.dumps(manifest, sort_keys=True).encode())
+    Path(f"{record_files.mounted(path)}.manifest.json").write_text(json.dumps(manifest, sort_keys=True))
     return manifest
 
 
 def headers(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: fields of the header and ``errors``."""
-    files = spark.read.format("binaryFile").load(path)
-    text = F.hex(F.substring("content", 1, HEADER))
+    files = spark.createDataFrame(record_files.sizes(path), "path string, length long")
+    heads = record_files.read(spark, path, HEADER, end=1, partial=True).select("path", "record")
+    text = F.hex("record")
     part = lambda at, n: F.substring(text, F.lit(2 * at + 1), F.lit(2 * n))
     number = lambda at, n: F.conv(F.concat(*[part(at + k, 1) for k in reversed(range(n))]), 16, 10).cast("long")
-    told = files.select("path", "length", part(0, 4).alias("magic"), number(4, 4).alias("version"), F.lower(part(8, 32)).alias("grid_hash"), F.lower(part(40, 32)).alias("constants_hash"), F.lower(part(72, 32)).alias("prime_hash"), number(104, 8).alias("tile_count"), number(112, 4).alias("bytes_per_tile"), number(116, 4).alias("padding"))
+    told = files.join(heads, "path", "left").select("path", "length", part(0, 4).alias("magic"), number(4, 4).alias("version"), F.lower(part(8, 32)).alias("grid_hash"), F.lower(part(40, 32)).alias("constants_hash"), F.lower(part(72, 32)).alias("prime_hash"), number(104, 8).alias("tile_count"), number(112, 4).alias("bytes_per_tile"), number(116, 4).alias("padding"))
     rules = {
         "magic": F.col("magic") == MAGIC.hex().upper(),
         "version": F.col("version") == 1,
@@ -108,15 +79,5 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(path, idx, n, face_groups, inner, outer, tile_flags): the records of snapshot files."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                data = memoryview(content.as_buffer())
-                n = (len(data) - HEADER) // RECORD
-                for at in range(0, n, 8192):
-                    rows = [bytes(data[HEADER + k * RECORD : HEADER + (k + 1) * RECORD]) for k in range(at, min(n, at + 8192))]
-                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(rows)), pa.array(range(at, at + len(rows)), pa.int64()), pa.array(rows, pa.binary())], ["path", "idx", "record"])
-
-    raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, idx long, record binary")
+    raw = record_files.read(spark, path, RECORD, HEADER, partial=True)
     return raw.select("path", "idx", unpacked(F.col("record")).alias("t")).select("path", "idx", "t.*")
