@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from latticeflow.functions.records import old_packed, old_unpacked, packed, unpacked
 from latticeflow.lineage import cut, shared_folder
-from latticeflow.operators import contract, legacy, normalise, samples, stitch, trace
+from latticeflow.operators import contract, legacy, normalise, samples, stitch, trace, walk
 from latticeflow.operators import tiles as T
 from latticeflow.operators import windows as W
 from latticeflow.operators.windows import reversals
@@ -72,6 +72,56 @@ _RULES = """SELECT o_orderkey AS bundle_id, CASE WHEN e <> '' THEN 'REJECT' WHEN
     CASE WHEN o_orderkey % 17 = 0 THEN 'R3 overflow_counters: one is not 0' END, CASE WHEN o_orderkey % 13 = 0 THEN 'R3 host_tileop_counters: overflow bits emitted' END], lambda x: x IS NOT NULL), '; ') AS e FROM orders)"""
 
 
+def _planted_bundles(spark, sf):
+    """(bundle_id, bundle): bundles from orders; the order's number says what is spoilt, the others are whole."""
+    n = F.col("o_orderkey") % 40
+    when = lambda k, bad, good: F.when(n == k, bad).otherwise(good)
+    text, num = F.lit, lambda x: F.lit(x).cast("long")
+    row = F.struct(text("c").alias("claim_id"), num(36).alias("k_sq"), num(100).alias("r_inner"), num(500).alias("r_outer"), num(400).alias("width"), text("full-octant").alias("region"), text("MOAT").alias("verdict"), when(1, text("ANY-SPAN"), text("ANY-SHELL-MOAT")).alias("verdict_mode"), text("run").alias("row_class"), F.when(n != 2, F.lit(False)).alias("claim_proof_required"))
+    bz = F.struct(when(3, F.lit(False), F.lit(True)).alias("checked"), F.lit(True).alias("clean"), F.lit(False).alias("override_used"), num(0).alias("bad_norm_count"))
+    kernel = F.struct(F.when(n == 4, num(-3)).when(n == 5, F.col("o_orderkey")).otherwise(num(0)).alias("k1"), F.when(n == 6, text("0")).alias("k2"))
+    deep = F.struct(F.struct(F.struct(F.struct(F.struct(F.struct(F.struct(when(7, num(9), num(0)).alias("h")).alias("g")).alias("f")).alias("e")).alias("d")).alias("c")).alias("b"))
+    counters = F.struct(kernel.alias("kernel"), deep.alias("a"), F.when(n == 8, F.from_json(text("{}"), "map<string,int>")).alias("none"))
+    sizes = F.array(F.struct(num(5).alias("size")))
+    census = F.struct(F.when(n != 9, num(1)).alias("i_only_components"), num(0).alias("o_only_components"), num(0).alias("i_and_o_components"), sizes.alias("largest_component_sizes"))
+    bucket = F.array(F.struct(num(5).alias("value"), when(10, num(-1), num(2)).alias("count")))
+    counts = F.struct(bucket.alias("buckets"), num(5).alias("observed_min"), num(5).alias("observed_max"), num(1).alias("sample_count"), F.when(n != 11, num(2)).alias("total_count"))
+    pressure = F.array(F.struct(F.when(n != 12, num(1)).alias("tile_i"), num(2).alias("tile_j"), F.lit(1.5).alias("score")))
+    stats = F.struct(F.when(n != 13, num(4)).alias("geo_i_tiles"), num(0).alias("geo_o_tiles"), num(1).alias("geo_i_ports"), F.struct(F.when(n != 14, num(1)).alias("port_population")).alias("geo_O"), census.alias("component_census"), F.struct(counts.alias("group_counts")).alias("distributions"), pressure.alias("high_pressure_tiles"), when(15, text("abc"), text("a" * 64)).alias("snapshot_sha256"))
+    profile = F.struct(F.when(n != 16, text("abc")).alias("commit"), F.struct(text("b1").alias("id")).alias("build"), text("sm").alias("cuda_arch"), F.struct(text("g").alias("grid"), text("c").alias("constants"), text("m").alias("mr_witness")).alias("hashes"), F.struct(when(17, num(1), num(0)).alias("emitted_overflow_bit_count")).alias("host_tileop_counters"), F.struct(num(4).alias("active"), when(18, num(3), num(4)).alias("produced"), num(4).alias("ingested")).alias("tiles"), F.lit(False).alias("early_exit_enabled"), stats.alias("stats_v2"))
+    audit = F.struct(text("PASS").alias("status"), when(19, num(5), num(600)).alias("sample_count"), F.struct(when(20, num(35), num(36)).alias("k_sq")).alias("manifest"), F.struct(num(3).alias("geo_I")).alias("quotas"), F.struct(when(21, num(2), num(3)).alias("geo_I")).alias("class_counts"))
+    artifact = F.struct(when(22, text("0"), text("0" * 64)).alias("sha256"), num(3).alias("size_bytes"), F.when(n != 23, num(1)).alias("schema_version"))
+    doc = F.struct(num(1).alias("schema_version"), row.alias("row"), bz.alias("bz"), profile.alias("profile"), counters.alias("overflow_counters"), F.when(n >= 19, audit).alias("sample_audit"), F.when(n != 24, F.struct(artifact.alias("log"))).alias("artifacts"), F.when(n == 25, F.struct(num(35).alias("k_sq"))).alias("run_index"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("bundle_id"), F.to_json(doc).alias("bundle"))
+
+
+def r_rules_whole(spark, sf):
+    """Every kind of rule broken by a share of the bundles, in the strict form; overflow counters at fault by path."""
+    got = contract.checked(_planted_bundles(spark, sf), strict=True)
+    return got.select("bundle_id", "status", F.array_join("errors", "; ").alias("errors"), F.array_join("counters", "; ").alias("counters"))
+
+
+#: Rest of the order's number by 40 -> the one message of its bundle.
+_BROKEN = {
+    1: "R1 verdict_mode: that of another verdict", 3: "R2 bz.checked: not true", **{k: "R3 overflow_counters: one is not 0" for k in (4, 5, 6, 7, 8)}, 9: "R7 profile.stats_v2.i_only_components: no whole number",
+    10: "R5 profile.stats_v2.distributions.group_counts: unreadable", 11: "R5 profile.stats_v2.distributions.group_counts: unreadable", 12: "R6 profile.stats_v2.high_pressure_tiles: unreadable",
+    13: "R8 profile.stats_v2.geo_i_tiles: absent", 14: "R8 profile.stats_v2.geo_o_ports: absent", 15: "R8 profile.stats_v2.snapshot_sha256: no sha256", 16: "R4 commit: absent", 17: "R3 host_tileop_counters: overflow bits emitted",
+    18: "R10 tiles: counts of a moat differ", 19: "R12 sample_audit: too few samples", 20: "R12 sample_audit.manifest: not that of the row", 21: "R12 sample_audit: a class below its quota", 22: "R9 artifacts: an unsound entry", 23: "R9 artifacts: an unsound entry",
+    24: "R9 artifacts: absent for an audit or a proof", 25: "R11 run_index.k_sq: not that of the row",
+}
+_WHOLE_RULES = f"""SELECT o_orderkey AS bundle_id, CASE WHEN e IS NOT NULL THEN 'REJECT' WHEN n = 2 THEN 'CLAIM_PROOF_MISSING' WHEN n >= 19 THEN 'TILE_SAMPLE_AUDIT_PASS' ELSE 'RUN_CONTRACT_PASS' END AS status, coalesce(e, '') AS errors,
+  CASE n WHEN 4 THEN 'overflow_counters.kernel.k1: negative' WHEN 5 THEN 'overflow_counters.kernel.k1: not 0' WHEN 6 THEN 'overflow_counters.kernel.k2: no counter' WHEN 7 THEN 'overflow_counters.a.b.c.d.e.f.g.h: not 0' WHEN 8 THEN 'overflow_counters.none: empty' ELSE '' END AS counters
+FROM (SELECT o_orderkey, o_orderkey % 40 AS n, CASE o_orderkey % 40 {" ".join(f"WHEN {k} THEN '{m}'" for k, m in _BROKEN.items())} END AS e FROM orders)"""
+
+
+def a11_whole_sums(spark, sf):
+    """All whole numbers of nested documents made from line items, summed at any depth."""
+    li = table(spark, sf, "lineitem")
+    item = F.struct("l_linenumber", F.struct(F.col("l_partkey").cast("long").alias("part"), F.array(F.col("l_suppkey").cast("long"), F.lit(-1).cast("long")).alias("list")).alias("of"), F.col("l_linestatus").alias("mode"), F.lit(0.5).alias("half"))
+    docs = li.groupBy("l_orderkey").agg(F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("doc"))
+    return walk.whole_sums(docs, ["l_orderkey"], F.try_parse_json("doc")).select("l_orderkey", F.col("total").cast("long").alias("total"), "numbers")
+
+
 def s4_regions(spark, sf):
     """Region documents from orders; which of them are refused."""
     n = F.col("o_orderkey")
@@ -320,6 +370,8 @@ QUERIES: dict[str, Query] = {
 SELECT n.k_sq, n.r_inner, w0 AS narrower_width, width AS wider_width FROM n JOIN m ON m.k_sq = n.k_sq AND m.r_inner = n.r_inner WHERE verdict = 'SPANNING' AND width > w0""",
     ),
     "r_rules": Query(r_rules, _RULES),
+    "r_rules_whole": Query(r_rules_whole, _WHOLE_RULES),
+    "a11_whole_sums": Query(a11_whole_sums, "SELECT l_orderkey, sum(l_linenumber + l_partkey + l_suppkey - 1)::BIGINT AS total, 4 * count(*) AS numbers FROM lineitem GROUP BY l_orderkey"),
     "s4_regions": Query(
         s4_regions,
         """SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 5 = 4 THEN 'a column is inverted' END, CASE WHEN o_orderkey % 4 = 0 THEN 'columns leave a gap or pass the box' END], lambda x: x IS NOT NULL), '; ') AS errors FROM orders""",
