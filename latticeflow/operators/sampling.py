@@ -92,21 +92,17 @@ def stratified(df: DataFrame, id_columns: list[str], members: dict[str, Column],
     """T5: (ids, sample_class, rank), each id once; earlier classes choose first.
 
     ``members``: which rows belong to a class; ``order``: expressions by which it prefers rows, ascending.
-    Each class keeps its best ``target`` candidates, which is enough whatever earlier classes take, so after
-    one pass over the data everything is bounded by ``classes * target`` rows.  Then classes choose in turn,
-    and if some fall short the last class fills up.
+    Each class keeps its best ``target`` candidates, which is enough whatever earlier classes take.  One pass over
+    the data deals each row to its classes and ranks it; the rank's limit holds below the shuffle, so each task
+    sends ``target`` rows a class.  Then classes choose in turn, and if some fall short the last class fills up.
     """
     names = tuple(members)
     quota = quotas(target, names)
     last = names[-1]
-    pool = None
-    for n in names:
-        keys = [c.alias(f"key_{k}") for k, c in enumerate(order[n])]
-        by = [f"key_{k}" for k in range(len(keys))]
-        best = df.where(members[n]).select(*id_columns, *keys).orderBy(*by, *id_columns).limit(target)
-        ranked = best.select(*id_columns, F.lit(n).alias("sample_class"), F.row_number().over(Window.orderBy(*by, *id_columns)).alias("rank"))
-        pool = ranked if pool is None else pool.unionByName(ranked)
-    pool = cut(pool)
+    dealt = df.withColumn("sample_class", F.explode(F.array_compact(F.array(*[F.when(members[n], F.lit(n)) for n in names]))))
+    keys = {f"key_{i}_{k}": F.when(F.col("sample_class") == n, c) for i, n in enumerate(names) for k, c in enumerate(order[n])}
+    keyed = dealt.select(*id_columns, "sample_class", *[c.alias(k) for k, c in keys.items()])
+    pool = cut(bottom_k(keyed, ["sample_class"], [F.col(c) for c in (*keys, *id_columns)], target).select(*id_columns, "sample_class", F.col("place").alias("rank")))
     taken = None
     for n in names:
         rows = pool.where(F.col("sample_class") == n)

@@ -16,6 +16,11 @@ from latticeflow.lineage import cut
 BLOCK_ROWS = 1_000_000
 
 
+def _has_hot_key(df: DataFrame, by: list[str], limit: int | None) -> bool:
+    limit = BLOCK_ROWS if limit is None else limit
+    return not df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).isEmpty()
+
+
 def running(df: DataFrame, by: list[str], order: list[str], local: Callable[[WindowSpec], Column], total: Column, name: str, limit: int | None = None) -> DataFrame:
     """Adds ``name``: a running value per key, ``local`` over a window plus the ``total`` of all that comes before it.
 
@@ -23,9 +28,7 @@ def running(df: DataFrame, by: list[str], order: list[str], local: Callable[[Win
     into many blocks: each block is summed, the sums of a key's earlier blocks are added to the block's own
     running values.  Rows that are equal in order stay in one block.
     """
-    limit = BLOCK_ROWS if limit is None else limit
-    hot = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
-    if hot.isEmpty():
+    if not _has_hot_key(df, by, limit):
         return df.withColumn(name, local(Window.partitionBy(*by).orderBy(*order)))
     spread = cut(df.repartitionByRange(*by, *order).withColumn("block_", F.spark_partition_id()))
     sums = spread.groupBy(*by, "block_").agg(total.alias("of_block_"))
@@ -89,20 +92,55 @@ def islands(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return runs.groupBy(*by, "run").agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count(F.lit(1)).alias("size")).drop("run")
 
 
-def gap_clusters(df: DataFrame, by: list[str], order: list[str], apart: Column, name: str = "cluster") -> DataFrame:
-    """Adds cluster numbers from 1; a row for which ``apart`` (an expression over its own columns and
-    those of the row before as ``prev_*``) holds begins a new one.  Sessions are the case of a time gap."""
+def with_previous(df: DataFrame, by: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """Adds the ``columns`` of the row before in its key as ``prev_*``, and ``first_``, true for a key's first row; blocks aren't used."""
     w = Window.partitionBy(*by).orderBy(*order)
-    seen = df.select("*", *[F.lag(c).over(w).alias(f"prev_{c}") for c in df.columns if c not in by], F.row_number().over(w).alias("place"))
-    new = (F.col("place") == 1) | apart
-    return seen.withColumn(name, F.sum(new.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))).select(*df.columns, name)
+    return df.select("*", *[F.lag(c).over(w).alias(f"prev_{c}") for c in columns], (F.row_number().over(w) == 1).alias("first_"))
+
+
+def with_previous_in_blocks(df: DataFrame, by: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """As :func:`with_previous`, and ``block_``, for keys of any size.
+
+    Rows are split into ranges of (key, order).  Each block hands on its last row, one per block and key; a block's
+    first row takes what the block before it in its key has handed on.
+    """
+    spread = cut(df.repartitionByRange(*by, *order).withColumn("block_", F.spark_partition_id()))
+    seen = with_previous(spread, [*by, "block_"], order, columns)
+    handed = spread.groupBy(*by, "block_").agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("last_"))
+    carried = handed.select(*[F.col(c).alias(f"{c}_of_") for c in by], F.col("block_").alias("at_block_"), F.lag("last_").over(Window.partitionBy(*by).orderBy("block_")).alias("carry_"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}_of_")) for c in by], F.col("block_") == F.col("at_block_"))
+    joined = seen.join(carried, same)
+    before = lambda c: F.when(F.col("first_"), F.col(f"carry_.{c}")).otherwise(F.col(f"prev_{c}")).alias(f"prev_{c}")
+    return joined.select(*df.columns, "block_", *[before(c) for c in columns], (F.col("first_") & F.col("carry_").isNull()).alias("first_"))
+
+
+def gap_clusters(df: DataFrame, by: list[str], order: list[str], apart: Column, name: str = "cluster", limit: int | None = None) -> DataFrame:
+    """Adds cluster numbers from 1; a row for which ``apart`` (an expression over its own columns and
+    those of the row before as ``prev_*``) holds begins a new one.  Sessions are the case of a time gap.
+
+    With more than ``limit`` rows in a key, blocks hand on their last row and their number of new clusters.
+    """
+    others = [c for c in df.columns if c not in by]
+    new = (F.col("first_") | F.coalesce(apart, F.lit(False))).cast("long")
+    if not _has_hot_key(df, by, limit):
+        seen = with_previous(df, by, order, others).withColumn("new_", new)
+        w = Window.partitionBy(*by).orderBy(*order)
+        return seen.withColumn(name, F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0))).select(*df.columns, name)
+    order = [*order, "tie_"]  # rows that are equal in order stand in one order throughout
+    seen = cut(with_previous_in_blocks(cut(df.withColumn("tie_", F.monotonically_increasing_id())), by, order, others).withColumn("new_", new))
+    sums = seen.groupBy(*by, "block_").agg(F.sum("new_").alias("of_block_"))
+    earlier = Window.partitionBy(*by).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*[F.col(c).alias(f"{c}_of_") for c in by], F.col("block_").alias("at_block_"), F.coalesce(F.sum("of_block_").over(earlier), F.lit(0)).alias("before_"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}_of_")) for c in by], F.col("block_") == F.col("at_block_"))
+    local = F.sum("new_").over(Window.partitionBy(*by, "block_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return seen.withColumn(name, local).join(before, same).select(*df.columns, (F.col(name) + F.col("before_")).alias(name))
 
 
-def broken_steps(df: DataFrame, by: list[str], order: str, a: str, b: str, k: int) -> DataFrame:
-    """Rows of a path whose squared step from the row before exceeds ``k``."""
-    w = Window.partitionBy(*by).orderBy(order)
-    da, db = F.col(a) - F.lag(a).over(w), F.col(b) - F.lag(b).over(w)
-    return df.withColumn("step_sq", da * da + db * db).where(F.col("step_sq") > k)
+def broken_steps(df: DataFrame, by: list[str], order: str, a: str, b: str, k: int, limit: int | None = None) -> DataFrame:
+    """Rows of a path whose squared step from the row before exceeds ``k``; paths of more than ``limit`` rows go by blocks."""
+    placed = (with_previous_in_blocks if _has_hot_key(df, by, limit) else with_previous)(df, by, [order], [a, b])
+    da, db = F.col(a) - F.col(f"prev_{a}"), F.col(b) - F.col(f"prev_{b}")
+    return placed.withColumn("step_sq", da * da + db * db).where(F.col("step_sq") > k).select(*df.columns, "step_sq")
 
 
 def interval_slowdown(df: DataFrame, by: list[str], order: str, every: int, amount: str, seconds: str) -> DataFrame:
