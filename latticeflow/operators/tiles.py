@@ -8,7 +8,7 @@ order, and per face the strip's own components as ports, ordered by their least
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import isqrt
 
 import numpy as np
@@ -76,11 +76,11 @@ def summarise(i: int, j: int, q: Annulus, caps: bool) -> dict:
     return _summarised(i, j, q, caps)[0]
 
 
-def _summarised(i: int, j: int, q: Annulus, caps: bool) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _summarised(i: int, j: int, q: Annulus, caps: bool, points: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """One tile's row, its primes' coordinates, their bands' bits and their labels (0: not visible)."""
     s, c = q.side, q.collar
     a_lo, b_lo = i * s, j * s
-    a, b = halo_primes(a_lo, b_lo, q)
+    a, b = halo_primes(a_lo, b_lo, q) if points is None else points
     row = {"i": i, "j": j, "n": [0] * 4, "face_groups": [], "port_h": [], "port_perp": [], "inner": [], "outer": [], "tile_flags": 0, "primes": len(a), "groups": 0}
     if not len(a):
         return row | {"tile_flags": EMPTY_BIT}, a, b, a, a
@@ -119,10 +119,51 @@ def _summarised(i: int, j: int, q: Annulus, caps: bool) -> tuple[dict, np.ndarra
     return row | {"inner": np.unique(label[inner]).tolist(), "outer": np.unique(label[outer]).tolist(), "groups": len(visible)}, *more
 
 
+def halos(points: DataFrame, q: Annulus) -> DataFrame:
+    """S2 for given primes: (i, j, a, b), each prime with every tile whose widened square holds it, four at most if the side exceeds twice the collar."""
+    div = lambda x: F.call_function("div", x.cast("long"), F.lit(q.side).cast("long"))
+    of = lambda c: F.sequence(F.greatest(F.lit(0).cast("long"), div(F.col(c) - q.collar + q.side - 1) - 1), div(F.col(c) + q.collar))
+    return points.select("a", "b", F.explode(of("a")).alias("i")).select("i", F.explode(of("b")).alias("j"), "a", "b")
+
+
+def _each_halo(points: DataFrame, q: Annulus, fn: Callable[[int, int, tuple[np.ndarray, np.ndarray]], list[dict]], schema: str) -> DataFrame:
+    """What ``fn`` makes of each tile and its sorted primes; a tile's are bounded by its widened square."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = to_arrow_schema(points.sparkSession.createDataFrame([], schema).schema)
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        a, b = (rows.column(c).to_numpy() for c in ("a", "b"))
+        order = np.lexsort((b, a))
+        return pa.Table.from_pylist(fn(key[0].as_py(), key[1].as_py(), (a[order], b[order])), schema=out)
+
+    return halos(points, q).groupBy("i", "j").applyInArrow(run, schema)
+
+
+def summaries_of(points: DataFrame, q: Annulus, caps: bool = False) -> DataFrame:
+    """The summaries of the tiles that given primes (a, b), each once, lie in or near; other tiles have no row."""
+    return _each_halo(points, q, lambda i, j, at: [_summarised(i, j, q, caps, at)[0]], SCHEMA)
+
+
+def layers_of(points: DataFrame, q: Annulus, caps: bool = False) -> DataFrame:
+    """As :func:`layers`, for given primes."""
+    return _each_halo(points, q, lambda i, j, at: _layers(i, j, *_summarised(i, j, q, caps, at)), LAYER_SCHEMA)
+
+
 #: What a tile's answer is made of, from the first step to the last.
 LAYERS = ("primes", "bands", "labels", "record")
 
 
+LAYER_SCHEMA = "i long, j long, layer string, digest string"
+
+
+def _layers(i: int, j: int, row: dict, a: np.ndarray, b: np.ndarray, reach: np.ndarray, label: np.ndarray) -> list[dict]:
+    joined_text = lambda xs, by: by.join(map(str, xs))
+    record = "|".join([*(joined_text(row[c], ".") for c in ("n", "face_groups", "inner", "outer")), str(row["tile_flags"])])
+    texts = (" ".join(f"{x}:{y}" for x, y in zip(a.tolist(), b.tolist(), strict=True)), joined_text(reach.tolist(), ""), joined_text(label.tolist(), " "), record)
+    return [{"i": i, "j": j, "layer": name, "digest": hashlib.sha256(t.encode()).hexdigest()} for name, t in zip(LAYERS, texts, strict=True)]
+
+
 def layers(tiles: DataFrame, q: Annulus, caps: bool = False) -> DataFrame:
     """(i, j, layer, digest): sha256 of each layer of each tile as a text, in the order of ``LAYERS``.
 
@@ -130,15 +171,11 @@ def layers(tiles: DataFrame, q: Annulus, caps: bool = False) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joined_text = lambda xs, by: by.join(map(str, xs))
         for batch in batches:
             for i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                row, a, b, reach, label = _summarised(i, j, q, caps)
-                record = "|".join([*(joined_text(row[c], ".") for c in ("n", "face_groups", "inner", "outer")), str(row["tile_flags"])])
-                texts = (" ".join(f"{x}:{y}" for x, y in zip(a.tolist(), b.tolist(), strict=True)), joined_text(reach.tolist(), ""), joined_text(label.tolist(), " "), record)
-                yield pa.RecordBatch.from_pydict({"i": [i] * 4, "j": [j] * 4, "layer": list(LAYERS), "digest": [hashlib.sha256(t.encode()).hexdigest() for t in texts]})
+                yield pa.RecordBatch.from_pylist(_layers(i, j, *_summarised(i, j, q, caps)))
 
-    return tiles.select("i", "j").mapInArrow(run, "i long, j long, layer string, digest string")
+    return tiles.select("i", "j").mapInArrow(run, LAYER_SCHEMA)
 
 
 def layer_differences(left: DataFrame, right: DataFrame) -> DataFrame:

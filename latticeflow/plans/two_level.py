@@ -12,6 +12,7 @@ from latticeflow.operators import stitch, tiles as T
 from latticeflow.operators import verdict as V
 from latticeflow.operators.components import label_vertices
 from latticeflow.params import OVERFLOW_BIT, Annulus
+from latticeflow.plans import flat
 from latticeflow.sources.tiles import tiles, towers
 
 
@@ -35,16 +36,20 @@ class TiledGraph:
         return V.verdict(self.components(), self.summaries.where(F.col("tile_flags").bitwiseAND(F.lit(OVERFLOW_BIT)) != 0))
 
 
-def solve(spark: SparkSession, q: Annulus, caps: bool = False, region: DataFrame | None = None, parts: int | None = None) -> TiledGraph:
-    """Solve over the whole octant or a ``region`` of tiles (i, j).
+def solve(spark: SparkSession, q: Annulus, caps: bool = False, region: DataFrame | None = None, parts: int | None = None, points: DataFrame | None = None) -> TiledGraph:
+    """Solve over the whole octant, a ``region`` of tiles (i, j), or the primes among given ``points`` (a, b).
 
     Ports of a face shared by two tiles must agree in number; a region that breaks this raises rather than
     guessing.  Components are only labelled over visible groups, far fewer than the primes.
     """
-    grid = cut(tiles(towers(spark, q.strict() if region is None else q), q))
-    if region is not None:
-        grid = grid.join(region.select("i", "j").distinct(), ["i", "j"], "left_semi")
-    rows = cut(T.summaries(grid, q, caps, parts or grid.count() // TILES_PER_TASK + 1))
+    if points is not None:
+        rows = cut(T.summaries_of(flat.vertices(spark, q.strict(), points), q, caps))
+        grid = rows.select("i", "j")
+    else:
+        grid = cut(tiles(towers(spark, q.strict() if region is None else q), q))
+        if region is not None:
+            grid = grid.join(region.select("i", "j").distinct(), ["i", "j"], "left_semi")
+        rows = cut(T.summaries(grid, q, caps, parts or grid.count() // TILES_PER_TASK + 1))
     if bad := stitch.mismatches(rows).take(1):
         raise ValueError(f"port counts differ across a shared face: {bad[0]}")
     gid = stitch.group_id

@@ -391,8 +391,12 @@ GROUP BY t.i, t.j"""
 def _tile_sql(q: Annulus, body: str) -> str:
     """Tile summaries by the definition: components of each tile and of each of its face strips."""
     s, c = q.side, q.collar
-    return f"""WITH RECURSIVE {_primes_sql(q)}, {_towers_sql(q)},
-halo AS MATERIALIZED (
+    return f"WITH RECURSIVE {_primes_sql(q)}, {_towers_sql(q)},\n{_tile_bodies(s, c)}\n{body}"
+
+
+def _tile_bodies(s: int, c: int) -> str:
+    """Halos, labels, ports and flags of the tiles, for a side and a collar."""
+    return f"""halo AS MATERIALIZED (
   SELECT t.i, t.j, v.id, v.a, v.b, v.reach, t.i * 1000 + t.j AS tile, (t.i * 1000 + t.j)::VARCHAR || ':' || v.id AS node FROM tiles t JOIN vertices v
   ON v.a BETWEEN t.i * {s} - {c} AND t.i * {s} + {s + c} AND v.b BETWEEN t.j * {s} - {c} AND t.j * {s} + {s + c}
 ), tile_links AS MATERIALIZED (
@@ -424,8 +428,7 @@ halo AS MATERIALIZED (
 ), flags AS (
   SELECT tile, count(*) AS groups, count(DISTINCT CASE WHEN reach & 1 > 0 THEN (label - 1) // 8 END) AS inner_bytes, count(DISTINCT CASE WHEN reach & 2 > 0 THEN (label - 1) // 8 END) AS outer_bytes,
     coalesce(bool_or(reach & 1 > 0), false) AS touches_inner, coalesce(bool_or(reach & 2 > 0), false) AS touches_outer FROM visible GROUP BY tile
-)
-{body}"""
+)"""
 
 
 #: The parts of the tiles' records as texts.

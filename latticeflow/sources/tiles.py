@@ -99,14 +99,14 @@ def invariant_violations(cols: DataFrame, block: int = 4096) -> DataFrame:
     """(i, rule) where neighbouring towers break the grid's invariants.
 
     ``gap``: columns aren't consecutive; ``empty``: a tower without tiles; ``shift``: an end moves by more than
-    one; ``orphan``: neighbouring towers don't overlap.  Columns are compared within blocks that share their
-    border columns, so no task orders all columns.
+    one; ``orphan``: neighbouring towers don't overlap.  Columns are compared within blocks, whose first column
+    takes what the last block before it with any column has handed on, one row a block; no task orders all columns.
     """
-    div = lambda x: F.call_function("div", x.cast("long"), F.lit(block).cast("long"))
-    spread = cols.withColumn("block", F.explode(F.array_distinct(F.array(div(F.col("i")), div(F.col("i") + 1)))))
-    w = Window.partitionBy("block").orderBy("i")
-    before = lambda c: F.lag(c).over(w)
-    seen = spread.select("i", "block", "j_low", "j_high", before("i").alias("pi"), before("j_low").alias("pl"), before("j_high").alias("ph"))
+    blocked = cols.select("i", "j_low", "j_high", F.call_function("div", F.col("i").cast("long"), F.lit(block).cast("long")).alias("block"))
+    ends = blocked.groupBy("block").agg(F.max(F.struct("i", "j_low", "j_high")).alias("last"))
+    carried = ends.select("block", F.lag("last").over(Window.orderBy("block")).alias("carry"))
+    before = F.coalesce(F.lag(F.struct("i", "j_low", "j_high")).over(Window.partitionBy("block").orderBy("i")), F.col("carry"))
+    seen = blocked.join(carried, "block").withColumn("before", before).select("i", "j_low", "j_high", F.col("before.i").alias("pi"), F.col("before.j_low").alias("pl"), F.col("before.j_high").alias("ph"))
     rules = {
         "gap": F.col("i") != F.col("pi") + 1,
         "empty": F.col("j_high") < F.col("j_low"),
@@ -114,7 +114,7 @@ def invariant_violations(cols: DataFrame, block: int = 4096) -> DataFrame:
         "orphan": (F.col("j_low") > F.col("ph")) | (F.col("j_high") < F.col("pl")),
     }
     found = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), n) for n, c in rules.items()]), lambda x: x.isNotNull())
-    return seen.select("i", F.explode(found).alias("rule")).distinct()
+    return seen.select("i", F.explode(found).alias("rule"))
 
 
 def towers_of(tiles_: DataFrame) -> DataFrame:
