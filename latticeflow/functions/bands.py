@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from latticeflow.functions.integers import floor_isqrt
 from latticeflow.params import INNER, OUTER, Annulus, ceil_isqrt
 
 
@@ -65,15 +66,30 @@ def bad_zone_ranges(k: int, r: int) -> dict[str, tuple[int, int]]:
     return {"inner": (n - 1 + k + root(n - 1) + 1, n + k + root(n)), "outer": (n + k - root(n), n + k - root(n + 1))}
 
 
-def bad_zone(spark, queries: list[Annulus]):
-    """(k, r_inner, r_outer, inner_candidates, outer_candidates, bad_norms, clean): candidates that are
-    Gaussian norms are bad."""
+def band_edges_of(annuli: DataFrame) -> DataFrame:
+    """(k, r_inner, r_outer, inner_lo, inner_hi, outer_lo, outer_hi) of annuli (k, r_inner, r_outer), as :func:`band_edges`."""
+    k, lo, hi = (F.col(c).cast("long") for c in ("k", "r_inner", "r_outer"))
+    half_width = lambda r: floor_isqrt(4 * r * r * k)
+    return annuli.select("k", "r_inner", "r_outer", (lo * lo).alias("inner_lo"), (lo * lo + k + half_width(lo)).alias("inner_hi"), (hi * hi + k - half_width(hi)).alias("outer_lo"), (hi * hi).alias("outer_hi"))
+
+
+def bad_zones(annuli: DataFrame) -> DataFrame:
+    """(k, r_inner, r_outer, inner_candidates, outer_candidates, bad_norms, clean) of annuli (k, r_inner, r_outer):
+    candidates, as :func:`bad_zone_ranges` tells them, that are Gaussian norms are bad."""
     from latticeflow.functions.primes import gaussian_norm
 
-    rows = [(q.k, q.r_inner, q.r_outer, side, *bad_zone_ranges(q.k, r)[side]) for q in queries for side, r in (("inner", q.r_inner), ("outer", q.r_outer))]
-    ranges = spark.createDataFrame(rows, "k long, r_inner long, r_outer long, side string, lo long, hi long")
+    k = F.col("k").cast("long")
+    root = lambda x: floor_isqrt(4 * k * x)
+    side = lambda name, lo, hi: F.struct(F.lit(name).alias("side"), lo.alias("lo"), hi.alias("hi"))
+    n, m = (F.col(c).cast("long") * F.col(c).cast("long") for c in ("r_inner", "r_outer"))
+    ranges = annuli.select("k", "r_inner", "r_outer", F.inline(F.array(side("inner", n - 1 + k + root(n - 1) + 1, n + k + root(n)), side("outer", m + k - root(m), m + k - root(m + 1)))))
     n = F.explode_outer(F.when(F.col("lo") <= F.col("hi"), F.sequence("lo", "hi"))).alias("n")
     marked = ranges.select("k", "r_inner", "r_outer", "side", n).withColumn("bad", F.coalesce(gaussian_norm(F.coalesce("n", F.lit(1).cast("long"))), F.lit(False)))
     count = lambda s: F.count_if((F.col("side") == s) & F.col("n").isNotNull())
     told = marked.groupBy("k", "r_inner", "r_outer").agg(count("inner").alias("inner_candidates"), count("outer").alias("outer_candidates"), F.count_if(F.col("bad")).alias("bad_norms"))
     return told.withColumn("clean", F.col("bad_norms") == 0)
+
+
+def bad_zone(spark, queries: list[Annulus]) -> DataFrame:
+    """P12 for annuli that are given one by one."""
+    return bad_zones(spark.createDataFrame([(q.k, q.r_inner, q.r_outer) for q in queries], "k long, r_inner long, r_outer long"))

@@ -156,17 +156,17 @@ def f11_records(spark, sf):
 
 def f23_old_records(spark, sf):
     """Older records made from numbers: their status and group counts."""
-    n = F.col("id")
+    n = F.col("c_custkey").cast("long")
     byte = lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")
     head = F.concat(byte(F.when(n % 10 == 9, 255).otherwise(3 + n % 4)), byte(5 + n % 4), byte(F.when(n % 10 == 8, 2).otherwise(8 + n % 4)))
     body = F.rpad(F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(124).cast("long")), lambda k: byte(F.pmod(k * 7 + n, F.lit(256)))), ""), 250, "0")
-    t = spark.range(0, 300).select(n, old_unpacked(F.unhex(F.concat(head, body))).alias("t"))
-    return t.select(n.alias("n"), F.col("t.status").alias("status"), F.size("t.face_o").alias("o"), F.size("t.face_i").alias("i"), F.size("t.face_l").alias("l"), F.size("t.face_r").alias("r"), F.coalesce(F.try_element_at("t.height_l", F.lit(1)), F.lit(-1)).alias("first_height"))
+    t = cut(table(spark, sf, "customer").select(n.alias("n"), F.unhex(F.concat(head, body)).alias("record"))).select("n", old_unpacked(F.col("record")).alias("t"))
+    return t.select("n", F.col("t.status").alias("status"), F.size("t.face_o").alias("o"), F.size("t.face_i").alias("i"), F.size("t.face_l").alias("l"), F.size("t.face_r").alias("r"), F.coalesce(F.try_element_at("t.height_l", F.lit(1)), F.lit(-1)).alias("first_height"))
 
 
 _OLD = """SELECT n, CASE WHEN n % 10 = 9 THEN 'overflow' WHEN n % 10 = 8 THEN 'invalid' ELSE 'ok' END AS status, CASE WHEN n % 10 < 8 THEN n % 4 ELSE 0 END::INTEGER AS o, CASE WHEN n % 10 < 8 THEN 2 ELSE 0 END::INTEGER AS i,
   CASE WHEN n % 10 < 8 THEN 3 ELSE 0 END::INTEGER AS l, CASE WHEN n % 10 < 8 THEN (128 - 8 - n % 4 - 3) // 2 ELSE 0 END::INTEGER AS r,
-  CASE WHEN n % 10 < 8 THEN ((((5 + n % 4 - 3) * 7 + n) % 256) >> 7) * 256 + ((8 + n % 4 + (128 - 8 - n % 4 - 3) // 2 - 3) * 7 + n) % 256 ELSE -1 END::INTEGER AS x FROM range(0, 300) t(n)"""
+  CASE WHEN n % 10 < 8 THEN ((((5 + n % 4 - 3) * 7 + n) % 256) >> 7) * 256 + ((8 + n % 4 + (128 - 8 - n % 4 - 3) // 2 - 3) * 7 + n) % 256 ELSE -1 END::INTEGER AS x FROM (SELECT c_custkey::BIGINT AS n FROM customer)"""
 
 
 def f23_encoded(spark, sf):
@@ -199,8 +199,8 @@ def p15_pruned(spark, sf):
 
 def k5_certificate_points(spark, sf):
     """A certificate document's points, read back from JSON."""
-    n = F.col("n_nationkey").cast("long")
-    path = table(spark, sf, "nation").select(n.alias("pos"), (n * 2).alias("a"), (n * 3).alias("b"))
+    n = F.col("c_custkey").cast("long")
+    path = table(spark, sf, "customer").select(n.alias("pos"), (n * 2).alias("a"), (n * 3).alias("b"))
     doc = documents.certificates(sinks.certificate(path, 36, 100, 500))
     return doc.select(F.size("unknown").alias("unknown"), F.posexplode("path").alias("pos", "p")).select("unknown", F.col("pos").cast("long").alias("pos"), "p.a", "p.b")
 
@@ -231,9 +231,9 @@ def s6_s7_snapshot(spark, sf):
 def s10_json_lines(spark, sf):
     """JSON lines with blank and broken ones, written as text and read with line numbers."""
     folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
-    n = F.col("n_nationkey")
+    n = F.col("c_custkey")
     line = F.when(n % 10 == 3, "").when(n % 10 == 5, "[1]").when(n % 10 == 7, '{"x"').otherwise(F.concat(F.lit('{"x": '), n.cast("string"), F.lit("}")))
-    table(spark, sf, "nation").orderBy("n_nationkey").select(line.alias("value")).coalesce(1).write.text(folder)
+    table(spark, sf, "customer").orderBy("c_custkey").select(line.alias("value")).coalesce(1).write.text(folder)
     rows = documents.json_lines(spark, folder)
     return rows.select(F.col("line_number").cast("long").alias("line_number"), F.regexp_extract("error", "[^:]+$", 0).alias("error"))
 
@@ -394,10 +394,10 @@ SELECT n.k_sq, n.r_inner, w0 AS narrower_width, width AS wider_width FROM n JOIN
         """WITH d AS (SELECT DISTINCT l_orderkey AS j, substr('IOLR', l_linenumber % 4 + 1, 1) AS face, l_linenumber AS ordinal, l_suppkey % 3 + 1 AS label FROM lineitem)
 SELECT j, face, ordinal, dense_rank() OVER (PARTITION BY j ORDER BY label) AS label FROM (SELECT *, count(*) OVER (PARTITION BY j, label) AS n FROM d) WHERE n > 1""",
     ),
-    "k5_certificate_points": Query(k5_certificate_points, "SELECT 0 AS unknown, n_nationkey::BIGINT AS pos, n_nationkey::BIGINT * 2 AS a, n_nationkey::BIGINT * 3 AS b FROM nation"),
+    "k5_certificate_points": Query(k5_certificate_points, "SELECT 0 AS unknown, row_number() OVER (ORDER BY c_custkey) - 1 AS pos, c_custkey::BIGINT * 2 AS a, c_custkey::BIGINT * 3 AS b FROM customer"),
     "k11_golden": Query(k11_golden, _golden_sql()),
     "s6_s7_snapshot": Query(s6_s7_snapshot, _snapshot_sql()),
-    "s10_json_lines": Query(s10_json_lines, "SELECT row_number() OVER (ORDER BY n_nationkey) AS line_number, CASE n_nationkey % 10 WHEN 5 THEN ' not an object' WHEN 7 THEN ' not JSON' END AS error FROM nation QUALIFY n_nationkey % 10 <> 3"),
+    "s10_json_lines": Query(s10_json_lines, "SELECT row_number() OVER (ORDER BY c_custkey) AS line_number, CASE c_custkey % 10 WHEN 5 THEN ' not an object' WHEN 7 THEN ' not JSON' END AS error FROM customer QUALIFY c_custkey % 10 <> 3"),
     "s11_run_index": Query(s11_run_index, "SELECT s_suppkey, s_name FROM supplier"),
     "j8_offset_matches": Query(j8_offset_matches, _OFFSETS),
     "j13_sample_audit": Query(j13_sample_audit, _audit_sql()),

@@ -21,9 +21,11 @@ from latticeflow.operators import verdict as V
 from latticeflow.params import Annulus
 from latticeflow.plans import flat, two_level
 from latticeflow.queries import Query, table
-from latticeflow.queries.lattice import _COMPONENTS_SQL, LAYERS_SQL, RECORDS_SQL, VERDICT, _tile_bodies
+from latticeflow.queries.lattice import _COMPONENTS_SQL, _ZONES_SQL, LAYERS_SQL, RECORDS_SQL, SMALL, VERDICT, _tile_bodies
+from latticeflow.queries.lattice import _with as _lattice_with
 from latticeflow.sources import lattice, regions, sinks
 from latticeflow.sources import tiles as G
+from latticeflow.streaming.columns import batches_of_columns
 
 K, INNER, SIDE, COLLAR = 40, 100, 32, 6
 
@@ -62,14 +64,14 @@ def _with(body: str, components: bool = False, k: int = K) -> str:
     return f"WITH RECURSIVE {_SITES.replace(':k', str(k))}{',' + _COMPONENTS_SQL if components else ''}\n{body}"
 
 
-def _tiled(body: str) -> str:
+def _tiled(body: str, k: int = K) -> str:
     """Tile summaries by the definition, for the tiles that the primes lie in or near."""
     s, c = SIDE, COLLAR
     tiles = f"""tiles AS MATERIALIZED (
   SELECT DISTINCT i, j FROM vertices v, range(0, 3) x(i), LATERAL (SELECT unnest(range(greatest(0, (v.b - {s + c}) // {s}), (v.b + {c}) // {s} + 1)) AS j) y
   WHERE v.a BETWEEN i * {s} - {c} AND i * {s} + {s + c} AND v.b BETWEEN j * {s} - {c} AND j * {s} + {s + c}
 )"""
-    return f"WITH RECURSIVE {_SITES.replace(':k', str(K))}, {tiles},\n{_tile_bodies(s, c)}\n{body}"
+    return f"WITH RECURSIVE {_SITES.replace(':k', str(k))}, {tiles},\n{_tile_bodies(s, c)}\n{body}"
 
 
 def vertices(spark, sf, k=K) -> DataFrame:
@@ -346,9 +348,37 @@ def p9_active_tiles(spark, sf):
 
 
 def p12_bad_zones(spark, sf):
-    """The rounding zones of an annulus per supplier."""
-    keys = [r.k for r in table(spark, sf, "supplier").where("s_suppkey <= 1000").select(F.col("s_suppkey").cast("long").alias("k")).collect()]
-    return bands.bad_zone(spark, [Annulus(10, 40 + k, 440 + k) for k in keys])
+    """The rounding zones of three annuli per supplier."""
+    return bands.bad_zones(_annuli(spark, sf))
+
+
+def _annuli(spark, sf):
+    n = F.col("s_suppkey").cast("long")
+    return table(spark, sf, "supplier").select(F.explode(F.array(*[F.lit(k).cast("long") for k in (8, 10, 36)])).alias("k"), (n + 49).alias("r_inner"), (n + 449).alias("r_outer"))
+
+
+def p6_band_edges(spark, sf):
+    return bands.band_edges_of(_annuli(spark, sf))
+
+
+def u1_tube_primes(spark, sf):
+    """The primes of the widened squares of the tiles that line items name, each once."""
+    named = table(spark, sf, "lineitem").select((F.col("l_linenumber") - 1).cast("long").alias("i"), (F.col("l_quantity").cast("long") % 9).alias("j")).where("i < 4 AND (i + j) % 3 <> 1").distinct()
+    return trace.tube_primes(spark, named, SMALL)
+
+
+def j14_layer_differences(spark, sf):
+    """Layers in which the tiles of the sites' primes differ between two step bounds."""
+    layers = lambda k: T.layers_of(vertices(spark, sf, k), annulus(spark, sf, k))
+    return T.layer_differences(layers(40), layers(36))
+
+
+def j14_first_differences(spark, sf):
+    return T.first_differing_layers(j14_layer_differences(spark, sf))
+
+
+def st7_batches(spark, sf):
+    return batches_of_columns(w1_tower_offsets(spark, sf), 200)
 
 
 _SPOILT = """, g AS (SELECT i, j_low AS lo, CASE WHEN i % 5 = 0 THEN j_low - 1 ELSE j_high END AS hi FROM towers WHERE i % 7 <> 3),
@@ -370,7 +400,17 @@ exact AS (SELECT n, CASE WHEN (r + 1) * (r + 1) <= n THEN r + 1 WHEN r * r > n T
 SELECT n, f::BIGINT AS floor_root, (CASE WHEN f * f = n THEN f ELSE f + 1 END)::BIGINT AS ceil_root FROM exact"""
 _SMALL_PRIMES = "WITH pn AS MATERIALIZED (SELECT n FROM range(2, 3001) t(n) EXCEPT SELECT p * k FROM range(2, 55) s(p), range(2, 1501) r(k) WHERE k >= p AND p * k <= 3000)"
 
+_DIFFERENCES = f"""SELECT coalesce(x.i, y.i) AS i, coalesce(x.j, y.j) AS j, coalesce(x.layer, y.layer) AS layer, x.digest AS left_digest, y.digest AS right_digest
+FROM ({_tiled(LAYERS_SQL, 40)}) x FULL JOIN ({_tiled(LAYERS_SQL, 36)}) y ON x.i = y.i AND x.j = y.j AND x.layer = y.layer WHERE x.digest IS DISTINCT FROM y.digest"""
+_ANNULI = "q AS (SELECT k, s_suppkey::BIGINT + 49 AS r_inner, s_suppkey::BIGINT + 449 AS r_outer FROM supplier, (VALUES (8::BIGINT), (10), (36)) a(k))"
+
 QUERIES: dict[str, Query] = {
+    "p12_bad_zones": Query(p12_bad_zones, _ZONES_SQL.replace("q AS (SELECT k, r AS r_inner, r + 400 AS r_outer FROM (VALUES (8::BIGINT), (10), (36)) a(k), range(50, 250) b(r))", _ANNULI)),
+    "p6_band_edges": Query(p6_band_edges, f"WITH {_ANNULI} SELECT *, r_inner * r_inner AS inner_lo, r_inner * r_inner + k + floor(sqrt(4 * r_inner * r_inner * k))::BIGINT AS inner_hi, r_outer * r_outer + k - floor(sqrt(4 * r_outer * r_outer * k))::BIGINT AS outer_lo, r_outer * r_outer AS outer_hi FROM q"),
+    "u1_tube_primes": Query(u1_tube_primes, _lattice_with(SMALL, """SELECT DISTINCT a, b FROM primes JOIN (SELECT DISTINCT l_linenumber - 1 AS i, l_quantity::BIGINT % 9 AS j FROM lineitem) t ON a BETWEEN i * 16 - 2 AND i * 16 + 18 AND b BETWEEN j * 16 - 2 AND j * 16 + 18 WHERE i < 4 AND (i + j) % 3 <> 1""")),
+    "j14_layer_differences": Query(j14_layer_differences, _DIFFERENCES),
+    "j14_first_differences": Query(j14_first_differences, f"SELECT i, j, min_by(layer, list_position(['primes', 'bands', 'labels', 'record'], layer)) AS layer FROM ({_DIFFERENCES}) GROUP BY 1, 2"),
+    "st7_batches": Query(st7_batches, _TOWERS + "SELECT i, (tower_offset // 200)::BIGINT AS batch, j_high - j_low + 1 AS height FROM towers"),
     "s1_annulus_primes": Query(s1_annulus_primes, f"""{_SMALL_PRIMES}, q AS (SELECT 150 + count(*) AS r FROM supplier), c AS (
   SELECT a, b, a * a + b * b AS norm FROM q, LATERAL (SELECT unnest(range(0, r + 1)) AS a), LATERAL (SELECT unnest(range(a, r + 1)) AS b) WHERE a * a + b * b BETWEEN 10000 AND r * r)
 SELECT * FROM (SELECT * FROM c WHERE a > 0) s ANTI JOIN pn ON pn.n * pn.n <= s.norm AND s.norm % pn.n = 0 UNION ALL SELECT * FROM (SELECT * FROM c WHERE a = 0 AND b % 4 = 3) s ANTI JOIN pn ON pn.n * pn.n <= s.b AND s.b % pn.n = 0"""),
