@@ -51,7 +51,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("personal_data", personal_data), ("mixture", mixture), ("encoding", encoding)]
 
-#: SQL can't express the trained classifier, XXH64 or the tokenizer; tests/llm compares with a brute-force version.
+#: SQL can't express the trained classifier, XXH64 or the tokenizer; tests/llm compares each stage with its operator, and the operators with plain versions.
 ORACLE_SQL = None
 
 
