@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latticeflow.functions.bands import in_octant, inner_band, outer_band
@@ -21,27 +21,39 @@ from latticeflow.plans import flat, two_level
 
 #: Events that one task folds in order; longer histories are first narrowed to one column.
 FOLD_LIMIT = 1_000_000
+SOURCES = ((INNER, "inner_source"), (OUTER, "outer_source"))
+
+
+def _no_sources() -> list[Column]:
+    return [F.lit(None).cast("long").alias(name) for _, name in SOURCES]
 
 
 def events(graph: two_level.TiledGraph) -> DataFrame:
-    """The history of a column-ordered ingest: (i, phase, j, ordinal, event, a, b, bits), ordered by the first four.
+    """The history of a column-ordered ingest: (i, phase, j, ordinal, event, a, b, bits, inner_source, outer_source),
+    ordered by the first four.
 
     Phase 0 are a column's tiles in order (their flags, then their join with the tile below), phase 1 its
-    joins with the column to the left.
+    joins with the column to the left.  A mark's group is the source of its bits.
     """
     g = graph.groups
-    marks = g.where("reach > 0").select("i", F.lit(0).alias("phase"), F.col("j"), (F.col("label") - 1_000_000).cast("int").alias("ordinal"), F.lit("mark").alias("event"), F.col("id").alias("a"), F.col("id").alias("b"), F.col("reach").alias("bits"))
-    joins = graph.edges.select(F.col("i2").alias("i"), F.when(F.col("event") == "match_lr", 1).otherwise(0).alias("phase"), F.col("j2").alias("j"), F.col("ordinal").cast("int").alias("ordinal"), "event", "a", "b", F.lit(0).alias("bits"))
+    marks = g.where("reach > 0").select("i", F.lit(0).alias("phase"), F.col("j"), (F.col("label") - 1_000_000).cast("int").alias("ordinal"), F.lit("mark").alias("event"), F.col("id").alias("a"), F.col("id").alias("b"), F.col("reach").alias("bits"), *[F.when(F.col("reach").bitwiseAND(F.lit(bit)) != 0, F.col("id")).alias(name) for bit, name in SOURCES])
+    joins = graph.edges.select(F.col("i2").alias("i"), F.when(F.col("event") == "match_lr", 1).otherwise(0).alias("phase"), F.col("j2").alias("j"), F.col("ordinal").cast("int").alias("ordinal"), "event", "a", "b", F.lit(0).alias("bits"), *_no_sources())
     return marks.unionByName(joins)
 
 
-_FIRST = "i long, phase int, j long, ordinal int, event string, a long, b long, before_a int, before_b int"
+_FIRST = "i long, phase int, j long, ordinal int, event string, a long, b long, before_a int, before_b int, inner_source long, outer_source long"
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replays sorted events with union-find until a component has both bits."""
+    """Replays sorted events with union-find until a component has both bits.
+
+    A component carries the first source of each bit.  Marks come in the order of their groups' numbers, so the
+    first of two is the smaller one.
+    """
     parent: dict[int, int] = {}
     reach: dict[int, int] = {}
+    first: dict[int, list[int]] = {}
+    none = (1 << 63) - 1
 
     def find(x: int) -> int:
         while parent.get(x, x) != x:
@@ -53,21 +65,25 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if done:
             continue
-        for i, phase, j, ordinal, event, a, b, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for i, phase, j, ordinal, event, a, b, bits, *marked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             x, y = find(a), find(b)
             p, q = reach.get(x, 0), reach.get(y, 0) | (bits or 0)
             lo, hi = min(x, y), max(x, y)
             if lo != hi:
                 parent[hi] = lo
             reach[lo] = p | q
+            told = [first[r] for r in {x, y} if r in first] + ([[none if s is None else s for s in marked]] if bits else [])
+            if told:
+                first[lo] = [min(s) for s in zip(*told, strict=True)]
             if reach[lo] == BOTH and p != BOTH:
-                yield pa.RecordBatch.from_pydict({"i": [i], "phase": pa.array([phase], pa.int32()), "j": [j], "ordinal": pa.array([ordinal], pa.int32()), "event": [event], "a": [a], "b": [b], "before_a": pa.array([p], pa.int32()), "before_b": pa.array([reach.get(y, 0) if event != "mark" else p], pa.int32())})
+                yield pa.RecordBatch.from_pydict({"i": [i], "phase": pa.array([phase], pa.int32()), "j": [j], "ordinal": pa.array([ordinal], pa.int32()), "event": [event], "a": [a], "b": [b], "before_a": pa.array([p], pa.int32()), "before_b": pa.array([reach.get(y, 0) if event != "mark" else p], pa.int32()), "inner_source": [first[lo][0]], "outer_source": [first[lo][1]]})
                 done = True
                 break
 
 
 def first_event(graph: two_level.TiledGraph, limit: int = FOLD_LIMIT) -> DataFrame:
-    """The first event after which a component touches both bands (no row for a moat).
+    """The first event after which a component touches both bands (no row for a moat), with the group that first
+    brought each band into it.
 
     Histories up to ``limit`` events are replayed in one task.  Longer ones are bisected by column with
     distributed components of each prefix; the columns before the deciding one enter the replay as their
@@ -86,8 +102,8 @@ def _narrowed(graph: two_level.TiledGraph, history: DataFrame) -> DataFrame:
 
     def prefix(column: int) -> DataFrame:
         labels = components(history.where((F.col("i") <= column) & (F.col("event") != "mark")).select("a", "b"))
-        marks = history.where((F.col("i") <= column) & (F.col("event") == "mark")).select(F.col("a").alias("node"), "bits")
-        return marks.join(labels, "node", "left").groupBy(F.coalesce("component", "node").alias("a")).agg(F.bit_or("bits").alias("bits"))
+        marks = history.where((F.col("i") <= column) & (F.col("event") == "mark")).select(F.col("a").alias("node"), "bits", *[name for _, name in SOURCES])
+        return marks.join(labels, "node", "left").groupBy(F.coalesce("component", "node").alias("a")).agg(F.bit_or("bits").alias("bits"), *[F.min(name).alias(name) for _, name in SOURCES])
 
     while lo < hi:
         middle = (lo + hi) // 2
@@ -95,11 +111,11 @@ def _narrowed(graph: two_level.TiledGraph, history: DataFrame) -> DataFrame:
             hi = middle
         else:
             lo = middle + 1
-    known = prefix(lo - 1).select(F.lit(lo).alias("i"), F.lit(-2).alias("phase"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("ordinal"), F.lit("mark").alias("event"), "a", F.col("a").alias("b"), "bits")
+    known = prefix(lo - 1).select(F.lit(lo).alias("i"), F.lit(-2).alias("phase"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("ordinal"), F.lit("mark").alias("event"), "a", F.col("a").alias("b"), "bits", *[name for _, name in SOURCES])
     labels = components(history.where((F.col("i") < lo) & (F.col("event") != "mark")).select("a", "b"))
     now = history.where(F.col("i") == lo)
     used = now.select(F.col("a").alias("node")).union(now.select("b")).distinct()
-    links = labels.join(used, "node", "left_semi").select(F.lit(lo).alias("i"), F.lit(-1).alias("phase"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("ordinal"), F.lit("earlier").alias("event"), F.col("node").alias("a"), F.col("component").alias("b"), F.lit(0).alias("bits"))
+    links = labels.join(used, "node", "left_semi").select(F.lit(lo).alias("i"), F.lit(-1).alias("phase"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("ordinal"), F.lit("earlier").alias("event"), F.col("node").alias("a"), F.col("component").alias("b"), F.lit(0).alias("bits"), *_no_sources())
     return cut(known.unionByName(links).unionByName(now))
 
 
@@ -147,28 +163,61 @@ def shortest_path(links: DataFrame, sources: DataFrame, targets: DataFrame, limi
 
 
 def _path_by_levels(both: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """The same by joins: a level is what links reach from the one before, without the two before.
+    """The same by joins, from both ends: the smaller frontier grows until the two meet.
 
-    Only the path's own points, one per level, come to the driver.
+    Of the points where they meet only what lies on a shortest path goes on, through the targets' levels, so that
+    the smallest target is found among all of that distance.  A level leaves out the two before.  Only the path's
+    own points, one per level, come to the driver.
     """
-    levels = [cut(sources.select("id", F.lit(None).cast("long").alias("before")).dropDuplicates(["id"]))]
-    goals = targets.select("id").distinct()
-    while True:
-        met = levels[-1].join(goals, "id", "left_semi").agg(F.min("id")).first()[0]
-        if met is not None:
+    empty = both.sparkSession.createDataFrame([], "pos long, id long")
+    near, far = ([cut(ends.select("id").where("id IS NOT NULL").distinct())] for ends in (sources, targets))
+    sizes = [near[0].count(), far[0].count()]
+    while all(sizes):
+        ahead = [cut(near[-1].join(far[-1], "id", "left_semi"))]
+        if not ahead[0].isEmpty():
             break
-        reached = levels[-1].join(both, F.col("id") == F.col("a")).groupBy("b").agg(F.min("a").alias("before")).withColumnRenamed("b", "id")
-        for seen in levels[-2:]:
-            reached = reached.join(seen.select("id"), "id", "left_anti")
-        levels.append(cut(reached))
-        if levels[-1].isEmpty():
-            return both.sparkSession.createDataFrame([], "pos long, id long")
-    path = [met]
-    for level in reversed(levels[1:]):
+        side = 0 if sizes[0] <= sizes[1] else 1
+        grown = (near, far)[side]
+        reached = grown[-1].join(both, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
+        for seen in grown[-2:]:
+            reached = reached.join(seen, "id", "left_anti")
+        grown.append(cut(reached))
+        sizes[side] = grown[-1].count()
+    else:
+        return empty
+    for level in reversed(far[:-1]):
+        step = ahead[-1].select("id").join(both, F.col("id") == F.col("a")).groupBy("b").agg(F.min("a").alias("before"))
+        ahead.append(cut(step.withColumnRenamed("b", "id").join(level, "id", "left_semi")))
+    path = [ahead[-1].agg(F.min("id")).first()[0]]
+    for level in reversed(ahead[1:]):
         path.append(level.where(F.col("id") == path[-1]).first().before)
+    for level in reversed(near[:-1]):
+        back = both.where(F.col("b") == path[-1]).select(F.col("a").alias("id"))
+        path.append(back.join(level, "id", "left_semi").agg(F.min("id")).first()[0])
     return both.sparkSession.createDataFrame([(len(path) - 1 - k, x) for k, x in enumerate(path)], "pos long, id long")
 
 
+def span_chain(graph: two_level.TiledGraph, limit: int | None = None) -> DataFrame:
+    """(pos, side, id): the groups from the first inner source to the first outer one, over the link that joined them.
+
+    Each half is a shortest path over the links that came before that one, which is itself excluded; ``side`` tells
+    the halves apart, and the link leads from the last ``inner`` to the first ``outer`` group.  No row for a moat,
+    nor if a mark, not a link, was the first to span.
+    """
+    spark = graph.edges.sparkSession
+    found = first_event(graph, FOLD_LIMIT if limit is None else limit).first()
+    if found is None or found.event == "mark":
+        return spark.createDataFrame([], "pos long, side string, id long")
+    order = F.struct("i", "phase", "j", "ordinal")
+    last = F.struct(F.lit(found.i).alias("i"), F.lit(found.phase).alias("phase"), F.lit(found.j).alias("j"), F.lit(found.ordinal).alias("ordinal"))
+    links = cut(events(graph).where((F.col("event") != "mark") & (order < last)).select("a", "b"))
+    one = lambda x: spark.createDataFrame([(x,)], "id long")
+    inner, outer = (found.a, found.b) if found.before_a & INNER else (found.b, found.a)
+    head = cut(shortest_path(links, one(found.inner_source), one(inner), limit).select("pos", F.lit("inner").alias("side"), "id"))
+    tail = shortest_path(links, one(outer), one(found.outer_source), limit)
+    return head.unionByName(tail.select((F.col("pos") + head.count()).alias("pos"), F.lit("outer").alias("side"), "id"))
+
+
 def tube(graph: two_level.TiledGraph) -> DataFrame:
     """The tiles (i, j) of a shortest stitch path from an inner to an outer group."""
     ends = lambda bit: graph.groups.where(F.col("reach").bitwiseAND(F.lit(bit)) != 0).select("id")

@@ -19,6 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def every() -> dict[str, Query]:
-    from latticeflow.queries import documents, lattice, sites, streams, tables
+    from latticeflow.queries import documents, evidence, lattice, sites, streams, tables
 
-    return lattice.QUERIES | tables.QUERIES | documents.QUERIES | streams.QUERIES | sites.QUERIES
+    return lattice.QUERIES | tables.QUERIES | documents.QUERIES | streams.QUERIES | sites.QUERIES | evidence.QUERIES
