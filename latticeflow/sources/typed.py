@@ -136,7 +136,9 @@ def _bound(x: Column, use: Callable[[Column], Column]) -> Column:
 
 def _all(node: Node, x: Column, path: Column) -> Column:
     """An entry per place that was looked at, its fault null where it is fine."""
-    return _bound(x, lambda y: _looked_at(node, y, path))
+    if isinstance(node, Record | Items | Named):
+        return _bound(x, lambda y: _looked_at(node, y, path))
+    return _looked_at(node, x, path)
 
 
 def _looked_at(node: Node, x: Column, path: Column) -> Column:
