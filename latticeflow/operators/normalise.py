@@ -2,36 +2,62 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Where a field of a sweep row may stand in a profile, in order of preference.
 PATHS = {
-    "k_sq": "radii.k_sq k_sq", "r_inner": "radii.r_inner r_inner", "r_outer": "radii.r_outer r_outer", "region": "region radii.region", "verdict": "verdict",
-    "telemetry_level": "telemetry_level stats_level stats_v2.telemetry_level", "schema_version": "schema_version", "commit": "commit git_commit build.commit", "build_id": "build_id build_identity build.id",
-    "cuda_arch": "cuda_arch build.cuda_arch device.cuda_arch", "active_tiles": "tiles.active active_tiles", "produced_tiles": "tiles.produced produced_tiles", "ingested_tiles": "tiles.ingested ingested_tiles",
-    "early_exit_enabled": "early_exit_enabled", "early_exit_taken": "early_exit_taken", "bz_checked": "bz.checked bz_checked", "bz_clean": "bz.clean bz.bz_clean bz_clean",
-    "bz_override_used": "bz.override_used bz.override bz_override_used", "bz_bad_norm_count": "bz.bad_norm_count bz_bad_norm_count", "emitted_overflow_bit_count": "host_tileop_counters.emitted_overflow_bit_count",
-    "geo_i_tiles": "stats_v2.geo_i_tiles", "geo_o_tiles": "stats_v2.geo_o_tiles", "geo_i_ports": "stats_v2.geo_i_ports stats_v2.geo_I.port_population", "geo_o_ports": "stats_v2.geo_o_ports stats_v2.geo_O.port_population",
-    "component_census": "stats_v2.component_census stats_v2.components.census stats_v2.component.census", "sample_manifest_path": "stats_v2.sample_manifest_path", "tile_sample_path": "stats_v2.tile_sample_path",
-    "sample_count": "stats_v2.sample_count stats_v2.tile_sample_count stats_v2.tile_samples_written", "snapshot_path": "stats_v2.snapshot_path", "snapshot_sha256": "stats_v2.snapshot_sha256",
-    "total_seconds": "timings_seconds.total total_seconds total_time_seconds timing.total_seconds", "cuda_k1_k5_seconds": "timings_seconds.cuda_k1_k5 cuda_k1_k5_seconds timing.cuda_k1_k5_seconds", "compositor_seconds": "timings_seconds.compositor compositor_seconds timing.compositor_seconds",
-}
+    "k_sq": ("radii.k_sq", "k_sq"),
+    "r_inner": ("radii.r_inner", "r_inner"),
+    "r_outer": ("radii.r_outer", "r_outer"),
+    "region": ("region", "radii.region"),
+    "verdict": ("verdict",),
+    "telemetry_level": ("telemetry_level", "stats_level", "stats_v2.telemetry_level"),
+    "schema_version": ("schema_version",),
+    "commit": ("commit", "git_commit", "build.commit"),
+    "build_id": ("build_id", "build_identity", "build.id"),
+    "cuda_arch": ("cuda_arch", "build.cuda_arch", "device.cuda_arch"),
+    "active_tiles": ("tiles.active", "active_tiles"),
+    "produced_tiles": ("tiles.produced", "produced_tiles"),
+    "ingested_tiles": ("tiles.ingested", "ingested_tiles"),
+    "early_exit_enabled": ("early_exit_enabled",),
+    "early_exit_taken": ("early_exit_taken",),
+    "bz_checked": ("bz.checked", "bz_checked"),
+    "bz_clean": ("bz.clean", "bz.bz_clean", "bz_clean"),
+    "bz_override_used": ("bz.override_used", "bz.override", "bz_override_used"),
+    "bz_bad_norm_count": ("bz.bad_norm_count", "bz_bad_norm_count"),
+    "emitted_overflow_bit_count": ("host_tileop_counters.emitted_overflow_bit_count",),
+    "geo_i_tiles": ("stats_v2.geo_i_tiles",),
+    "geo_o_tiles": ("stats_v2.geo_o_tiles",),
+    "geo_i_ports": ("stats_v2.geo_i_ports", "stats_v2.geo_I.port_population"),
+    "geo_o_ports": ("stats_v2.geo_o_ports", "stats_v2.geo_O.port_population"),
+    "component_census": ("stats_v2.component_census", "stats_v2.components.census", "stats_v2.component.census"),
+    "sample_manifest_path": ("stats_v2.sample_manifest_path",),
+    "tile_sample_path": ("stats_v2.tile_sample_path",),
+    "sample_count": ("stats_v2.sample_count", "stats_v2.tile_sample_count", "stats_v2.tile_samples_written"),
+    "snapshot_path": ("stats_v2.snapshot_path",),
+    "snapshot_sha256": ("stats_v2.snapshot_sha256",),
+    "total_seconds": ("timings_seconds.total", "total_seconds", "total_time_seconds", "timing.total_seconds"),
+    "cuda_k1_k5_seconds": ("timings_seconds.cuda_k1_k5", "cuda_k1_k5_seconds", "timing.cuda_k1_k5_seconds"),
+    "compositor_seconds": ("timings_seconds.compositor", "compositor_seconds", "timing.compositor_seconds"),
+}
 WHOLE = ("k_sq", "r_inner", "r_outer", "active_tiles", "produced_tiles", "ingested_tiles", "bz_bad_norm_count", "emitted_overflow_bit_count", "geo_i_tiles", "geo_o_tiles", "geo_i_ports", "geo_o_ports", "sample_count")
 REAL = ("total_seconds", "cuda_k1_k5_seconds", "compositor_seconds")
 TRUTH = ("early_exit_enabled", "early_exit_taken", "bz_checked", "bz_clean", "bz_override_used")
 DISTRIBUTIONS = {
-    "candidate_count_distribution": "candidate_count_distribution candidate_count candidate_counts candidates",
-    "gaussian_prime_count_distribution": "gaussian_prime_count_distribution prime_count_distribution gaussian_prime_count gaussian_prime_counts prime_counts",
-    "group_count_distribution": "group_count_distribution group_count group_counts groups",
-    "total_port_count_distribution": "total_port_count_distribution port_count_distribution total_port_count total_port_counts port_counts",
-    "max_face_port_count_distribution": "max_face_port_count_distribution max_face_port_count max_face_port_counts",
+    "candidate_count_distribution": ("candidate_count_distribution", "candidate_count", "candidate_counts", "candidates"),
+    "gaussian_prime_count_distribution": ("gaussian_prime_count_distribution", "prime_count_distribution", "gaussian_prime_count", "gaussian_prime_counts", "prime_counts"),
+    "group_count_distribution": ("group_count_distribution", "group_count", "group_counts", "groups"),
+    "total_port_count_distribution": ("total_port_count_distribution", "port_count_distribution", "total_port_count", "total_port_counts", "port_counts"),
+    "max_face_port_count_distribution": ("max_face_port_count_distribution", "max_face_port_count", "max_face_port_counts"),
 }
 POSTFLIGHT = ["REJECT", "RUN_CONTRACT_PASS", "TILE_SAMPLE_AUDIT_PASS", "SPAN_PROOF_PASS", "MOAT_PROOF_PASS", "CLAIM_PROOF_MISSING"]
 PROOFS = ["SPAN_PROOF_PASS", "MOAT_PROOF_PASS", "CLAIM_PROOF_MISSING"]
 
 
-def first_value(document: Column, paths: list[str]) -> Column:
+def first_value(document: Column, paths: Sequence[str]) -> Column:
     """the first path with a value, as text."""
     return F.coalesce(*[F.get_json_object(document, f"$.{p}") for p in paths])
 
@@ -61,8 +87,8 @@ def verdict_mode(verdict: Column) -> Column:
     return F.when(verdict == "SPANNING", "ANY-SPAN").when(verdict == "MOAT", "ANY-SHELL-MOAT")
 
 
-def _status(audit: Column, paths: str, words: list[str]) -> Column:
-    value = first_value(audit, paths.split())
+def _status(audit: Column, paths: tuple[str, ...], words: list[str]) -> Column:
+    value = first_value(audit, paths)
     return F.when(value.isin(words), value)
 
 
@@ -71,22 +97,21 @@ def sweep_rows(profiles: DataFrame) -> DataFrame:
     p, a = F.col("profile"), F.col("audit")
     cols: dict[str, Column] = {}
     for name, paths in PATHS.items():
-        value = first_value(p, paths.split())
+        value = first_value(p, paths)
         cols[name] = whole(value) if name in WHOLE else value.try_cast("double") if name in REAL else F.when(value.isin("true", "false"), value == "true") if name in TRUTH else value
-    for name, names in DISTRIBUTIONS.items():
-        ns = names.split()
+    for name, ns in DISTRIBUTIONS.items():
         cols[name] = first_value(p, [*(f"stats_v2.{n}" for n in ns), *(f"stats_v2.{g}.{n}" for n in ns for g in ("distributions", "histograms", "distribution"))])
-    top = "high_pressure_tiles high_pressure high_pressure_top_n".split()
+    top = ("high_pressure_tiles", "high_pressure", "high_pressure_top_n")
     cols["high_pressure_tiles"] = first_value(p, [*(f"stats_v2.{n}" for n in top), *(f"stats_v2.{g}.{n}" for n in top for g in ("top_n", "top_tiles", "ranked_tiles"))])
     cols["overflow_total"] = summed(F.get_json_object(p, "$.overflow_counters"))
     cols["width"] = F.coalesce(whole(first_value(p, ["radii.width", "width"])), cols["r_outer"] - cols["r_inner"])
     cols["claim_id"] = F.coalesce(first_value(p, ["claim_id"]), F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1))
-    post = _status(a, "postflight_status status summary.status report.status", POSTFLIGHT)
+    post = _status(a, ("postflight_status", "status", "summary.status", "report.status"), POSTFLIGHT)
     proof = F.coalesce(F.when(first_value(a, ["proof_status", "claim.proof_status", "proof.status"]).isin(PROOFS), first_value(a, ["proof_status", "claim.proof_status", "proof.status"])), F.when(first_value(p, ["proof_status"]).isin(PROOFS), first_value(p, ["proof_status"])))
     cols["postflight_status"] = post
     cols["proof_status"] = F.coalesce(proof, F.when(post.isin(PROOFS), post), F.lit("CLAIM_PROOF_MISSING"))
-    cols["run_contract_status"] = F.coalesce(_status(a, "run_contract_status run_contract.status", POSTFLIGHT), F.when(post == "REJECT", "REJECT").when(post.isNotNull(), "RUN_CONTRACT_PASS"))
-    cols["tile_sample_audit_status"] = F.coalesce(_status(a, "tile_sample_audit_status tile_sample_audit.status audit.status", POSTFLIGHT), F.when(post == "TILE_SAMPLE_AUDIT_PASS", post))
+    cols["run_contract_status"] = F.coalesce(_status(a, ("run_contract_status", "run_contract.status"), POSTFLIGHT), F.when(post == "REJECT", "REJECT").when(post.isNotNull(), "RUN_CONTRACT_PASS"))
+    cols["tile_sample_audit_status"] = F.coalesce(_status(a, ("tile_sample_audit_status", "tile_sample_audit.status", "audit.status"), POSTFLIGHT), F.when(post == "TILE_SAMPLE_AUDIT_PASS", post))
     cols["verdict_mode"], cols["detector_status"] = verdict_mode(cols["verdict"]), detector_status(cols["verdict"])
     return profiles.select(F.lit(1).alias("sweep_row_schema_version"), F.col("path").alias("source_profile"), *[cols[n].alias(n) for n in sorted(cols)])
 

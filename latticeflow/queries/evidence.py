@@ -6,13 +6,13 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from latticeflow.operators import trace
+from latticeflow.operators import contract, trace
 from latticeflow.operators.sampling import CLASSES
 from latticeflow.params import Annulus
 from latticeflow.plans import two_level
 from latticeflow.queries import Query, table
 from latticeflow.queries.sites import annulus, sites
-from latticeflow.sources import typed
+from latticeflow.sources import sinks, typed
 
 _RUN = '"k_sq":36,"r_inner":100,"r_outer":500'
 #: A document of each kind; ``@`` stands for the customer's number, ``#`` for the width.
@@ -90,6 +90,24 @@ def s9_typed_manifests(spark, sf):
     return told.select("key", F.size("faults").alias("faults"), "row.claim_id", "row.r_outer", "row.sample_count", wanted.alias("targets"), F.size("row.class_counts").alias("classes"))
 
 
+def k4_sample_manifest(spark, sf):
+    """The manifest of a sample of orders, read back from its document: a class for each rest of the order's number."""
+    o = table(spark, sf, "orders").select(F.element_at(F.array(*[F.lit(c) for c in CLASSES]), (F.col("o_orderkey") % 6 + 1).cast("int")).alias("sample_class"), "o_orderstatus")
+    chosen = o.where((F.col("o_orderstatus") == "F") | (F.col("sample_class") == CLASSES[5]))
+    doc = sinks.sample_manifest(chosen, 1001, o.groupBy("sample_class").agg(F.count(F.lit(1)).alias("population")))
+    shape = "sample_count long, class_counts map<string,long>, population_exhaustion map<string,struct<quota:long,observed:long,population:long,population_exhausted:boolean>>"
+    read = doc.select(F.from_json("document", shape).alias("d"))
+    return read.select(F.col("d.sample_count").alias("sample_count"), F.explode("d.population_exhaustion").alias("sample_class", "told"), "d.class_counts").select("sample_class", "sample_count", F.element_at("class_counts", F.col("sample_class")).alias("counted"), "told.*")
+
+
+def k8_reports(spark, sf):
+    """The reports of bundles from orders, by status and number of errors, read back from their documents."""
+    row = F.struct(F.lit("c").alias("claim_id"), F.lit(36).alias("k_sq"), F.lit(100).alias("r_inner"), F.lit(500).alias("r_outer"), F.when(F.col("o_orderkey") % 7 == 0, 399).otherwise(400).alias("width"))
+    bundles = table(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("bundle_id"), F.to_json(F.struct(row.alias("row"))).alias("bundle"))
+    read = sinks.postflight_reports(contract.checked(bundles)).select("bundle_id", F.from_json("document", "schema_version int, status string, errors array<string>").alias("d"))
+    return read.select("bundle_id", "d.schema_version", "d.status", F.exists("d.errors", lambda e: e.startswith("R1 width")).alias("wrong_width"))
+
+
 def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
@@ -154,6 +172,10 @@ QUERIES: dict[str, Query] = {
     "s9_typed_manifests": Query(s9_typed_manifests, f"""WITH {_FAULTS}, n AS (SELECT key, count(*) AS n FROM faults WHERE kind = 'manifest' GROUP BY 1)
 SELECT key, coalesce(n, 0)::INTEGER AS faults, CASE WHEN n IS NULL THEN 'c' || key END AS claim_id, CASE WHEN n IS NULL THEN 500::BIGINT END AS r_outer, CASE WHEN n IS NULL THEN key END AS sample_count,
   CASE WHEN n IS NULL THEN 12::BIGINT END AS targets, CASE WHEN n IS NULL THEN 6 END AS classes FROM c LEFT JOIN n USING (key)"""),
+    "k4_sample_manifest": Query(k4_sample_manifest, f"""WITH o AS (SELECT [{", ".join(_quoted(c) for c in CLASSES)}][o_orderkey % 6 + 1] AS sample_class, o_orderkey % 6 = 5 OR o_orderstatus = 'F' AS chosen FROM orders),
+n AS (SELECT sample_class, count(*) FILTER (chosen) AS observed, count(*) AS population FROM o GROUP BY 1)
+SELECT sample_class, (sum(observed) OVER ())::BIGINT AS sample_count, CASE WHEN observed > 0 THEN observed END AS counted, CASE sample_class WHEN '{CLASSES[5]}' THEN 171 ELSE 166 END::BIGINT AS quota, observed, population, observed >= population AS population_exhausted FROM n"""),
+    "k8_reports": Query(k8_reports, "SELECT o_orderkey::BIGINT AS bundle_id, 1 AS schema_version, 'REJECT' AS status, o_orderkey % 7 = 0 AS wrong_width FROM orders"),
     "g7_order_chain": Query(g7_order_chain, _CHAIN),
     "g6_span_event": Query(g6_span_event),
     "g7_span_chain": Query(g7_span_chain),

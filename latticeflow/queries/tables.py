@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from latticeflow.lineage import cut
 from latticeflow.operators import aggregates as A
+from latticeflow.operators import contract, normalise
 from latticeflow.operators import sampling as S
 from latticeflow.operators import setops as U
 from latticeflow.operators import windows as W
@@ -236,9 +237,9 @@ def f15_mixing_hash(spark, sf):
 
 
 def f19_status_words(spark, sf):
-    word = F.when(F.col("o_orderstatus") == "F", "ANY_SPAN_DETECTED").when(F.col("o_orderstatus") == "O", "ANY_SHELL_MOAT_DETECTED").otherwise("UNKNOWN_DETECTOR_STATUS")
-    rank = F.array_position(F.array(*[F.lit(x) for x in ("5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT")]), F.col("o_orderpriority")) - 1
-    return table(spark, sf, "orders").select("o_orderkey", word.alias("status"), rank.alias("level"))
+    verdict = F.when(F.col("o_orderstatus") == "F", "SPANNING").when(F.col("o_orderstatus") == "O", "MOAT")
+    level = contract.rank(F.col("o_orderpriority"), ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"])
+    return table(spark, sf, "orders").select("o_orderkey", normalise.detector_status(verdict).alias("status"), level.alias("level"))
 
 
 def f18_json_values(spark, sf):
