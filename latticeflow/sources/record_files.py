@@ -16,17 +16,21 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote, urlparse
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 #: Bytes that one task reads of a file.
 SPLIT = 64 << 20
 #: Bytes that are read, written or hashed at once.
 PIECE = 4 << 20
+#: Ranges that the files of one read are cut into at most, whatever ``split`` asks for: tasks have a fixed cost.
+MOST_RANGES = 512
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
@@ -76,13 +80,15 @@ class RecordReader(DataSourceReader):
         self.at_once = max(1, split // length)
 
     def partitions(self) -> list[RecordRange]:
-        found = []
+        held = []
         for file, size in sizes(self.path):
             if not self.partial and (size < self.header or (size - self.header) % self.length):
                 raise ValueError(f"{file}: {size} bytes aren't a header of {self.header} and whole records of {self.length}")
             n = max(0, size - self.header) // self.length
-            n = n if self.end is None else min(n, self.end)
-            found += [RecordRange(file, a, min(n, a + self.at_once)) for a in range(max(0, self.first), n, self.at_once)]
+            held.append((file, n if self.end is None else min(n, self.end)))
+        first = max(0, self.first)
+        at_once = max(self.at_once, -(-sum(max(0, n - first) for _, n in held) // MOST_RANGES))
+        found = [RecordRange(file, a, min(n, a + at_once)) for file, n in held for a in range(first, n, at_once)]
         return found or [RecordRange("", 0, 0)]
 
     def read(self, partition: RecordRange) -> Iterator[pa.RecordBatch]:
@@ -96,7 +102,7 @@ class RecordReader(DataSourceReader):
                 b = min(partition.end, a + step)
                 data = f.read_at((b - a) * self.length, self.header + a * self.length)
                 rows = pa.Array.from_buffers(pa.binary(self.length), b - a, [None, pa.py_buffer(data)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([partition.file] * (b - a)), pa.array(range(a, b), pa.int64()), rows], ["path", "idx", "record"])
+                yield pa.RecordBatch.from_arrays([pa.array([partition.file] * (b - a)), pa.array(np.arange(a, b)), rows], ["path", "idx", "record"])
 
 
 class FilteringRecordReader(RecordReader):
@@ -172,6 +178,33 @@ class RecordWriter(DataSourceWriter):
             os.unlink(self.hidden)
 
 
+class ArrowRecordWriter(RecordWriter, DataSourceArrowWriter):
+    """The same from batches: each run of places within a batch is one piece."""
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
+        runs: list[list[int]] = []
+        with open(self.hidden, "r+b") as f:
+            for batch in batches:
+                idx, records = batch.column("idx").to_numpy(), batch.column("record")
+                lengths = pc.fill_null(pc.binary_length(records), 0).to_numpy(zero_copy_only=False)
+                for k in np.flatnonzero(lengths != self.length)[:1]:
+                    raise ValueError(f"record {idx[k]} has {lengths[k]} bytes instead of {self.length}")
+                data = memoryview(records.cast(pa.binary(self.length)).buffers()[1]) if len(idx) else b""
+                cuts = [0, *(np.flatnonzero(np.diff(idx) != 1) + 1).tolist(), len(idx)]
+                for a, b in zip(cuts, cuts[1:]):
+                    if a == b:
+                        continue
+                    f.seek(len(self.header) + int(idx[a]) * self.length)
+                    f.write(data[a * self.length : b * self.length])
+                    if runs and idx[a] == runs[-1][1]:
+                        runs[-1][1] += b - a
+                    else:
+                        runs.append([int(idx[a]), int(idx[a]) + b - a])
+            f.flush()
+            os.fsync(f.fileno())
+        return Written([tuple(r) for r in runs])
+
+
 class Records(DataSource):
     """Options: path; length of a record; header (bytes when reading, hexadecimal text when writing); first, end; split; partial; pushdown."""
 
@@ -187,13 +220,13 @@ class Records(DataSource):
         kind = FilteringRecordReader if o.get("pushdown", "false") == "true" else RecordReader
         return kind(o["path"], int(o["length"]), int(o.get("header", 0)), int(o.get("first", 0)), int(o["end"]) if "end" in o else None, int(o.get("split", SPLIT)), o.get("partial", "false") == "true")
 
-    def writer(self, schema: StructType, overwrite: bool) -> RecordWriter:
+    def writer(self, schema: StructType, overwrite: bool) -> ArrowRecordWriter:
         where = mounted(self.options["path"])
         if where is None:
             raise ValueError("records are written at their places, which needs a folder that all machines mount")
         if not overwrite and os.path.exists(where):
             raise FileExistsError(where)
-        return RecordWriter(where, int(self.options["length"]), bytes.fromhex(self.options.get("header", "")))
+        return ArrowRecordWriter(where, int(self.options["length"]), bytes.fromhex(self.options.get("header", "")))
 
 
 def read(spark: SparkSession, path: str, length: int, header: int = 0, first: int = 0, end: int | None = None, split: int = SPLIT, partial: bool = False) -> DataFrame:
@@ -212,7 +245,7 @@ def write(records: DataFrame, path: str, length: int, header: bytes = b"") -> No
 
 def blocks(spark: SparkSession, path: str, block: int) -> DataFrame:
     """(path, idx, record): files in blocks of ``block`` bytes, with what is left of a file as its last."""
-    whole = read(spark, path, block, partial=True, split=block)
+    whole = read(spark, path, block, partial=True, split=4 * PIECE)
     rests = [(f, n // block, n - n % block, n) for f, n in sizes(path) if n % block]
     if not rests:
         return whole
@@ -229,10 +262,34 @@ def blocks(spark: SparkSession, path: str, block: int) -> DataFrame:
 
 
 def tree_digests(blocks: DataFrame) -> DataFrame:
-    """K9: (path, blocks, tree_sha256) from (path, idx, record): the digest of the blocks' digests in order."""
-    leaves = blocks.select("path", "idx", F.sha2("record", 256).alias("leaf"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "leaf"))), lambda x: x["leaf"]), "")
-    return leaves.groupBy("path").agg(F.count(F.lit(1)).alias("blocks"), F.sha2(joined, 256).alias("tree_sha256"))
+    """K9: (path, blocks, tree_sha256) from (path, idx, record): the digest of the blocks' digests in order.
+
+    The blocks are hashed where they are read; a file's digests go through one task as a stream, as they are a chain.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: list = []
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([told[0]]), pa.array([told[1]], pa.int64()), pa.array([told[2].hexdigest()])], ["path", "blocks", "tree_sha256"])
+
+        for batch in batches:
+            paths, leaves = batch.column(0), batch.column(1).to_pylist()
+            ends = pc.run_end_encode(paths)
+            at = 0
+            for path, end in zip(ends.values.to_pylist(), ends.run_ends.to_pylist(), strict=True):
+                if not told or told[0] != path:
+                    if told:
+                        yield done()
+                    told = [path, 0, hashlib.sha256()]
+                told[1] += end - at
+                told[2].update("".join(leaves[at:end]).encode())
+                at = end
+        if told:
+            yield done()
+
+    leaves = blocks.select("path", "idx", F.sha2("record", 256).alias("leaf")).repartition("path").sortWithinPartitions("path", "idx")
+    return leaves.select("path", "leaf").mapInArrow(run, "path string, blocks long, tree_sha256 string")
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

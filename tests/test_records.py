@@ -102,3 +102,29 @@ def test_older_records_refuse_what_they_cannot_tell(spark):
     told = {r.n: (r.t.status, [g for g in r.t.face_r if g], r.t.height_r[:1]) for r in read.collect()}
     assert [told[n][0] for n in range(5)] == ["overflow", "ok", "ok", "overflow", "empty"]
     assert told[1][1:] == ([1], [300]) and told[2][1] == [127]
+
+
+def test_tasks_do_not_grow_with_the_file(spark, tmp_path):
+    """A task of its own for each small range, as s7_record_file and k9_ledger had, makes more tasks than work."""
+    path = str(tmp_path / "r.bin")
+    record_files.write(numbered(spark, 20_000), path, 10)
+    back = record_files.read(spark, path, 10, split=10)
+    assert back.rdd.getNumPartitions() <= record_files.MOST_RANGES
+    assert [(r.idx, bytes(r.record)) for r in back.orderBy("idx").collect()] == [(i, b"%010d" % i) for i in range(20_000)]
+    assert record_files.blocks(spark, path, 1000).rdd.getNumPartitions() == 1
+    got = record_files.tree_digests(record_files.blocks(spark, path, 999)).first()
+    data = open(path, "rb").read()
+    leaves = [hashlib.sha256(data[a : a + 999]).hexdigest() for a in range(0, len(data), 999)]
+    assert (got.blocks, got.tree_sha256) == (len(leaves), hashlib.sha256("".join(leaves).encode()).hexdigest())
+
+
+def test_batches_are_written_by_runs(tmp_path):
+    import pyarrow as pa
+
+    path = str(tmp_path / "r.bin")
+    writer = record_files.ArrowRecordWriter(path, 2, b"h")
+    batch = lambda *idx: pa.RecordBatch.from_arrays([pa.array(idx, pa.int64()), pa.array([b"%02d" % i for i in idx], pa.binary())], ["idx", "record"])
+    messages = [writer.write(iter([batch(3, 4), batch(5)])), writer.write(iter([batch(9, 0, 1, 2, 6).slice(1), batch()]))]
+    assert messages[0].runs == [(3, 6)] and messages[1].runs == [(0, 3), (6, 7)]
+    writer.commit(messages)
+    assert open(path, "rb").read() == b"h00010203040506"
