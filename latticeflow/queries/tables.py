@@ -55,7 +55,7 @@ def a10_duplicates(spark, sf):
 
 def a12_a15_rates(spark, sf):
     by = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.count_if(F.col("l_linestatus") == "X").alias("none"))
-    return by.select("l_suppkey", F.round(A.rate(F.col("rows"), F.col("returned")), 6).alias("rate"), A.percent(F.col("returned"), F.col("rows")).alias("share"), A.percent(F.col("returned"), F.col("none")).alias("nothing"))
+    return by.select("l_suppkey", A.rounded(A.rate(F.col("rows"), F.col("returned")), 6).alias("rate"), A.percent(F.col("returned"), F.col("rows")).alias("share"), A.percent(F.col("returned"), F.col("none")).alias("nothing"))
 
 
 def a13_messages(spark, sf):
@@ -113,7 +113,7 @@ def w10_slowdown(spark, sf):
     """Progress of each order status in intervals of a thousand orders: its items, and their quantity as time."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_linestatus", F.lit(1).alias("items"))
     told = W.interval_slowdown(li, ["l_linestatus"], "l_orderkey", 1000, "items", "l_quantity")
-    return told.select("l_linestatus", "interval", F.col("amount").cast("long").alias("amount"), F.round("rate", 9).alias("rate"), F.round("slowdown", 9).alias("slowdown"))
+    return told.select("l_linestatus", "interval", F.col("amount").cast("long").alias("amount"), A.rounded(F.col("rate"), 9).alias("rate"), A.rounded(F.col("slowdown"), 9).alias("slowdown"))
 
 
 def t3_top_rows(spark, sf):
