@@ -1,4 +1,4 @@
-"""Cutting lineage in the folder that all machines share."""
+"""Cutting lineage in the folder that all machines share; dealing rows to all cores."""
 
 from __future__ import annotations
 
@@ -23,3 +23,12 @@ def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, written now."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """The rows dealt out by the hash of ``by``, before steps that take long for each row.
+
+    A file comes in as many tasks as it has row groups, often one; the work on its rows should have all cores.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from latticeflow.functions.records import old_packed, old_unpacked, packed, unpacked
-from latticeflow.lineage import cut, shared_folder
+from latticeflow.lineage import cut, dealt, shared_folder
 from latticeflow.operators import contract, legacy, normalise, samples, stitch, trace, walk
 from latticeflow.operators import tiles as T
 from latticeflow.operators import windows as W
@@ -22,7 +22,7 @@ _Q = Annulus(8, 40, 120, 16)
 
 def _profiles(spark, sf):
     """Profiles in three historical shapes, from orders."""
-    o = table(spark, sf, "orders")
+    o = dealt(table(spark, sf, "orders"), "o_orderkey")
     k, r, w = F.lit(36).cast("long"), F.col("o_custkey"), F.col("o_orderkey") % 97
     verdict = F.when(F.col("o_orderstatus") == "F", "SPANNING").when(F.col("o_orderstatus") == "O", "MOAT")
     new = F.struct(F.struct(k.alias("k_sq"), r.alias("r_inner"), (r + w).alias("r_outer")).alias("radii"), verdict.alias("verdict"), F.struct(w.alias("active"), w.alias("produced")).alias("tiles"), F.struct(F.struct((w % 3).alias("y"), F.lit(0).cast("long").alias("z")).alias("x")).alias("overflow_counters"), F.struct(F.lit(True).alias("checked"), F.lit(True).alias("clean"), F.lit(False).alias("override_used"), (w % 2).alias("bad_norm_count")).alias("bz"), F.struct((w / 4).alias("total")).alias("timings_seconds"))
@@ -57,7 +57,7 @@ def w4_a12_monotonicity(spark, sf):
 
 def r_rules(spark, sf):
     """Bundles from orders: some break one rule, some two."""
-    o = table(spark, sf, "orders")
+    o = dealt(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
     n = F.col("o_orderkey")
     row = F.struct(F.lit("c").alias("claim_id"), F.lit(36).alias("k_sq"), F.lit(100).alias("r_inner"), F.lit(500).alias("r_outer"), F.when(n % 7 == 0, 399).otherwise(400).alias("width"), F.lit("full-octant").alias("region"), F.lit("MOAT").alias("verdict"), F.lit("ANY-SHELL-MOAT").alias("verdict_mode"), F.lit("run").alias("row_class"), (n % 4 == 0).alias("claim_proof_required"))
     bz = F.struct(F.lit(True).alias("checked"), (n % 11 != 0).alias("clean"), F.lit(False).alias("override_used"), F.lit(0).alias("bad_norm_count"))
@@ -92,7 +92,8 @@ def _planted_bundles(spark, sf):
     audit = F.struct(text("PASS").alias("status"), when(19, num(5), num(600)).alias("sample_count"), F.struct(when(20, num(35), num(36)).alias("k_sq")).alias("manifest"), F.struct(num(3).alias("geo_I")).alias("quotas"), F.struct(when(21, num(2), num(3)).alias("geo_I")).alias("class_counts"))
     artifact = F.struct(when(22, text("0"), text("0" * 64)).alias("sha256"), num(3).alias("size_bytes"), F.when(n != 23, num(1)).alias("schema_version"))
     doc = F.struct(num(1).alias("schema_version"), row.alias("row"), bz.alias("bz"), profile.alias("profile"), counters.alias("overflow_counters"), F.when(n >= 19, audit).alias("sample_audit"), F.when(n != 24, F.struct(artifact.alias("log"))).alias("artifacts"), F.when(n == 25, F.struct(num(35).alias("k_sq"))).alias("run_index"))
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("bundle_id"), F.to_json(doc).alias("bundle"))
+    o = dealt(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
+    return o.select(F.col("o_orderkey").alias("bundle_id"), F.to_json(doc).alias("bundle"))
 
 
 def r_rules_whole(spark, sf):

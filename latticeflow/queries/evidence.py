@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from latticeflow.lineage import dealt
 from latticeflow.operators import contract, trace
 from latticeflow.operators.sampling import CLASSES
 from latticeflow.params import Annulus
@@ -64,7 +65,7 @@ def documents(spark, sf):
 
     Customers without a market segment, if there are any, have no documents but rows.
     """
-    c = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("key"), (F.col("c_nationkey") == 3).alias("wide"), F.col("c_mktsegment").isNull().alias("gone"))
+    c = dealt(table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), "c_custkey").select(F.col("c_custkey").cast("long").alias("key"), (F.col("c_nationkey") == 3).alias("wide"), F.col("c_mktsegment").isNull().alias("gone"))
     place = F.pmod("key", F.lit(len(PLANTED)))
     made = []
     for kind, text in SOUND.items():
@@ -103,7 +104,7 @@ def k4_sample_manifest(spark, sf):
 def k8_reports(spark, sf):
     """The reports of bundles from orders, by status and number of errors, read back from their documents."""
     row = F.struct(F.lit("c").alias("claim_id"), F.lit(36).alias("k_sq"), F.lit(100).alias("r_inner"), F.lit(500).alias("r_outer"), F.when(F.col("o_orderkey") % 7 == 0, 399).otherwise(400).alias("width"))
-    bundles = table(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("bundle_id"), F.to_json(F.struct(row.alias("row"))).alias("bundle"))
+    bundles = dealt(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey").select(F.col("o_orderkey").cast("long").alias("bundle_id"), F.to_json(F.struct(row.alias("row"))).alias("bundle"))
     read = sinks.postflight_reports(contract.checked(bundles)).select("bundle_id", F.from_json("document", "schema_version int, status string, errors array<string>").alias("d"))
     return read.select("bundle_id", "d.schema_version", "d.status", F.exists("d.errors", lambda e: e.startswith("R1 width")).alias("wrong_width"))
 
