@@ -17,7 +17,14 @@ def given(x: Column) -> Column:
     return x.isNotNull() & ~F.is_variant_null(x)
 
 
+#: Casts that only a value of the kind passes, and that look at none of the values within.
+_CONTAINERS = {"OBJECT": "struct<`_`:boolean>", "ARRAY": "array<struct<`_`:boolean>>"}
+
+
 def is_kind(x: Column, kind: str) -> Column:
+    """Whether a value is of a kind; ``schema_of_variant`` would spell out all that an object or array holds."""
+    if kind in _CONTAINERS:
+        return F.try_variant_get(x, "$", _CONTAINERS[kind]).isNotNull()
     return F.coalesce(F.schema_of_variant(x).startswith(kind), F.lit(False))
 
 
@@ -52,12 +59,12 @@ def false(x: Column) -> Column:
 
 def fields(x: Column) -> Column:
     """An object's values by name; null for other kinds."""
-    return F.when(is_kind(x, "OBJECT"), F.try_variant_get(x, "$", "map<string,variant>"))
+    return F.try_variant_get(x, "$", "map<string,variant>")
 
 
 def items(x: Column) -> Column:
     """An array's values; null for other kinds."""
-    return F.when(is_kind(x, "ARRAY"), F.try_variant_get(x, "$", "array<variant>"))
+    return F.try_variant_get(x, "$", "array<variant>")
 
 
 def kind(x: Column) -> Column:

@@ -62,5 +62,5 @@ def counter_faults(docs: DataFrame, id_columns: list[str], value: Column, root:
 
 def whole_sums(docs: DataFrame, id_columns: list[str], value: Column) -> DataFrame:
     """(ids, total, numbers): the sum of all whole numbers of a document, at any depth."""
-    n = nodes(docs, id_columns, value, "$").where("kind = 'whole'")
+    n = nodes(docs, id_columns, value, "$").where(V.whole(F.col("value")).isNotNull())
     return n.groupBy(*id_columns).agg(F.sum(V.whole(F.col("value"))).alias("total"), F.count(F.lit(1)).alias("numbers"))
