@@ -6,6 +6,8 @@ sets of inner and outer labels at 196 and 212, flags at 228, zeros from 229.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,24 +65,36 @@ def old_unpacked(record: Column) -> Column:
     seven bits are the group, its high bit is the ninth bit of the height.  Status: ok, empty, overflow (first
     byte 255) or invalid (offsets out of order or past the end).
     """
-    text = F.hex(record)
+    return _bound(F.hex(record), _old_parts)
+
+
+def _bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with ``x`` worked out once, and not again for each entry of the lists that are made of it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def _old_parts(text: Column) -> Column:
     off_i, off_l, off_r = (_number(text, k) for k in range(3))
     count_l = off_r - off_l
     rest = 128 - off_r - count_l
-    count_r = F.floor(rest / 2).cast("int")
-    heights = off_r + count_r
     orderly = (off_i >= 3) & (off_i <= off_l) & (off_l <= off_r) & (off_r <= 128) & (rest >= 0)
     blank = (off_i == 3) & (off_l == 3) & (off_r == 3) & (_number(text, 3) == 0)
     status = F.when(off_i == 255, "overflow").when(~orderly, "invalid").when(blank, "empty").otherwise("ok")
+    places = F.struct(status.alias("status"), off_i.alias("i"), off_l.alias("l"), off_r.alias("r"), count_l.alias("count_l"), F.floor(rest / 2).cast("int").alias("count_r"))
+    return _bound(places, lambda p: _old_faces(text, p))
+
+
+def _old_faces(text: Column, p: Column) -> Column:
     none = F.array().cast("array<int>")
-    take = lambda at, n: F.when((status == "ok") & (n > 0), F.transform(F.sequence(F.lit(0), n - 1), lambda k: _number(text, at + k))).otherwise(none)
+    take = lambda at, n: F.when((p["status"] == "ok") & (n > 0), F.transform(F.sequence(at, at + n - 1), lambda k: _number(text, k))).otherwise(none)
     group = lambda c: F.transform(c, lambda x: x.bitwiseAND(F.lit(0x7F)))
     tall = lambda g, h: F.zip_with(g, h, lambda x, y: F.shiftright(x, 7) * 256 + y)
-    left, right = take(off_l, count_l), take(off_r, count_r)
-    return F.struct(
-        status.alias("status"), group(take(F.lit(3), off_i - 3)).alias("face_o"), group(take(off_i, off_l - off_i)).alias("face_i"), group(left).alias("face_l"), group(right).alias("face_r"),
-        tall(left, take(heights, count_l)).alias("height_l"), tall(right, take(heights + count_l, count_r)).alias("height_r"),
-    )
+    heights = p["r"] + p["count_r"]
+    read = F.struct(take(p["l"], p["count_l"]).alias("left"), take(p["r"], p["count_r"]).alias("right"))
+    return _bound(read, lambda x: F.struct(
+        p["status"].alias("status"), group(take(F.lit(3), p["i"] - 3)).alias("face_o"), group(take(p["i"], p["l"] - p["i"])).alias("face_i"), group(x["left"]).alias("face_l"), group(x["right"]).alias("face_r"),
+        tall(x["left"], take(heights, p["count_l"])).alias("height_l"), tall(x["right"], take(heights + p["count_l"], p["count_r"])).alias("height_r"),
+    ))
 
 
 def old_packed(face_o: Column, face_i: Column, face_l: Column, face_r: Column, height_l: Column, height_r: Column) -> Column:

@@ -128,3 +128,9 @@ def test_batches_are_written_by_runs(tmp_path):
     assert messages[0].runs == [(3, 6)] and messages[1].runs == [(0, 3), (6, 7)]
     writer.commit(messages)
     assert open(path, "rb").read() == b"h00010203040506"
+
+
+def test_older_records_are_spelt_out_once(spark):
+    """Written out in each entry of its lists, a record's text and offsets were worked out a hundred times."""
+    plan = spark.range(1).select(old_unpacked(F.lit(bytes(128))).alias("t"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("hex(") == 1
