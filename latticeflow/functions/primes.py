@@ -151,6 +151,16 @@ def gaussian_prime(a: Column, b: Column) -> Column:
     return (on_axis | (a != 0)) & prime(asked)
 
 
+@F.pandas_udf(T.BooleanType())
+def _octant_prime(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(gaussian_mask(a.to_numpy(np.int64), b.to_numpy(np.int64)))
+
+
+def octant_prime(a: Column, b: Column) -> Column:
+    """P4 for longs that are known to satisfy 0 <= a <= b and aren't null; even norms are ruled out in the JVM."""
+    return (((a + b) % 2 == 1) | (b == 1)) & _octant_prime(a, b)
+
+
 def gaussian_norm(n: Column) -> Column:
     """P5: the norm of a Gaussian prime: 2, a prime 1 mod 4, or the square of a prime 3 mod 4."""
     from latticeflow.functions.integers import floor_isqrt

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 from math import isqrt
 
 import numpy as np
@@ -17,10 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticeflow.functions.primes import gaussian_mask
+from latticeflow.lineage import dealt
 from latticeflow.sources.lattice import expanded
 from latticeflow.params import EMPTY_BIT, FACES, INNER, MAX_FACE_PORTS, MAX_GROUPS, MAX_PORTS, OUTER, OVERFLOW_BIT, Annulus, ceil_isqrt, palette
 
 SCHEMA = "i long, j long, n array<int>, face_groups array<int>, port_h array<int>, port_perp array<int>, inner array<int>, outer array<int>, tile_flags int, primes int, groups int"
+ARROW = pa.schema([("i", pa.int64()), ("j", pa.int64()), *((c, pa.list_(pa.int32())) for c in ("n", "face_groups", "port_h", "port_perp", "inner", "outer")), ("tile_flags", pa.int32()), ("primes", pa.int32()), ("groups", pa.int32())])
 
 
 def halo_primes(a_lo: int, b_lo: int, q: Annulus) -> tuple[np.ndarray, np.ndarray]:
@@ -76,47 +79,69 @@ def summarise(i: int, j: int, q: Annulus, caps: bool) -> dict:
     return _summarised(i, j, q, caps)[0]
 
 
-def _summarised(i: int, j: int, q: Annulus, caps: bool, points: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _summarised(i: int, j: int, q: Annulus, caps: bool) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """One tile's row, its primes' coordinates, their bands' bits and their labels (0: not visible)."""
-    s, c = q.side, q.collar
-    a_lo, b_lo = i * s, j * s
-    a, b = halo_primes(a_lo, b_lo, q) if points is None else points
-    row = {"i": i, "j": j, "n": [0] * 4, "face_groups": [], "port_h": [], "port_perp": [], "inner": [], "outer": [], "tile_flags": 0, "primes": len(a), "groups": 0}
+    a, b = halo_primes(i * q.side, j * q.side, q)
     if not len(a):
-        return row | {"tile_flags": EMPTY_BIT}, a, b, a, a
+        return {"i": i, "j": j, "n": [0] * 4, **{c: [] for c in _LISTS}, "tile_flags": EMPTY_BIT, "primes": 0, "groups": 0}, a, b, a, a
+    rows, reach, label = _summarised_tiles(np.array([i]), np.array([j]), np.zeros(len(a), np.int64), a, b, q, caps)
+    return rows.to_pylist()[0], a, b, reach, label
+
+
+_LISTS = ("face_groups", "port_h", "port_perp", "inner", "outer")
+
+
+def _lists(tile: np.ndarray, values: np.ndarray, tiles: int) -> pa.Array:
+    """Each tile's values as an array, for rows sorted by tile."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(tile, np.arange(tiles + 1)), pa.int32()), pa.array(values, pa.int32()))
+
+
+def _summarised_tiles(i: np.ndarray, j: np.ndarray, tile: np.ndarray, a: np.ndarray, b: np.ndarray, q: Annulus, caps: bool) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """The rows of tiles (i, j) that hold primes, and each prime's bits of bands and label (0: not visible).
+
+    The primes are sorted by (tile, a, b), ``tile`` being their tile's place among the given ones.  All tiles are worked
+    on at once: they lie on a strip, one behind the other, too far apart for a step to join two of them.
+    """
+    s, c, tiles = q.side, q.collar, len(i)
     offsets = palette(q.k, True, odd_sums=q.r_inner > 1)
-    comp = joined(a, b, offsets)
+    x, y = a - i[tile] * s, b - j[tile] * s
+    strip = tile * (s + 3 * c + 1) + x
+    comp = joined(strip, y, offsets)
     norm = a * a + b * b
     inner = norm <= q.inner_sq + q.k + isqrt(4 * q.inner_sq * q.k)
     outer = norm >= q.outer_sq + q.k - isqrt(4 * q.outer_sq * q.k)
-    x, y = a - a_lo, b - b_lo
     perps = {"I": y, "O": y - s, "L": x, "R": x - s}
     along = {"I": x, "O": x, "L": y, "R": y}
     strips = {f: np.abs(perps[f]) <= c for f in FACES}
     visible = np.unique(comp[inner | outer | strips["I"] | strips["O"] | strips["L"] | strips["R"]])
+    groups = np.bincount(tile[visible], minlength=tiles)
     label = np.zeros(len(a), np.int64)
-    label[visible] = np.arange(1, len(visible) + 1)  # smallest index first: first appearance
+    label[visible] = np.arange(1, len(visible) + 1) - (np.cumsum(groups) - groups)[tile[visible]]  # smallest index first: first appearance
     label = label[comp]
-    more = (a, b, INNER * inner + OUTER * outer, label)
-    overflow = row | {"tile_flags": OVERFLOW_BIT}
-    if caps and len(visible) > MAX_GROUPS:
-        return overflow, *more
+    n, found = np.zeros((tiles, len(FACES)), np.int64), []
     for f, face in enumerate(FACES):
         at = np.flatnonzero(strips[face])
-        sub = joined(a[at], b[at], offsets)
+        sub = joined(strip[at], y[at], offsets)
         h, perp = along[face][at], perps[face][at]
         order = np.lexsort((perp, h, sub))
         first = order[np.flatnonzero(np.r_[True, sub[order][1:] != sub[order][:-1]])] if len(at) else order
-        port = first[np.lexsort((label[at[first]], perp[first], h[first]))]
-        if caps and len(port) > MAX_FACE_PORTS:
-            return overflow, *more
-        row["n"][f] = len(port)
-        row["face_groups"] += label[at[port]].tolist()
-        row["port_h"] += h[port].tolist()
-        row["port_perp"] += perp[port].tolist()
-    if caps and sum(row["n"]) > MAX_PORTS:
-        return overflow | {"n": [0] * 4}, *more
-    return row | {"inner": np.unique(label[inner]).tolist(), "outer": np.unique(label[outer]).tolist(), "groups": len(visible)}, *more
+        n[:, f] = np.bincount(tile[at[first]], minlength=tiles)
+        found.append(np.stack([tile[at[first]], np.full(len(first), f), h[first], perp[first], label[at[first]]]))
+    port = np.concatenate(found, axis=1)
+    port = port[:, np.lexsort((port[4], port[3], port[2], port[1], port[0]))]
+    over = (groups > MAX_GROUPS) | (n > MAX_FACE_PORTS).any(axis=1) | (n.sum(axis=1) > MAX_PORTS) if caps else np.zeros(tiles, bool)
+    port = port[:, ~over[port[0]]]
+
+    def flagged(band: np.ndarray) -> pa.Array:
+        marked = np.unique(comp[band & ~over[tile]])
+        return _lists(tile[marked], label[marked], tiles)
+
+    n[over] = 0
+    kept = [_lists(port[0], port[at], tiles) for at in (4, 2, 3)]
+    whole = pa.ListArray.from_arrays(pa.array(np.arange(tiles + 1) * len(FACES), pa.int32()), pa.array(n.reshape(-1), pa.int32()))
+    numbers = [pa.array(v, pa.int32()) for v in (np.where(over, OVERFLOW_BIT, 0), np.bincount(tile, minlength=tiles), np.where(over, 0, groups))]
+    rows = pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64()), whole, *kept, flagged(inner), flagged(outer), *numbers], schema=ARROW)
+    return rows, INNER * inner + OUTER * outer, label
 
 
 def halos(points: DataFrame, q: Annulus) -> DataFrame:
@@ -126,28 +151,54 @@ def halos(points: DataFrame, q: Annulus) -> DataFrame:
     return points.select("a", "b", F.explode(of("a")).alias("i")).select("i", F.explode(of("b")).alias("j"), "a", "b")
 
 
-def _each_halo(points: DataFrame, q: Annulus, fn: Callable[[int, int, tuple[np.ndarray, np.ndarray]], list[dict]], schema: str) -> DataFrame:
-    """What ``fn`` makes of each tile and its sorted primes; a tile's are bounded by its widened square."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+#: Cells of widened squares, about, that are worked on at once.
+CELLS = 2_000_000
+
+
+def _whole_tiles(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(i, j, tile, a, b) of at most ``most`` tiles at a time, each whole, from rows (i, j, a, b) sorted by all four;
+    ``tile`` is a row's place among the tiles (i, j)."""
+    held = np.zeros((4, 0), np.int64)
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+        begin = np.flatnonzero(np.r_[True, (held[:2, 1:] != held[:2, :-1]).any(axis=0)]) if held.shape[1] else np.zeros(0, np.int64)
+        whole = len(begin) - (batch is not None)  # the last tile may go on
+        ends = np.r_[begin, held.shape[1]]
+        at = 0
+        while whole - at >= most or (batch is None and at < whole):
+            upto = min(at + most, whole)
+            part = held[:, ends[at] : ends[upto]]
+            yield held[0, begin[at:upto]], held[1, begin[at:upto]], np.repeat(np.arange(upto - at), np.diff(ends[at : upto + 1])), part[2], part[3]
+            at = upto
+        held = held[:, ends[at] :]
 
-    out = to_arrow_schema(points.sparkSession.createDataFrame([], schema).schema)
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        a, b = (rows.column(c).to_numpy() for c in ("a", "b"))
-        order = np.lexsort((b, a))
-        return pa.Table.from_pylist(fn(key[0].as_py(), key[1].as_py(), (a[order], b[order])), schema=out)
+def _each_halo(points: DataFrame, q: Annulus, fn: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``fn`` makes of several tiles and their sorted primes; a tile's are bounded by its widened square."""
+    most = max(1, CELLS // ((q.side + 3 * q.collar + 1) * (q.side + 4 * q.collar + 1)))
 
-    return halos(points, q).groupBy("i", "j").applyInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _whole_tiles(batches, most):
+            yield fn(*found)
+
+    return dealt(halos(points, q), "i", "j").sortWithinPartitions("i", "j", "a", "b").mapInArrow(run, schema)
 
 
 def summaries_of(points: DataFrame, q: Annulus, caps: bool = False) -> DataFrame:
     """The summaries of the tiles that given primes (a, b), each once, lie in or near; other tiles have no row."""
-    return _each_halo(points, q, lambda i, j, at: [_summarised(i, j, q, caps, at)[0]], SCHEMA)
+    return _each_halo(points, q, lambda *found: _summarised_tiles(*found, q, caps)[0], SCHEMA)
 
 
 def layers_of(points: DataFrame, q: Annulus, caps: bool = False) -> DataFrame:
     """As :func:`layers`, for given primes."""
-    return _each_halo(points, q, lambda i, j, at: _layers(i, j, *_summarised(i, j, q, caps, at)), LAYER_SCHEMA)
+
+    def told(i: np.ndarray, j: np.ndarray, tile: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        rows, reach, label = _summarised_tiles(i, j, tile, a, b, q, caps)
+        ends = np.searchsorted(tile, np.arange(len(i) + 1))
+        return pa.RecordBatch.from_pylist([x for n, row in enumerate(rows.to_pylist()) for x in _layers(row["i"], row["j"], row, *(c[ends[n] : ends[n + 1]] for c in (a, b, reach, label)))])
+
+    return _each_halo(points, q, told, LAYER_SCHEMA)
 
 
 #: What a tile's answer is made of, from the first step to the last.
@@ -199,10 +250,8 @@ def summaries(tiles: DataFrame, q: Annulus, caps: bool = False, parts: int | Non
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 rows = [summarise(i, j, q, caps) for i, j in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_pylist(rows, schema=out)
+                yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
-    ints = pa.list_(pa.int32())
-    out = pa.schema([("i", pa.int64()), ("j", pa.int64()), *((c, ints) for c in ("n", "face_groups", "port_h", "port_perp", "inner", "outer")), ("tile_flags", pa.int32()), ("primes", pa.int32()), ("groups", pa.int32())])
     slim = tiles.select("i", "j")
     return (slim.repartition(parts, "i", "j") if parts else slim).mapInArrow(run, SCHEMA)
 

@@ -36,14 +36,15 @@ class TiledGraph:
         return V.verdict(self.components(), self.summaries.where(F.col("tile_flags").bitwiseAND(F.lit(OVERFLOW_BIT)) != 0))
 
 
-def solve(spark: SparkSession, q: Annulus, caps: bool = False, region: DataFrame | None = None, parts: int | None = None, points: DataFrame | None = None) -> TiledGraph:
-    """Solve over the whole octant, a ``region`` of tiles (i, j), or the primes among given ``points`` (a, b).
+def solve(spark: SparkSession, q: Annulus, caps: bool = False, region: DataFrame | None = None, parts: int | None = None, points: DataFrame | None = None, known: bool = False) -> TiledGraph:
+    """Solve over the whole octant, a ``region`` of tiles (i, j), or the primes among given ``points`` (a, b; ``known`` as
+    in :func:`flat.vertices`).
 
     Ports of a face shared by two tiles must agree in number; a region that breaks this raises rather than
     guessing.  Components are only labelled over visible groups, far fewer than the primes.
     """
     if points is not None:
-        rows = cut(T.summaries_of(flat.vertices(spark, q.strict(), points), q, caps))
+        rows = cut(T.summaries_of(flat.vertices(spark, q.strict(), points, known), q, caps))
         grid = rows.select("i", "j")
     else:
         grid = cut(tiles(towers(spark, q.strict() if region is None else q), q))
