@@ -51,7 +51,10 @@ def _labels(text: Column, at: int) -> Column:
 
 def unpacked(record: Column) -> Column:
     """A struct (n, face_groups, inner, outer, tile_flags) of a 256-byte record; labels behind the ports are dropped."""
-    text = F.hex(record)
+    return _bound(F.hex(record), _parts)
+
+
+def _parts(text: Column) -> Column:
     n = F.array(*[_number(text, k) for k in range(4)])
     total = F.aggregate(n, F.lit(0), lambda a, x: a + x)
     groups = F.when(total > 0, F.transform(F.sequence(F.lit(0), total - 1), lambda k: _number(text, 4 + k))).otherwise(F.array().cast("array<int>"))
