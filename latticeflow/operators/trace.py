@@ -119,17 +119,24 @@ def _narrowed(graph: two_level.TiledGraph, history: DataFrame) -> DataFrame:
     return cut(known.unionByName(links).unionByName(now))
 
 
-def shortest_path(links: DataFrame, sources: DataFrame, targets: DataFrame, limit: int | None = None) -> DataFrame:
+#: Points whose links are found by sending the points to all tasks; more are met by a shuffle of the links.
+SENT = 250_000
+
+
+def shortest_path(links: DataFrame, sources: DataFrame, targets: DataFrame, limit: int | None = None, stored: bool = False) -> DataFrame:
     """(pos, id): a path with fewest links from a source to a target; no row if there is none.
 
     Of several it is the one that ends in the smallest target and comes to each point from the smallest point
     one level nearer to the sources.  Graphs of up to ``limit`` links (counted first) are searched by one task,
-    larger ones level by level as joins.
+    larger ones level by level as joins.  ``stored``: the links are a stored table's columns, which each level reads
+    again instead of a copy; such a graph isn't counted, and always searched level by level.
     """
     limit = FOLD_LIMIT if limit is None else limit
+    if stored:
+        return _path_by_levels(links.select("a", "b").where("a <> b"), sources, targets)
     both = cut(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
     if both.count() > 2 * limit:
-        return _path_by_levels(both, sources, targets)
+        return _path_by_levels(both.where("a < b"), sources, targets)
     rows = both.select(F.lit(0).alias("kind"), "a", "b").union(sources.select(F.lit(1), "id", "id")).union(targets.select(F.lit(2), "id", "id"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,14 +169,25 @@ def shortest_path(links: DataFrame, sources: DataFrame, targets: DataFrame, limi
     return rows.repartition(1).mapInArrow(search, "pos long, id long")
 
 
-def _path_by_levels(both: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+def _beyond(links: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(before, id): the links of ``n`` points, from the point to the other end, of links (a, b) that are held once.
+
+    Few points are sent to where the links are, so that a level moves what it finds and not the graph.
+    """
+    at = ids.select(F.col("id").alias("before"))
+    at = F.broadcast(at) if n <= SENT else at
+    ways = [links.join(at, F.col(x) == F.col("before")).select("before", F.col(y).alias("id")) for x, y in ("ab", "ba")]
+    return ways[0].union(ways[1])
+
+
+def _path_by_levels(links: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
     """The same by joins, from both ends: the smaller frontier grows until the two meet.
 
     Of the points where they meet only what lies on a shortest path goes on, through the targets' levels, so that
     the smallest target is found among all of that distance.  A level leaves out the two before.  Only the path's
     own points, one per level, come to the driver.
     """
-    empty = both.sparkSession.createDataFrame([], "pos long, id long")
+    empty = links.sparkSession.createDataFrame([], "pos long, id long")
     near, far = ([cut(ends.select("id").where("id IS NOT NULL").distinct())] for ends in (sources, targets))
     sizes = [near[0].count(), far[0].count()]
     while all(sizes):
@@ -178,7 +196,7 @@ def _path_by_levels(both: DataFrame, sources: DataFrame, targets: DataFrame) ->
             break
         side = 0 if sizes[0] <= sizes[1] else 1
         grown = (near, far)[side]
-        reached = grown[-1].join(both, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
+        reached = _beyond(links, grown[-1], sizes[side]).select("id").distinct()
         for seen in grown[-2:]:
             reached = reached.join(seen, "id", "left_anti")
         grown.append(cut(reached))
@@ -186,15 +204,15 @@ def _path_by_levels(both: DataFrame, sources: DataFrame, targets: DataFrame) ->
     else:
         return empty
     for level in reversed(far[:-1]):
-        step = ahead[-1].select("id").join(both, F.col("id") == F.col("a")).groupBy("b").agg(F.min("a").alias("before"))
-        ahead.append(cut(step.withColumnRenamed("b", "id").join(level, "id", "left_semi")))
+        step = _beyond(links, ahead[-1], ahead[-1].count()).groupBy("id").agg(F.min("before").alias("before"))
+        ahead.append(cut(step.join(level, "id", "left_semi")))
     path = [ahead[-1].agg(F.min("id")).first()[0]]
     for level in reversed(ahead[1:]):
         path.append(level.where(F.col("id") == path[-1]).first().before)
     for level in reversed(near[:-1]):
-        back = both.where(F.col("b") == path[-1]).select(F.col("a").alias("id"))
+        back = links.where(F.col("b") == path[-1]).select(F.col("a").alias("id")).union(links.where(F.col("a") == path[-1]).select(F.col("b").alias("id")))
         path.append(back.join(level, "id", "left_semi").agg(F.min("id")).first()[0])
-    return both.sparkSession.createDataFrame([(len(path) - 1 - k, x) for k, x in enumerate(path)], "pos long, id long")
+    return links.sparkSession.createDataFrame([(len(path) - 1 - k, x) for k, x in enumerate(path)], "pos long, id long")
 
 
 def span_chain(graph: two_level.TiledGraph, limit: int | None = None) -> DataFrame:

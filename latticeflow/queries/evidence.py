@@ -135,7 +135,7 @@ def g7_order_chain(spark, sf):
     """A shortest chain from the first to the last order through parts that they share, searched from both ends."""
     links = _orders_and_parts(spark, sf)
     end = lambda f: links.agg(f("a").alias("id"))
-    path = trace.shortest_path(links, end(F.min), end(F.max), limit=0)
+    path = trace.shortest_path(links, end(F.min), end(F.max), stored=True)
     return path.agg(F.count(F.lit(1)).alias("points"), F.min_by("id", "pos").alias("from_order"), F.max_by("id", "pos").alias("to_order"))
 
 
