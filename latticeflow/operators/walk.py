@@ -47,17 +47,48 @@ def nodes(docs: DataFrame, id_columns: list[str], value: Column, root: str) -> D
     return every.select(*id_columns, "node.path", "node.depth", V.kind(x).alias("kind"), size.alias("size"), x.alias("value"))
 
 
+#: Texts of JSON and keys, as variants are spelt: quotes within are escaped.
+_TEXT = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
+
+def counters_at_fault(value: Column, root: str) -> Column:
+    """(path, fault) of a variant's counters that aren't 0: nested objects whose leaves must be the whole number 0.
+
+    An array is a fault itself, whatever it holds.  All within the row: the steps are as many as objects are nested.
+    Sound counters are told by their text, which without its keys is all braces and zeros; 0.0 is spelt 0, too, but no
+    whole number.
+    """
+    spelt = F.try_variant_get(value, "$", "string")
+    bare = F.regexp_replace(spelt, f"{_TEXT}:", "")
+    sound = V.is_kind(value, "OBJECT") & bare.rlike(r"^\{[{},0]*+$") & ~bare.contains("{}") & ~F.schema_of_variant(value).contains("DECIMAL")
+    braces = F.split(F.regexp_replace(F.regexp_replace(spelt, _TEXT, ""), "[^{}]", ""), "")
+    step = lambda t, c: F.struct((t["now"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("now"), F.greatest(t["most"], t["now"]).alias("most"))
+    nested = F.aggregate(braces, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step)["most"]
+    node = lambda path, x: F.struct(path.alias("path"), x.alias("value"))
+
+    def fault(n: Column) -> Column:
+        inside = V.fields(n["value"])
+        told = F.when(inside.isNotNull(), F.when(F.size(inside) == 0, "empty")).when(n["path"] == root, "no object")
+        told = told.when(V.whole(n["value"]) < 0, "negative").when(V.whole(n["value"]) > 0, "not 0").when(V.whole(n["value"]).isNull(), "no counter")
+        return F.struct(n["path"].alias("path"), told.alias("fault"))
+
+    def within(n: Column) -> Column:
+        return F.coalesce(F.transform(F.map_entries(V.fields(n["value"])), lambda e: node(F.concat(n["path"], F.lit("."), e["key"]), e["value"])), none)
+
+    first = F.array(node(F.lit(root), value))
+    none = F.filter(first, lambda _: F.lit(False))
+    found = lambda level: F.filter(F.transform(level, fault), lambda f: f["fault"].isNotNull())
+    walked = F.aggregate(
+        F.sequence(F.lit(0), F.coalesce(nested, F.lit(0))), F.struct(first.alias("level"), found(none).alias("faults")),
+        lambda t, _: F.struct(F.flatten(F.transform(t["level"], within)).alias("level"), F.concat(t["faults"], found(t["level"])).alias("faults")),
+        lambda t: t["faults"],
+    )
+    return F.when(value.isNotNull() & ~F.coalesce(sound, F.lit(False)), walked)
+
+
 def counter_faults(docs: DataFrame, id_columns: list[str], value: Column, root: str) -> DataFrame:
-    """(ids, path, fault) of counters that aren't 0: nested objects whose leaves must be the whole number 0."""
-    n = nodes(docs, id_columns, value, root)
-    fault = (
-        F.when((F.col("depth") == 0) & (F.col("kind") != "object"), "no object")
-        .when(F.col("kind") == "object", F.when(F.col("size") == 0, "empty"))
-        .when(F.col("kind") == "whole", F.when(V.whole(F.col("value")) < 0, "negative").when(V.whole(F.col("value")) > 0, "not 0"))
-        .otherwise("no counter")
-    )
-    # what lies within an array is no counter of its own: the array is the fault
-    return n.where(~F.col("path").contains("[")).select(*id_columns, "path", fault.alias("fault")).where("fault IS NOT NULL")
+    """(ids, path, fault) of counters that aren't 0, see :func:`counters_at_fault`."""
+    return docs.select(*id_columns, F.inline(counters_at_fault(value, root)))
 
 
 def whole_sums(docs: DataFrame, id_columns: list[str], value: Column) -> DataFrame:
