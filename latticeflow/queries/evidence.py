@@ -60,12 +60,14 @@ PLANTED = [
 ]
 
 
-def documents(spark, sf):
+def documents(spark, sf, spread=False):
     """Five documents per customer; many have one fault planted, those of nation 3 a wrong width besides.
 
-    Customers without a market segment, if there are any, have no documents but rows.
+    Customers without a market segment, if there are any, have no documents but rows.  ``spread``: dealt to all cores
+    before the work on each.
     """
-    c = dealt(table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), "c_custkey").select(F.col("c_custkey").cast("long").alias("key"), (F.col("c_nationkey") == 3).alias("wide"), F.col("c_mktsegment").isNull().alias("gone"))
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    c = (dealt(c, "c_custkey") if spread else c).select(F.col("c_custkey").cast("long").alias("key"), (F.col("c_nationkey") == 3).alias("wide"), F.col("c_mktsegment").isNull().alias("gone"))
     place = F.pmod("key", F.lit(len(PLANTED)))
     made = []
     for kind, text in SOUND.items():
@@ -80,13 +82,13 @@ def documents(spark, sf):
 
 def s9_document_faults(spark, sf):
     """Every fault by path, of manifests, samples, certificates, profiles and bundles at once."""
-    told = typed.checked(documents(spark, sf))
+    told = typed.checked(documents(spark, sf, spread=True))
     return told.select("key", "kind", F.explode("faults").alias("f")).select("key", "kind", "f.path", "f.fault")
 
 
 def s9_typed_manifests(spark, sf):
     """The typed values of sound manifests, and how many faults the others have."""
-    told = typed.typed(documents(spark, sf).where("kind = 'manifest'"), typed.MANIFEST)
+    told = typed.typed(documents(spark, sf, spread=True).where("kind = 'manifest'"), typed.MANIFEST)
     wanted = F.aggregate("row.selection", F.lit(0).cast("long"), lambda t, e: t + e["target_count"])
     return told.select("key", F.size("faults").alias("faults"), "row.claim_id", "row.r_outer", "row.sample_count", wanted.alias("targets"), F.size("row.class_counts").alias("classes"))
 
